@@ -146,3 +146,406 @@ def lease_market_medians_hot_path(spark, sf):
         ("area_m2_median", "area_m2", 0.5),
     ]
     return group_percentiles(binding.leases(spark, sf), market.MARKET_KEYS, specs, strategy="auto", hot_rows=0)
+
+
+# ---------------------------------------------------------------- phase 3: quality, lookups, stats, ranks
+from fairlease.operators import lookup, quality, ranks, stats  # noqa: E402
+from fairlease.plans import preprocess as pp  # noqa: E402
+from fairlease.plans.fixture_sql import with_flagged  # noqa: E402
+
+TARGET = quality.TARGET
+
+
+def _sources(spark, sf):
+    return binding.listings(spark, sf), binding.leases(spark, sf), binding.sales(spark, sf)
+
+
+def flagged_query(spark, sf) -> DataFrame:
+    """The flagged table feeds several statistics in one query: keep it once (memory, spill to disk)."""
+    from pyspark import StorageLevel
+
+    return pp.flagged_dataset(*_sources(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+_FLAGS = ["is_in_domain_property_type"] + list(quality.FLAG_COLUMNS)
+
+
+@register("quality_flags", with_flagged(f"select row_key, {', '.join(_FLAGS)} from flagged"))
+def quality_flags_query(spark, sf):
+    ds = market.modeling_dataset(*_sources(spark, sf))
+    return quality.add_quality_flags(ds, dup_cols=list(pp.CONTENT_COLUMNS)).select("row_key", *_FLAGS)
+
+
+@register(
+    "flag_duplicates",
+    with_binding(
+        "select row_key, row_number() over (partition by gu_code, ym, property_type, room_count order by row_key) > 1"
+        " is_exact_duplicate from listings"
+    ),
+)
+def flag_duplicates_query(spark, sf):
+    df = binding.listings(spark, sf)
+    return quality.flag_duplicates(df, ["gu_code", "ym", "property_type", "room_count"], "row_key").select(
+        "row_key", "is_exact_duplicate"
+    )
+
+
+_CLEAN_COLS = [
+    "area_m2_clean", "room_count_clean", "room_count_imputed", "household_size_clean", "household_size_imputed",
+]
+_WINSOR_COLS = [f"{c}_winsor" for c in quality.WINSOR_COLUMNS] + [f"log1p_{c}_winsor" for c in quality.WINSOR_COLUMNS]
+
+
+@register(
+    "clean_impute_winsorize",
+    with_flagged(
+        f"select row_key, {', '.join(_CLEAN_COLS)}, round(deposit_per_m2_clean, 6) deposit_per_m2_clean, "
+        + ", ".join(f"round({c}, 9) {c}" for c in _WINSOR_COLS)
+        + " from flagged"
+    ),
+)
+def clean_impute_winsorize_query(spark, sf):
+    df = flagged_query(spark, sf)
+    df = df.withColumn("deposit_per_m2_clean", F.round("deposit_per_m2_clean", 6))
+    return _round_cols(df, _WINSOR_COLS, 9).select("row_key", *_CLEAN_COLS, "deposit_per_m2_clean", *_WINSOR_COLS)
+
+
+@register("train_domain_rows", with_flagged("select row_key, property_type, sale_low_confidence from train_domain"))
+def train_domain_rows(spark, sf):
+    return quality.train_domain(flagged_query(spark, sf)).select("row_key", "property_type", "sale_low_confidence")
+
+
+@register("out_of_domain_rows", with_flagged("select row_key, property_type from ood"))
+def out_of_domain_rows(spark, sf):
+    return quality.out_of_domain(flagged_query(spark, sf)).select("row_key", "property_type")
+
+
+@register(
+    "training_rows",
+    with_flagged(f"select row_key, round({TARGET}, 9) target from train_domain where {TARGET} is not null"),
+)
+def training_rows_query(spark, sf):
+    df = quality.training_rows(quality.train_domain(flagged_query(spark, sf)), TARGET)
+    return df.select("row_key", F.round(TARGET, 9).alias("target"))
+
+
+_REPORT_SQL = with_flagged(
+    """
+, counts(section, df) as (select 1, 1)
+select 'rows' section, 'input_rows' key, count(*) value from listings
+union all select 'rows', 'flagged_rows', count(*) from flagged
+union all select 'rows', 'preprocessed_train_rows', count(*) from train_domain
+union all select 'rows', 'preprocessed_ood_rows', count(*) from ood
+union all select 'property_type_counts_input', coalesce(property_type, '<null>'), count(*) from listings group by all
+union all select 'property_type_counts_train', coalesce(property_type, '<null>'), count(*) from train_domain group by all
+union all select 'property_type_counts_ood', coalesce(property_type, '<null>'), count(*) from ood group by all
+union all select 'flag_counts', k, v from (unpivot (select """
+    + ", ".join(f"count(*) filter (where {c}) {c}" for c in quality.FLAG_COLUMNS)
+    + """ from flagged) on """
+    + ", ".join(quality.FLAG_COLUMNS)
+    + """ into name k value v)
+"""
+).replace(", counts(section, df) as (select 1, 1)\n", "")
+
+
+@register("quality_report", _REPORT_SQL)
+def quality_report_query(spark, sf):
+    lst, les, sal = _sources(spark, sf)
+    _, train, ood_df, report = pp.preprocess(lst, les, sal)
+    return report
+
+
+@register(
+    "median_lookup",
+    with_flagged(
+        """
+select level, group_cols, key, median, cnt from (
+  select 0 level, 'gu_name+property_type+ym' group_cols,
+         concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__'), coalesce(ym,'__MISSING__')) key,
+         median(rent_deposit_median) median, count(*) cnt from flagged where rent_deposit_median is not null group by all
+  union all select 1, 'gu_name+property_type', concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__')),
+         median(rent_deposit_median), count(*) from flagged where rent_deposit_median is not null group by all
+  union all select 2, 'property_type+ym', concat_ws('|', coalesce(property_type,'__MISSING__'), coalesce(ym,'__MISSING__')),
+         median(rent_deposit_median), count(*) from flagged where rent_deposit_median is not null group by all
+  union all select 3, 'property_type', coalesce(property_type,'__MISSING__'),
+         median(rent_deposit_median), count(*) from flagged where rent_deposit_median is not null group by all
+  union all select 4, 'gu_name', coalesce(gu_name,'__MISSING__'),
+         median(rent_deposit_median), count(*) from flagged where rent_deposit_median is not null group by all
+  union all select 5, 'global', '', median(rent_deposit_median), count(*) from flagged where rent_deposit_median is not null
+)
+"""
+    ),
+)
+def median_lookup_query(spark, sf):
+    lk = lookup.build_median_lookup(flagged_query(spark, sf), "rent_deposit_median")
+    return lk.select("level", "group_cols", F.array_join("key", "|").alias("key"), "median", "cnt")
+
+
+_HIER_SQL = with_flagged(
+    """
+, lk as (
+  select 0 level, concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__'), coalesce(ym,'__MISSING__')) key,
+         median(rent_deposit_median) v from flagged where rent_deposit_median is not null group by gu_name, property_type, ym
+  union all select 1, concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__')), median(rent_deposit_median)
+         from flagged where rent_deposit_median is not null group by gu_name, property_type
+  union all select 2, concat_ws('|', coalesce(property_type,'__MISSING__'), coalesce(ym,'__MISSING__')), median(rent_deposit_median)
+         from flagged where rent_deposit_median is not null group by property_type, ym
+  union all select 3, coalesce(property_type,'__MISSING__'), median(rent_deposit_median)
+         from flagged where rent_deposit_median is not null group by property_type
+  union all select 4, coalesce(gu_name,'__MISSING__'), median(rent_deposit_median)
+         from flagged where rent_deposit_median is not null group by gu_name
+),
+g as (select median(rent_deposit_median) v from flagged where rent_deposit_median is not null)
+select f.row_key,
+  coalesce(f.rent_deposit_median, l0.v, l1.v, l2.v, l3.v, l4.v, g.v) rent_deposit_median,
+  case when f.rent_deposit_median is not null then '사용자 입력' when l0.v is not null then '지역+주택구분+계약월'
+       when l1.v is not null then '지역+주택구분' when l2.v is not null then '주택구분+계약월'
+       when l3.v is not null then '주택구분' when l4.v is not null then '지역'
+       when g.v is not null then '전체 중위값' else '없음' end rent_deposit_median_source
+from flagged f cross join g
+left join lk l0 on l0.level = 0 and l0.key = concat_ws('|', coalesce(f.gu_name,'__MISSING__'), coalesce(f.property_type,'__MISSING__'), coalesce(f.ym,'__MISSING__'))
+left join lk l1 on l1.level = 1 and l1.key = concat_ws('|', coalesce(f.gu_name,'__MISSING__'), coalesce(f.property_type,'__MISSING__'))
+left join lk l2 on l2.level = 2 and l2.key = concat_ws('|', coalesce(f.property_type,'__MISSING__'), coalesce(f.ym,'__MISSING__'))
+left join lk l3 on l3.level = 3 and l3.key = coalesce(f.property_type,'__MISSING__')
+left join lk l4 on l4.level = 4 and l4.key = coalesce(f.gu_name,'__MISSING__')
+"""
+)
+
+
+@register("hierarchical_fill_median", _HIER_SQL)
+def hierarchical_fill_median(spark, sf):
+    """Rows without a lease market get the first matching level's median and its source."""
+    fl = flagged_query(spark, sf)
+    lk = lookup.build_median_lookup(fl, "rent_deposit_median")
+    out = lookup.hierarchical_lookup(
+        fl.select("row_key", "gu_name", "property_type", "ym", "rent_deposit_median"),
+        lk, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True,
+    )
+    return out.select("row_key", "rent_deposit_median", "rent_deposit_median_source")
+
+
+_DESCRIBE_COLS = ["lh_vs_rent_median_ratio_winsor", "deposit_per_m2_clean_winsor"]
+
+
+@register(
+    "describe_scores",
+    with_flagged(
+        "select property_type, \"column\", count, round(mean, 6) mean, round(std, 6) std, round(min, 9) min,"
+        " round(q25, 9) q25, round(q50, 9) q50, round(q75, 9) q75, round(max, 9) max from ("
+        + " union all ".join(
+            f"select property_type, '{c}' \"column\", count({c}) count, avg({c}) mean, stddev_samp({c}) std, min({c}) min,"
+            f" quantile_cont({c}, 0.25) q25, quantile_cont({c}, 0.5) q50, quantile_cont({c}, 0.75) q75, max({c}) max"
+            f" from flagged group by property_type"
+            for c in _DESCRIBE_COLS
+        )
+        + ")"
+    ),
+)
+def describe_scores_query(spark, sf):
+    d = stats.describe_scores(flagged_query(spark, sf), _DESCRIBE_COLS, by=["property_type"])
+    return _round_cols(_round_cols(d, ["mean", "std"], 6), ["min", "q25", "q50", "q75", "max"], 9)
+
+
+# Fixture predictions: deterministic expressions of listing columns standing in for model outputs.
+_PRED_SPARK = {
+    "pred_a": lambda: F.col(TARGET) * 0.9 + 0.05,
+    "pred_b": lambda: F.col(TARGET) * 0.8 + F.log1p(F.col("area_m2_clean")) / 20.0,
+    "pred_c": lambda: (F.col(TARGET) + F.coalesce(F.col("log1p_jeonse_to_sale_ratio_median_winsor"), F.lit(0.0))) / 2.0,
+}
+_PRED_SQL = {
+    "pred_a": f"{TARGET} * 0.9 + 0.05",
+    "pred_b": f"{TARGET} * 0.8 + ln(1 + area_m2_clean) / 20.0",
+    "pred_c": f"({TARGET} + coalesce(log1p_jeonse_to_sale_ratio_median_winsor, 0.0)) / 2.0",
+}
+_PREDS_CTE = (
+    ", preds as (select row_key, gu_code, gu_name, ym, property_type, rent_deposit_median, deposit_won, area_m2_clean,"
+    f" {TARGET} target, "
+    + ", ".join(f"{v} {k}" for k, v in _PRED_SQL.items())
+    + f" from train_domain where {TARGET} is not null)\n"
+)
+
+
+def preds_query(spark, sf) -> DataFrame:
+    tr = quality.training_rows(quality.train_domain(flagged_query(spark, sf)), TARGET)
+    return tr.select(
+        "row_key", "gu_code", "gu_name", "ym", "property_type", "rent_deposit_median", "deposit_won", "area_m2_clean",
+        F.col(TARGET).alias("target"), *[f().alias(k) for k, f in _PRED_SPARK.items()],
+    )
+
+
+@register(
+    "regression_metrics",
+    with_flagged(
+        _PREDS_CTE
+        + " union all ".join(
+            f"select property_type, '{p}' model, count(*) n, round(sqrt(avg((target - {p})^2)), 9) rmse,"
+            f" round(avg(abs(target - {p})), 9) mae,"
+            f" round(1 - sum((target - {p})^2) / sum((target - ybar)^2), 9) r2"
+            f" from (select *, avg(target) over (partition by property_type) ybar from preds) group by property_type"
+            for p in _PRED_SQL
+        )
+    ),
+)
+def regression_metrics_query(spark, sf):
+    m = stats.regression_metrics(preds_query(spark, sf), "target", list(_PRED_SPARK), by=["property_type"])
+    return _round_cols(m, ["rmse", "mae", "r2"], 9)
+
+
+@register(
+    "ratio_metrics",
+    with_flagged(
+        _PREDS_CTE
+        + "select round(sqrt(avg((exp(pred_a) - exp(target))^2)), 9) ratio_rmse,"
+        " round(avg(abs(exp(pred_a) - exp(target))), 9) ratio_mae, round(avg(exp(pred_a) - exp(target)), 9) ratio_mean_error from preds"
+    ),
+)
+def ratio_metrics_query(spark, sf):
+    return _round_cols(stats.ratio_metrics(preds_query(spark, sf), "target", "pred_a"), ["ratio_rmse", "ratio_mae", "ratio_mean_error"], 9)
+
+
+@register(
+    "robust_stats",
+    with_flagged(
+        """
+, s as (select property_type, count(deposit_per_m2_clean) n, median(deposit_per_m2_clean) median,
+        quantile_cont(deposit_per_m2_clean, 0.25) q25, quantile_cont(deposit_per_m2_clean, 0.75) q75,
+        stddev_pop(deposit_per_m2_clean) std from flagged group by property_type),
+m as (select f.property_type, median(abs(f.deposit_per_m2_clean - s.median)) mad from flagged f
+      join s on f.property_type is not distinct from s.property_type group by f.property_type)
+select s.property_type, n, round(median, 6) median, round(q25, 6) q25, round(q75, 6) q75,
+       round(case when q75 - q25 > 0 then q75 - q25 else std end, 6) iqr, round(std, 6) std, round(mad, 6) mad
+from s join m on s.property_type is not distinct from m.property_type
+"""
+    ),
+)
+def robust_stats_query(spark, sf):
+    r = stats.robust_stats(flagged_query(spark, sf), "deposit_per_m2_clean", by=["property_type"])
+    return _round_cols(r, ["median", "q25", "q75", "iqr", "std", "mad"], 6)
+
+
+@register(
+    "correlations",
+    with_flagged(
+        _PREDS_CTE
+        + """
+, r as (select (rank() over (order by target) + (count(*) over (partition by target) - 1) / 2.0) ra,
+               (rank() over (order by pred_b) + (count(*) over (partition by pred_b) - 1) / 2.0) rb from preds)
+select round((select corr(target, pred_b) from preds), 9) pearson, round(corr(ra, rb), 9) spearman from r
+"""
+    ),
+)
+def correlations_query(spark, sf):
+    c = stats.spearman(preds_query(spark, sf), "target", "pred_b", "row_key")
+    return _round_cols(c, ["pearson", "spearman"], 9)
+
+
+@register(
+    "risk_diagnostics",
+    with_flagged(
+        _PREDS_CTE
+        + """
+, t as (select quantile_cont(pred_c, 0.25) q25, quantile_cont(pred_c, 0.75) q75 from preds)
+select count(*) filter (where pred_c <= q25) low_n, count(*) filter (where pred_c >= q75) high_n,
+"""
+        + ",\n".join(
+            f"round(avg(target - {p}) filter (where pred_c <= q25), 9) low_mean_residual_{p},"
+            f" round(avg(abs(target - {p})) filter (where pred_c <= q25), 9) low_mean_abs_residual_{p},"
+            f" round(avg(target - {p}) filter (where pred_c >= q75), 9) high_mean_residual_{p},"
+            f" round(avg(abs(target - {p})) filter (where pred_c >= q75), 9) high_mean_abs_residual_{p}"
+            for p in ("pred_a", "pred_b")
+        )
+        + " from preds, t"
+    ),
+)
+def risk_diagnostics_query(spark, sf):
+    d = stats.risk_diagnostics(preds_query(spark, sf), "pred_c", "target", ["pred_a", "pred_b"])
+    return _round_cols(d, [c for c in d.columns if c not in ("low_n", "high_n")], 9)
+
+
+@register(
+    "clipped_histogram",
+    with_flagged(
+        """
+, t as (select quantile_cont(deposit_per_m2_clean, 0.01) lo, quantile_cont(deposit_per_m2_clean, 0.99) hi from flagged),
+hb as (select case when (hi - lo) / 60 > 0 then cast(least(floor((least(greatest(deposit_per_m2_clean, lo), hi) - lo) / ((hi - lo) / 60)), 59) as integer) else 0 end bin
+      from flagged, t where deposit_per_m2_clean is not null)
+select bin, round(lo + bin * (hi - lo) / 60, 6) lo, round(lo + (bin + 1) * (hi - lo) / 60, 6) hi, count(*) count
+from hb, t group by bin, t.lo, t.hi
+"""
+    ),
+)
+def clipped_histogram_query(spark, sf):
+    h = stats.clipped_histogram(flagged_query(spark, sf), "deposit_per_m2_clean", 0.01, 60)
+    return _round_cols(h, ["lo", "hi"], 6)
+
+
+@register(
+    "pct_rank_avg",
+    with_flagged(
+        """
+select row_key, round(case when lh_vs_sale_median_ratio_winsor is null then 0.0 else
+  (rank() over (order by lh_vs_sale_median_ratio_winsor) + (count(*) over (partition by lh_vs_sale_median_ratio_winsor) - 1) / 2.0)
+  / count(lh_vs_sale_median_ratio_winsor) over () end, 12) pct
+from flagged
+"""
+    ),
+)
+def pct_rank_avg_query(spark, sf):
+    r = ranks.pct_rank_avg(flagged_query(spark, sf).select("row_key", "lh_vs_sale_median_ratio_winsor"), "lh_vs_sale_median_ratio_winsor", "pct")
+    return r.select("row_key", F.round("pct", 12).alias("pct"))
+
+
+@register(
+    "ref_percentile",
+    with_flagged(
+        """
+, ref as (select deposit_per_m2_clean v from train_domain where deposit_per_m2_clean is not null)
+select o.row_key, case when (select count(*) from ref) = 0 then 0.0 when o.deposit_per_m2_clean is null then 1.0
+  else round((select count(*) from ref where ref.v <= o.deposit_per_m2_clean) / (select count(*) from ref), 12) end pct
+from ood o
+"""
+    ),
+)
+def ref_percentile_query(spark, sf):
+    fl = flagged_query(spark, sf)
+    out = ranks.ref_percentile(quality.out_of_domain(fl).select("row_key", "deposit_per_m2_clean"), "deposit_per_m2_clean",
+                               quality.train_domain(fl), "deposit_per_m2_clean", "pct")
+    return out.select("row_key", F.round("pct", 12).alias("pct"))
+
+
+@register(
+    "tail_score",
+    with_flagged(
+        """
+, ref as (select deposit_per_m2_clean v from train_domain where deposit_per_m2_clean is not null),
+t as (select quantile_cont(v, 0.85) qn, quantile_cont(v, 0.999) qh, count(*) n from ref)
+select o.row_key, round(case when o.deposit_per_m2_clean is null or t.n = 0 then 0.0
+  when t.qh <= t.qn then least(greatest(100.0 * (select count(*) from ref where ref.v <= o.deposit_per_m2_clean) / t.n, 0), 100)
+  else least(greatest((o.deposit_per_m2_clean - t.qn) / (t.qh - t.qn) * 100.0, 0), 100) end, 9) score
+from ood o, t
+"""
+    ),
+)
+def tail_score_query(spark, sf):
+    fl = flagged_query(spark, sf)
+    out = ranks.tail_score(quality.out_of_domain(fl).select("row_key", "deposit_per_m2_clean"), "deposit_per_m2_clean",
+                           quality.train_domain(fl), "deposit_per_m2_clean", "score")
+    return out.select("row_key", F.round("score", 9).alias("score"))
+
+
+@register(
+    "topk_capture",
+    with_flagged(
+        _PREDS_CTE
+        + """
+, r as (select row_number() over (order by target desc, row_key) ry, row_number() over (order by pred_b desc, row_key) rr,
+               count(*) over () n from preds)
+select round(count(*) filter (where ry <= ceil(n * 0.1) and rr <= ceil(n * 0.1)) / max(ceil(n * 0.1)), 12) top_10pct_capture,
+       round(count(*) filter (where ry <= ceil(n * 0.2) and rr <= ceil(n * 0.2)) / max(ceil(n * 0.2)), 12) top_20pct_capture
+from r
+"""
+    ),
+)
+def topk_capture_query(spark, sf):
+    c = ranks.topk_capture(preds_query(spark, sf), "target", "pred_b", "row_key")
+    return _round_cols(c, ["top_10pct_capture", "top_20pct_capture"], 12)

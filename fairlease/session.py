@@ -51,3 +51,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+
+
+def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
+    """Stage boundary for a table that several downstream operators re-read.
+
+    ``checkpoint``: reliable checkpoint into the shared ``spark.checkpoint.dir``
+    (lineage cut, survives executor loss); ``persist``: memory+disk cache, recomputed
+    from lineage if blocks are lost; ``auto``: checkpoint when the session names a
+    checkpoint folder, else persist (local runs and tests).
+    """
+    from pyspark import StorageLevel
+
+    if mode == "auto":
+        spark = df.sparkSession
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        mode = "checkpoint" if named else "persist"
+    if mode == "checkpoint":
+        return cut_lineage(df)
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode == "none":
+        return df
+    raise ValueError(f"unknown materialize mode {mode!r}")
