@@ -549,3 +549,173 @@ from r
 def topk_capture_query(spark, sf):
     c = ranks.topk_capture(preds_query(spark, sf), "target", "pred_b", "row_key")
     return _round_cols(c, ["top_10pct_capture", "top_20pct_capture"], 12)
+
+
+# ---------------------------------------------------------------- phase 4/5: splits, baselines, scoreboard
+from fairlease.operators import splits  # noqa: E402
+from fairlease.session import materialize  # noqa: E402
+
+_SPLIT_CTE = """
+, grp as (select distinct gu_code, ym, property_type, substr(ym, 1, 4) _year from preds),
+g as (select *, row_number() over (partition by _year order by md5(concat_ws('|', '42', coalesce(gu_code, '__MISSING__'),
+        coalesce(ym, '__MISSING__'), coalesce(property_type, '__MISSING__'), coalesce(_year, '__MISSING__')))) rn,
+        count(*) over (partition by _year) n from grp),
+c as (select *, floor(n * 0.7::double) ntr0, floor(n * 0.15::double) nva0 from g),
+d as (select *, case when n >= 3 and ntr0 = 0 then 1 else ntr0 end ntr1, case when n >= 3 and nva0 = 0 then 1 else nva0 end nva from c),
+e as (select *, case when n >= 3 and n - ntr1 - nva = 0 then greatest(1, ntr1 - 1) else ntr1 end ntr from d),
+sm as (select gu_code, ym, property_type, _year,
+       case when rn <= ntr then 'train' when rn <= ntr + nva then 'valid' else 'test' end split from e),
+sp as (select p.*, sm.split from preds p join sm on p.gu_code is not distinct from sm.gu_code
+       and p.ym is not distinct from sm.ym and p.property_type is not distinct from sm.property_type)
+"""
+
+
+def split_preds(spark, sf) -> DataFrame:
+    """Fixture predictions with a year-stratified group split label (materialised: read by every consumer)."""
+    labelled, _ = splits.group_split(preds_query(spark, sf))
+    return materialize(labelled)
+
+
+@register("group_split", with_flagged(_PREDS_CTE + _SPLIT_CTE + "select row_key, split from sp"))
+def group_split_query(spark, sf):
+    return split_preds(spark, sf).select("row_key", "split")
+
+
+@register(
+    "group_split_report",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + "select _year \"year\", count(*) groups, count(*) filter (where split = 'train') train_groups,"
+        " count(*) filter (where split = 'valid') valid_groups, count(*) filter (where split = 'test') test_groups"
+        " from sm group by _year"
+    ),
+)
+def group_split_report_query(spark, sf):
+    _, report = splits.group_split(preds_query(spark, sf))
+    return report
+
+
+@register(
+    "month_folds",
+    with_flagged(_PREDS_CTE + "select ym, ntile(5) over (order by ym) - 1 fold from (select distinct ym from preds where ym is not null)"),
+)
+def month_folds_query(spark, sf):
+    return splits.month_folds(preds_query(spark, sf), 5)
+
+
+@register(
+    "sample_per_group",
+    with_flagged(
+        "select row_key, property_type from (select row_key, property_type, row_number() over (partition by property_type"
+        " order by md5(concat_ws('|', '42', coalesce(row_key, '__MISSING__')))) rn from flagged) where rn <= 350"
+    ),
+)
+def sample_per_group_query(spark, sf):
+    return splits.sample_per_group(flagged_query(spark, sf), "property_type", 350, 42).select("row_key", "property_type")
+
+
+@register(
+    "union_distinct",
+    with_binding("select distinct gu_code, ym, property_type from (select gu_code, ym, property_type from leases"
+                 " union all select gu_code, ym, property_type from sales)"),
+)
+def union_distinct_query(spark, sf):
+    a = binding.leases(spark, sf).select("gu_code", "ym", "property_type")
+    b = binding.sales(spark, sf).select("gu_code", "ym", "property_type")
+    return a.unionByName(b).distinct()
+
+
+@register(
+    "median_baseline",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + """
+, gm as (select median(target) v from sp where split = 'train'),
+grpm as (select gu_code, property_type, median(target) v from sp where split = 'train' group by all)
+select s.row_key, s.split, round(gm.v, 12) pred_global_median, round(coalesce(grpm.v, gm.v), 12) pred_gu_property_median
+from sp s cross join gm left join grpm on s.gu_code is not distinct from grpm.gu_code
+  and s.property_type is not distinct from grpm.property_type
+where s.split in ('valid', 'test')
+"""
+    ),
+)
+def median_baseline_query(spark, sf):
+    sp = split_preds(spark, sf)
+    model = lookup.MedianBaseline(("gu_code", "property_type"), "target").fit(sp.filter(F.col("split") == "train"))
+    out = model.transform(sp.filter(F.col("split").isin("valid", "test")))
+    return _round_cols(out.select("row_key", "split", "pred_global_median", "pred_gu_property_median"),
+                       ["pred_global_median", "pred_gu_property_median"], 12)
+
+
+_INTERVAL_SQL = with_flagged(
+    _PREDS_CTE + _SPLIT_CTE + """
+, v as (select *, abs(target - pred_a) r from sp where split = 'valid')
+select level, group_cols, key, round(q, 12) q, cnt from (
+  select 0 level, 'gu_name+property_type' group_cols, concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__')) key,
+         quantile_cont(r, 0.95) q, count(*) cnt from v group by gu_name, property_type having count(*) >= 30
+  union all select 1, 'property_type', coalesce(property_type,'__MISSING__'), quantile_cont(r, 0.95), count(*) from v
+         group by property_type having count(*) >= 30
+  union all select 2, 'gu_name', coalesce(gu_name,'__MISSING__'), quantile_cont(r, 0.95), count(*) from v
+         group by gu_name having count(*) >= 30
+  union all select 3, 'global', '', quantile_cont(r, 0.95), count(*) from v
+)
+"""
+)
+
+
+@register("interval_lookup", _INTERVAL_SQL)
+def interval_lookup_query(spark, sf):
+    v = split_preds(spark, sf).filter(F.col("split") == "valid").withColumn("abs_residual", F.abs(F.col("target") - F.col("pred_a")))
+    lk = lookup.build_interval_lookup(v, "abs_residual", alpha=0.05, min_rows=30)
+    return lk.select("level", "group_cols", F.array_join("key", "|").alias("key"), F.round("q", 12).alias("q"), "cnt")
+
+
+def _metric_batch(sp: DataFrame, models, experiment: str, stamp: str) -> DataFrame:
+    m = stats.regression_metrics(sp, "target", list(models), by=["split"])
+    return m.select(
+        F.lit(stamp).alias("updated_at"), F.lit(experiment).alias("experiment"), F.lit("default").alias("run_name"),
+        "model", "split", F.round("rmse", 9).alias("rmse"), F.round("mae", 9).alias("mae"), F.round("r2", 9).alias("r2"),
+        F.lit("target").alias("target"), F.col("n").alias("rows"),
+        F.concat(F.lit("res/"), F.lit(experiment), F.lit("/"), F.col("model")).alias("result_path"), F.lit("").alias("notes"),
+    )
+
+
+def _metric_batch_sql(models, experiment: str, stamp: str, where: str = "") -> str:
+    return " union all ".join(
+        f"select '{stamp}' updated_at, '{experiment}' experiment, 'default' run_name, '{p}' model, split,"
+        f" round(sqrt(avg((target - {p})^2)), 9) rmse, round(avg(abs(target - {p})), 9) mae,"
+        f" round(1 - sum((target - {p})^2) / sum((target - ybar)^2), 9) r2, 'target' target, count(*) \"rows\","
+        f" 'res/{experiment}/{p}' result_path, '' notes"
+        f" from (select *, avg(target) over (partition by split) ybar from sp {where}) group by split"
+        for p in models
+    )
+
+
+@register(
+    "upsert_scores",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE
+        + ", old as (" + _metric_batch_sql(("pred_a", "pred_b"), "fixture", "2026-01-01T00:00:00") + "),"
+        + " new as (" + _metric_batch_sql(("pred_b", "pred_c"), "fixture", "2026-01-02T00:00:00",
+                                          "where property_type = 'apt'") + "),"
+        + """ allr as (select *, 0 b from old union all select *, 1 b from new where split = 'test')
+select * exclude (rn, b) from (select *, row_number() over (partition by experiment, run_name, model, split, target order by b desc) rn
+from allr) where rn = 1
+"""
+    ),
+)
+def upsert_scores_query(spark, sf):
+    sp = split_preds(spark, sf)
+    old = _metric_batch(sp, ("pred_a", "pred_b"), "fixture", "2026-01-01T00:00:00")
+    new = _metric_batch(sp.filter(F.col("property_type") == "apt"), ("pred_b", "pred_c"), "fixture", "2026-01-02T00:00:00")
+    return splits.upsert_scores(old, new)
+
+
+@register(
+    "best_run",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + ", s as (" + _metric_batch_sql(("pred_a", "pred_b", "pred_c"), "fixture", "2026-01-01T00:00:00")
+        + ") select * from s where split = 'test' order by rmse, mae, r2 desc limit 1"
+    ),
+)
+def best_run_query(spark, sf):
+    sp = split_preds(spark, sf)
+    return splits.best_run(_metric_batch(sp, ("pred_a", "pred_b", "pred_c"), "fixture", "2026-01-01T00:00:00"), "fixture")
