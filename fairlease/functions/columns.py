@@ -126,8 +126,10 @@ def in_period(df: DataFrame, start: str, end: str, ym: str = "ym") -> DataFrame:
 
 
 # B9 ---------------------------------------------------------------------------
-def scale_amount(col: str | Column, unit: float = 10_000.0) -> Column:
-    return _c(col) * F.lit(unit)
+def scale_amount(col: str | Column, unit: float = 10_000.0, digits: int = 6) -> Column:
+    """Unit scaling (10,000-won units -> won).  Parsed decimals such as 8703.648 are not exact
+    in binary, so the product is rounded to ``digits`` places to drop the representation noise."""
+    return F.round(_c(col) * F.lit(unit), digits)
 
 
 # B10 --------------------------------------------------------------------------

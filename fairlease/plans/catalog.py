@@ -719,3 +719,239 @@ def upsert_scores_query(spark, sf):
 def best_run_query(spark, sf):
     sp = split_preds(spark, sf)
     return splits.best_run(_metric_batch(sp, ("pred_a", "pred_b", "pred_c"), "fixture", "2026-01-01T00:00:00"), "fixture")
+
+
+# ---------------------------------------------------------------- phase 2: sources, cleaning, scalar functions
+import uuid  # noqa: E402
+
+from fairlease.functions import columns as C  # noqa: E402
+from fairlease.operators import clean  # noqa: E402
+from fairlease.sources import io  # noqa: E402
+
+
+def _regions(spark, sf) -> DataFrame:
+    """Region dimension from the nation table (code = zero-padded key, name = nation name)."""
+    return spark.read.parquet(f"{sf}/nation.parquet").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("gu_code"), F.col("n_name").alias("gu_name")
+    )
+
+
+_ITEM_TAGS = ("sggCd", "dealYear", "dealMonth", "dealDay", "deposit", "monthlyRent", "excluUseAr", "rowKey")
+
+
+def lease_payloads(spark, sf) -> DataFrame:
+    """API-style XML pages built from the bound leases: one payload per (region, month, type, page),
+    at most ~1000 items per page (page = hash of the row key over ceil(count / 1000) pages)."""
+    les = binding.leases(spark, sf)
+    item = F.concat(
+        F.lit("<item><sggCd>"), F.col("gu_code"), F.lit("</sggCd><dealYear>"), F.year("contract_date").cast("string"),
+        F.lit("</dealYear><dealMonth>"), F.month("contract_date").cast("string"), F.lit("</dealMonth><dealDay>"),
+        F.dayofmonth("contract_date").cast("string"), F.lit("</dealDay><deposit> "), F.format_number(F.col("deposit_won") / 10000, 4),
+        F.lit(" </deposit><monthlyRent>"), F.format_number(F.col("monthly_rent_won") / 10000, 4),
+        F.lit("</monthlyRent><excluUseAr>"), F.col("area_m2").cast("string"), F.lit("</excluUseAr><rowKey>"), F.col("row_key"),
+        F.lit("</rowKey></item>"),
+    )
+    keys = ["gu_code", "ym", "property_type"]
+    counts = les.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_count"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total_count") / io.PAGE_ROWS))
+    paged = les.join(counts, keys).withColumn("page_no", F.pmod(F.xxhash64("row_key"), pages) + 1)
+    grouped = paged.groupBy(*keys, "page_no", "total_count").agg(F.concat_ws("", F.collect_list(item)).alias("items"))
+    payload = F.concat(
+        F.lit("<response><header><resultCode>000</resultCode><resultMsg>OK</resultMsg></header><body><items>"),
+        F.col("items"), F.lit("</items><totalCount>"), F.col("total_count").cast("string"), F.lit("</totalCount></body></response>"),
+    )
+    return grouped.select(
+        F.concat(F.lit("rent_"), F.col("property_type")).alias("source_api"), F.col("gu_code").alias("request_gu_code"),
+        F.regexp_replace("ym", "-", "").alias("request_deal_ymd"), "property_type", "page_no", payload.alias("payload"),
+    )
+
+
+_LEASE_CHECK_SQL = with_binding(
+    "select row_key, gu_code, gu_name, ym, contract_date, property_type, round(deposit_won, 2) deposit_won,"
+    " round(monthly_rent_won, 2) monthly_rent_won, area_m2, rent_type, round(deposit_per_m2, 4) deposit_per_m2 from leases"
+)
+
+
+def _lease_check(df: DataFrame) -> DataFrame:
+    return df.select(
+        "row_key", "gu_code", "gu_name", "ym", "contract_date", "property_type", F.round("deposit_won", 2).alias("deposit_won"),
+        F.round("monthly_rent_won", 2).alias("monthly_rent_won"), "area_m2", "rent_type",
+        F.round("deposit_per_m2", 4).alias("deposit_per_m2"),
+    )
+
+
+@register("xml_parse_clean_leases", _LEASE_CHECK_SQL)
+def xml_parse_clean_leases(spark, sf):
+    """A4 + B14: parse API XML pages to rows, stamp the request, clean to typed leases."""
+    keep = ("source_api", "request_gu_code", "request_deal_ymd", "property_type")
+    rows, _errors = io.parse_trade_xml(lease_payloads(spark, sf), "payload", keep)
+    raw = io.item_columns(rows, _ITEM_TAGS, keep).withColumnRenamed("rowKey", "row_key")
+    return _lease_check(clean.clean_leases(raw, _regions(spark, sf), binding.START_YM, binding.END_YM))
+
+
+@register("xml_payload_errors", "select 'none' result_code where false")
+def xml_payload_errors(spark, sf):
+    """A4 error routing: every fixture payload has an OK code, so the error frame is empty."""
+    _rows, errors = io.parse_trade_xml(lease_payloads(spark, sf), "payload", ("source_api",))
+    return errors.select("result_code")
+
+
+@register("csv_families_roundtrip", _LEASE_CHECK_SQL)
+def csv_families_roundtrip(spark, sf):
+    """A9 write + A2 read: two CSV families with different headers (area tag differs), aligned by name."""
+    les = binding.leases(spark, sf)
+    base = io.shared_path(spark, "raw", uuid.uuid4().hex)
+    common = [
+        F.col("gu_code").alias("sggCd"), F.year("contract_date").alias("dealYear"), F.month("contract_date").alias("dealMonth"),
+        F.dayofmonth("contract_date").alias("dealDay"), (F.col("deposit_won") / 10000).alias("deposit"),
+        (F.col("monthly_rent_won") / 10000).alias("monthlyRent"), "property_type", F.col("row_key").alias("rowKey"),
+    ]
+    apt_like = F.col("property_type").isin("apt", "officetel")
+    io.write_table(les.filter(apt_like).select(*common, F.col("area_m2").alias("excluUseAr")), f"{base}/rent_a.csv", fmt="csv")
+    io.write_table(
+        les.filter(~apt_like | F.col("property_type").isNull()).select(*common, F.col("area_m2").alias("totalFloorAr"), F.lit("2y").alias("contractTerm")),
+        f"{base}/rent_b.csv", fmt="csv",
+    )
+    raw = io.read_raw_trades(spark, base, "rent").withColumnRenamed("rowKey", "row_key")
+    return _lease_check(clean.clean_leases(raw, _regions(spark, sf), binding.START_YM, binding.END_YM))
+
+
+_MANIFEST_SQL = with_binding(
+    """
+, cat(source_api, trade_type, property_type) as (values ('rent_apt','rent','apt'), ('rent_rh','rent','rh'),
+  ('rent_officetel','rent','officetel'), ('rent_detached','rent','detached'), ('sale_apt','sale','apt'), ('sale_rh','sale','rh'),
+  ('sale_officetel','sale','officetel'), ('sale_detached','sale','detached')),
+months as (select strftime(m, '%Y%m') deal_ymd from range(date '1996-01-01', date '2000-01-01', interval 1 month) t(m)),
+regs as (select lpad(cast(n_nationkey as varchar), 5, '0') gu_code from nation),
+man as (select * from cat, regs, months),
+tot as (select trade_type, property_type, gu_code, replace(ym, '-', '') deal_ymd, count(*) total_count from (
+          select 'rent' trade_type, property_type, gu_code, ym from leases union all
+          select 'sale', property_type, gu_code, ym from sales) group by all),
+pages as (select man.source_api, man.gu_code, man.deal_ymd, coalesce(tot.total_count, 0) total_count,
+          cast(greatest(1, ceil(coalesce(tot.total_count, 0) / 1000)) as bigint) n_pages from man left join tot
+          on man.trade_type = tot.trade_type and man.property_type = tot.property_type and man.gu_code = tot.gu_code
+          and man.deal_ymd = tot.deal_ymd)
+"""
+)
+
+
+def manifest_pages(spark, sf) -> DataFrame:
+    man = io.collection_manifest(_regions(spark, sf), binding.START_YM, binding.END_YM)
+    tot = (
+        binding.leases(spark, sf).select(F.lit("rent").alias("trade_type"), "property_type", "gu_code", "ym")
+        .unionByName(binding.sales(spark, sf).select(F.lit("sale").alias("trade_type"), "property_type", "gu_code", "ym"))
+        .groupBy("trade_type", "property_type", "gu_code", F.regexp_replace("ym", "-", "").alias("deal_ymd"))
+        .agg(F.count(F.lit(1)).alias("total_count"))
+    )
+    j = man.join(tot, ["trade_type", "property_type", "gu_code", "deal_ymd"], "left").withColumn(
+        "total_count", F.coalesce("total_count", F.lit(0))
+    )
+    return io.expand_pages(j, "total_count")
+
+
+@register(
+    "collection_manifest_pages",
+    _MANIFEST_SQL + " select source_api, gu_code, deal_ymd, total_count, p page_no from pages, generate_series(1, n_pages) s(p)",
+)
+def collection_manifest_pages(spark, sf):
+    return manifest_pages(spark, sf).select("source_api", "gu_code", "deal_ymd", "total_count", "page_no")
+
+
+@register(
+    "pending_requests",
+    _MANIFEST_SQL + """
+, have as (select distinct 'rent_' || property_type source_api, gu_code, replace(ym, '-', '') deal_ymd from leases)
+select m.source_api, m.gu_code, m.deal_ymd from man m
+where not exists (select 1 from have h where h.source_api = m.source_api and h.gu_code = m.gu_code and h.deal_ymd = m.deal_ymd)
+""",
+)
+def pending_requests(spark, sf):
+    """Requests whose output already exists (parsed lease pages) are skipped."""
+    man = io.collection_manifest(_regions(spark, sf), binding.START_YM, binding.END_YM)
+    keep = ("source_api", "request_gu_code", "request_deal_ymd")
+    rows, _ = io.parse_trade_xml(lease_payloads(spark, sf), "payload", keep)
+    have = rows.select("source_api", F.col("request_gu_code").alias("gu_code"), F.col("request_deal_ymd").alias("deal_ymd"))
+    return io.pending(man, have, ["source_api", "gu_code", "deal_ymd"]).select("source_api", "gu_code", "deal_ymd")
+
+
+@register(
+    "stamp_provenance",
+    _MANIFEST_SQL + " select m.source_api, m.trade_type, m.property_type, m.gu_code request_gu_code, m.deal_ymd request_deal_ymd from man m",
+)
+def stamp_provenance_query(spark, sf):
+    """A5: catalogue attributes joined onto requests by API name (broadcast catalogue)."""
+    man = io.collection_manifest(_regions(spark, sf), binding.START_YM, binding.END_YM).select("source_api", "gu_code", "deal_ymd")
+    out = io.stamp_provenance(man, region_col="gu_code", month_col="deal_ymd")
+    return out.select("source_api", "trade_type", "property_type", "request_gu_code", "request_deal_ymd")
+
+
+_SCALAR_SQL = with_binding(
+    """
+, s as (
+  select row_key,
+    case when household_size is null then '경기도 성남시 ' else '서울특별시 강남구 ' end || gu_name address,
+    replace(format('{:,.2f}', deposit_won), ' ', '') num_text,
+    year(contract_date) y, month(contract_date) m, day(contract_date) + case when household_size is null then 20 else 0 end d,
+    * exclude (row_key)
+  from listings
+)
+select row_key,
+  try_cast(nullif(trim(replace(num_text, ',', '')), '') as double) parsed_deposit,
+  nullif(regexp_extract(address, '서울특별시\\s+([가-힣]+구)', 1), '') region,
+  case when d <= day(last_day(make_date(y, m, 1))) then make_date(y, m, d) end assembled_date,
+  strftime(contract_date, '%Y-%m') month_key, substr(ym, 1, 4) year_of_month,
+  support_won / nullif(tenant_deposit_won, 0) support_to_tenant,
+  case when coalesce(monthly_rent_won, 0) = 0 then 'jeonse' else 'monthly' end lease_kind,
+  concat_ws('__', coalesce(gu_name, '__MISSING__'), coalesce(property_type, '__MISSING__')) gu_property,
+  concat_ws('__', coalesce(property_type, '__MISSING__'), coalesce(ym, '__MISSING__')) property_ym,
+  concat_ws('__', coalesce(housing_type, '__MISSING__'), coalesce(ym, '__MISSING__')) housing_type_ym,
+  round(ln(1 + greatest(tenant_deposit_won / 1e6 - 1, 0)), 9) log_tenant,
+  coalesce(cast(room_count as varchar), '__MISSING__') room_key,
+  case when area_m2 / 4 >= 80 then '매우 높음' when area_m2 / 4 >= 60 then '높음' when area_m2 / 4 >= 40 then '보통'
+       when area_m2 / 4 >= 20 then '낮음' else '매우 낮음' end grade,
+  case when area_m2 / 4 >= 80 then 'high_risk' when area_m2 / 4 >= 60 then 'caution' when area_m2 / 4 >= 40 then 'monitor'
+       else 'low' end risk_label_training,
+  case when area_m2 / 4 >= 80 then 'high_risk' when area_m2 / 4 >= 60 then 'caution' when area_m2 / 4 >= 40 then 'fair'
+       else 'safe' end risk_label_scoring,
+  case when property_type in ('apt','rh','officetel','detached') then 0 else 75 end model_scope_score,
+  case when property_type in ('apt','rh','officetel','detached') then 'in_domain' else 'out_of_domain' end model_scope_status,
+  case when area_m2 is null then null else least(greatest(area_m2, 5.0), 150.0) end area_clipped
+from s
+"""
+)
+
+
+@register("scalar_functions", _SCALAR_SQL)
+def scalar_functions(spark, sf):
+    """B1, B3, B6, B7, B10, B12, B16-B20, B23 on every listing."""
+    df = binding.listings(spark, sf)
+    df = df.withColumns(
+        {
+            "address": F.concat(
+                F.when(F.col("household_size").isNull(), F.lit("경기도 성남시 ")).otherwise(F.lit("서울특별시 강남구 ")), F.col("gu_name")
+            ),
+            "num_text": F.format_number("deposit_won", 2),
+            "_d": F.dayofmonth("contract_date") + F.when(F.col("household_size").isNull(), 20).otherwise(0),
+        }
+    )
+    df = C.add_combo_features(df)
+    score = F.col("area_m2") / 4
+    df = C.model_scope(df)
+    return df.select(
+        "row_key",
+        C.to_number("num_text").alias("parsed_deposit"),
+        C.extract_region("address").alias("region"),
+        C.assemble_date(F.year("contract_date"), F.month("contract_date"), F.col("_d")).alias("assembled_date"),
+        C.month_key("contract_date").alias("month_key"),
+        C.year_of_month("ym").alias("year_of_month"),
+        C.safe_ratio("support_won", "tenant_deposit_won").alias("support_to_tenant"),
+        C.lease_kind("monthly_rent_won").alias("lease_kind"),
+        "gu_property", "property_ym", "housing_type_ym",
+        F.round(C.log1p_clipped(F.col("tenant_deposit_won") / 1e6 - 1), 9).alias("log_tenant"),
+        C.norm_key("room_count").alias("room_key"),
+        C.band(score, C.GRADE_BANDS).alias("grade"),
+        C.band(score, C.RISK_BANDS_TRAINING).alias("risk_label_training"),
+        C.band(score, C.RISK_BANDS_SCORING).alias("risk_label_scoring"),
+        "model_scope_score", "model_scope_status",
+        C.clip("area_m2", 5, 150).alias("area_clipped"),
+    )
