@@ -152,6 +152,7 @@ def lease_market_medians_hot_path(spark, sf):
 from fairlease.operators import lookup, quality, ranks, stats  # noqa: E402
 from fairlease.plans import preprocess as pp  # noqa: E402
 from fairlease.plans.fixture_sql import with_flagged  # noqa: E402
+from fairlease.session import materialize  # noqa: E402
 
 TARGET = quality.TARGET
 
@@ -160,11 +161,20 @@ def _sources(spark, sf):
     return binding.listings(spark, sf), binding.leases(spark, sf), binding.sales(spark, sf)
 
 
-def flagged_query(spark, sf) -> DataFrame:
-    """The flagged table feeds several statistics in one query: keep it once (memory, spill to disk)."""
-    from pyspark import StorageLevel
+_SHARED: dict = {}
+
+
+def _shared(name: str, spark, sf, build):
+    """One materialised copy of a shared intermediate per (session, data folder)."""
+    key = (name, id(spark), sf)
+    if key not in _SHARED:
+        _SHARED[key] = materialize(build())
+    return _SHARED[key]
 
-    return pp.flagged_dataset(*_sources(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+
+def flagged_query(spark, sf) -> DataFrame:
+    """The flagged table feeds several statistics: built and materialised once per session and folder."""
+    return _shared("flagged", spark, sf, lambda: pp.flagged_dataset(*_sources(spark, sf)))
 
 
 _FLAGS = ["is_in_domain_property_type"] + list(quality.FLAG_COLUMNS)
@@ -572,8 +582,7 @@ sp as (select p.*, sm.split from preds p join sm on p.gu_code is not distinct fr
 
 def split_preds(spark, sf) -> DataFrame:
     """Fixture predictions with a year-stratified group split label (materialised: read by every consumer)."""
-    labelled, _ = splits.group_split(preds_query(spark, sf))
-    return materialize(labelled)
+    return _shared("split_preds", spark, sf, lambda: splits.group_split(preds_query(spark, sf))[0])
 
 
 @register("group_split", with_flagged(_PREDS_CTE + _SPLIT_CTE + "select row_key, split from sp"))
@@ -955,3 +964,202 @@ def scalar_functions(spark, sf):
         "model_scope_score", "model_scope_status",
         C.clip("area_m2", 5, 150).alias("area_clipped"),
     )
+
+
+# ---------------------------------------------------------------- phase 5: ensembles, risk
+from fairlease.functions.columns import row_std  # noqa: E402
+from fairlease.operators import ensemble, risk  # noqa: E402
+
+
+def _split(spark, sf, name):
+    return split_preds(spark, sf).filter(F.col("split") == name)
+
+
+@register(
+    "price_risk_outputs",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + """
+, t as (select *, exp(pred_a) - 1 r from sp where split = 'test'),
+p as (select *, (rank() over (order by r) + (count(*) over (partition by r) - 1) / 2.0) / count(r) over () pct from t)
+select row_key, round(r, 12) predicted_ratio_a, round(pct, 12) predicted_ratio_percentile_a,
+  round(rent_deposit_median * r, 4) predicted_fair_deposit_won_a, round(deposit_won - rent_deposit_median * r, 4) deposit_gap_won_a,
+  round(deposit_won / nullif(rent_deposit_median * r, 0), 9) deposit_gap_ratio_a, round(100 * pct, 9) risk_judgment_index_a,
+  case when 100 * pct >= 80 then 'high_risk' when 100 * pct >= 60 then 'caution' when 100 * pct >= 40 then 'monitor' else 'low' end risk_label_a
+from p
+"""
+    ),
+)
+def price_risk_outputs(spark, sf):
+    out = risk.add_price_risk(_split(spark, sf, "test"), ["pred_a"])
+    return out.select(
+        "row_key", F.round("predicted_ratio_a", 12).alias("predicted_ratio_a"),
+        F.round("predicted_ratio_percentile_a", 12).alias("predicted_ratio_percentile_a"),
+        F.round("predicted_fair_deposit_won_a", 4).alias("predicted_fair_deposit_won_a"),
+        F.round("deposit_gap_won_a", 4).alias("deposit_gap_won_a"), F.round("deposit_gap_ratio_a", 9).alias("deposit_gap_ratio_a"),
+        F.round("risk_judgment_index_a", 9).alias("risk_judgment_index_a"), "risk_label_a",
+    )
+
+
+_STD_SQL = "sqrt(((pred_a - (pred_a + pred_b + pred_c) / 3) ^ 2 + (pred_b - (pred_a + pred_b + pred_c) / 3) ^ 2 + (pred_c - (pred_a + pred_b + pred_c) / 3) ^ 2) / 2)"
+_DISAGREE_CTE = f"""
+, vd as (select {_STD_SQL} d from sp where split = 'valid'),
+td as (select row_key, {_STD_SQL} d from sp where split = 'test')
+"""
+
+
+@register(
+    "model_disagreement",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + _DISAGREE_CTE + """
+select row_key, round(d, 12) model_disagreement_score,
+  round(case when (select count(*) from vd where d is not null) = 0 then 0.0 when d is null then 1.0
+        else (select count(*) from vd where vd.d <= td.d) / (select count(*) from vd where d is not null) end, 12) model_disagreement_percentile
+from td
+"""
+    ),
+)
+def model_disagreement_query(spark, sf):
+    out = risk.model_disagreement(_split(spark, sf, "valid"), _split(spark, sf, "test"), ["pred_a", "pred_b", "pred_c"])
+    return out.select("row_key", F.round("model_disagreement_score", 12).alias("model_disagreement_score"),
+                      F.round("model_disagreement_percentile", 12).alias("model_disagreement_percentile"))
+
+
+_UNSUP_CTE = """
+, uv as (select * from sp where split = 'valid'), ut as (select * from sp where split = 'test'),
+st as (select median(area_m2_clean) ca, case when quantile_cont(area_m2_clean, 0.75) - quantile_cont(area_m2_clean, 0.25) > 1e-9
+         then quantile_cont(area_m2_clean, 0.75) - quantile_cont(area_m2_clean, 0.25) else stddev_pop(area_m2_clean) + 1e-9 end sa,
+         median(pred_c) cc, case when quantile_cont(pred_c, 0.75) - quantile_cont(pred_c, 0.25) > 1e-9
+         then quantile_cont(pred_c, 0.75) - quantile_cont(pred_c, 0.25) else stddev_pop(pred_c) + 1e-9 end sc from uv),
+zv as (select uv.*, coalesce((area_m2_clean - ca) / sa, 0) + coalesce((pred_c - cc) / sc, 0) s from uv, st),
+zt as (select ut.*, coalesce((area_m2_clean - ca) / sa, 0) + coalesce((pred_c - cc) / sc, 0) s from ut, st),
+fs as (select median(s) c, case when quantile_cont(s, 0.75) - quantile_cont(s, 0.25) > 1e-9 then quantile_cont(s, 0.75) - quantile_cont(s, 0.25)
+         else stddev_pop(s) + 1e-9 end k from zv),
+rv as (select zv.*, least(greatest((s - c) / k, -5.0), 5.0) u from zv, fs),
+rt as (select zt.*, (s - c) / k u_raw, least(greatest((s - c) / k, -5.0), 5.0) u from zt, fs)
+"""
+
+
+@register(
+    "unsupervised_risk",
+    with_flagged(_PREDS_CTE + _SPLIT_CTE + _UNSUP_CTE + "select row_key, round(u_raw, 9) unsupervised_risk_score_raw, round(u, 9) unsupervised_risk_score from rt"),
+)
+def unsupervised_risk_query(spark, sf):
+    _, t = risk.unsupervised_risk(_split(spark, sf, "valid"), _split(spark, sf, "test"), ["area_m2_clean", "pred_c"])
+    return t.select("row_key", F.round("unsupervised_risk_score_raw", 9).alias("unsupervised_risk_score_raw"),
+                    F.round("unsupervised_risk_score", 9).alias("unsupervised_risk_score"))
+
+
+@register(
+    "risk_index",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + _DISAGREE_CTE + _UNSUP_CTE + """
+, vr as (select exp(pred_a) - 1 r from sp where split = 'valid'),
+k as (select t.row_key, t.deposit_won, t.rent_deposit_median, exp(t.pred_a) - 1 r,
+        (select count(*) from vd where vd.d <= td.d) / (select count(*) from vd) dp,
+        (select count(*) from rv where rv.u <= rt.u) / (select count(*) from rv) up
+      from sp t join td on t.row_key = td.row_key join rt on t.row_key = rt.row_key),
+k2 as (select *, (select count(*) from vr where vr.r <= k.r) / (select count(*) from vr) rp from k),
+k3 as (select *, 100 * (0.85 * rp + 0.15 * dp) i1, 100 * (0.60 * rp + 0.30 * up + 0.10 * dp) i2 from k2)
+select row_key, round(i1, 9) risk_judgment_index_a, round(i2, 9) risk_judgment_index_unsupervised_a,
+  case when i1 >= 80 then 'high_risk' when i1 >= 60 then 'caution' when i1 >= 40 then 'monitor' else 'low' end risk_label_a,
+  case when i2 >= 80 then 'high_risk' when i2 >= 60 then 'caution' when i2 >= 40 then 'monitor' else 'low' end risk_label_unsupervised_a,
+  round(rent_deposit_median * r, 4) predicted_fair_deposit_won_a
+from k3
+"""
+    ),
+)
+def risk_index_query(spark, sf):
+    v, t = risk.unsupervised_risk(_split(spark, sf, "valid"), _split(spark, sf, "test"), ["area_m2_clean", "pred_c"])
+    out = risk.risk_index(v, t, "pred_a", ["pred_a", "pred_b", "pred_c"])
+    return out.select(
+        "row_key", F.round("risk_judgment_index_a", 9).alias("risk_judgment_index_a"),
+        F.round("risk_judgment_index_unsupervised_a", 9).alias("risk_judgment_index_unsupervised_a"),
+        "risk_label_a", "risk_label_unsupervised_a", F.round("predicted_fair_deposit_won_a", 4).alias("predicted_fair_deposit_won_a"),
+    )
+
+
+@register(
+    "ensemble_equal",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + "select row_key, round(0.0 + pred_a * (1.0/3) + pred_b * (1.0/3) + pred_c * (1.0/3), 9) pred_ensemble_equal,"
+        " round(target - (0.0 + pred_a * (1.0/3) + pred_b * (1.0/3) + pred_c * (1.0/3)), 9) residual_ensemble_equal from sp where split = 'test'"
+    ),
+)
+def ensemble_equal_query(spark, sf):
+    t = _split(spark, sf, "test")
+    out = ensemble.add_ensembles(t, ["pred_a", "pred_b", "pred_c"], {"pred_a": 1, "pred_b": 1, "pred_c": 1})
+    return out.select("row_key", F.round("pred_ensemble_equal", 9).alias("pred_ensemble_equal"),
+                      F.round("residual_ensemble_equal", 9).alias("residual_ensemble_equal"))
+
+
+@register("simplex_weights", None)
+def simplex_weights_query(spark, sf):
+    """I9 (iterative fit, rows-only): weights fitted on valid; tests check simplex + optimality."""
+    w = ensemble.fit_simplex_weights(_split(spark, sf, "valid"), ["pred_a", "pred_b", "pred_c"])
+    return spark.createDataFrame(sorted(w.items()), "model string, weight double")
+
+
+@register("ridge_stack", None)
+def ridge_stack_query(spark, sf):
+    """I6/I7 (LOO alpha search, rows-only): ridge meta-model fit on valid, test predictions scored."""
+    out, _rep = ensemble.stack_saved(_split(spark, sf, "valid"), _split(spark, sf, "test"), ["pred_a", "pred_b", "pred_c"])
+    return out.select("row_key", "stacking_pred", "stacking_residual")
+
+
+@register(
+    "align_predictions",
+    with_flagged(_PREDS_CTE + _SPLIT_CTE + "select row_key, target, pred_a, pred_b, pred_c from sp where split = 'test'"),
+)
+def align_predictions_query(spark, sf):
+    t = _split(spark, sf, "test")
+    frames = {
+        "a": t.select("row_key", "target", "pred_a"),
+        "b": t.select("row_key", "target", F.col("pred_b").alias("b_pred")),
+        "c": ensemble.select_predictions(t, ["c"]),
+    }
+    return ensemble.align_predictions(frames).select("row_key", "target", "pred_a", "pred_b", "pred_c")
+
+
+_VAL_SQL = with_flagged(
+    _PREDS_CTE + _SPLIT_CTE + """
+, v as (select *, abs(target - pred_a) r from sp where split = 'valid'),
+l0 as (select gu_name, property_type, quantile_cont(r, 0.95) q from v group by all having count(*) >= 30),
+l1 as (select property_type, quantile_cont(r, 0.95) q from v group by all having count(*) >= 30),
+l2 as (select gu_name, quantile_cont(r, 0.95) q from v group by all having count(*) >= 30),
+gq as (select quantile_cont(r, 0.95) q from v),
+t as (select s.*, coalesce(l0.q, l1.q, l2.q, gq.q) q,
+        case when l0.q is not null then '지역+주택구분' when l1.q is not null then '주택구분' when l2.q is not null then '지역'
+             else '전체 중위값' end src
+      from sp s cross join gq
+      left join l0 on s.gu_name = l0.gu_name and s.property_type = l0.property_type
+      left join l1 on s.property_type = l1.property_type
+      left join l2 on s.gu_name = l2.gu_name where s.split = 'test'),
+u as (select *, exp(pred_a) - 1 pr, exp(pred_a - q) - 1 lo, exp(pred_a + q) - 1 hi from t),
+w as (select *, rent_deposit_median * pr fair, rent_deposit_median * hi upper from u),
+x as (select *, deposit_won / nullif(fair, 0) fr, deposit_won / nullif(upper, 0) ur from w),
+y as (select *, coalesce(case when fr is null then null else least(greatest((fr - 1.05) / 0.25 * 100, 0.0), 100.0) end, 0.0) hs,
+        coalesce(case when fr is null then null else least(greatest((0.85 - fr) / 0.30 * 100, 0.0), 100.0) end, 0.0) ls,
+        coalesce(case when ur is null then null else least(greatest((ur - 1.0) / 0.20 * 100, 0.0), 100.0) end, 0.0) us from x)
+select row_key, round(q, 12) interval_q, src interval_source, round(lo, 12) predicted_ratio_lower_95, round(hi, 12) predicted_ratio_upper_95,
+  round(rent_deposit_median * lo, 4) fair_deposit_lower_95_won, round(upper, 4) fair_deposit_upper_95_won,
+  round(hs, 9) high_price_score, round(ls, 9) low_price_score, round(greatest(hs, ls, us), 9) overprice_score
+from y
+"""
+)
+
+
+@register("interval_price_score", _VAL_SQL)
+def interval_price_score(spark, sf):
+    """E4 + D6 + K5 + K6: conformal half-width by hierarchy, 95 % bounds, over/under-price scores."""
+    v = _split(spark, sf, "valid").withColumn("abs_residual", F.abs(F.col("target") - F.col("pred_a")))
+    lk = lookup.build_interval_lookup(v, "abs_residual")
+    t = _split(spark, sf, "test")
+    t = lookup.hierarchical_lookup(t, lk, "q", "interval_q", "interval_source")
+    t = risk.price_score(risk.prediction_interval(t.withColumn("predicted_log_ratio", F.col("pred_a"))))
+    return t.select(
+        "row_key", F.round("interval_q", 12).alias("interval_q"), "interval_source",
+        F.round("predicted_ratio_lower_95", 12).alias("predicted_ratio_lower_95"), F.round("predicted_ratio_upper_95", 12).alias("predicted_ratio_upper_95"),
+        F.round("fair_deposit_lower_95_won", 4).alias("fair_deposit_lower_95_won"), F.round("fair_deposit_upper_95_won", 4).alias("fair_deposit_upper_95_won"),
+        F.round("high_price_score", 9).alias("high_price_score"), F.round("low_price_score", 9).alias("low_price_score"),
+        F.round("overprice_score", 9).alias("overprice_score"),
+    )
