@@ -1163,3 +1163,216 @@ def interval_price_score(spark, sf):
         F.round("high_price_score", 9).alias("high_price_score"), F.round("low_price_score", 9).alias("low_price_score"),
         F.round("overprice_score", 9).alias("overprice_score"),
     )
+
+
+# ---------------------------------------------------------------- phase 4-6: encoders, learners, anomaly, valuation
+from fairlease.operators import anomaly, models  # noqa: E402
+from fairlease.plans import valuation  # noqa: E402
+
+_EMB_DIM = 64
+
+
+def _embeddings(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _label_centers(emb: DataFrame) -> list:
+    """Per-label mean vectors (k x d numbers to the driver), indexed by label value."""
+    rows = emb.groupBy("label").agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(_EMB_DIM)]).collect()
+    k = max(r["label"] for r in rows) + 1
+    centers = [[0.0] * _EMB_DIM for _ in range(k)]
+    for r in rows:
+        centers[r["label"]] = [r[f"m{i}"] for i in range(_EMB_DIM)]
+    return centers
+
+
+_EMB_CTE = f"""
+with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
+u as (select label, i, avg(v[i]) m from e, range(1, {_EMB_DIM + 1}) t(i) group by label, i),
+c as (select label, list(m order by i) cen from u group by label),
+d as (select vec_id, label, sqrt(list_sum(list_transform(range(1, {_EMB_DIM + 1}), lambda i: (e.v[i] - c.cen[i]) ^ 2))) dist
+      from e join c using (label))
+"""
+
+
+@register("centroid_distance", _EMB_CTE + "select vec_id, label, round(dist, 6) kmeans_distance from d")
+def centroid_distance_query(spark, sf):
+    emb = _embeddings(spark, sf)
+    out = anomaly.centroid_distance(emb, _label_centers(emb), "v", "label")
+    return out.select("vec_id", "label", F.round("kmeans_distance", 6).alias("kmeans_distance"))
+
+
+@register(
+    "robust_z",
+    _EMB_CTE + """
+, g as (select median(dist) gmed from d),
+gm as (select greatest(median(abs(dist - gmed)), 0.001) gmad, any_value(gmed) gmed from d, g),
+cm as (select label, median(dist) cmed, count(*) n from d group by label),
+cmad as (select d.label, median(abs(d.dist - cm.cmed)) cmad from d join cm using (label) group by d.label),
+st as (select cm.label, case when n < 30 or cmad < 0.001 then gmed else cmed end m, case when n < 30 or cmad < 0.001 then gmad else cmad end s
+       from cm join cmad using (label), gm)
+select vec_id, d.label, round((dist - m) / (1.4826 * s + 1e-9), 6) kmeans_robust_z from d join st using (label)
+""",
+)
+def robust_z_query(spark, sf):
+    emb = _embeddings(spark, sf)
+    d = anomaly.centroid_distance(emb, _label_centers(emb), "v", "label")
+    rows, _ = anomaly.robust_z(d, "label", "kmeans_distance")
+    return rows.select("vec_id", "label", F.round("kmeans_robust_z", 6).alias("kmeans_robust_z"))
+
+
+@register("merge_small_clusters", None)
+def merge_small_clusters_query(spark, sf):
+    """J4 (rows-only): labels below 55 rows join the nearest large label centroid."""
+    emb = _embeddings(spark, sf)
+    return anomaly.merge_small_clusters(emb.withColumnRenamed("label", "cluster"), _label_centers(emb), "cluster", 55)
+
+
+@register(
+    "cluster_profile",
+    with_flagged(
+        """
+, base as (select housing_type cluster_id, count(*) "rows", round(avg(area_m2_clean), 6) mean_area_m2,
+           median(rent_deposit_median) median_rent_deposit, median(area_m2_clean) median_area_m2 from flagged group by 1),
+rg as (select housing_type cluster_id, gu_name v, count(*) n from flagged group by 1, 2),
+rg3 as (select cluster_id, string_agg(v || ':' || n, ',' order by r) top_regions from (
+        select *, row_number() over (partition by cluster_id order by n desc, v asc nulls last) r from rg) where r <= 3 group by 1),
+tp as (select housing_type cluster_id, property_type v, count(*) n from flagged group by 1, 2),
+tp3 as (select cluster_id, string_agg(v || ':' || n, ',' order by r) top_types from (
+        select *, row_number() over (partition by cluster_id order by n desc, v asc nulls last) r from tp) where r <= 3 group by 1)
+select * from base join rg3 using (cluster_id) join tp3 using (cluster_id)
+"""
+    ),
+)
+def cluster_profile_query(spark, sf):
+    fl = flagged_query(spark, sf).withColumn("cluster_id", F.col("housing_type"))
+    p = anomaly.cluster_profile(fl, "cluster_id")
+    fmt = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["value"], F.lit(":"), s["n"].cast("string"))), ",")
+    return p.select(
+        "cluster_id", "rows", F.round("mean_area_m2", 6).alias("mean_area_m2"), "median_rent_deposit", "median_area_m2",
+        fmt(F.col("top_regions")).alias("top_regions"), fmt(F.col("top_types")).alias("top_types"),
+    )
+
+
+def _unsup_matrix(spark, sf) -> DataFrame:
+    def build():
+        tr = quality.train_domain(flagged_query(spark, sf))
+        u = anomaly.unsupervised_frame(tr)
+        cols = [*anomaly.UNSUP_CAT, *anomaly.UNSUP_NUM]
+        frame = models.categorical_frame(u, cols, anomaly.UNSUP_CAT, anomaly.UNSUP_NUM, keep=["row_key"])
+        return models.design_pipeline(anomaly.UNSUP_CAT, anomaly.UNSUP_NUM).fit(frame).transform(frame).select("row_key", "features")
+
+    return _shared("unsup_matrix", spark, sf, build)
+
+
+@register("design_matrix", None)
+def design_matrix_query(spark, sf):
+    """H1 (rows-only): median fill + standardise + one-hot design vectors for the train-domain rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    return _unsup_matrix(spark, sf).select("row_key", F.size(vector_to_array("features")).alias("n_features"))
+
+
+@register("kmeans_fit", None)
+def kmeans_fit_query(spark, sf):
+    """J1 (rows-only): best-of-3 k-means (k=6) on the design matrix; rows per cluster."""
+    km = anomaly.fit_kmeans(_unsup_matrix(spark, sf), 6, 3, 42)
+    return km.transform(_unsup_matrix(spark, sf)).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("isolation_forest", None)
+def isolation_forest_query(spark, sf):
+    """J5 (rows-only): 100-tree isolation forest, contamination offset; one score per row."""
+    x = _unsup_matrix(spark, sf)
+    forest = anomaly.fit_isolation_forest(x, "features", "row_key", n_trees=100)
+    return forest.score_frame(x, "features").select("row_key", "isolation_score")
+
+
+@register("reconstruction_error", None)
+def reconstruction_error_query(spark, sf):
+    """J7 (rows-only): PCA(k=3) reconstruction error of the standardised design rows."""
+    out, _ = anomaly.reconstruction_error(_unsup_matrix(spark, sf), "features", 3)
+    return out.select("row_key", "reconstruction_error")
+
+
+@register("pca_2d", None)
+def pca_2d_query(spark, sf):
+    out, _ = anomaly.pca_2d(_unsup_matrix(spark, sf), "features")
+    return out.select("row_key", "pca_x", "pca_y")
+
+
+@register("idw_projection", None)
+def idw_projection_query(spark, sf):
+    """J9 (rows-only): 12-nearest IDW position from a seeded per-cluster plot sample (≤ 350 per cluster)."""
+    from fairlease.operators.splits import sample_per_group
+
+    x = _unsup_matrix(spark, sf)
+    pc, _ = anomaly.pca_2d(x, "features")
+    km = anomaly.fit_kmeans(x, 6, 1, 42)
+    sample = sample_per_group(km.transform(pc), "cluster", 350).select("features", F.col("pca_x").alias("cluster_x"), F.col("pca_y").alias("cluster_y"))
+    rows = sample.collect()  # bounded: ≤ 350 x k points
+    import numpy as np
+
+    rx = np.array([r["features"].toArray() for r in rows])
+    rxy = np.array([[r["cluster_x"], r["cluster_y"]] for r in rows])
+    return anomaly.idw_project(x, "features", rx, rxy, 12).select("row_key", "cluster_x", "cluster_y")
+
+
+def _model_rows(spark, sf):
+    return _shared("model_rows", spark, sf, lambda: splits.group_split(valuation.training_target(flagged_query(spark, sf)))[0])
+
+
+@register("tree_models", None)
+def tree_models_query(spark, sf):
+    """I2 (rows-only): two GBT configs (early-stopped on valid) and a forest; test-split metrics."""
+    rows = _model_rows(spark, sf)
+    fr = lambda d: valuation._model_frame(d)
+    cat, num = list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM)
+    specs = {k: dict(v, **({"maxIter": 15} if v["kind"] == "gbt" else {"numTrees": 20})) for k, v in models.TREE_SPECS.items()}
+    fitted, _failed = models.train_tree_models(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num, specs)
+    preds = models.predict(fitted, fr(rows.filter("split = 'test'")))
+    return stats.regression_metrics(preds, "target", [f"pred_{n}" for n in fitted])
+
+
+@register("tune_search", None)
+def tune_search_query(spark, sf):
+    """I3 (rows-only): seeded random search, 3 trials, validation RMSE."""
+    rows = _model_rows(spark, sf)
+    fr = valuation._model_frame
+    _best, trials = models.tune(
+        fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
+        {"maxDepth": ("int", 3, 6), "stepSize": ("log", 0.03, 0.3)}, n_trials=3, base={"kind": "gbt", "maxIter": 10},
+    )
+    return trials
+
+
+@register("oof_predictions", None)
+def oof_predictions_query(spark, sf):
+    """I4 (rows-only): 3 contiguous month folds, one small GBT, out-of-fold predictions."""
+    rows = _model_rows(spark, sf).filter("split = 'train'")
+    folds = splits.month_folds(rows, 3)
+    return models.oof_predictions(valuation._model_frame(rows), folds, list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
+                                  {"gbt": {"kind": "gbt", "maxIter": 10, "maxDepth": 4}})
+
+
+@register("ordinal_encoding", None)
+def ordinal_encoding_query(spark, sf):
+    """H3 (rows-only): ordinal codes (UNKNOWN 0, MISSING 1, sorted values from 2) and scaled numerics."""
+    fl = flagged_query(spark, sf)
+    maps, st = models.fit_ordinal(fl, ["property_type", "gu_name"], ["area_m2_clean"])
+    return models.apply_ordinal(fl, maps, st, ["property_type", "gu_name"], ["area_m2_clean"]).select(
+        "row_key", "property_type_code", "gu_name_code", "area_m2_clean_scaled")
+
+
+def _artifacts(spark, sf):
+    key = ("artifacts", id(spark), sf)
+    if key not in _SHARED:
+        _SHARED[key] = valuation.fit_artifacts(_model_rows(spark, sf), k=6, restarts=2, trees=60)
+    return _SHARED[key]
+
+
+@register("value_listings", None)
+def value_listings_query(spark, sf):
+    """K9 (rows-only): every flagged listing valued against the fitted artefacts."""
+    fl = flagged_query(spark, sf)
+    return valuation.value_listings(fl, _artifacts(spark, sf)).select(*valuation.VALUATION_COLUMNS)
