@@ -14,10 +14,23 @@ from pyspark.sql import functions as F
 
 from fairlease.operators import market
 from fairlease.plans.fixture_sql import with_binding
+from fairlease.session import materialize
 from fairlease.sources import binding
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
+_SHARED: dict = {}
+
+
+def _shared(name: str, spark, sf, build):
+    """One materialised copy of a shared intermediate per (session, data folder)."""
+    key = (name, id(spark), sf)
+    if key not in _SHARED:
+        _SHARED[key] = materialize(build())
+    return _SHARED[key]
+
+
+
 
 def register(name: str, sql: str | None):
     def deco(fn):
@@ -158,18 +171,12 @@ TARGET = quality.TARGET
 
 
 def _sources(spark, sf):
-    return binding.listings(spark, sf), binding.leases(spark, sf), binding.sales(spark, sf)
-
-
-_SHARED: dict = {}
-
-
-def _shared(name: str, spark, sf, build):
-    """One materialised copy of a shared intermediate per (session, data folder)."""
-    key = (name, id(spark), sf)
-    if key not in _SHARED:
-        _SHARED[key] = materialize(build())
-    return _SHARED[key]
+    """Cleaned fact tables, materialised once (they are re-read by every market statistic)."""
+    return (
+        _shared("listings", spark, sf, lambda: binding.listings(spark, sf)),
+        _shared("leases", spark, sf, lambda: binding.leases(spark, sf)),
+        _shared("sales", spark, sf, lambda: binding.sales(spark, sf)),
+    )
 
 
 def flagged_query(spark, sf) -> DataFrame:
