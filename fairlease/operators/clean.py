@@ -103,11 +103,11 @@ def clean_sales(raw: DataFrame, regions: DataFrame, start: str = START_YM, end:
 
 
 # B13 --------------------------------------------------------------------------
-def clean_listings(raw: DataFrame, regions: DataFrame, names: dict = LISTING_COLUMNS) -> DataFrame:
+def clean_listings(raw: DataFrame, regions: DataFrame, names: dict = LISTING_COLUMNS, pattern: str = C.REGION_PATTERN) -> DataFrame:
     """Region from the address (rows without one dropped), region code by name, typed values,
     tenant share and per-m² / support ratios."""
     n = names
-    out = raw.withColumn("gu_name", C.extract_region(n["address"])).filter(F.col("gu_name").isNotNull())
+    out = raw.withColumn("gu_name", C.extract_region(n["address"], pattern)).filter(F.col("gu_name").isNotNull())
     out = out.join(F.broadcast(regions.select("gu_code", "gu_name")), "gu_name", "left")
     date = C.parse_date(F.col(n["contract_date"]))
     deposit = C.to_number(n["deposit"])

@@ -1383,3 +1383,105 @@ def value_listings_query(spark, sf):
     """K9 (rows-only): every flagged listing valued against the fitted artefacts."""
     fl = flagged_query(spark, sf)
     return valuation.value_listings(fl, _artifacts(spark, sf)).select(*valuation.VALUATION_COLUMNS)
+
+
+# ---------------------------------------------------------------- remaining sources / cleaning composites
+_SALES_SQL = with_binding(
+    "select row_key, gu_code, gu_name, ym, contract_date, property_type, round(sale_price_won, 2) sale_price_won, area_m2,"
+    " round(sale_price_per_m2, 4) sale_price_per_m2 from sales"
+)
+
+
+@register("clean_sales", _SALES_SQL)
+def clean_sales_query(spark, sf):
+    """Raw all-string sale extract (API tag names) -> typed sales."""
+    s = binding.sales(spark, sf)
+    raw = s.select(
+        F.col("gu_code").alias("sggCd"), F.year("contract_date").cast("string").alias("dealYear"),
+        F.month("contract_date").cast("string").alias("dealMonth"), F.dayofmonth("contract_date").cast("string").alias("dealDay"),
+        F.format_number(F.col("sale_price_won") / 10000, 4).alias("dealAmount"), F.col("area_m2").cast("string").alias("buildingAr"),
+        "property_type", "row_key",
+    )
+    out = clean.clean_sales(raw, _regions(spark, sf), binding.START_YM, binding.END_YM)
+    return out.select("row_key", "gu_code", "gu_name", "ym", "contract_date", "property_type", F.round("sale_price_won", 2).alias("sale_price_won"),
+                      "area_m2", F.round("sale_price_per_m2", 4).alias("sale_price_per_m2"))
+
+
+_LISTING_SQL = with_binding(
+    "select row_key, gu_code, gu_name, ym, contract_date, housing_type, room_count, area_m2, household_size, deposit_won, support_won,"
+    " round(support_ratio, 9) support_ratio from listings"
+)
+
+
+@register("clean_listings", _LISTING_SQL)
+def clean_listings_query(spark, sf):
+    """Raw listing file columns (address, date text, numbers as text) -> typed listings."""
+    lst = binding.listings(spark, sf)
+    n = clean.LISTING_COLUMNS
+    raw = lst.select(
+        F.concat(F.lit("서울특별시 "), F.col("gu_name"), F.lit(" 1-1")).alias(n["address"]),
+        F.date_format("contract_date", "yyyy-MM-dd").alias(n["contract_date"]), F.col("housing_type").alias(n["housing_type"]),
+        F.col("detail_type").alias(n["detail_type"]), F.col("room_count").cast("string").alias(n["room_count"]),
+        F.col("area_m2").cast("string").alias(n["area"]), F.col("household_size").cast("string").alias(n["household_size"]),
+        F.format_number("deposit_won", 2).alias(n["deposit"]), F.col("support_won").cast("string").alias(n["support"]),
+        F.col("monthly_rent_won").cast("string").alias(n["monthly_rent"]), "row_key",
+    )
+    out = clean.clean_listings(raw, _regions(spark, sf), pattern=r"서울특별시\s+(NATION_[0-9]+)")
+    return out.select("row_key", "gu_code", "gu_name", "ym", "contract_date", "housing_type", "room_count", "area_m2", "household_size",
+                      "deposit_won", "support_won", F.round("support_ratio", 9).alias("support_ratio"))
+
+
+@register(
+    "region_dim",
+    "select distinct substr(code, 1, 5) gu_code, gu gu_name from (select lpad(cast(n_nationkey as varchar), 5, '0') || '00000' code,"
+    " n_name gu, case when n_regionkey < 3 then '서울특별시' else '부산광역시' end sido,"
+    " case when n_regionkey = 2 then '2020-01-01' end deleted from nation) where sido = '서울특별시' and deleted is null",
+)
+def region_dim_query(spark, sf):
+    """Active districts of one province from a legal-area code table (derived from nation)."""
+    codes = spark.read.parquet(f"{sf}/nation.parquet").select(
+        F.concat(F.lpad(F.col("n_nationkey").cast("string"), 5, "0"), F.lit("00000")).alias("법정동코드"),
+        F.when(F.col("n_regionkey") < 3, "서울특별시").otherwise("부산광역시").alias("시도명"),
+        F.col("n_name").alias("시군구명"),
+        F.when(F.col("n_regionkey") == 2, F.lit("2020-01-01")).alias("삭제일자"),
+    )
+    return clean.region_dim(codes)
+
+
+@register("read_listings_jsonl", _LISTING_SQL.replace("round(support_ratio, 9) support_ratio", "round(support_ratio, 9) support_ratio"))
+def read_listings_jsonl(spark, sf):
+    """A8 + A9: listings written as JSON lines to the shared folder and read back with a schema."""
+    lst = binding.listings(spark, sf)
+    path = io.shared_path(spark, "listings", uuid.uuid4().hex + ".jsonl")
+    io.write_table(lst, path, fmt="json")
+    back = io.read_listings(spark, path, lst.schema)
+    return back.select("row_key", "gu_code", "gu_name", "ym", "contract_date", "housing_type", "room_count", "area_m2", "household_size",
+                       "deposit_won", "support_won", F.round("support_ratio", 9).alias("support_ratio"))
+
+
+@register("read_or_empty", _LEASE_CHECK_SQL)
+def read_or_empty_query(spark, sf):
+    """A3: an existing table plus a missing one (empty frame with the declared schema)."""
+    les = binding.leases(spark, sf)
+    base = io.shared_path(spark, "tables", uuid.uuid4().hex)
+    io.write_table(les, f"{base}/leases", partition_by=("ym",))
+    got = io.read_or_empty(spark, f"{base}/leases", les.select(*[c for c in les.columns if c != "ym"], "ym").schema)
+    missing = io.read_or_empty(spark, f"{base}/absent", got.schema)
+    return _lease_check(got.unionByName(missing))
+
+
+@register("write_report", _REPORT_SQL)
+def write_report_query(spark, sf):
+    """A10: the preprocessing report written as JSON and read back."""
+    lst, les, sal = _sources(spark, sf)
+    _, _, _, report = pp.preprocess(lst, les, sal)
+    path = io.shared_path(spark, "reports", uuid.uuid4().hex)
+    io.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@register("select_features", None)
+def select_features_query(spark, sf):
+    """C8 (rows-only): leakage-safe feature lists from the preprocessed schema."""
+    feats, cat, num = quality.select_features(flagged_query(spark, sf), quality.TARGET)
+    return spark.createDataFrame([(f, "categorical" if f in cat else "numeric") for f in feats], "feature string, kind string")
