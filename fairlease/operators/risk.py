@@ -27,6 +27,13 @@ UPPER_PRICE = (1.00, 0.20)  # asking / upper 95 % bound
 ANOMALY_WEIGHTS = {"kmeans": 0.55, "isolation": 0.45}
 
 
+def _with_ref_percentile(df: DataFrame, key: str, col: str, ref: DataFrame, ref_col: str, out: str, null_value: float = 1.0) -> DataFrame:
+    """``ref_percentile`` computed on a narrow (key, value) projection and joined back by key, so
+    chained percentiles do not re-run each other's plans."""
+    narrow = ref_percentile(df.select(key, col), col, ref.select(ref_col), ref_col, out, null_value).select(key, out)
+    return df.join(narrow, key, "left")
+
+
 # K1 ---------------------------------------------------------------------------
 def add_price_risk(df: DataFrame, preds: Sequence[str]) -> DataFrame:
     """Per prediction: ratio = expm1, batch percentile (average ranks), fair deposit, gap, gap ratio,
@@ -54,7 +61,7 @@ def add_price_risk(df: DataFrame, preds: Sequence[str]) -> DataFrame:
 
 
 # K2 ---------------------------------------------------------------------------
-def model_disagreement(valid: DataFrame, test: DataFrame, preds: Sequence[str]) -> DataFrame:
+def model_disagreement(valid: DataFrame, test: DataFrame, preds: Sequence[str], key: str | None = None) -> DataFrame:
     """Row std (ddof=1) across base predictions (0 with none) and its percentile against the valid rows."""
     if preds:
         valid = valid.withColumn("model_disagreement_score", row_std(preds))
@@ -62,6 +69,8 @@ def model_disagreement(valid: DataFrame, test: DataFrame, preds: Sequence[str])
     else:
         valid = valid.withColumn("model_disagreement_score", F.lit(0.0))
         test = test.withColumn("model_disagreement_score", F.lit(0.0))
+    if key is not None:
+        return _with_ref_percentile(test, key, "model_disagreement_score", valid, "model_disagreement_score", "model_disagreement_percentile")
     return ref_percentile(test, "model_disagreement_score", valid, "model_disagreement_score", "model_disagreement_percentile")
 
 
@@ -107,13 +116,16 @@ def unsupervised_risk(valid: DataFrame, test: DataFrame, cols: Sequence[str], cl
 def risk_index(valid: DataFrame, test: DataFrame, base: str, tree_preds: Sequence[str], unsup: str | None = "unsupervised_risk_score", key: str = "row_key") -> DataFrame:
     """Risk judgment index for ``base`` on the test rows: its ratio percentile vs valid blended with
     model disagreement (0.85 / 0.15) and, with an unsupervised score, 0.60 / 0.30 / 0.10."""
+    from fairlease.session import materialize
+
     s = prediction_suffix(base)
-    out = model_disagreement(valid, test, tree_preds)
+    valid = materialize(valid)
+    test = materialize(test.withColumn(f"predicted_ratio_{s}", F.expm1(base)))
+    out = model_disagreement(valid, test, tree_preds, key)
     if unsup:
-        out = ref_percentile(out, unsup, valid, unsup, "unsupervised_risk_percentile")
+        out = _with_ref_percentile(out, key, unsup, valid, unsup, "unsupervised_risk_percentile")
     vr = valid.withColumn("__ratio", F.expm1(base))
-    out = out.withColumn(f"predicted_ratio_{s}", F.expm1(base))
-    out = ref_percentile(out, f"predicted_ratio_{s}", vr, "__ratio", f"predicted_ratio_percentile_{s}")
+    out = _with_ref_percentile(out, key, f"predicted_ratio_{s}", vr, "__ratio", f"predicted_ratio_percentile_{s}")
     variants = {s: 100 * (INDEX_WEIGHTS["ratio"] * F.col(f"predicted_ratio_percentile_{s}") + INDEX_WEIGHTS["disagreement"] * F.col("model_disagreement_percentile"))}
     if unsup:
         variants[f"unsupervised_{s}"] = 100 * (
@@ -177,16 +189,20 @@ def price_score(df: DataFrame, asking: str = "deposit_won") -> DataFrame:
 
 
 # K7 ---------------------------------------------------------------------------
-def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score") -> DataFrame:
+def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score", key: str = "row_key", mode: str = "auto") -> DataFrame:
     """Percentiles and calibrated tail scores of k-means distance and isolation score against a
-    reference sample; anomaly = 0.55 k-means tail + 0.45 isolation tail, raw = mean of percentiles."""
+    reference sample; anomaly = 0.55 k-means tail + 0.45 isolation tail, raw = mean of percentiles.
+    Each score is computed on a narrow (key, value) projection and joined back."""
     from fairlease.operators.ranks import tail_score
+    from fairlease.session import materialize
 
-    out = ref_percentile(df, kmeans_col, ref, kmeans_col, "__kp", null_value=0.0)
-    out = ref_percentile(out, iso_col, ref, iso_col, "__ip", null_value=0.0)
+    df = materialize(df, mode)
+    out = _with_ref_percentile(df, key, kmeans_col, ref, kmeans_col, "__kp", null_value=0.0)
+    out = _with_ref_percentile(out, key, iso_col, ref, iso_col, "__ip", null_value=0.0)
     out = out.withColumns({"kmeans_distance_percentile": 100 * F.col("__kp"), "isolation_score_percentile": 100 * F.col("__ip")}).drop("__kp", "__ip")
-    out = tail_score(out, kmeans_col, ref, kmeans_col, "kmeans_tail_score")
-    out = tail_score(out, iso_col, ref, iso_col, "isolation_tail_score")
+    for col, name in ((kmeans_col, "kmeans_tail_score"), (iso_col, "isolation_tail_score")):
+        narrow = tail_score(df.select(key, col), col, ref.select(col), col, name).select(key, name)
+        out = out.join(narrow, key, "left")
     return out.withColumns(
         {
             "anomaly_raw_percentile": row_mean(["kmeans_distance_percentile", "isolation_score_percentile"]),

@@ -25,9 +25,11 @@ _SHARED: dict = {}
 def _shared(name: str, spark, sf, build):
     """One materialised copy of a shared intermediate per (session, data folder)."""
     key = (name, id(spark), sf)
-    if key not in _SHARED:
-        _SHARED[key] = materialize(build())
-    return _SHARED[key]
+    hit = _SHARED.get(key)
+    if hit is None or hit[0] is not spark:  # the entry keeps its session alive, so ids are not reused
+        hit = (spark, materialize(build()))
+        _SHARED[key] = hit
+    return hit[1]
 
 
 
@@ -1373,9 +1375,11 @@ def ordinal_encoding_query(spark, sf):
 
 def _artifacts(spark, sf):
     key = ("artifacts", id(spark), sf)
-    if key not in _SHARED:
-        _SHARED[key] = valuation.fit_artifacts(_model_rows(spark, sf), k=6, restarts=2, trees=60)
-    return _SHARED[key]
+    hit = _SHARED.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, valuation.fit_artifacts(_model_rows(spark, sf), k=6, restarts=2, trees=60))
+        _SHARED[key] = hit
+    return hit[1]
 
 
 @register("value_listings", None)

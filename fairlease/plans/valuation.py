@@ -71,11 +71,13 @@ def fit_artifacts(labelled: DataFrame, k: int = 6, restarts: int = 3, trees: int
     return Artifacts(model, median_lk, interval_lk, design, centers, cmap, zstats, forest, ref, meta)
 
 
-def value_listings(listings: DataFrame, art: Artifacts) -> DataFrame:
+def value_listings(listings: DataFrame, art: Artifacts, mode: str = "auto") -> DataFrame:
     """Per listing: filled lease median and source, fair deposit with 95 % band, cluster and anomaly
     scores, price scores, scope and labels (K4-K9).  Every step is per-row against static
-    artefacts, so the batch and the stream give identical rows."""
+    artefacts, so the batch and the stream give identical rows.  ``mode`` sets the stage boundaries
+    (``none`` inside a micro-batch, so nothing stays cached between batches)."""
     df = lookup.hierarchical_lookup(listings, art.median_lookup, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True)
+    df = materialize(df, mode)
     df = art.model.transform(_model_frame(df)).withColumnRenamed("prediction", "predicted_log_ratio")
     df = df.drop(*[c for c in df.columns if c.endswith("__imp") or c.endswith("__idx") or c in ("features", "__num", "__is_valid")])
     df = lookup.hierarchical_lookup(df, art.interval_lookup, "q", "interval_q", "interval_source")
@@ -88,7 +90,7 @@ def value_listings(listings: DataFrame, art: Artifacts) -> DataFrame:
     ux = ux.join(F.broadcast(art.cluster_map), ux["cluster"] == art.cluster_map["raw_cluster"], "left")
     ux = anomaly.centroid_distance(ux, art.centers, "features", "merged_cluster")
     ux = art.iforest.score_frame(ux.select("row_key", "features", "kmeans_distance", F.col("display_cluster").alias("cluster_id")), "features").drop("features")
-    ux = risk.anomaly_score(ux, art.reference)
+    ux = risk.anomaly_score(ux, art.reference, mode=mode)
     df = df.join(ux, "row_key", "left")
     df = risk.plot_coords(risk.price_score(df))
     df = model_scope(df)

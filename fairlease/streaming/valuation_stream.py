@@ -24,7 +24,7 @@ def value_stream(
     stream = reader.load(input_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = value_listings(batch, art).select(*columns)
+        out = value_listings(batch, art, mode="none").select(*columns)
         out.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
