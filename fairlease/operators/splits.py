@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlease.functions.columns import norm_key, year_of_month
-from fairlease.operators.quantiles import BROADCAST_ROWS, _null_safe_join
+from fairlease.operators.quantiles import _null_safe_join
 
 DEFAULT_GROUP_COLS = ("gu_code", "ym", "property_type")
 
@@ -70,8 +70,7 @@ def group_split(
     for k in keys:
         rows = rows.withColumn(f"_sk_{k}", F.col(k).cast("string"))
     sm = split_map.select(*[F.col(k).alias(f"_sk_{k}") for k in keys], "_year", out)
-    n_groups = sm.count()
-    sm = F.broadcast(sm) if n_groups <= BROADCAST_ROWS else sm
+    # one row per group: AQE broadcasts it when its measured size is small
     labelled = _null_safe_join(rows, sm, [f"_sk_{k}" for k in keys] + ["_year"])
     return labelled.drop(*[f"_sk_{k}" for k in keys], "_year"), report
 

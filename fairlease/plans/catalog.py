@@ -1489,3 +1489,71 @@ def select_features_query(spark, sf):
     """C8 (rows-only): leakage-safe feature lists from the preprocessed schema."""
     feats, cat, num = quality.select_features(flagged_query(spark, sf), quality.TARGET)
     return spark.createDataFrame([(f, "categorical" if f in cat else "numeric") for f in feats], "feature string, kind string")
+
+
+# ---------------------------------------------------------------- remaining model-side operators
+@register(
+    "prediction_output",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + "select gu_code, gu_name, ym, property_type, deposit_won, rent_deposit_median, target,"
+        " pred_a, round(target - pred_a, 12) residual_a, pred_b, round(target - pred_b, 12) residual_b from sp where split = 'test'"
+    ),
+)
+def prediction_output_query(spark, sf):
+    """Context columns + target + pred_<model> + residual_<model>."""
+    t = _split(spark, sf, "test")
+    out = ensemble.prediction_output(t, ["gu_code", "gu_name", "ym", "property_type", "deposit_won", "rent_deposit_median"], "target",
+                                     {"a": F.col("pred_a"), "b": F.col("pred_b")})
+    return out.withColumns({"residual_a": F.round("residual_a", 12), "residual_b": F.round("residual_b", 12)})
+
+
+@register(
+    "categorical_frame",
+    with_flagged(
+        "select row_key, coalesce(cast(gu_name as varchar), '__MISSING__') gu_name, coalesce(cast(detail_type as varchar), '__MISSING__') detail_type,"
+        " cast(null as varchar) absent_cat, area_m2_clean, room_count_clean, cast(null as double) absent_num from flagged"
+    ),
+)
+def categorical_frame_query(spark, sf):
+    """H2: categoricals as strings with __MISSING__, numerics as double, absent features as NULL."""
+    fl = flagged_query(spark, sf)
+    out = models.categorical_frame(fl, ["gu_name", "detail_type", "absent_cat", "area_m2_clean", "room_count_clean", "absent_num"],
+                                   ["gu_name", "detail_type", "absent_cat"], ["area_m2_clean", "room_count_clean", "absent_num"], keep=["row_key"])
+    return out.withColumn("absent_cat", F.when(F.col("absent_cat") != "__MISSING__", F.col("absent_cat")))
+
+
+@register("target_encoding", None)
+def target_encoding_query(spark, sf):
+    """H4 (rows-only): continuous target encoding of high-cardinality combos, fitted on train only."""
+    rows = add_combo(_model_rows(spark, sf))
+    enc = models.encode_categoricals(rows.filter("split = 'train'"), ["gu_ym", "property_ym"], "target")
+    return enc.transform(rows).select("row_key", "split", "gu_ym__te", "property_ym__te")
+
+
+def add_combo(df):
+    from fairlease.functions.columns import add_combo_features
+
+    return add_combo_features(df)
+
+
+@register("holdout_predictions", None)
+def holdout_predictions_query(spark, sf):
+    """I5 (rows-only): fit once on train, predict the validation rows with context columns."""
+    rows = _model_rows(spark, sf)
+    fr = valuation._model_frame
+    return models.holdout_predictions(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")),
+                                      list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
+                                      {"gbt": {"kind": "gbt", "maxIter": 10, "maxDepth": 4}}, context=["gu_name", "property_type", "ym"])
+
+
+@register("final_model_roundtrip", None)
+def final_model_roundtrip_query(spark, sf):
+    """I11 (rows-only): fit the final model, save model + metadata to the shared folder, load, score test."""
+    rows = _model_rows(spark, sf)
+    fr = valuation._model_frame
+    m = models.fit_model(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), list(valuation.MODEL_FEATURES_CAT),
+                         list(valuation.MODEL_FEATURES_NUM), {"kind": "gbt", "maxIter": 10, "maxDepth": 4})
+    path = io.shared_path(spark, "models", uuid.uuid4().hex)
+    models.save_model(m, path, {"features": list(valuation.MODEL_FEATURES_CAT) + list(valuation.MODEL_FEATURES_NUM), "confidence_level": 0.95})
+    loaded, meta = models.load_model(path)
+    return loaded.transform(fr(rows.filter("split = 'test'"))).select("row_key", "target", F.col("prediction").alias("pred_final"))
