@@ -25,9 +25,12 @@ def _market(df: DataFrame, keys, counts, means, medians, strategy: str) -> DataF
     if strategy == "hash":  # caller vouches that no cell is hot
         aggs += [F.percentile(c, 0.5).alias(o) for o, c in medians]
         return df.groupBy(*keys).agg(*aggs)
-    base = df.groupBy(*keys).agg(*aggs)
-    med = group_percentiles(df, keys, [(o, c, 0.5) for o, c in medians], strategy)
-    return _null_safe_join(base, med, keys)
+    from fairlease.session import materialize
+
+    # one row per cell; its row count doubles as the hot-cell check of the median pass
+    base = materialize(df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_gn")))
+    med = group_percentiles(df, keys, [(o, c, 0.5) for o, c in medians], strategy, group_sizes=base.select(*keys, "_gn"))
+    return _null_safe_join(base.drop("_gn"), med, keys)
 
 
 # E1 ---------------------------------------------------------------------------

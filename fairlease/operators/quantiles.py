@@ -51,6 +51,7 @@ def group_percentiles(
     strategy: str = "auto",
     accuracy: int = 100_000,
     hot_rows: int = HOT_GROUP_ROWS,
+    group_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group present in ``df`` with one exact percentile per spec (NULL when all values are NULL).
 
@@ -62,7 +63,9 @@ def group_percentiles(
         if not keys:
             n = df.count()
             return group_percentiles(df, keys, specs, "hash" if n <= hot_rows else "sorted")
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn")).filter(F.col("_gn") > hot_rows).select(*keys)
+        # ``group_sizes`` (keys + _gn) lets a caller that already counted rows per group skip this pass
+        sizes = group_sizes if group_sizes is not None else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+        hot = sizes.filter(F.col("_gn") > hot_rows).select(*keys)
         n_hot = hot.count()
         if n_hot == 0:
             return group_percentiles(df, keys, specs, "hash")
