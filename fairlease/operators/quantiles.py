@@ -34,9 +34,8 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     """Join on ``keys`` matching NULL to NULL (pandas ``merge`` semantics); right key copies dropped."""
     if not keys:
         return left.crossJoin(right)
-    r = right
-    for k in keys:
-        r = r.withColumnRenamed(k, f"__r_{k}")
+    keyset = set(keys)
+    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keyset else F.col(c) for c in right.columns])
     cond = None
     for k in keys:
         c = left[k].eqNullSafe(r[f"__r_{k}"])
