@@ -92,7 +92,7 @@ def month_folds(df: DataFrame, n_folds: int, ym: str = "ym") -> DataFrame:
     n = months.count()
     if n < n_folds:
         raise ValueError(f"not enough months for {n_folds} folds: {n} months")
-    return months.select(ym, (F.ntile(n_folds).over(Window.orderBy(ym)) - 1).alias("fold"))
+    return months.select(ym, (F.ntile(n_folds).over(Window.orderBy(ym)) - 1).cast("bigint").alias("fold"))
 
 
 def with_folds(df: DataFrame, n_folds: int, ym: str = "ym") -> DataFrame:

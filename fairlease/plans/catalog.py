@@ -1230,9 +1230,21 @@ def robust_z_query(spark, sf):
     return rows.select("vec_id", "label", F.round("kmeans_robust_z", 6).alias("kmeans_robust_z"))
 
 
-@register("merge_small_clusters", None)
+@register(
+    "merge_small_clusters",
+    _EMB_CTE + """
+, cnt as (select label, count(*) n from e group by label),
+large as (select label from cnt where n >= 55),
+pairs as (select s.label raw_cluster, l.label merged, sqrt(list_sum(list_transform(range(1, 65), lambda i: (s.cen[i] - c2.cen[i]) ^ 2))) dd
+          from c s join c c2 on true join large l on l.label = c2.label),
+pick as (select raw_cluster, case when raw_cluster in (select label from large) then raw_cluster
+           else arg_min(merged, dd) end merged_cluster from pairs group by raw_cluster),
+disp as (select merged_cluster, row_number() over (order by merged_cluster) d from (select distinct merged_cluster from pick))
+select p.raw_cluster, p.merged_cluster, cast(d.d as varchar) display_cluster from pick p join disp d using (merged_cluster)
+""",
+)
 def merge_small_clusters_query(spark, sf):
-    """J4 (rows-only): labels below 55 rows join the nearest large label centroid."""
+    """Labels below 55 rows join the nearest large label centroid; display ids 1..n."""
     emb = _embeddings(spark, sf)
     return anomaly.merge_small_clusters(emb.withColumnRenamed("label", "cluster"), _label_centers(emb), "cluster", 55)
 
@@ -1364,13 +1376,29 @@ def oof_predictions_query(spark, sf):
                                   {"gbt": {"kind": "gbt", "maxIter": 10, "maxDepth": 4}})
 
 
-@register("ordinal_encoding", None)
+@register(
+    "ordinal_encoding",
+    with_flagged(
+        """
+, pm as (select v, dense_rank() over (order by v) + 1 code from (select distinct property_type v from flagged where property_type is not null)),
+gm as (select v, dense_rank() over (order by v) + 1 code from (select distinct gu_name v from flagged where gu_name is not null)),
+med as (select median(area_m2_clean) m from flagged),
+fillv as (select coalesce(area_m2_clean, m) x from flagged, med),
+ms as (select avg(x) a, case when stddev_pop(x) = 0 then 1.0 else stddev_pop(x) end sd from fillv)
+select f.row_key, case when f.property_type is null then 1 else coalesce(pm.code, 0) end property_type_code,
+       case when f.gu_name is null then 1 else coalesce(gm.code, 0) end gu_name_code,
+       round((coalesce(f.area_m2_clean, med.m) - ms.a) / ms.sd, 9) area_m2_clean_scaled
+from flagged f cross join med cross join ms left join pm on f.property_type = pm.v left join gm on f.gu_name = gm.v
+"""
+    ),
+)
 def ordinal_encoding_query(spark, sf):
-    """H3 (rows-only): ordinal codes (UNKNOWN 0, MISSING 1, sorted values from 2) and scaled numerics."""
+    """H3: ordinal codes (UNKNOWN 0, MISSING 1, sorted values from 2) and median-filled, standardised numerics."""
     fl = flagged_query(spark, sf)
     maps, st = models.fit_ordinal(fl, ["property_type", "gu_name"], ["area_m2_clean"])
-    return models.apply_ordinal(fl, maps, st, ["property_type", "gu_name"], ["area_m2_clean"]).select(
-        "row_key", "property_type_code", "gu_name_code", "area_m2_clean_scaled")
+    out = models.apply_ordinal(fl, maps, st, ["property_type", "gu_name"], ["area_m2_clean"])
+    return out.select("row_key", F.col("property_type_code").cast("bigint").alias("property_type_code"),
+                      F.col("gu_name_code").cast("bigint").alias("gu_name_code"), F.round("area_m2_clean_scaled", 9).alias("area_m2_clean_scaled"))
 
 
 def _artifacts(spark, sf):

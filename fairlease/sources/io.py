@@ -148,8 +148,8 @@ def collection_manifest(regions: DataFrame, start_ym: str, end_ym: str, targets:
 
 def expand_pages(df: DataFrame, total_col: str = "total_count", page_rows: int = PAGE_ROWS) -> DataFrame:
     """One row per page: pages 1..ceil(total/page_rows), at least one page per request."""
-    pages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(total_col), F.lit(0)) / page_rows)).cast("int")
-    return df.withColumn("page_no", F.explode(F.sequence(F.lit(1), pages)))
+    pages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col(total_col), F.lit(0)) / page_rows)).cast("bigint")
+    return df.withColumn("page_no", F.explode(F.sequence(F.lit(1).cast("bigint"), pages)))
 
 
 # A7 ---------------------------------------------------------------------------
