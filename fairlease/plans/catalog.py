@@ -56,7 +56,7 @@ def _round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     with_binding("select * from listings"),
 )
 def fixture_listings(spark, sf):
-    return binding.listings(spark, sf)
+    return _sources(spark, sf)[0]
 
 
 @register(
@@ -69,7 +69,7 @@ def fixture_listings(spark, sf):
     ),
 )
 def lease_market_features_query(spark, sf):
-    out = market.lease_market_features(binding.leases(spark, sf))
+    out = market.lease_market_features(_sources(spark, sf)[1])
     return out.withColumns(
         {"rent_deposit_mean": F.round("rent_deposit_mean", 2), "rent_deposit_per_m2_mean": F.round("rent_deposit_per_m2_mean", 4)}
     )
@@ -84,7 +84,7 @@ def lease_market_features_query(spark, sf):
     ),
 )
 def sale_market_features_query(spark, sf):
-    out = market.sale_market_features(binding.sales(spark, sf))
+    out = market.sale_market_features(_sources(spark, sf)[2])
     return out.withColumns(
         {"sale_price_mean": F.round("sale_price_mean", 2), "sale_price_per_m2_mean": F.round("sale_price_per_m2_mean", 4)}
     )
@@ -98,7 +98,7 @@ def sale_market_features_query(spark, sf):
     ),
 )
 def lease_market_features_hash_query(spark, sf):
-    out = market.lease_market_features(binding.leases(spark, sf), strategy="hash")
+    out = market.lease_market_features(_sources(spark, sf)[1], strategy="hash")
     return out.select("gu_code", "gu_name", "ym", "property_type", "rent_txn_count", "rent_deposit_median",
                       "monthly_rent_median", "area_m2_median")
 
@@ -112,7 +112,7 @@ _MODELING_COLS = (
 
 
 def modeling_dataset_query(spark: SparkSession, sf: str) -> DataFrame:
-    return market.modeling_dataset(binding.listings(spark, sf), binding.leases(spark, sf), binding.sales(spark, sf))
+    return market.modeling_dataset(_sources(spark, sf)[0], _sources(spark, sf)[1], _sources(spark, sf)[2])
 
 
 @register("market_join_ratios", with_binding(f"select {_MODELING_COLS} from modeling"))
@@ -140,7 +140,7 @@ def join_region_query(spark, sf):
         F.col("n_name").alias("region_name"),
         F.col("n_regionkey").alias("region_group"),
     )
-    return market.join_region(binding.listings(spark, sf).select("row_key", "gu_code"), dim)
+    return market.join_region(_sources(spark, sf)[0].select("row_key", "gu_code"), dim)
 
 
 @register(
@@ -160,7 +160,7 @@ def lease_market_medians_hot_path(spark, sf):
         ("monthly_rent_median", "monthly_rent_won", 0.5),
         ("area_m2_median", "area_m2", 0.5),
     ]
-    return group_percentiles(binding.leases(spark, sf), market.MARKET_KEYS, specs, strategy="auto", hot_rows=0)
+    return group_percentiles(_sources(spark, sf)[1], market.MARKET_KEYS, specs, strategy="auto", hot_rows=0)
 
 
 # ---------------------------------------------------------------- phase 3: quality, lookups, stats, ranks
@@ -203,7 +203,7 @@ def quality_flags_query(spark, sf):
     ),
 )
 def flag_duplicates_query(spark, sf):
-    df = binding.listings(spark, sf)
+    df = _sources(spark, sf)[0]
     return quality.flag_duplicates(df, ["gu_code", "ym", "property_type", "room_count"], "row_key").select(
         "row_key", "is_exact_duplicate"
     )
@@ -269,9 +269,9 @@ union all select 'flag_counts', k, v from (unpivot (select """
 
 @register("quality_report", _REPORT_SQL)
 def quality_report_query(spark, sf):
-    lst, les, sal = _sources(spark, sf)
-    _, train, ood_df, report = pp.preprocess(lst, les, sal)
-    return report
+    fl = flagged_query(spark, sf)
+    _, train, ood_df = quality.partition_quality(fl)
+    return quality.quality_report(_sources(spark, sf)[0], fl, train, ood_df)
 
 
 @register(
@@ -637,8 +637,8 @@ def sample_per_group_query(spark, sf):
                  " union all select gu_code, ym, property_type from sales)"),
 )
 def union_distinct_query(spark, sf):
-    a = binding.leases(spark, sf).select("gu_code", "ym", "property_type")
-    b = binding.sales(spark, sf).select("gu_code", "ym", "property_type")
+    a = _sources(spark, sf)[1].select("gu_code", "ym", "property_type")
+    b = _sources(spark, sf)[2].select("gu_code", "ym", "property_type")
     return a.unionByName(b).distinct()
 
 
@@ -760,7 +760,7 @@ _ITEM_TAGS = ("sggCd", "dealYear", "dealMonth", "dealDay", "deposit", "monthlyRe
 def lease_payloads(spark, sf) -> DataFrame:
     """API-style XML pages built from the bound leases: one payload per (region, month, type, page),
     at most ~1000 items per page (page = hash of the row key over ceil(count / 1000) pages)."""
-    les = binding.leases(spark, sf)
+    les = _sources(spark, sf)[1]
     item = F.concat(
         F.lit("<item><sggCd>"), F.col("gu_code"), F.lit("</sggCd><dealYear>"), F.year("contract_date").cast("string"),
         F.lit("</dealYear><dealMonth>"), F.month("contract_date").cast("string"), F.lit("</dealMonth><dealDay>"),
@@ -817,7 +817,7 @@ def xml_payload_errors(spark, sf):
 @register("csv_families_roundtrip", _LEASE_CHECK_SQL)
 def csv_families_roundtrip(spark, sf):
     """A9 write + A2 read: two CSV families with different headers (area tag differs), aligned by name."""
-    les = binding.leases(spark, sf)
+    les = _sources(spark, sf)[1]
     base = io.shared_path(spark, "raw", uuid.uuid4().hex)
     common = [
         F.col("gu_code").alias("sggCd"), F.year("contract_date").alias("dealYear"), F.month("contract_date").alias("dealMonth"),
@@ -856,8 +856,8 @@ pages as (select man.source_api, man.gu_code, man.deal_ymd, coalesce(tot.total_c
 def manifest_pages(spark, sf) -> DataFrame:
     man = io.collection_manifest(_regions(spark, sf), binding.START_YM, binding.END_YM)
     tot = (
-        binding.leases(spark, sf).select(F.lit("rent").alias("trade_type"), "property_type", "gu_code", "ym")
-        .unionByName(binding.sales(spark, sf).select(F.lit("sale").alias("trade_type"), "property_type", "gu_code", "ym"))
+        _sources(spark, sf)[1].select(F.lit("rent").alias("trade_type"), "property_type", "gu_code", "ym")
+        .unionByName(_sources(spark, sf)[2].select(F.lit("sale").alias("trade_type"), "property_type", "gu_code", "ym"))
         .groupBy("trade_type", "property_type", "gu_code", F.regexp_replace("ym", "-", "").alias("deal_ymd"))
         .agg(F.count(F.lit(1)).alias("total_count"))
     )
@@ -942,7 +942,7 @@ from s
 @register("scalar_functions", _SCALAR_SQL)
 def scalar_functions(spark, sf):
     """B1, B3, B6, B7, B10, B12, B16-B20, B23 on every listing."""
-    df = binding.listings(spark, sf)
+    df = _sources(spark, sf)[0]
     df = df.withColumns(
         {
             "address": F.concat(
@@ -1427,7 +1427,7 @@ _SALES_SQL = with_binding(
 @register("clean_sales", _SALES_SQL)
 def clean_sales_query(spark, sf):
     """Raw all-string sale extract (API tag names) -> typed sales."""
-    s = binding.sales(spark, sf)
+    s = _sources(spark, sf)[2]
     raw = s.select(
         F.col("gu_code").alias("sggCd"), F.year("contract_date").cast("string").alias("dealYear"),
         F.month("contract_date").cast("string").alias("dealMonth"), F.dayofmonth("contract_date").cast("string").alias("dealDay"),
@@ -1448,7 +1448,7 @@ _LISTING_SQL = with_binding(
 @register("clean_listings", _LISTING_SQL)
 def clean_listings_query(spark, sf):
     """Raw listing file columns (address, date text, numbers as text) -> typed listings."""
-    lst = binding.listings(spark, sf)
+    lst = _sources(spark, sf)[0]
     n = clean.LISTING_COLUMNS
     raw = lst.select(
         F.concat(F.lit("서울특별시 "), F.col("gu_name"), F.lit(" 1-1")).alias(n["address"]),
@@ -1483,7 +1483,7 @@ def region_dim_query(spark, sf):
 @register("read_listings_jsonl", _LISTING_SQL.replace("round(support_ratio, 9) support_ratio", "round(support_ratio, 9) support_ratio"))
 def read_listings_jsonl(spark, sf):
     """A8 + A9: listings written as JSON lines to the shared folder and read back with a schema."""
-    lst = binding.listings(spark, sf)
+    lst = _sources(spark, sf)[0]
     path = io.shared_path(spark, "listings", uuid.uuid4().hex + ".jsonl")
     io.write_table(lst, path, fmt="json")
     back = io.read_listings(spark, path, lst.schema)
@@ -1494,7 +1494,7 @@ def read_listings_jsonl(spark, sf):
 @register("read_or_empty", _LEASE_CHECK_SQL)
 def read_or_empty_query(spark, sf):
     """A3: an existing table plus a missing one (empty frame with the declared schema)."""
-    les = binding.leases(spark, sf)
+    les = _sources(spark, sf)[1]
     base = io.shared_path(spark, "tables", uuid.uuid4().hex)
     io.write_table(les, f"{base}/leases", partition_by=("ym",))
     got = io.read_or_empty(spark, f"{base}/leases", les.select(*[c for c in les.columns if c != "ym"], "ym").schema)
@@ -1505,8 +1505,9 @@ def read_or_empty_query(spark, sf):
 @register("write_report", _REPORT_SQL)
 def write_report_query(spark, sf):
     """A10: the preprocessing report written as JSON and read back."""
-    lst, les, sal = _sources(spark, sf)
-    _, _, _, report = pp.preprocess(lst, les, sal)
+    fl = flagged_query(spark, sf)
+    _, train, ood_df = quality.partition_quality(fl)
+    report = quality.quality_report(_sources(spark, sf)[0], fl, train, ood_df)
     path = io.shared_path(spark, "reports", uuid.uuid4().hex)
     io.write_report(report, path)
     return spark.read.schema(report.schema).json(path)
