@@ -7,8 +7,8 @@
   per-tree samples with ``groupBy("tree").applyInPandas`` (≈ψ rows per group),
   the node table (T x <2ψ rows) is broadcast, and rows are scored by a
   vectorised ``mapInPandas`` traversal — the fact table is never collected.
-* LOF (J6) needs an exact k-nearest-neighbour join over the training rows; it
-  is not built this round (see README).
+* LOF (J6) lives in :mod:`fairlease.operators.lof` (exact k-nearest neighbours by
+  projected radius search over weighted distinct points).
 """
 
 from __future__ import annotations

@@ -1586,3 +1586,15 @@ def final_model_roundtrip_query(spark, sf):
     models.save_model(m, path, {"features": list(valuation.MODEL_FEATURES_CAT) + list(valuation.MODEL_FEATURES_NUM), "confidence_level": 0.95})
     loaded, meta = models.load_model(path)
     return loaded.transform(fr(rows.filter("split = 'test'"))).select("row_key", "target", F.col("prediction").alias("pred_final"))
+
+
+@register("lof_scores", None)
+def lof_scores_query(spark, sf):
+    """J6 (exact kNN, rows-only): LOF novelty scores (35 neighbours) of every train-domain row against
+    the training-split rows of the unsupervised design matrix."""
+    from fairlease.operators import lof
+
+    x = _unsup_matrix(spark, sf)
+    train_keys = _model_rows(spark, sf).filter("split = 'train'").select("row_key")
+    train = x.join(train_keys, "row_key", "left_semi")
+    return lof.lof_scores(train, x, "features", "row_key", k=35, contamination=0.02).select("row_key", "lof_score")
