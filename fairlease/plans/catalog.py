@@ -181,9 +181,14 @@ def _sources(spark, sf):
     )
 
 
+def modeling_shared(spark, sf) -> DataFrame:
+    """Listings + market features + ratios, materialised once per session and folder."""
+    return _shared("modeling", spark, sf, lambda: market.modeling_dataset(*_sources(spark, sf)))
+
+
 def flagged_query(spark, sf) -> DataFrame:
     """The flagged table feeds several statistics: built and materialised once per session and folder."""
-    return _shared("flagged", spark, sf, lambda: pp.flagged_dataset(*_sources(spark, sf)))
+    return _shared("flagged", spark, sf, lambda: pp.flagged_dataset(*_sources(spark, sf), modeling=modeling_shared(spark, sf)))
 
 
 _FLAGS = ["is_in_domain_property_type"] + list(quality.FLAG_COLUMNS)
@@ -191,7 +196,7 @@ _FLAGS = ["is_in_domain_property_type"] + list(quality.FLAG_COLUMNS)
 
 @register("quality_flags", with_flagged(f"select row_key, {', '.join(_FLAGS)} from flagged"))
 def quality_flags_query(spark, sf):
-    ds = market.modeling_dataset(*_sources(spark, sf))
+    ds = modeling_shared(spark, sf)
     return quality.add_quality_flags(ds, dup_cols=list(pp.CONTENT_COLUMNS)).select("row_key", *_FLAGS)
 
 

@@ -23,7 +23,8 @@ CONTENT_COLUMNS = (
 
 
 def flagged_dataset(
-    listings: DataFrame, leases: DataFrame, sales: DataFrame, dup_cols=CONTENT_COLUMNS, fit_on=None, mode: str = "auto"
+    listings: DataFrame, leases: DataFrame, sales: DataFrame, dup_cols=CONTENT_COLUMNS, fit_on=None, mode: str = "auto",
+    modeling: DataFrame | None = None,
 ) -> DataFrame:
     """Modeling table -> flags -> clean columns, with stage boundaries where a table is re-read.
 
@@ -31,7 +32,7 @@ def flagged_dataset(
     so the modeling table and the flagged table are materialised once instead of
     being recomputed (and re-planned) by every downstream branch.
     """
-    ds = materialize(market.modeling_dataset(listings, leases, sales), mode)
+    ds = modeling if modeling is not None else materialize(market.modeling_dataset(listings, leases, sales), mode)
     flagged = materialize(quality.add_quality_flags(ds, dup_cols=list(dup_cols)), mode)
     return quality.add_clean_columns(flagged, fit_on=fit_on, mode=mode)
 
