@@ -75,23 +75,26 @@ def model_disagreement(valid: DataFrame, test: DataFrame, preds: Sequence[str],
 
 
 # J10 --------------------------------------------------------------------------
-def _robust_center_scale(df: DataFrame, col: str) -> DataFrame:
-    """One row: median, scale = IQR, or population std + 1e-9 when the IQR is ~0."""
-    q = global_percentiles(df.select(col), [("__med", col, 0.5), ("__q25", col, 0.25), ("__q75", col, 0.75)])
-    sd = df.agg(F.stddev_pop(nan_to_null(col)).alias("__sd"))
-    iqr = F.col("__q75") - F.col("__q25")
-    return q.crossJoin(sd).select(
-        F.col("__med").alias(f"__c_{col}"), F.when(iqr > 1e-9, iqr).otherwise(F.col("__sd") + 1e-9).alias(f"__s_{col}")
-    )
+def _robust_center_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with, per column, median (``__c_<col>``) and scale (``__s_<col>``) = IQR, or population
+    std + 1e-9 when the IQR is ~0.  All columns in one percentile pass and one moments aggregate."""
+    cols = list(cols)
+    specs = []
+    for c in cols:
+        specs += [(f"__med_{c}", c, 0.5), (f"__q25_{c}", c, 0.25), (f"__q75_{c}", c, 0.75)]
+    q = global_percentiles(df.select(*cols), specs)
+    sd = df.agg(*[F.stddev_pop(nan_to_null(c)).alias(f"__sd_{c}") for c in cols])
+    out = []
+    for c in cols:
+        iqr = F.col(f"__q75_{c}") - F.col(f"__q25_{c}")
+        out += [F.col(f"__med_{c}").alias(f"__c_{c}"), F.when(iqr > 1e-9, iqr).otherwise(F.col(f"__sd_{c}") + 1e-9).alias(f"__s_{c}")]
+    return q.crossJoin(sd).select(*out)
 
 
 def unsupervised_risk(valid: DataFrame, test: DataFrame, cols: Sequence[str], clip_at: float = UNSUPERVISED_RISK_CLIP):
     """Sum of per-score robust z (centre/scale fitted on valid), re-scaled by the valid sum's robust
     centre/scale; raw kept, final clipped to ±clip.  Returns (valid, test)."""
-    stats = None
-    for c in cols:
-        s = _robust_center_scale(valid, c)
-        stats = s if stats is None else stats.crossJoin(s)
+    stats = _robust_center_scale(valid, cols)
     z = {f"{c}_risk_z": (F.col(c) - F.col(f"__c_{c}")) / F.col(f"__s_{c}") for c in cols}
     total = sum((F.coalesce(F.col(f"{c}_risk_z"), F.lit(0.0)) for c in cols), F.lit(0.0))
 
@@ -100,7 +103,7 @@ def unsupervised_risk(valid: DataFrame, test: DataFrame, cols: Sequence[str], cl
         return out.drop(*[f"__c_{c}" for c in cols], *[f"__s_{c}" for c in cols])
 
     v, t = apply(valid), apply(test)
-    fin = _robust_center_scale(v, "__sum")
+    fin = _robust_center_scale(v, ["__sum"])
 
     def finish(df):
         out = df.crossJoin(F.broadcast(fin)).withColumn(
