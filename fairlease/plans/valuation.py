@@ -76,11 +76,12 @@ def value_listings(listings: DataFrame, art: Artifacts, mode: str = "auto") -> D
     scores, price scores, scope and labels (K4-K9).  Every step is per-row against static
     artefacts, so the batch and the stream give identical rows.  ``mode`` sets the stage boundaries
     (``none`` inside a micro-batch, so nothing stays cached between batches)."""
-    df = lookup.hierarchical_lookup(listings, art.median_lookup, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True)
+    # artefact lookups were materialised at fit time: no further stage boundary per call / micro-batch
+    df = lookup.hierarchical_lookup(listings, art.median_lookup, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True, mode="none")
     df = materialize(df, mode)
     df = art.model.transform(_model_frame(df)).withColumnRenamed("prediction", "predicted_log_ratio")
     df = df.drop(*[c for c in df.columns if c.endswith("__imp") or c.endswith("__idx") or c in ("features", "__num", "__is_valid")])
-    df = lookup.hierarchical_lookup(df, art.interval_lookup, "q", "interval_q", "interval_source")
+    df = lookup.hierarchical_lookup(df, art.interval_lookup, "q", "interval_q", "interval_source", mode="none")
     df = risk.prediction_interval(df)
     # unsupervised scores
     u = anomaly.unsupervised_frame(df)
