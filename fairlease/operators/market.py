@@ -20,7 +20,7 @@ MARKET_KEYS = ["gu_code", "gu_name", "ym", "property_type"]
 JOIN_KEYS = ["gu_code", "ym", "property_type"]
 
 
-def _market(df: DataFrame, keys, counts, means, medians, strategy: str) -> DataFrame:
+def _market(df: DataFrame, keys, counts, means, medians, strategy: str, hot_rows: int | None = None) -> DataFrame:
     aggs = list(counts) + [F.avg(c).alias(o) for o, c in means]
     if strategy == "hash":  # caller vouches that no cell is hot
         aggs += [F.percentile(c, 0.5).alias(o) for o, c in medians]
@@ -29,13 +29,15 @@ def _market(df: DataFrame, keys, counts, means, medians, strategy: str) -> DataF
 
     # one row per cell; its row count doubles as the hot-cell check of the median pass
     base = materialize(df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_gn")))
-    med = group_percentiles(df, keys, [(o, c, 0.5) for o, c in medians], strategy, group_sizes=base.select(*keys, "_gn"))
+    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
+    med = group_percentiles(df, keys, [(o, c, 0.5) for o, c in medians], strategy, group_sizes=base.select(*keys, "_gn"), **extra)
     return _null_safe_join(base.drop("_gn"), med, keys)
 
 
 # E1 ---------------------------------------------------------------------------
 def lease_market_features(
-    leases: DataFrame, keys: Sequence[str] = MARKET_KEYS, rent_type: str | None = None, strategy: str = "auto"
+    leases: DataFrame, keys: Sequence[str] = MARKET_KEYS, rent_type: str | None = None, strategy: str = "auto",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Per market cell: transaction count, jeonse count, deposit / per-m² medians and means, rent and area medians.
 
@@ -54,7 +56,7 @@ def lease_market_features(
         ("monthly_rent_median", "monthly_rent_won"),
         ("area_m2_median", "area_m2"),
     ]
-    out = _market(leases, list(keys), counts, means, medians, strategy)
+    out = _market(leases, list(keys), counts, means, medians, strategy, hot_rows)
     return out.select(
         *keys, "rent_txn_count", "jeonse_txn_count", "rent_deposit_median", "rent_deposit_mean",
         "rent_deposit_per_m2_median", "rent_deposit_per_m2_mean", "monthly_rent_median", "area_m2_median",

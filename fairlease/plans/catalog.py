@@ -42,10 +42,6 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def r6(col: str, digits: int = 6):
-    return F.round(F.col(col), digits).alias(col)
-
-
 def _round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 

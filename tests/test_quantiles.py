@@ -43,3 +43,16 @@ def test_global_sorted(spark):
     a = global_percentiles(df, [("q", "v", 0.99)], "sorted").first()["q"]
     b = global_percentiles(df, [("q", "v", 0.99)], "hash").first()["q"]
     assert a == pytest.approx(b)
+
+
+def test_market_auto_with_hot_cells_equals_hash(spark):
+    """Cells above hot_rows take the range-partitioned path; the rest the hash path; same result."""
+    from fairlease.operators import market
+    from fairlease.sources import binding
+
+    les = binding.leases(spark, "/root/testdata/sf0.001")
+    cols = ["gu_code", "gu_name", "ym", "property_type", "rent_deposit_median", "rent_deposit_per_m2_median", "monthly_rent_median", "area_m2_median"]
+    mixed = market.lease_market_features(les, strategy="auto", hot_rows=1).select(*cols)
+    plain = market.lease_market_features(les, strategy="hash").select(*cols)
+    assert mixed.count() == plain.count()
+    assert mixed.exceptAll(plain).count() == 0 and plain.exceptAll(mixed).count() == 0
