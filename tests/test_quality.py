@@ -52,3 +52,21 @@ def test_winsorize_keeps_null(spark):
     s = pd.Series([r[0] for r in rows], dtype=float)
     assert min(v for v in vals if v is not None) == pytest.approx(s.quantile(0.01))
     assert max(v for v in vals if v is not None) == pytest.approx(s.quantile(0.99))
+
+
+def test_robust_stats_match_pandas(spark):
+    from fairlease.operators.stats import robust_stats
+
+    rng = np.random.default_rng(9)
+    rows = [(g, float(v)) for g in ("a", "b") for v in rng.normal(size=50)] + [("c", 1.0), ("c", 1.0), ("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: r for r in robust_stats(df, "x", by=["g"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for g, grp in pdf.groupby("g"):
+        x = grp["x"]
+        med = x.median()
+        iqr = x.quantile(0.75) - x.quantile(0.25)
+        exp_iqr = iqr if iqr > 0 else x.std(ddof=0)
+        assert got[g]["median"] == pytest.approx(med)
+        assert got[g]["iqr"] == pytest.approx(exp_iqr)
+        assert got[g]["mad"] == pytest.approx((x - med).abs().median())
