@@ -33,3 +33,13 @@ def test_entry_and_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert all(isinstance(v, str) for v in o.values())
+
+
+def test_isolation_offset_marks_contamination_share(spark):
+    rng = np.random.default_rng(10)
+    pts = rng.normal(size=(1000, 2)).tolist()
+    df = spark.createDataFrame([(str(i), Vectors.dense(p)) for i, p in enumerate(pts)], ["row_key", "features"])
+    model = anomaly.fit_isolation_forest(df, "features", "row_key", n_trees=60, psi=128, contamination=0.05)
+    scores = [r["isolation_score"] for r in model.score_frame(df, "features").collect()]
+    share = sum(s > 0 for s in scores) / len(scores)
+    assert share == pytest.approx(0.05, abs=0.01)
