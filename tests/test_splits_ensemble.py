@@ -53,3 +53,22 @@ def test_ridge_loo_matches_bruteforce(spark):
 
     best = min([0.01, 1.0, 100.0], key=loo)
     assert m.alpha_ == best
+
+
+def test_upsert_new_beats_old_and_keeps_test_only(spark):
+    old = spark.createDataFrame(
+        [("e", "m1", "test", 0.5), ("e", "m2", "test", 0.4), ("e", "m1", "valid", 0.3)], "experiment string, model string, split string, rmse double"
+    )
+    new = spark.createDataFrame(
+        [("e", "default", "m1", "test", 0.2, "t"), ("e", "default", "m3", "valid", 0.1, "t")],
+        "experiment string, run_name string, model string, split string, rmse double, target string",
+    )
+    out = {(r["run_name"], r["model"], r["split"]): r["rmse"] for r in splits.upsert_scores(old, new).collect()}
+    assert out == {("legacy", "m1", "test"): 0.5, ("legacy", "m2", "test"): 0.4, ("legacy", "m1", "valid"): 0.3, ("default", "m1", "test"): 0.2}
+
+
+def test_group_split_three_groups_one_each(spark):
+    rows = [(g, "2024-01", "apt", 1.0) for g in ("a", "b", "c")]
+    df = spark.createDataFrame(rows, "gu_code string, ym string, property_type string, v double")
+    out, _ = splits.group_split(df)
+    assert sorted(r["split"] for r in out.collect()) == ["test", "train", "valid"]
