@@ -9,8 +9,6 @@ left to AQE, whose broadcast decision is size-checked at run time.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +36,9 @@ def _bound(spark: SparkSession, sf_dir: str, flags: tuple[str, ...]) -> DataFram
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .select(*_LI_COLS)
         .filter(
-            (F.col("l_shipdate") >= F.lit(dt.datetime(1996, 1, 1)).cast("timestamp_ntz"))
-            & (F.col("l_shipdate") < F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz"))
+            # string -> timestamp_ntz is time-zone independent (a Python datetime literal is not)
+            (F.col("l_shipdate") >= F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))
+            & (F.col("l_shipdate") < F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
             & F.col("l_returnflag").isin(*flags)
         )
     )
