@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairlease.llm import language, omh, sharding, toxicity, url_trust
+from fairlease.llm import language, omh, packing, pieces, sharding, toxicity, url_trust
 from fairlease.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_layout(table(spark, sf_dir, "documents"), [1.0] * 16)
 
@@ -32,12 +42,18 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
+    "op4_packing": op4_packing,
     "op7_sharding": op7_sharding,
     "op9_fingerprints": op9_fingerprints,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
