@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlease.llm.shared import checkpointed, stage_table
-from fairlease.llm.text import blocks
+from fairlease.llm.text import RollingHash, WordTable, blocks, gather, word_spans
 
 END_ID = 0
+#: ASCII white space: space and 9 to 13.
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 @dataclass(frozen=True)
@@ -48,43 +50,28 @@ class Settings:
 
 
 class WordIds:
-    """Token ids of words, tokenised once each: the tokenizer never joins text over ASCII white space.
+    """Token ids of words, tokenised once each: the tokenizer never joins text over ASCII white space."""
 
-    At most ``keep`` words stay; later new words are held for one block only.
-    """
-
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
-        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.table = WordTable(keep, {}, "ids", np.uint32)
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each word)."""
-        get = self.known.get
-        at = [get(w, -1) for w in words]
-        new: dict[bytes, int] = {}
-        if -1 in at:
-            for i, a in enumerate(at):
-                if a < 0:
-                    at[i] = -2 - new.setdefault(words[i], len(new))
-        place = np.array(at, np.int64)
-        ids, starts = self.ids, self.starts
-        if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            ids = np.concatenate([ids, np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum()))])
-            starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
-            place = np.where(place < -1, len(self.known) - 2 - place, place)
-            if len(self.known) + len(new) <= self.keep:
-                base = len(self.known)
-                self.known.update((w, base + i) for w, i in new.items())
-                self.ids, self.starts = ids, starts
-        sizes = starts[place + 1] - starts[place]
-        before = np.cumsum(sizes) - sizes
-        return ids[np.repeat(starts[place] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+        raw = data.tobytes()
+
+        def make(at: np.ndarray) -> dict:
+            words = [raw[a:b].decode() for a, b in zip(starts[at], ends[at], strict=True)]
+            ids = []
+            for i in range(0, len(words), 4096):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+            return {"ids": ids}
+
+        slot, _, values, firsts = self.table.resolve(RollingHash(data).of(starts, ends), make)
+        return gather(slot, values, firsts)
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -100,10 +87,9 @@ def encode_texts(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, end id included."""
     cache = word_ids(path)
     for _, _, data, offsets in blocks(column):
-        raw = data.tobytes()
-        texts = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        ids, sizes = cache.encode([w for t in texts for w in t])
-        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(t) for t in texts])])]
+        starts, ends, before = word_spans(data, offsets, WHITE)
+        ids, sizes = cache.encode(data, starts, ends)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[before]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield np.append(ids[a:b], np.uint32(END_ID))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairlease.llm import language, omh, packing, pieces, sharding, toxicity, url_trust
+from fairlease.llm import ann, language, omh, packing, pieces, sharding, toxicity, url_trust
 from fairlease.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_layout(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op3_url_filters": op3_url_filters,
     "op4_packing": op4_packing,
     "op7_sharding": op7_sharding,
+    "op8_nearest": op8_nearest,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer single text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -73,7 +73,7 @@ class RollingHash:
     """Hashes of any substrings of a block from one pass over it."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        up, self._down = _powers(max(16, int(len(data)).bit_length()))
+        up, self._down = _powers(max(20, int(len(data)).bit_length()))
         self._sums = np.zeros(len(data) + 1, np.uint64)
         terms = byte_codes(seed)[data]
         terms *= up[: len(data)]
@@ -98,3 +98,60 @@ def sorted_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.sort(x)
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
     return x[first], np.diff(np.append(first, len(x)))
+
+
+class WordTable:
+    """Values of words by their 64-bit hash, worked out once a word.
+
+    ``columns`` holds an array per value; ``ragged`` ones (with their start offsets) hold any
+    number of entries a word.  At most ``keep`` words stay; once full, new words last for one
+    lookup.  Two of a table's words share a hash with odds of about ``keep ** 2 / 2 ** 65``.
+    """
+
+    def __init__(self, keep: int, columns: dict[str, type], ragged: str, ragged_type: type):
+        self.keep = keep
+        self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.columns = {c: np.empty(0, t) for c, t in columns.items()}
+        self.values, self.starts = np.empty(0, ragged_type), np.zeros(1, np.int64)
+        self.ragged = ragged
+
+    def resolve(self, h: np.ndarray, make) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(slot of each word, columns, ragged values, their starts).
+
+        ``make(i)`` gets the first positions of the words that are new and returns their column
+        values, with a list of sequences for the ragged one.
+        """
+        order = np.argsort(h)
+        in_order = h[order]
+        first = np.concatenate([np.ones(min(1, len(h)), bool), in_order[1:] != in_order[:-1]])
+        distinct = in_order[first]
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        slot = np.empty(len(distinct), np.int64)
+        slot[known] = self.slots[at[known]]
+        columns, values, starts = self.columns, self.values, self.starts
+        if not known.all():
+            new = np.flatnonzero(~known)
+            slot[new] = len(starts) - 1 + np.arange(len(new))
+            made = make(order[np.flatnonzero(first)[new]])
+            own = made.pop(self.ragged)
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            columns = {c: np.concatenate([v, np.asarray(made[c], v.dtype)]) for c, v in columns.items()}
+            values = np.concatenate([values, np.fromiter((x for w in own for x in w), values.dtype, int(sizes.sum()))])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
+            if len(self.keys) + len(new) <= self.keep:
+                self.columns, self.values, self.starts = columns, values, starts
+                self.keys = np.insert(self.keys, at[new], distinct[new])
+                self.slots = np.insert(self.slots, at[new], slot[new])
+        of = np.empty(len(h), np.int64)
+        of[order] = slot[np.cumsum(first) - 1]
+        return of, columns, values, starts
+
+
+def gather(slot: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the ragged values of all words in a row, number of values of each word)."""
+    sizes = starts[slot + 1] - starts[slot]
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts[slot] - before, sizes) + np.arange(int(sizes.sum()))], sizes
