@@ -52,7 +52,7 @@ class Settings:
 class WordIds:
     """Token ids of words, tokenised once each: the tokenizer never joins text over ASCII white space."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

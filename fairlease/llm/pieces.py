@@ -19,7 +19,6 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairlease.llm.text import RollingHash, WordTable, blocks, gather
+
 SPACE = "▁"
 #: Below the lowest usable piece: the score of a character that only bytes can spell.
 UNKNOWN_PENALTY = 10.0
@@ -54,7 +55,7 @@ class Word:
 class Model:
     """Pieces of a model file with cached word segmentations (at most ``keep`` words)."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -67,26 +68,20 @@ class Model:
     def of(cls, scored: dict[str, tuple[int, float]], byte_ids: dict[int, int]) -> Model:
         self = cls.__new__(cls)
         self.byte_ids = byte_ids
-        self.setup(scored, 1000)
+        self.setup(scored, 10_000)
         return self
 
     def setup(self, pieces: dict[str, tuple[int, float]], keep: int) -> None:
         self.pieces, self.keep = pieces, keep
-        self.text_of = {i: p for p, (i, _) in pieces.items()}
-        self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.bytes_of = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values() if s > UNUSED_SCORE), default=0.0) - UNKNOWN_PENALTY
         several = [p for p in pieces if len(p) > 1]
-        crossing = [p for p in several if SPACE in p[1:] and set(p) != {SPACE}]
+        self.crossing = any(SPACE in p[1:] and set(p) != {SPACE} for p in several)
         joined = set("".join(several))
-        alone = "".join(c for c in "\n\t\r" if c not in joined)  # in no longer piece: each is a word of its own
-        if crossing:
-            self.words = re.compile(r".+", re.S)
-        elif alone:
-            self.words = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
-        else:
-            self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache: dict[str, Word] = {}
+        self.alone = np.zeros(256, bool)
+        self.alone[[ord(c) for c in "\n\t\r" if c not in joined]] = True
+        self.table = WordTable(keep, {"score": np.float64, "gap": np.float64, "same": np.bool_}, "ids", np.uint32)
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def lattice(self, word: str) -> Lattice:
@@ -110,9 +105,6 @@ class Model:
 
     def segment(self, word: str) -> Word:
         """The best segmentation and the distance of the second best."""
-        found = self.cache.get(word)
-        if found is not None:
-            return found
         whole = self.lattice(word)
         n = len(word)
         # best score from each position to the end
@@ -123,23 +115,18 @@ class Model:
                 if r + s > rest[i]:
                     rest[i] = r + s
         ids: list[tuple[int, ...]] = []
-        path, j = set(), n
+        path, j = {}, n
         while j:
-            path.add(j)
+            path[j] = whole.back[j]
             edge = whole.ends[j][whole.back[j]]
             ids.append(edge[1])
             j = edge[0]
         second = -np.inf
         for j in range(1, n + 1):
             for k, (i, _, s) in enumerate(whole.ends[j]):
-                if j not in path or k != whole.back[j]:
-                    through = whole.best[i] + s + rest[j]
-                    if through > second:
-                        second = through
-        word_best = Word(tuple(x for e in reversed(ids) for x in e), whole.best[n], whole.best[n] - second)
-        if len(self.cache) < self.keep:
-            self.cache[word] = word_best
-        return word_best
+                if path.get(j) != k and whole.best[i] + s + rest[j] > second:
+                    second = whole.best[i] + s + rest[j]
+        return Word(tuple(x for e in reversed(ids) for x in e), whole.best[n], whole.best[n] - second)
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations (score, ids) of a word by backward A*, best first."""
@@ -161,42 +148,87 @@ class Model:
             for i, edge_ids, s in whole.ends[j]:
                 heapq.heappush(heap, (-(whole.best[i] + s + after), met, i, s + after, (edge_ids, path)))
                 met += 1
-        if len(self.lists) < self.keep // 4:
+        if len(self.lists) < self.keep // 10:
             self.lists[(word, n)] = out
         return out
 
-    def split(self, text: str) -> list[str]:
-        return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def word_spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with the leading spaces, starts, ends, words before each text).
+
+        A word starts at the first space of a run, and at and after a character that is in no
+        longer piece; the words of a text are the whole text.
+        """
+        filled = np.flatnonzero(np.diff(offsets))  # an empty text gets no leading space and no word
+        put = np.empty(len(data) + len(filled), np.uint8)
+        heads = offsets[filled] + np.arange(len(filled))
+        inner = np.ones(len(put), bool)
+        inner[heads] = False
+        put[heads] = 32
+        put[inner] = data
+        if self.crossing:
+            opens = np.zeros(len(put), bool)
+        else:
+            space, alone = put == 32, self.alone[put]
+            opens = space | alone
+            opens[1:] &= ~(space[1:] & space[:-1])
+            opens[1:] |= alone[:-1]
+        opens[heads] = True
+        starts = np.flatnonzero(opens)
+        ends = np.append(starts[1:], len(put))
+        size = np.diff(offsets)
+        return put, starts, ends, np.searchsorted(starts, offsets + np.concatenate([[0], np.cumsum(size > 0)]))
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[list[tuple[float, np.ndarray]], bool]]:
+        """For each text of a block its ``n`` best segmentations (score, ids), best first, and whether the best decodes to it."""
+        put, starts, ends, before = self.word_spans(data, offsets)
+        raw = put.tobytes()
+        word = lambda w: raw[starts[w] : ends[w]].decode().replace(" ", SPACE)
+
+        def make(at: np.ndarray) -> dict:
+            words = [word(w) for w in at]
+            found = [self.segment(w) for w in words]
+            same = [self.spelled(f.ids) == w.encode() for f, w in zip(found, words, strict=True)]
+            return {"ids": [f.ids for f in found], "score": [f.score for f in found], "gap": [f.gap for f in found], "same": same}
+
+        slot, columns, values, firsts = self.table.resolve(RollingHash(put).of(starts, ends), make)
+        ids, sizes = gather(slot, values, firsts)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        for a, b in zip(before[:-1], before[1:], strict=True):
+            own = slot[a:b]
+            total = float(columns["score"][own].sum())
+            best = ids[cuts[a] : cuts[b]]
+            out = [(total, best)]
+            # a list of n needs at most the n - 1 words whose second best costs least
+            gap = columns["gap"][own]
+            if n > 1 and len(gap):
+                near = np.argsort(gap, kind="stable") if len(gap) < n else np.flatnonzero(gap <= np.partition(gap, n - 2)[n - 2])
+                near = sorted(near[np.isfinite(gap[near])], key=lambda k: (gap[k], k))[: n - 1]
+                sums: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
+                for k in near:
+                    own_list = self.n_best(word(a + k), n)
+                    top = own_list[0][0]
+                    grown = [(lost + top - score, changed if not rank else (*changed, (k, alt))) for lost, changed in sums for rank, (score, alt) in enumerate(own_list)]
+                    sums = sorted(grown, key=lambda g: g[0])[:n]
+                for lost, changed in sums[1:]:
+                    parts, done = [], cuts[a]
+                    for k, alt in sorted(changed):
+                        parts += [ids[done : cuts[a + k]], np.array(alt, ids.dtype)]
+                        done = cuts[a + k + 1]
+                    out.append((total - lost, np.concatenate([*parts, ids[done : cuts[b]]])))
+            yield out, bool(columns["same"][own].all())
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations (score, ids) of a text, best first."""
-        words = self.split(text)
-        parts = [self.segment(w) for w in words]
-        total = sum(p.score for p in parts)
-        # a list of n needs at most the n - 1 words whose second best costs least
-        near = heapq.nsmallest(n - 1, ((p.gap, k) for k, p in enumerate(parts) if p.gap < np.inf))
-        sums: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
-        for _, k in near:
-            own = self.n_best(words[k], n)
-            grown = [(lost + own[0][0] - score, changed | ({k: ids} if rank else {})) for lost, changed in sums for rank, (score, ids) in enumerate(own)]
-            sums = sorted(grown, key=lambda g: g[0])[:n]
-        out = []
-        for lost, changed in sums:
-            ids: list[int] = []
-            for k, p in enumerate(parts):
-                ids += changed.get(k, p.ids) if changed else p.ids
-            out.append((total - lost, ids))
-        return out
+        raw = text.encode()
+        found, _ = next(self.encode_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), n))
+        return [(score, ids.tolist()) for score, ids in found]
+
+    def spelled(self, ids) -> bytes:
+        return b"".join(self.bytes_of[i] for i in ids)
 
     def decode(self, ids: list[int]) -> str:
         """The text again: bytes joined, space marks back to spaces, the leading one dropped."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            else:
-                out += self.text_of[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = self.spelled(ids).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -212,7 +244,7 @@ def model(path: str) -> Model:
 def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     """Per document its best ids (count, checksum, score), whether they decode to the text, and the N best.
 
-    ``round_trip`` compares with the text as the model spells it: a space mark in the input reads as a space.
+    ``round_trip`` says that the ids spell the text with its spaces as marks.
     """
     schema = "doc_id long, n_pieces int, ids_crc32 long, score double, round_trip boolean, nbest array<struct<score:double,n_pieces:int,ids_crc32:long>>"
     crc = lambda ids: zlib.crc32(np.asarray(ids, "<u4").tobytes())
@@ -221,12 +253,10 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
         m = model(path)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                found = m.encode(text, n)
-                score, ids = found[0]
-                nbest = [{"score": s, "n_pieces": len(i), "ids_crc32": crc(i)} for s, i in found]
-                rows.append((len(ids), nbest[0]["ids_crc32"], score, m.decode(ids) == text.replace(SPACE, " "), nbest))
+            for _, _, data, offsets in blocks(batch.column(1)):
+                for found, same in m.encode_block(data, offsets, n):
+                    nbest = [{"score": s, "n_pieces": len(i), "ids_crc32": crc(i)} for s, i in found]
+                    rows.append((nbest[0]["n_pieces"], nbest[0]["ids_crc32"], found[0][0], same, nbest))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_()),
@@ -235,3 +265,26 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and text of rows (doc_id, ids); null ids decode to an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+
+
+def encode_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and the best segmentation's ids of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in batches:
+            ids = [found[0][1].astype(np.int32) for _, _, data, offsets in blocks(batch.column(1)) for found, _ in m.encode_block(data, offsets, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
