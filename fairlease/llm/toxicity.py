@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,31 +91,28 @@ class Ftrl:
         self.n[at] = grown
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, labels, shards = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "label", "shard"))
-        out = []
-        for lo, hi, row, feature in features(batch.column(batch.schema.get_field_index("text"))):
-            keys = sorted_unique((row.astype(np.uint64) << np.uint64(32)) | feature)
-            cuts = np.searchsorted(keys >> np.uint64(32), np.arange(lo, hi + 1))
-            small = keys.astype(np.uint32)
-            out += [small[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield pa.record_batch({"doc_id": ids, "label": labels, "shard": shards, "features": pa.array(out, pa.binary())})
-
-
 def _round(state: tuple[np.ndarray, np.ndarray, np.ndarray], s: Settings):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+    """FTRL steps of one shard (doc_id, label, shard, text), from the shared state."""
+
+    def run(part: pa.Table) -> pa.Table:
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         at, z0, n0 = state
         z[at], n[at] = z0, n0
         model = Ftrl(s, z, n)
-        part = part.sort_values("order")
-        rows = [(np.frombuffer(f, np.uint32).astype(np.int64), int(y)) for f, y in zip(part.features, part.label, strict=True)]
+        part = part.sort_by("order").combine_chunks()
+        rows = []
+        for lo, hi, row, feature in features(part["text"]):
+            keys = sorted_unique((row.astype(np.uint64) << np.uint64(32)) | feature)
+            cuts = np.searchsorted(keys >> np.uint64(32), np.arange(lo, hi + 1))
+            small = keys.astype(np.uint32)
+            rows += [small[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        labels = part["label"].to_pylist()
         for _ in range(s.epochs):
-            for at_row, y in rows:
-                model.step(at_row, y)
+            for row, y in zip(rows, labels, strict=True):
+                model.step(row.astype(np.int64), y)
         used = np.flatnonzero(model.n)
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "at": [used.astype(np.uint32).tobytes()], "z": [model.z[used].astype(np.float32).tobytes()], "n": [model.n[used].astype(np.float32).tobytes()]})
+        sent = {"at": used.astype(np.uint32), "z": model.z[used].astype(np.float32), "n": model.n[used].astype(np.float32)}
+        return pa.table({"shard": part["shard"][:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in sent.items()}})
 
     return run
 
@@ -130,12 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray,
     total = known.count()
     keep = F.lit(True) if total <= s.max_rows else F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) < int((1 << 30) * s.max_rows / total)
     picked = F.broadcast(known.where(keep))  # about max_rows rows of two numbers
-    order = F.xxhash64("doc_id", F.lit("order"))
     rows = docs.join(picked, "doc_id").select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(s.shards)).cast("int").alias("shard"), F.lower("text").alias("text"))
-    kept = stage_table(rows.mapInArrow(_train_rows, "doc_id long, label int, shard int, features binary"), "toxic-rows").withColumn("order", order)
+    kept = stage_table(rows, "toxic-rows").withColumn("order", F.xxhash64("doc_id", F.lit("order")))
     state = (np.empty(0, np.int64), np.empty(0), np.empty(0))
     for _ in range(s.rounds):
-        parts = kept.groupBy("shard").applyInPandas(_round(state, s), "shard int, at binary, z binary, n binary").collect()  # one bounded state a shard
+        parts = kept.groupBy("shard").applyInArrow(_round(state, s), "shard int, at binary, z binary, n binary").collect()  # one bounded state a shard
         z, n, seen = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         for p in sorted(parts, key=lambda p: p["shard"]):
             at = np.frombuffer(p["at"], np.uint32)
