@@ -32,10 +32,12 @@ class Settings:
     query_every: int = 20
     trees: int = 16
     sample: int = 65_536  # bound of the vectors that trees are grown on, in expectation
-    leaf: int = 32  # sampled vectors of a leaf
-    visit: float = 0.8  # sampled vectors in the leaves a query visits, over all trees, as a share of the sample
-    visit_least: int = 8_000  # and no fewer than this
-    part_rows: int = 32_768  # indexed rows (vector and tree) of one reranking task
+    leaf: int = 64  # sampled vectors of a leaf
+    # a query visits leaves, over all trees, that hold visit * n ** visit_power of n sampled vectors, and no fewer than visit_least
+    visit: float = 14.0
+    visit_power: float = 0.7
+    visit_least: int = 8_000
+    part_rows: int = 131_072  # indexed rows (vector and tree) of one reranking task
 
 
 @dataclass
@@ -48,6 +50,7 @@ class Forest:
     roots: list[int]
     leaf_sizes: np.ndarray
     top_norm: float
+    steps: tuple | None = None
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector (rows) in each tree (columns)."""
@@ -63,20 +66,27 @@ class Forest:
 
     def search(self, q: np.ndarray, enough: int) -> list[int]:
         """Leaves for one query by one priority queue over all trees."""
+        if self.steps is None:
+            self.steps = [tuple(c) for c in self.children.tolist()], self.leaf_sizes.tolist()
+        children, sizes = self.steps
         heap = [(0.0, r) for r in self.roots]
         heapq.heapify(heap)
         found, held = [], 0
-        margins = self.directions @ q - self.thresholds if len(self.directions) else np.empty(0)
+        margins = (self.directions @ q.astype(self.directions.dtype) - self.thresholds).tolist() if len(self.directions) else []
+        pop, push = heapq.heappop, heapq.heappush
         while heap and held < enough:
-            cost, node = heapq.heappop(heap)
-            if node < 0:
-                found.append(-1 - node)
-                held += int(self.leaf_sizes[-1 - node])
-                continue
-            m = margins[node]
-            near, far = (1, 0) if m > 0 else (0, 1)
-            heapq.heappush(heap, (cost, int(self.children[node, near])))
-            heapq.heappush(heap, (max(cost, abs(m)), int(self.children[node, far])))
+            cost, node = pop(heap)
+            while node >= 0:  # down the near side, the far one waits at its margin
+                m = margins[node]
+                left, right = children[node]
+                if m > 0:
+                    push(heap, (cost if cost > m else m, left))
+                    node = right
+                else:
+                    push(heap, (cost if cost > -m else -m, right))
+                    node = left
+            found.append(-1 - node)
+            held += sizes[-1 - node]
         return found
 
 
@@ -165,7 +175,7 @@ def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     forest.directions = forest.directions.astype(np.float32)
     sent = spark.sparkContext.broadcast(forest)  # bounded by the sample
     parts = max(1, -(-total * s.trees // s.part_rows))
-    enough = max(int(s.visit * sampled.num_rows), s.visit_least)
+    enough = max(int(s.visit * sampled.num_rows**s.visit_power), s.visit_least)
 
     def part_of(leaf: np.ndarray) -> np.ndarray:
         return (leaf * 0x9E3779B1 % (1 << 32)) * parts >> 32

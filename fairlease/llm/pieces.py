@@ -38,11 +38,11 @@ UNUSED_SCORE = -1e8
 
 @dataclass(frozen=True)
 class Lattice:
-    """Edges that end at each position of a word: (start, piece ids, score)."""
+    """Edges (start, end, piece ids, score) of a word, by start."""
 
-    ends: list[list[tuple[int, tuple[int, ...], float]]]
+    edges: list[tuple[int, int, tuple[int, ...], float]]
     best: list[float]  # forward Viterbi score of each position
-    back: list[int]  # index of the best edge that ends at each position
+    back: list[int]  # start of the best edge that ends at each position
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class Word:
 class Model:
     """Pieces of a model file with cached word segmentations (at most ``keep`` words)."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -75,6 +75,8 @@ class Model:
         self.pieces, self.keep = pieces, keep
         self.bytes_of = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.longest = max(map(len, pieces), default=1)
+        # a piece's ids and score; False for what only begins a piece
+        self.steps = {p[:k]: False for p in pieces for k in range(1, len(p))} | {p: ((i,), s) for p, (i, s) in pieces.items()}
         self.unknown = min((s for _, s in pieces.values() if s > UNUSED_SCORE), default=0.0) - UNKNOWN_PENALTY
         several = [p for p in pieces if len(p) > 1]
         self.crossing = any(SPACE in p[1:] and set(p) != {SPACE} for p in several)
@@ -85,48 +87,51 @@ class Model:
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def lattice(self, word: str) -> Lattice:
-        n, get, longest = len(word), self.pieces.get, self.longest
-        ends: list[list] = [[] for _ in range(n + 1)]
+        """All edges by start, and the forward Viterbi score of each position."""
+        n, get, longest = len(word), self.steps.get, self.longest
+        edges: list[tuple[int, int, tuple[int, ...], float]] = []
+        best, back = [-np.inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
         for i in range(n):
+            here = best[i]
+            lone = True
             for j in range(i + 1, min(n, i + longest) + 1):
                 found = get(word[i:j])
-                if found is not None:
-                    ends[j].append((i, (found[0],), found[1]))
-                elif j == i + 1:
-                    ends[j].append((i, tuple(self.byte_ids[b] for b in word[i].encode()), self.unknown))
-        best, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            top, at = -np.inf, -1
-            for k, (i, _, s) in enumerate(ends[j]):
-                if best[i] + s > top:
-                    top, at = best[i] + s, k
-            best[j], back[j] = top, at
-        return Lattice(ends, best, back)
+                if found is None:
+                    break  # no piece begins so
+                if found:
+                    ids, score = found
+                    edges.append((i, j, ids, score))
+                    if here + score > best[j]:
+                        best[j], back[j] = here + score, i
+                    if j == i + 1:
+                        lone = False
+            if lone:  # no piece for the character itself: its bytes
+                edges.append((i, i + 1, tuple(self.byte_ids[b] for b in word[i].encode()), self.unknown))
+                if here + self.unknown > best[i + 1]:
+                    best[i + 1], back[i + 1] = here + self.unknown, i
+        return Lattice(edges, best, back)
 
     def segment(self, word: str) -> Word:
         """The best segmentation and the distance of the second best."""
         whole = self.lattice(word)
-        n = len(word)
-        # best score from each position to the end
-        rest = [-np.inf] * n + [0.0]
-        for j in range(n, 0, -1):
-            r = rest[j]
-            for i, _, s in whole.ends[j]:
-                if r + s > rest[i]:
-                    rest[i] = r + s
-        ids: list[tuple[int, ...]] = []
+        best, n = whole.best, len(word)
         path, j = {}, n
         while j:
             path[j] = whole.back[j]
-            edge = whole.ends[j][whole.back[j]]
-            ids.append(edge[1])
-            j = edge[0]
+            j = whole.back[j]
+        ids: list[tuple[int, ...]] = []
+        rest = [-np.inf] * n + [0.0]  # best score from each position to the end
         second = -np.inf
-        for j in range(1, n + 1):
-            for k, (i, _, s) in enumerate(whole.ends[j]):
-                if path.get(j) != k and whole.best[i] + s + rest[j] > second:
-                    second = whole.best[i] + s + rest[j]
-        return Word(tuple(x for e in reversed(ids) for x in e), whole.best[n], whole.best[n] - second)
+        for i, j, edge_ids, score in reversed(whole.edges):
+            r = rest[j] + score
+            if r > rest[i]:
+                rest[i] = r
+            if path.get(j) == i:
+                ids.append(edge_ids)
+            elif best[i] + r > second:
+                second = best[i] + r
+        return Word(tuple(x for e in reversed(ids) for x in e), best[n], best[n] - second)
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations (score, ids) of a word by backward A*, best first."""
@@ -134,6 +139,9 @@ class Model:
         if found is not None:
             return found
         whole = self.lattice(word)
+        ends: list[list] = [[] for _ in range(len(word) + 1)]
+        for i, j, edge_ids, score in whole.edges:
+            ends[j].append((i, edge_ids, score))
         # (-(best way to here + what follows), order of discovery, position, what follows, path of edges behind)
         heap, met, out = [(-whole.best[len(word)], 0, len(word), 0.0, None)], 1, []
         while heap and len(out) < n:
@@ -145,7 +153,7 @@ class Model:
                     path = path[1]
                 out.append((after, tuple(ids)))
                 continue
-            for i, edge_ids, s in whole.ends[j]:
+            for i, edge_ids, s in ends[j]:
                 heapq.heappush(heap, (-(whole.best[i] + s + after), met, i, s + after, (edge_ids, path)))
                 met += 1
         if len(self.lists) < self.keep // 10:

@@ -109,11 +109,19 @@ class WordTable:
     """
 
     def __init__(self, keep: int, columns: dict[str, type], ragged: str, ragged_type: type):
-        self.keep = keep
+        self.keep, self.ragged, self.words = keep, ragged, 0
         self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.columns = {c: np.empty(0, t) for c, t in columns.items()}
-        self.values, self.starts = np.empty(0, ragged_type), np.zeros(1, np.int64)
-        self.ragged = ragged
+        self.columns = {c: np.empty(1024, t) for c, t in columns.items()}
+        self.values, self.starts = np.empty(4096, ragged_type), np.zeros(1025, np.int64)
+
+    def _put(self, held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+        """``new`` written at ``at``, into an array twice as long if need be."""
+        if at + len(new) > len(held):
+            grown = np.empty(2 * (at + len(new)), held.dtype)
+            grown[:at] = held[:at]
+            held = grown
+        held[at : at + len(new)] = new
+        return held
 
     def resolve(self, h: np.ndarray, make) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """(slot of each word, columns, ragged values, their starts).
@@ -131,20 +139,21 @@ class WordTable:
         known[inside] = self.keys[at[inside]] == distinct[inside]
         slot = np.empty(len(distinct), np.int64)
         slot[known] = self.slots[at[known]]
-        columns, values, starts = self.columns, self.values, self.starts
         if not known.all():
             new = np.flatnonzero(~known)
-            slot[new] = len(starts) - 1 + np.arange(len(new))
+            slot[new] = self.words + np.arange(len(new))
             made = make(order[np.flatnonzero(first)[new]])
             own = made.pop(self.ragged)
             sizes = np.fromiter(map(len, own), np.int64, len(own))
-            columns = {c: np.concatenate([v, np.asarray(made[c], v.dtype)]) for c, v in columns.items()}
-            values = np.concatenate([values, np.fromiter((x for w in own for x in w), values.dtype, int(sizes.sum()))])
-            starts = np.concatenate([starts, starts[-1] + np.cumsum(sizes)])
-            if len(self.keys) + len(new) <= self.keep:
-                self.columns, self.values, self.starts = columns, values, starts
+            used = int(self.starts[self.words])
+            self.values = self._put(self.values, used, np.fromiter((x for w in own for x in w), self.values.dtype, int(sizes.sum())))
+            self.starts = self._put(self.starts, self.words + 1, used + np.cumsum(sizes))
+            self.columns = {c: self._put(v, self.words, np.asarray(made[c], v.dtype)) for c, v in self.columns.items()}
+            if self.words + len(new) <= self.keep:  # else the next lookup writes over them
+                self.words += len(new)
                 self.keys = np.insert(self.keys, at[new], distinct[new])
                 self.slots = np.insert(self.slots, at[new], slot[new])
+        columns, values, starts = self.columns, self.values, self.starts
         of = np.empty(len(h), np.int64)
         of[order] = slot[np.cumsum(first) - 1]
         return of, columns, values, starts
