@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairlease.llm.text import blocks, sorted_counts
 
@@ -157,8 +158,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], s:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(name, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*batch.schema.names[:-2], "lang_pred", "score"])
 
     rows = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered"), F.lower("text").alias("__lowered"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, *added]))
 
 
 def identify_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairlease.llm.shared import stage_table
 from fairlease.llm.text import RollingHash, blocks, mix, sorted_counts
@@ -126,12 +127,13 @@ def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).astype(np.int32)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (the smallest number for null), tie (tells texts of one doc_id apart), text."""
+def keyed(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """doc_id (the smallest number for null), tie (tells texts of one doc_id apart), text, and columns ``more``."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
         F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
+        *more,
     )
 
 
@@ -275,10 +277,12 @@ def covered(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.nd
     return np.cumsum(change)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
-    """Per document n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that stay (``kept``)."""
-    texts = keyed(docs)
-    found = repeated_windows(texts, length).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
+def remove_repeats(docs: DataFrame, length: int = 100, with_rows: bool = False) -> DataFrame:
+    """Per document n_bytes, n_removed, n_spans, kept_sha256.
+
+    ``with_rows`` adds the whole input row (struct ``row``) and the bytes that stay (``kept``).
+    """
+    found = repeated_windows(keyed(docs), length).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,22 +307,41 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
                 ends = np.cumsum(np.diff(offsets) - removed[-1])
                 for a, b in zip(ends - (np.diff(offsets) - removed[-1]), ends, strict=True):
                     digest.append(hashlib.sha256(kept[a:b]).hexdigest())
-                    if with_text:
+                    if with_rows:
                         texts_left.append(kept[a:b])
             columns = {"doc_id": batch.column(0), "tie": batch.column(1)}
             for name, x in (("n_bytes", n_bytes), ("n_removed", removed), ("n_spans", runs)):
                 columns[name] = pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64())
             columns["kept_sha256"] = pa.array(digest, pa.string())
-            if with_text:
-                columns["kept"] = pa.array(texts_left, pa.binary())
+            if with_rows:
+                columns |= {"row": batch.column(4), "kept": pa.array(texts_left, pa.binary())}
             yield pa.record_batch(columns)
 
+    rows = [F.struct("*").alias("row")] if with_rows else []
     none = F.array().cast("array<struct<start:int,more:int>>")
-    joined = texts.join(found, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", F.coalesce("spans", none).alias("spans"))
-    schema = "doc_id long, tie int, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    joined = keyed(docs, *rows).join(found, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", F.coalesce("spans", none).alias("spans"), *(["row"] if with_rows else []))
+    schema = T.StructType().add("doc_id", "long").add("tie", "integer").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if with_rows:
+        schema = schema.add("row", joined.schema["row"].dataType).add("kept", T.BinaryType())
     out = joined.mapInArrow(cut, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
 
+def cleaned_rows(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``docs`` with the repeats cut out of ``text``; null text stays null, a character cut in two goes whole."""
+    done = remove_repeats(docs, length, with_rows=True)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if k is None else k.decode("utf-8", "ignore") for k in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "left"])
+
+    schema = T.StructType([done.schema["row"], T.StructField("left", T.StringType())])
+    # untouched texts need no decoding
+    kept = F.when(F.col("n_removed") > 0, F.col("kept"))
+    rows = done.select("row", kept.alias("kept")).mapInArrow(decode, schema)
+    return rows.select(*[F.coalesce("left", F.col("row")["text"]).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def removed_documents(docs: DataFrame, length: int = 100) -> DataFrame:
     return remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

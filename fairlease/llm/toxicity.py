@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairlease.llm.shared import stage_table
 from fairlease.llm.text import RollingHash, blocks, mix, sorted_unique, word_spans
@@ -165,8 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
 
     rows = docs.select(*keep, F.lower("text").alias("__lowered"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
