@@ -133,10 +133,14 @@ def meeting(texts: DataFrame, s: Settings) -> DataFrame:
     spark = texts.sparkSession
     counts = spark.sparkContext.broadcast(rarity(texts, s))  # at most 32 MB
 
+    def posted(posts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        token, name, packed = (np.concatenate(x) for x in zip(*posts, strict=True))
+        return _message(POST, token, name, packed, np.zeros(len(token), np.int64))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - int(np.log2(len(counts.value))))
         for batch in batches:
-            sizes, names, posts, seen = [], [], [], set()
+            sizes, names, posts, seen, waiting = [], [], [], set(), 0
             for x in sets_of(batch.column(1), s.width):
                 n = len(x)
                 name = set_name(x)
@@ -152,12 +156,15 @@ def meeting(texts: DataFrame, s: Settings) -> DataFrame:
                     # set size, place in the order, how typical: 28, 27 and 7 bits
                     packed = (np.int64(n) << np.int64(35)) | (np.arange(p, dtype=np.int64) << np.int64(7)) | np.int64(typical)
                     posts.append((token, np.full(p, name, np.int64), packed))
+                    waiting += p
+                    if waiting > 200_000:
+                        yield posted(posts)
+                        posts, waiting = [], 0
             size = np.array(sizes, np.int64)
             ids = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
             yield _message(DOC, mix(ids.view(np.uint64)), np.array(names, np.int64), size, batch.column(0))
             if posts:
-                token, name, packed = (np.concatenate(x) for x in zip(*posts, strict=True))
-                yield _message(POST, token, name, packed, np.zeros(len(token), np.int64))
+                yield posted(posts)
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None

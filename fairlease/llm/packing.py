@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlease.llm.shared import checkpointed, stage_table
-from fairlease.llm.text import RollingHash, WordTable, blocks, gather, word_spans
+from fairlease.llm.text import LARGE_BLOCK, RollingHash, WordTable, blocks, gather, word_spans
 
 END_ID = 0
 #: ASCII white space: space and 9 to 13.
@@ -86,7 +86,7 @@ def word_ids(path: str) -> WordIds:
 def encode_texts(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text, end id included."""
     cache = word_ids(path)
-    for _, _, data, offsets in blocks(column):
+    for _, _, data, offsets in blocks(column, LARGE_BLOCK):
         starts, ends, before = word_spans(data, offsets, WHITE)
         ids, sizes = cache.encode(data, starts, ends)
         cuts = np.concatenate([[0], np.cumsum(sizes)])[before]

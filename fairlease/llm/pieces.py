@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlease.llm.text import RollingHash, WordTable, blocks, gather
+from fairlease.llm.text import LARGE_BLOCK, RollingHash, WordTable, blocks, gather
 
 SPACE = "▁"
 #: Below the lowest usable piece: the score of a character that only bytes can spell.
@@ -261,7 +261,7 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
         m = model(path)
         for batch in batches:
             rows = []
-            for _, _, data, offsets in blocks(batch.column(1)):
+            for _, _, data, offsets in blocks(batch.column(1), LARGE_BLOCK):
                 for found, same in m.encode_block(data, offsets, n):
                     nbest = [{"score": s, "n_pieces": len(i), "ids_crc32": crc(i)} for s, i in found]
                     rows.append((nbest[0]["n_pieces"], nbest[0]["ids_crc32"], found[0][0], same, nbest))
@@ -292,7 +292,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            ids = [found[0][1].astype(np.int32) for _, _, data, offsets in blocks(batch.column(1)) for found, _ in m.encode_block(data, offsets, 1)]
+            ids = [found[0][1].astype(np.int32) for _, _, data, offsets in blocks(batch.column(1), LARGE_BLOCK) for found, _ in m.encode_block(data, offsets, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -71,4 +71,86 @@ QUERIES: dict[str, Query] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Steps, damping and threshold as in ``url_trust.judge_pages``.
+_STEPS, _DAMPING = 10, 0.5
+
+
+def _rules_sql() -> str:
+    arms = []
+    for r in sorted(url_trust.RULES, key=lambda r: (-len(r.name), -len(r.host))):
+        arms.append(f"when (host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}') then '{r.verdict}:{r.name}'")
+    return "case " + " ".join(arms) + " end"
+
+
+def _trust_sql() -> str:
+    rest = "case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end"
+    lower = f"translate(regexp_extract({{}}, '^([^/?#]*)', 1), '{url_trust.UPPER}', '{url_trust.LOWER}')"
+    steps = []
+    for i in range(1, _STEPS + 1):
+        steps.append(
+            f"r{i} as materialized (select kind, host, sum(rank) rank from (select e.kind, e.dst host, {_DAMPING} * sum(r.rank * e.share) rank from r{i - 1} r join edges e on e.kind = r.kind and e.src = r.host group by 1, 2"
+            f" union all select kind, host, seed * (1 - {_DAMPING}) from seeds) group by 1, 2)"
+        )
+    return f"""
+with parts as (select page_id, html, coalesce({lower.format("rest")}, '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from (select *, {rest} rest from pages)),
+judged as materialized (select *, {_rules_sql()} ruling from parts),
+hrefs as (select distinct page_id, host src, unnest(regexp_extract_all(coalesce(html, ''), '<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1, 'i')) link from judged),
+targets as (select distinct page_id, src, case when regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') then {lower.format("substr(link, instr(link, '//') + 2)")} else src end dst from hrefs),
+links as (select src, dst, count(*) weight from targets where src <> '' and dst <> '' group by 1, 2),
+both_ways as (select 'trust' kind, src, dst, weight from links union all select 'distrust', dst, src, weight from links),
+edges as materialized (select kind, src, dst, weight / sum(weight) over (partition by kind, src) share from both_ways),
+counts as (select case when starts_with(ruling, 'allow') then 'trust' else 'distrust' end kind, host, count(*) pages from judged where ruling is not null group by 1, 2),
+seeds as materialized (select kind, host, pages / sum(pages) over (partition by kind) seed from counts),
+r0 as (select kind, host, seed rank from seeds),
+{", ".join(steps)},
+margin as (select host, sum(case when kind = 'distrust' then rank else -rank end) m from r{_STEPS} group by 1)
+select page_id, host, path, split_part(ruling, ':', 2) as rule, coalesce(split_part(ruling, ':', 1), case when m > 0 then 'block' else 'allow' end) verdict
+from judged left join margin using (host)
+"""
+
+
+_JACCARD_SQL = r"""
+with recursive words as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] w from documents
+), shingles as materialized (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) s from words
+), sizes as materialized (select doc_id, count(*) n from shingles group by 1),
+pairs as (select a.doc_id x, b.doc_id y, count(*) k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (
+  select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)
+), ways as materialized (select x, y from links union all select y, x from links),
+reach(doc_id, r) as (select doc_id, doc_id from sizes union select reach.doc_id, ways.y from reach join ways on ways.x = reach.r)
+select d.doc_id, coalesce(any_value(n), 0)::bigint n_shingles, coalesce(min(r), d.doc_id)::bigint component_id
+from documents d left join sizes s on s.doc_id = d.doc_id left join reach on reach.doc_id = d.doc_id group by d.doc_id
+"""
+
+_SUFFIX_SQL = """
+with bytes as (select doc_id, lower(hex(encode(coalesce(text, '')))) h, octet_length(encode(coalesce(text, ''))) n from documents),
+places as (select doc_id, n, unnest(range(0, n)) i, h from bytes),
+windows as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) w from places where i + 100 <= n),
+again as materialized (select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) k from windows) where k > 1),
+cover as (
+  select p.doc_id, p.i, substr(h, 2 * p.i + 1, 2) b, coalesce(max(a.i) over (partition by p.doc_id order by p.i rows between 99 preceding and current row), -1) >= 0 gone
+  from places p left join again a on a.doc_id = p.doc_id and a.i = p.i
+),
+runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) opens from cover),
+summed as (select doc_id, count_if(gone) n_removed, count_if(opens) n_spans, coalesce(string_agg(case when not gone then b end, '' order by i), '') kept from runs group by 1)
+select b.doc_id, b.n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256
+from bytes b left join summed s on s.doc_id = b.doc_id
+"""
+
+#: Exact search; small tables are searched whole, so it is what the forest returns there.
+_NEAREST_SQL = """
+with v as (
+  select vec_id, embedding::double[] e from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
+), scored as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from scored) where rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": _trust_sql(),
+    "op5_jaccard_join": _JACCARD_SQL,
+    "op6_suffix_dedup": _SUFFIX_SQL,
+    "op8_nearest": _NEAREST_SQL,
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove_folders)
     _FOLDERS.append((spark, path))
     df.write.parquet(path)
+    # the shuffle files behind the table are of no more use; Spark drops them once their plan is collected
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

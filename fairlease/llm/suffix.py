@@ -10,8 +10,8 @@ threshold:
    Runs whose gram is unique leave.
 2. The others are named by the whole text under the run.  Equal names mean equal windows all
    along: all but the earliest run are repeats.
-3. Where one gram has several such names, the windows of each name's earliest run are looked at
-   one by one, named by the pair of the names of their two halves.
+3. Where one gram has several such names, the texts of each name's earliest run come together by
+   gram, and their windows are looked at one by one, named by the pair of the names of their halves.
 
 Names are 64-bit hashes, and two names must agree (gram and text, or both halves).  Grams found in
 a large share of the documents skip to step 3, whose names are reduced inside each task first, so
@@ -41,7 +41,10 @@ GRAM = 24
 HOT_SHARE = 0.005
 ROWS_PER_TASK = 500_000
 
-RUN, WINDOW, REPEAT, MIXED = 0, 1, 2, 3
+#: Runs of one gram, of different text, that one task takes together.
+MIXED_MAX = 20_000
+
+RUN, WINDOW, REPEAT, MIXED, MIXED_WIDE, CONTEXT = range(6)
 ROWS = "kind byte, deal long, name_a long, name_b long, doc_id long, tie int, start int, more int"
 
 
@@ -112,26 +115,26 @@ def _rows(kind: int, deal, a, b, doc, tie, start, more) -> pa.RecordBatch:
 def _send(kind: int, a, b, doc, tie, start, more) -> Iterator[pa.RecordBatch]:
     """The earliest row of each name; the others are settled as repeats on the spot."""
     first = earliest(a, b, doc, start)
-    deal = a if kind == RUN else mix(a + b)
+    deal, a = (a, np.zeros_like(a)) if kind == RUN else (mix(a + b), a)  # a run is dealt by its gram, which need not travel twice
     yield _rows(kind, deal[first], a[first], b[first], doc[first], tie[first], start[first], more[first])
     if not first.all():
         yield _repeats(doc[~first], tie[~first], start[~first], more[~first])
 
 
-def _repeats(doc, tie, start, more, kind: int = REPEAT) -> pa.RecordBatch:
+def _repeats(doc, tie, start, more) -> pa.RecordBatch:
     none = np.zeros(len(doc), np.uint64)
-    return _rows(kind, mix(doc.astype(np.int64).view(np.uint64)), none, none, doc, tie, start, more)
+    return _rows(REPEAT, mix(doc.astype(np.int64).view(np.uint64)), none, none, doc, tie, start, more)
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)).astype(np.int32)
 
 
-def keyed(docs: DataFrame, *more: F.Column) -> DataFrame:
-    """doc_id (the smallest number for null), tie (tells texts of one doc_id apart), text, and columns ``more``."""
+def keyed(docs: DataFrame, unique: bool, *more: F.Column) -> DataFrame:
+    """doc_id (the smallest number for null), tie (tells texts of one doc_id apart, 0 if ids are unique), text, ``more``."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-        F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tie"),
+        (F.lit(0) if unique else F.shiftright(F.xxhash64("text"), 32).cast("int")).alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
         *more,
     )
@@ -191,7 +194,7 @@ def _settle(length: int):
             part = held.filter(pa.array(kind == k))
             if not part.num_rows:
                 continue
-            a, b = (part[c].to_numpy().view(np.uint64) for c in ("name_a", "name_b"))
+            a, b = (part[c].to_numpy().view(np.uint64) for c in ("deal" if k == RUN else "name_a", "name_b"))
             doc, tie, start, more = (part[c].to_numpy() for c in ("doc_id", "tie", "start", "more"))
             if k == REPEAT:
                 yield _repeats(doc, tie, start, more)
@@ -207,15 +210,52 @@ def _settle(length: int):
                     continue
                 new_a = np.concatenate([[True], x[1:] != x[:-1]])
                 group = np.cumsum(new_a) - 1
-                names = np.bincount(group, new_a | np.concatenate([[True], y[1:] != y[:-1]]))
-                at = at[names[group] > 1]
-                yield _repeats(doc[at], tie[at], start[at], more[at], MIXED)
+                names = np.bincount(group, new_a | np.concatenate([[True], y[1:] != y[:-1]]))[group]
+                for wide in (False, True):
+                    some = at[(names > 1) & ((names > MIXED_MAX) == wide)]
+                    none = np.zeros(len(some), np.uint64)
+                    yield _rows(MIXED_WIDE if wide else MIXED, a[some], none, none, doc[some], tie[some], start[some], more[some])
 
     return run
 
 
-def _exchange(rows: DataFrame, n: int, length: int) -> DataFrame:
-    return rows.repartition(n, "deal").mapInArrow(_settle(length), ROWS).select("kind", "doc_id", "tie", "start", "more")
+def _compare(length: int):
+    """Repeated windows among the texts of runs that share a gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if held is None:
+            return
+        gram = held["deal"].to_numpy()
+        doc, tie, start, more = (held[c].to_numpy() for c in ("doc_id", "tie", "start", "more"))
+        context = held["context"].combine_chunks()
+        order = np.argsort(gram, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+        # whole grams at a time, up to some number of windows
+        windows = np.add.reduceat(more[order].astype(np.int64) + 1, heads)
+        slab = np.cumsum(windows) // 500_000
+        cuts = np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1]]))
+        for lo, hi in zip(heads[cuts], np.append(heads[cuts[1:]], len(order)), strict=True):
+            at = order[lo:hi]
+            texts = context.take(pa.array(at))
+            size = more[at].astype(np.int64) + length
+            begin = np.cumsum(size) - size
+            many = more[at].astype(np.int64) + 1
+            within = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            place = np.repeat(begin, many) + within
+            owner = np.repeat(np.arange(len(at)), many)
+            hashes = RollingHash(np.frombuffer(b"".join(texts.to_pylist()), np.uint8))
+            middle = place + length // 2
+            again = ~earliest(hashes.of(place, middle), hashes.of(middle, place + length), doc[at][owner], start[at][owner] + within)
+            opens = again.copy()
+            opens[1:] &= ~again[:-1] | (owner[1:] != owner[:-1])
+            shuts = again.copy()
+            shuts[:-1] &= ~again[1:] | (owner[1:] != owner[:-1])
+            a, z = np.flatnonzero(opens), np.flatnonzero(shuts)
+            own = at[owner[a]]
+            yield _repeats(doc[own], tie[own], start[own] + within[a], z - a)
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
@@ -245,7 +285,8 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
             if cold:
                 yield from _send(RUN, *(np.concatenate(x) for x in zip(*cold, strict=True)))
 
-    settled = stage_table(_exchange(docs.mapInArrow(emit, ROWS), tasks, length), "runs")
+    out = ["kind", "deal", "doc_id", "tie", "start", "more"]
+    settled = stage_table(docs.mapInArrow(emit, ROWS).repartition(tasks, "deal").mapInArrow(_settle(length), ROWS).select(*out), "runs")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,20 +294,37 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
             spans = batch.column(3)
             size = np.diff(np.asarray(spans.offsets))
             flat = spans.flatten()
-            start, more = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "more"))
+            start, more, gram, kind = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "more", "deal", "kind"))
             cut = np.concatenate([[0], np.cumsum(size)])
             for lo, hi, data, offsets in blocks(batch.column(2)):
                 begin = np.zeros(len(doc), np.int64)
                 begin[lo:hi] = offsets[:-1]
-                row = np.repeat(np.arange(lo, hi), size[lo:hi])
                 own = slice(cut[lo], cut[hi])
-                yield from _windows(RollingHash(data), doc, tie, row, begin, begin[row] + start[own], more[own], length)
-
-    spans = F.collect_list(F.struct("start", "more")).alias("spans")
-    mixed = settled.where(F.col("kind") == MIXED).groupBy("doc_id", "tie").agg(spans)
-    looked = docs.join(mixed, ["doc_id", "tie"]).select("doc_id", "tie", "text", "spans").mapInArrow(look, ROWS)
-    last = _exchange(looked, tasks, length)
-    return settled.where(F.col("kind") == REPEAT).unionByName(last.where(F.col("kind") == REPEAT)).select("doc_id", "tie", "start", "more")
+                row = np.repeat(np.arange(lo, hi), size[lo:hi])
+                at = begin[row] + start[own]
+                wide = kind[own] == MIXED_WIDE
+                if wide.any():
+                    for rows in _windows(RollingHash(data), doc, tie, row[wide], begin, at[wide], more[own][wide], length):
+                        yield rows.append_column("context", pa.nulls(rows.num_rows, pa.binary()))
+                if not wide.all():
+                    w = ~wide
+                    raw = data.tobytes()
+                    texts = [raw[a:b] for a, b in zip(at[w], at[w] + more[own][w] + length, strict=True)]
+                    none = np.zeros(int(w.sum()), np.uint64)
+                    rows = _rows(CONTEXT, gram[own][w].view(np.uint64), none, none, doc[row[w]], tie[row[w]], start[own][w], more[own][w])
+                    yield rows.append_column("context", pa.array(texts, pa.binary()))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        context = [np.asarray(b.column(0)) == CONTEXT for b in rows]
+        yield from _compare(length)(iter([b.filter(pa.array(c)) for b, c in zip(rows, context, strict=True)]))
+        yield from _settle(length)(iter([b.filter(pa.array(~c)).drop_columns(["context"]) for b, c in zip(rows, context, strict=True)]))
+
+    spans = F.collect_list(F.struct("start", "more", "deal", F.col("kind").cast("int").alias("kind"))).alias("spans")
+    mixed = settled.where(F.col("kind").isin(MIXED, MIXED_WIDE)).groupBy("doc_id", "tie").agg(spans)
+    looked = docs.join(mixed, ["doc_id", "tie"]).select("doc_id", "tie", "text", "spans").mapInArrow(look, ROWS + ", context binary")
+    compared = stage_table(looked.repartition(tasks, "deal").mapInArrow(last, ROWS).select(*out), "compared")
+    return settled.unionByName(compared).where(F.col("kind") == REPEAT).select("doc_id", "tie", "start", "more")
 
 
 def covered(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, more: np.ndarray, length: int) -> np.ndarray:
@@ -282,7 +340,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_rows: bool = False)
 
     ``with_rows`` adds the whole input row (struct ``row``) and the bytes that stay (``kept``).
     """
-    found = repeated_windows(keyed(docs), length).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
+    ids = docs.select("doc_id")
+    unique = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0
+    found = repeated_windows(keyed(docs, unique), length).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_rows: bool = False)
 
     rows = [F.struct("*").alias("row")] if with_rows else []
     none = F.array().cast("array<struct<start:int,more:int>>")
-    joined = keyed(docs, *rows).join(found, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", F.coalesce("spans", none).alias("spans"), *(["row"] if with_rows else []))
+    joined = keyed(docs, unique, *rows).join(found, ["doc_id", "tie"], "left").select("doc_id", "tie", "text", F.coalesce("spans", none).alias("spans"), *(["row"] if with_rows else []))
     schema = T.StructType().add("doc_id", "long").add("tie", "integer").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if with_rows:
         schema = schema.add("row", joined.schema["row"].dataType).add("kept", T.BinaryType())

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; a longer single text makes a block of its own.
-BLOCK_BYTES = (1 << 20) - 1
+#: Bytes of text worked on at once (its arrays fit a core's cache); a longer single text makes a block of its own.
+BLOCK_BYTES = (1 << 18) - 1
+#: For lookups in large word tables, whose cost is by block.
+LARGE_BLOCK = (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -30,6 +33,22 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[i
         stop = min(stop, len(column))
         yield row, stop, data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
+    release()
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +92,7 @@ class RollingHash:
     """Hashes of any substrings of a block from one pass over it."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        up, self._down = _powers(max(20, int(len(data)).bit_length()))
+        up, self._down = _powers(max(18, int(len(data)).bit_length()))
         self._sums = np.zeros(len(data) + 1, np.uint64)
         terms = byte_codes(seed)[data]
         terms *= up[: len(data)]
