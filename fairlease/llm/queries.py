@@ -94,7 +94,7 @@ def _trust_sql() -> str:
     return f"""
 with parts as (select page_id, html, coalesce({lower.format("rest")}, '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from (select *, {rest} rest from pages)),
 judged as materialized (select *, {_rules_sql()} ruling from parts),
-hrefs as (select distinct page_id, host src, unnest(regexp_extract_all(coalesce(html, ''), '<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1, 'i')) link from judged),
+hrefs as (select distinct page_id, host src, unnest(regexp_extract_all(coalesce(html, ''), '<a[[:space:]][^>]*?href[[:space:]]*=[[:space:]]*["'']?([^"''[:space:]>]+)', 1, 'i')) link from judged),
 targets as (select distinct page_id, src, case when regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') then {lower.format("substr(link, instr(link, '//') + 2)")} else src end dst from hrefs),
 links as (select src, dst, count(*) weight from targets where src <> '' and dst <> '' group by 1, 2),
 both_ways as (select 'trust' kind, src, dst, weight from links union all select 'distrust', dst, src, weight from links),
@@ -125,18 +125,19 @@ from documents d left join sizes s on s.doc_id = d.doc_id left join reach on rea
 """
 
 _SUFFIX_SQL = """
-with bytes as (select doc_id, lower(hex(encode(coalesce(text, '')))) h, octet_length(encode(coalesce(text, ''))) n from documents),
-places as (select doc_id, n, unnest(range(0, n)) i, h from bytes),
-windows as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) w from places where i + 100 <= n),
+with bytes as materialized (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents),
+windows as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) w from (select doc_id, h, unnest(range(0, n - 99)) i from bytes where n >= 100)),
 again as materialized (select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) k from windows) where k > 1),
-cover as (
-  select p.doc_id, p.i, substr(h, 2 * p.i + 1, 2) b, coalesce(max(a.i) over (partition by p.doc_id order by p.i rows between 99 preceding and current row), -1) >= 0 gone
-  from places p left join again a on a.doc_id = p.doc_id and a.i = p.i
+islands as (select doc_id, i, sum(case when i <= before + 100 then 0 else 1 end) over (partition by doc_id order by i) island from (select *, lag(i) over (partition by doc_id order by i) before from again)),
+spans as materialized (select doc_id, min(i) a, max(i) + 100 z from islands group by doc_id, island),
+gaps as (
+  select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) a, a z from spans
+  union all select b.doc_id, coalesce(max(s.z), 0), any_value(b.n) from bytes b left join spans s on s.doc_id = b.doc_id group by b.doc_id
 ),
-runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) opens from cover),
-summed as (select doc_id, count_if(gone) n_removed, count_if(opens) n_spans, coalesce(string_agg(case when not gone then b end, '' order by i), '') kept from runs group by 1)
-select b.doc_id, b.n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256
-from bytes b left join summed s on s.doc_id = b.doc_id
+kept as (select g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' order by a) h from gaps g join bytes b on b.doc_id = g.doc_id group by g.doc_id),
+summed as (select doc_id, sum(z - a) n_removed, count(*) n_spans from spans group by doc_id)
+select b.doc_id, b.n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(k.h)) kept_sha256
+from bytes b join kept k on k.doc_id = b.doc_id left join summed s on s.doc_id = b.doc_id
 """
 
 #: Exact search; small tables are searched whole, so it is what the forest returns there.

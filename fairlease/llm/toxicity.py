@@ -92,28 +92,74 @@ class Ftrl:
         self.n[at] = grown
 
 
-def _round(state: tuple[np.ndarray, np.ndarray, np.ndarray], s: Settings):
-    """FTRL steps of one shard (doc_id, label, shard, text), from the shared state."""
-
-    def run(part: pa.Table) -> pa.Table:
-        z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        at, z0, n0 = state
-        z[at], n[at] = z0, n0
-        model = Ftrl(s, z, n)
-        part = part.sort_by("order").combine_chunks()
+STATE = "chunk int, at binary, z binary, n binary"
+CHUNKS = 16
+
+
+def _state_rows(at: np.ndarray, z: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Coordinates and their state in ``CHUNKS`` rows by coordinate range."""
+    chunk = at * CHUNKS // ((1 << BITS) + 1)
+    cuts = np.searchsorted(chunk, np.arange(CHUNKS + 1))
+    part = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    return pa.table({"chunk": pa.array(range(CHUNKS), pa.int32()), "at": part(at, np.uint32), "z": part(z, np.float32), "n": part(n, np.float32)})
+
+
+def _state(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for at, z, n in zip(*(table[c].to_pylist() for c in ("at", "z", "n")), strict=True):
+        yield np.frombuffer(at, np.uint32).astype(np.int64), np.frombuffer(z, np.float32).astype(float), np.frombuffer(n, np.float32).astype(float)
+
+
+def _round(s: Settings):
+    """FTRL steps of one shard's texts from the shared state."""
+
+    def run(texts: pa.Table, state: pa.Table) -> pa.Table:
+        model = Ftrl(s)
+        for at, z, n in _state(state):
+            model.z[at], model.n[at] = z, n
+        if not texts.num_rows:
+            return _state_rows(np.empty(0, np.int64), np.empty(0), np.empty(0))
+        texts = texts.sort_by("order").combine_chunks()
         rows = []
-        for lo, hi, row, feature in features(part["text"]):
+        for lo, hi, row, feature in features(texts["text"]):
             keys = sorted_unique((row.astype(np.uint64) << np.uint64(32)) | feature)
             cuts = np.searchsorted(keys >> np.uint64(32), np.arange(lo, hi + 1))
             small = keys.astype(np.uint32)
             rows += [small[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        labels = part["label"].to_pylist()
+        labels = texts["label"].to_pylist()
         for _ in range(s.epochs):
             for row, y in zip(rows, labels, strict=True):
                 model.step(row.astype(np.int64), y)
         used = np.flatnonzero(model.n)
-        sent = {"at": used.astype(np.uint32), "z": model.z[used].astype(np.float32), "n": model.n[used].astype(np.float32)}
-        return pa.table({"shard": part["shard"][:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in sent.items()}})
+        return _state_rows(used, model.z[used], model.n[used])
+
+    return run
+
+
+def _averaged(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A coordinate's state is the mean over the shards that met it."""
+    size = (1 << BITS) + 1
+    z, n, seen = np.zeros(size), np.zeros(size), np.zeros(size)
+    for at, z_part, n_part in sorted(_state(parts), key=lambda p: (len(p[0]), p[1].sum())):
+        z[at] += z_part
+        n[at] += n_part
+        seen[at] += 1
+    at = np.flatnonzero(seen)
+    return at, z[at] / seen[at], n[at] / seen[at]
+
+
+def _merge(parts: pa.Table) -> pa.Table:
+    at, z, n = _averaged(parts)
+    return _state_rows(at, z, n).filter(pa.array(np.arange(CHUNKS) == parts["chunk"][0].as_py()))
+
+
+def _weights(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, z, n in _state(pa.Table.from_batches([batch])):
+                model = Ftrl(s)
+                model.z[at], model.n[at] = z, n
+                w = model.weights(at)
+                yield pa.record_batch({"at": pa.array(at[w != 0].astype(np.int64)), "w": pa.array(w[w != 0])})
 
     return run
 
@@ -129,22 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray,
     picked = F.broadcast(known.where(keep))  # about max_rows rows of two numbers
     rows = docs.join(picked, "doc_id").select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(s.shards)).cast("int").alias("shard"), F.lower("text").alias("text"))
     kept = stage_table(rows, "toxic-rows").withColumn("order", F.xxhash64("doc_id", F.lit("order")))
-    state = (np.empty(0, np.int64), np.empty(0), np.empty(0))
+    state = kept.sparkSession.createDataFrame([], STATE)
+    each = F.explode(F.sequence(F.lit(0), F.lit(s.shards - 1))).alias("shard")
     for _ in range(s.rounds):
-        parts = kept.groupBy("shard").applyInArrow(_round(state, s), "shard int, at binary, z binary, n binary").collect()  # one bounded state a shard
-        z, n, seen = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        for p in sorted(parts, key=lambda p: p["shard"]):
-            at = np.frombuffer(p["at"], np.uint32)
-            z[at] += np.frombuffer(p["z"], np.float32)
-            n[at] += np.frombuffer(p["n"], np.float32)
-            seen[at] += 1
-        at = np.flatnonzero(seen)
-        state = (at, z[at] / seen[at], n[at] / seen[at])
-    model = Ftrl(s)
-    model.z[state[0]], model.n[state[0]] = state[1], state[2]
-    w = model.weights(np.arange((1 << BITS) + 1))
-    used = np.flatnonzero(w[:-1])
-    return used.astype(np.uint32), w[used].astype(np.float64), float(w[-1])
+        stepped = kept.groupBy("shard").cogroup(state.select("*", each).groupBy("shard")).applyInArrow(_round(s), STATE)
+        state = stage_table(stepped.groupBy("chunk").applyInArrow(_merge, STATE), "toxic-state")
+    found = sorted((r["at"], r["w"]) for r in state.mapInArrow(_weights(s), "at long, w double").collect())  # what L1 leaves
+    w = dict(found)
+    intercept = float(w.pop(1 << BITS, 0.0))
+    return np.array(list(w), np.uint32), np.array(list(w.values())), intercept
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
