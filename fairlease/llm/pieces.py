@@ -182,7 +182,7 @@ class Model:
             opens[1:] |= alone[:-1]
         opens[heads] = True
         starts = np.flatnonzero(opens)
-        ends = np.append(starts[1:], len(put))
+        ends = np.append(starts[1:], len(put))[: len(starts)]
         size = np.diff(offsets)
         return put, starts, ends, np.searchsorted(starts, offsets + np.concatenate([[0], np.cumsum(size > 0)]))
 
