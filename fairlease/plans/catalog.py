@@ -808,11 +808,40 @@ def xml_parse_clean_leases(spark, sf):
     return _lease_check(clean.clean_leases(raw, _regions(spark, sf), binding.START_YM, binding.END_YM))
 
 
-@register("xml_payload_errors", "select 'none' result_code where false")
+_FAULTS_SQL = with_binding(
+    """
+, reqs as (select distinct gu_code, replace(ym, '-', '') deal_ymd, property_type from leases),
+told as (select *, (cast(right(gu_code, 2) as bigint) + cast(deal_ymd as bigint)) % 6 fault from reqs)
+select 'rent_' || property_type source_api, gu_code request_gu_code, deal_ymd request_deal_ymd,
+  case fault when 1 then '03' when 2 then '30' when 3 then 'MALFORMED' when 4 then 'MALFORMED' else 'EMPTY' end result_code,
+  case fault when 1 then 'NODATA' when 2 then 'SERVICE_KEY_IS_NOT_REGISTERED_ERROR' end result_msg, fault <> 5 has_payload
+from told where fault > 0
+"""
+)
+
+
+def faulty_payloads(spark, sf) -> DataFrame:
+    """One lease page per request, five of six spoilt: an API error in the header, a service error
+    envelope, a truncated body, a body that is no XML, and none at all (by a rule on the request key)."""
+    p = lease_payloads(spark, sf)
+    fault = (F.substring("request_gu_code", 4, 2).cast("bigint") + F.col("request_deal_ymd").cast("bigint")) % 6
+    header = F.lit("<response><header><resultCode>03</resultCode><resultMsg>NODATA</resultMsg></header></response>")
+    service = F.lit(
+        "<OpenAPI_ServiceResponse><cmmMsgHeader><errMsg>SERVICE ERROR</errMsg>"
+        "<returnAuthMsg>SERVICE_KEY_IS_NOT_REGISTERED_ERROR</returnAuthMsg><returnReasonCode>30</returnReasonCode></cmmMsgHeader></OpenAPI_ServiceResponse>"
+    )
+    cut = F.expr("substr(payload, 1, length(payload) div 2)")
+    spoilt = F.when(fault == 0, F.col("payload")).when(fault == 1, header).when(fault == 2, service).when(fault == 3, cut).when(fault == 4, F.lit("upstream timed out"))
+    return p.withColumn("payload", spoilt)
+
+
+@register("xml_payload_errors", _FAULTS_SQL)
 def xml_payload_errors(spark, sf):
-    """A4 error routing: every fixture payload has an OK code, so the error frame is empty."""
-    _rows, errors = io.parse_trade_xml(lease_payloads(spark, sf), "payload", ("source_api",))
-    return errors.select("result_code")
+    """A4 error routing: every spoilt page lands in the error frame with its code and payload."""
+    keep = ("source_api", "request_gu_code", "request_deal_ymd")
+    _rows, errors = io.parse_trade_xml(faulty_payloads(spark, sf), "payload", keep)
+    pages = errors.groupBy(*keep, "result_code").agg(F.max("result_msg").alias("result_msg"), F.max(F.col("payload").isNotNull()).alias("has_payload"))
+    return pages.withColumn("result_msg", F.when(~F.col("result_code").isin("MALFORMED", "EMPTY"), F.col("result_msg")))
 
 
 @register("csv_families_roundtrip", _LEASE_CHECK_SQL)
@@ -840,7 +869,7 @@ _MANIFEST_SQL = with_binding(
 , cat(source_api, trade_type, property_type) as (values ('rent_apt','rent','apt'), ('rent_rh','rent','rh'),
   ('rent_officetel','rent','officetel'), ('rent_detached','rent','detached'), ('sale_apt','sale','apt'), ('sale_rh','sale','rh'),
   ('sale_officetel','sale','officetel'), ('sale_detached','sale','detached')),
-months as (select strftime(m, '%Y%m') deal_ymd from range(date '1996-01-01', date '2000-01-01', interval 1 month) t(m)),
+months as (select strftime(m, '%Y%m') deal_ymd from range(date '1995-01-01', date '2002-01-01', interval 1 month) t(m)),
 regs as (select lpad(cast(n_nationkey as varchar), 5, '0') gu_code from nation),
 man as (select * from cat, regs, months),
 tot as (select trade_type, property_type, gu_code, replace(ym, '-', '') deal_ymd, count(*) total_count from (
@@ -1421,13 +1450,13 @@ def value_listings_query(spark, sf):
 # ---------------------------------------------------------------- remaining sources / cleaning composites
 _SALES_SQL = with_binding(
     "select row_key, gu_code, gu_name, ym, contract_date, property_type, round(sale_price_won, 2) sale_price_won, area_m2,"
-    " round(sale_price_per_m2, 4) sale_price_per_m2 from sales"
+    " round(sale_price_per_m2, 4) sale_price_per_m2 from sales where ym between '1996-01' and '1999-12'"
 )
 
 
 @register("clean_sales", _SALES_SQL)
 def clean_sales_query(spark, sf):
-    """Raw all-string sale extract (API tag names) -> typed sales."""
+    """B15 + B8: raw all-string sale extract (API tag names) -> typed sales of a period."""
     s = _sources(spark, sf)[2]
     raw = s.select(
         F.col("gu_code").alias("sggCd"), F.year("contract_date").cast("string").alias("dealYear"),
@@ -1435,7 +1464,7 @@ def clean_sales_query(spark, sf):
         F.format_number(F.col("sale_price_won") / 10000, 4).alias("dealAmount"), F.col("area_m2").cast("string").alias("buildingAr"),
         "property_type", "row_key",
     )
-    out = clean.clean_sales(raw, _regions(spark, sf), binding.START_YM, binding.END_YM)
+    out = clean.clean_sales(raw, _regions(spark, sf), "1996-01", "1999-12")
     return out.select("row_key", "gu_code", "gu_name", "ym", "contract_date", "property_type", F.round("sale_price_won", 2).alias("sale_price_won"),
                       "area_m2", F.round("sale_price_per_m2", 4).alias("sale_price_per_m2"))
 

@@ -16,7 +16,6 @@ b as (
               cast(l_quantity as bigint),strftime(l_shipdate,'%Y-%m'),l_returnflag,l_linestatus) row_key
   from lineitem join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey
        join part on l_partkey=p_partkey
-  where strftime(l_shipdate,'%Y-%m') between '1996-01' and '1999-12'
 ),
 listings as (
   select gu_code, gu_name, ym, contract_date, property_type, housing_type, detail_type, room_count, area_m2,
@@ -35,7 +34,7 @@ sales as (
          deposit_won / nullif(area_m2, 0) sale_price_per_m2, row_key
   from b where rf = 'R'
 ),
-lease_feats as (
+lease_feats as materialized (
   select gu_code, gu_name, ym, property_type, count(*) rent_txn_count,
          count(*) filter (where rent_type = 'jeonse') jeonse_txn_count,
          median(deposit_won) rent_deposit_median, avg(deposit_won) rent_deposit_mean,
@@ -43,7 +42,7 @@ lease_feats as (
          median(monthly_rent_won) monthly_rent_median, median(area_m2) area_m2_median
   from leases group by all
 ),
-sale_feats as (
+sale_feats as materialized (
   select gu_code, gu_name, ym, property_type, count(*) sale_txn_count,
          median(sale_price_won) sale_price_median, avg(sale_price_won) sale_price_mean,
          median(sale_price_per_m2) sale_price_per_m2_median, avg(sale_price_per_m2) sale_price_per_m2_mean,
@@ -154,7 +153,7 @@ w1 as (
     case when deposit_per_m2_clean is not null then least(greatest(deposit_per_m2_clean, d_lo), d_hi) end deposit_per_m2_clean_winsor
   from h3, wb
 ),
-flagged as (
+flagged as materialized (
   select *, ln(1 + lh_vs_rent_median_ratio_winsor) log1p_lh_vs_rent_median_ratio_winsor,
     ln(1 + lh_vs_sale_median_ratio_winsor) log1p_lh_vs_sale_median_ratio_winsor,
     ln(1 + jeonse_to_sale_ratio_median_winsor) log1p_jeonse_to_sale_ratio_median_winsor,

@@ -84,24 +84,46 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 
 # A4 ---------------------------------------------------------------------------
+#: Both envelopes: the data response, and the gateway's service error.
 XML_SCHEMA = (
     "header struct<resultCode string, resultMsg string, returnReasonCode string, returnAuthMsg string>,"
-    " body struct<items struct<item array<map<string, string>>>, totalCount long>"
+    " cmmMsgHeader struct<resultCode string, resultMsg string, returnReasonCode string, returnAuthMsg string>,"
+    " body struct<items struct<item array<map<string, string>>>, totalCount long>, _malformed string"
 )
+MALFORMED, EMPTY = "MALFORMED", "EMPTY"
 
 
 def parse_trade_xml(df: DataFrame, payload_col: str = "payload", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): one row per ``<item>`` (its child tags as a string map, trimmed), plus
-    the payload status; payloads whose result code is not OK go to ``errors``."""
-    parsed = df.select(*keep, F.from_xml(F.col(payload_col), XML_SCHEMA).alias("x"))
-    code = F.coalesce(F.col("x.header.resultCode"), F.col("x.header.returnReasonCode"))
-    msg = F.coalesce(F.col("x.header.resultMsg"), F.col("x.header.returnAuthMsg"))
+    """(rows, errors): one row per ``<item>`` (its child tags as a string map, trimmed) with the
+    response's total, and one error row per payload that is no good.
+
+    Errors keep the payload and carry its result code: the API's or the gateway's own, ``MALFORMED``
+    for what does not parse as a whole (cut off, no XML), ``EMPTY`` for a null or blank payload and
+    for one with neither code nor body.  Every payload gives rows, an error, or is a good empty page.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
+    text = F.col(payload_col).cast("string")
+    whole = F.trim(text).rlike(r"(?s)^<.*>$")  # the parser alone would take a cut-off text for an empty one
+    parsed = df.select(*keep, text.alias("payload"), whole.alias("whole"), F.from_xml(text, XML_SCHEMA, options).alias("x"))
+
+    def said(field: str) -> F.Column:
+        # in either envelope, else anywhere in the document
+        anywhere = F.regexp_extract("payload", rf"(?s)<{field}>\s*(.*?)\s*</{field}>", 1)
+        found = F.coalesce(F.col(f"x.header.{field}"), F.col(f"x.cmmMsgHeader.{field}"), anywhere)
+        return F.nullif(F.trim(found), F.lit(""))
+
+    body = F.col("x.body").isNotNull()
+    blank = F.col("payload").isNull() | (F.trim("payload") == "")
+    broken = ~F.col("whole") | F.col("x").isNull() | F.col("x._malformed").isNotNull()
+    told = F.coalesce(said("resultCode"), said("returnReasonCode"))
+    code = F.when(blank, F.lit(EMPTY)).when(broken, F.lit(MALFORMED)).otherwise(F.coalesce(told, F.when(~body, F.lit(EMPTY))))
+    msg = F.when(blank | broken, F.substring("payload", 1, 200)).otherwise(F.coalesce(said("resultMsg"), said("returnAuthMsg")))
     parsed = parsed.select(
-        *keep, code.alias("result_code"), msg.alias("result_msg"), F.coalesce(F.col("x.body.totalCount"), F.lit(0)).alias("total_count"),
+        *keep, "payload", code.alias("result_code"), msg.alias("result_msg"), F.coalesce(F.col("x.body.totalCount"), F.lit(0)).alias("total_count"),
         F.col("x.body.items.item").alias("items"),
     )
     ok = F.col("result_code").isNull() | F.col("result_code").isin(*OK_CODES)
-    errors = parsed.filter(~ok).select(*keep, "result_code", "result_msg")
+    errors = parsed.filter(~ok).select(*keep, "result_code", "result_msg", "payload")
     rows = parsed.filter(ok).select(*keep, "total_count", F.explode("items").alias("item"))
     rows = rows.select(*keep, "total_count", F.transform_values("item", lambda k, v: F.trim(v)).alias("item"))
     return rows, errors

@@ -24,3 +24,36 @@ def test_read_or_empty_missing(spark):
     d = tempfile.mkdtemp(prefix="fairlease-src-")
     df = io.read_or_empty(spark, os.path.join(d, "absent"), SCHEMA, fmt="csv")
     assert df.count() == 0 and df.schema == SCHEMA
+
+
+GOOD = "<response><header><resultCode>000</resultCode><resultMsg>OK</resultMsg></header><body><items>{}</items><totalCount>{}</totalCount></body></response>"
+
+
+def test_every_payload_gives_rows_or_an_error(spark):
+    item = "<item><a> 1 </a><b/></item>"
+    payloads = {
+        "one": GOOD.format(item, 1),
+        "two": GOOD.format(item + "<item><a>2</a></item>", 2),
+        "none": GOOD.format("", 0),
+        "header": "<response><header><resultCode>03</resultCode><resultMsg>NODATA</resultMsg></header></response>",
+        "service": "<OpenAPI_ServiceResponse><cmmMsgHeader><errMsg>E</errMsg><returnAuthMsg>NO KEY</returnAuthMsg><returnReasonCode>30</returnReasonCode></cmmMsgHeader></OpenAPI_ServiceResponse>",
+        "deep": "<r><x><y><resultCode>99</resultCode></y></x></r>",
+        "cut": GOOD.format(item, 1)[:-40],
+        "cut_early": GOOD.format(item, 1)[:60],
+        "unclosed": "<response><header><resultCode>000</resultCode></header><body>",
+        "text": "upstream timed out",
+        "html": "<p>Bad gateway",
+        "bare": "<response/>",
+        "blank": "  ",
+        "null": None,
+    }
+    rows, errors = io.parse_trade_xml(spark.createDataFrame(list(payloads.items()), "k string, payload string"), "payload", ("k",))
+    items = [(r["k"], r["item"]) for r in rows.collect()]
+    assert sorted(k for k, _ in items) == ["one", "two", "two"] and all(v["a"] in ("1", "2") for _, v in items)
+    bad = {r["k"]: (r["result_code"], r["payload"]) for r in errors.collect()}
+    assert {k: c for k, (c, _) in bad.items()} == {
+        "header": "03", "service": "30", "deep": "99", "cut": "MALFORMED", "cut_early": "MALFORMED", "unclosed": "MALFORMED", "text": "MALFORMED",
+        "html": "MALFORMED", "bare": "EMPTY", "blank": "EMPTY", "null": "EMPTY",
+    }
+    assert all(p == payloads[k] for k, (_, p) in bad.items())
+    assert {k for k, _ in items} | set(bad) | {"none"} == set(payloads)
