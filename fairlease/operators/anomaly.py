@@ -48,7 +48,7 @@ UNSUP_NUM = ("area_m2_clean", "room_count_clean", "rent_deposit_median_log")
 
 
 # J1 ---------------------------------------------------------------------------
-def fit_kmeans(df: DataFrame, k: int, restarts: int = 5, seed: int = 42, features: str = "features", max_iter: int = 50):
+def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, seed: int = 42, features: str = "features", max_iter: int = 50):
     """Best of ``restarts`` seeded k-means fits (lowest training cost)."""
     best = None
     for i in range(restarts):
@@ -284,13 +284,11 @@ def reconstruction_error(df: DataFrame, vec: str, k: int = 3, out: str = "recons
     scaler = StandardScaler(inputCol=vec, outputCol="__z", withMean=True, withStd=True).fit(df)
     z = scaler.transform(df)
     pca = PCA(k=k, inputCol="__z", outputCol="__p").fit(z)
-    pc = pca.pc.toArray()  # d x k
-    proj = pc @ pc.T  # d x d reconstruction operator
-    d = proj.shape[0]
-    arr = vector_to_array(F.col("__z"))
-    rec = F.array(*[sum((arr[j] * float(proj[i, j]) for j in range(d) if proj[i, j] != 0.0), F.lit(0.0)) for i in range(d)])
-    err = F.aggregate(F.zip_with(arr, rec, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x) / float(d)
-    return z.withColumn(out, err).drop("__z"), pca
+    # the axes are orthonormal: what the reconstruction leaves is |z|^2 - |projection|^2
+    square = lambda v: F.aggregate(vector_to_array(F.col(v)), F.lit(0.0), lambda acc, x: acc + x * x)
+    rows = pca.transform(z)
+    err = F.greatest(square("__z") - square("__p"), F.lit(0.0)) / F.size(vector_to_array(F.col("__z")))
+    return rows.withColumn(out, err).drop("__z", "__p"), pca
 
 
 # J8 ---------------------------------------------------------------------------
@@ -321,12 +319,15 @@ def idw_project(df: DataFrame, vec: str, ref_x: np.ndarray, ref_xy: np.ndarray,
                 yield pdf
                 continue
             x = np.stack(pdf[vec].to_numpy()).astype(float)
-            d = np.sqrt(((x[:, None, :] - rx[None, :, :]) ** 2).sum(axis=2))
-            near = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-            dn = np.take_along_axis(d, near, axis=1)
-            w = 1.0 / (dn + 1e-6)
-            w = w / w.sum(axis=1, keepdims=True)
-            xy = (rxy[near] * w[:, :, None]).sum(axis=1)
+            xy = np.empty((len(x), 2))
+            step = max(1, 4_000_000 // max(1, rx.size))  # rows at a time: about 32 MB of differences
+            for lo in range(0, len(x), step):
+                d = np.sqrt(((x[lo : lo + step, None, :] - rx[None, :, :]) ** 2).sum(axis=2))
+                near = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+                dn = np.take_along_axis(d, near, axis=1)
+                w = 1.0 / (dn + 1e-6)
+                w = w / w.sum(axis=1, keepdims=True)
+                xy[lo : lo + step] = (rxy[near] * w[:, :, None]).sum(axis=1)
             pdf["cluster_x"], pdf["cluster_y"] = xy[:, 0], xy[:, 1]
             yield pdf
 

@@ -11,14 +11,15 @@ import json
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlease.functions.columns import MISSING, nan_to_null
 from fairlease.operators.quantiles import global_percentiles
+from fairlease.session import cut_lineage
 
 
 # H2 ---------------------------------------------------------------------------
@@ -38,38 +39,52 @@ def categorical_frame(df: DataFrame, features: Sequence[str], cat: Sequence[str]
 
 
 # H1 ---------------------------------------------------------------------------
-def design_pipeline(cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features") -> Pipeline:
+class Design:
     """Numeric median fill (+ standardise), categorical index with unseen -> extra slot (+ sparse one-hot).
 
     Categoricals must already carry ``__MISSING__`` for NULL (see :func:`categorical_frame`).
-    ``Imputer`` computes medians with relative error 0.001 (a bounded sketch, not a collect).
+    Medians are exact, the deviation is the population's (0 -> 1); a column without any value is
+    filled with 0.  ``fit`` returns a :class:`PipelineModel`, which Spark ML can save.
     """
-    stages = []
-    num = list(num)
-    cat = list(cat)
-    num_out = [f"{c}__imp" for c in num]
-    if num:
-        stages.append(Imputer(strategy="median", inputCols=num, outputCols=num_out))
-    idx = [f"{c}__idx" for c in cat]
-    if cat:
-        stages.append(StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep", stringOrderType="frequencyDesc"))
-    parts = []
-    if num:
-        stages.append(VectorAssembler(inputCols=num_out, outputCol="__num", handleInvalid="keep"))
-        if scale:
-            stages.append(StandardScaler(inputCol="__num", outputCol="__num_s", withMean=True, withStd=True))
-            parts.append("__num_s")
-        else:
-            parts.append("__num")
-    if cat:
-        if one_hot:
-            oh = [f"{c}__oh" for c in cat]
-            stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=False, handleInvalid="keep"))
-            parts += oh
-        else:
-            parts += idx
-    stages.append(VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep"))
-    return Pipeline(stages=stages)
+
+    def __init__(self, cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features"):
+        self.cat, self.num, self.one_hot, self.scale, self.output = list(cat), list(num), one_hot, scale, output
+
+    def numeric_stats(self, df: DataFrame) -> dict[str, tuple[float, float, float]]:
+        """Column to (median, mean, deviation) of the filled values."""
+        if not self.num:
+            return {}
+        med = global_percentiles(df.select(*self.num), [(c, c, 0.5) for c in self.num]).first()
+        fill = {c: float(med[c]) if med[c] is not None else 0.0 for c in self.num}
+        filled = {c: F.coalesce(nan_to_null(c), F.lit(fill[c])) for c in self.num}
+        ms = df.agg(*[F.avg(filled[c]).alias(f"a_{c}") for c in self.num], *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in self.num]).first()
+        return {c: (fill[c], float(ms[f"a_{c}"] or 0.0), float(ms[f"s_{c}"] or 0.0) or 1.0) for c in self.num}
+
+    def fit(self, df: DataFrame) -> PipelineModel:
+        stages = []
+        stats = self.numeric_stats(df)
+        if self.num:
+            value = lambda c: f"coalesce(nanvl(cast(`{c}` as double), null), {stats[c][0]!r}D)"
+            shaped = {c: f"({value(c)} - {stats[c][1]!r}D) / {stats[c][2]!r}D" if self.scale else value(c) for c in self.num}
+            stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"{shaped[c]} AS `{c}__imp`" for c in self.num) + " FROM __THIS__"))
+            stages.append(VectorAssembler(inputCols=[f"{c}__imp" for c in self.num], outputCol="__num", handleInvalid="keep"))
+        parts = ["__num"] if self.num else []
+        idx = [f"{c}__idx" for c in self.cat]
+        if self.cat:
+            indexer = StringIndexer(inputCols=self.cat, outputCols=idx, handleInvalid="keep", stringOrderType="frequencyDesc").fit(df)
+            stages.append(indexer)
+            if self.one_hot:
+                oh = [f"{c}__oh" for c in self.cat]
+                stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=False, handleInvalid="keep").fit(indexer.transform(df)))
+                parts += oh
+            else:
+                parts += idx
+        stages.append(VectorAssembler(inputCols=parts, outputCol=self.output, handleInvalid="keep"))
+        return PipelineModel(stages=stages)
+
+
+def design_pipeline(cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features") -> Design:
+    return Design(cat, num, one_hot, scale, output)
 
 
 # H3 ---------------------------------------------------------------------------
@@ -79,7 +94,7 @@ def fit_ordinal(df: DataFrame, cat: Sequence[str], num: Sequence[str]) -> tuple[
     maps = None
     for c in cat:
         vals = df.select(F.col(c).cast("string").alias("value")).filter(F.col("value").isNotNull()).distinct()
-        m = vals.select(F.lit(c).alias("column"), "value", (F.dense_rank().over(Window.orderBy("value")) + 1).alias("code"))
+        m = sorted_codes(vals).select(F.lit(c).alias("column"), "value", (F.col("position") + 1).alias("code"))
         maps = m if maps is None else maps.unionByName(m)
     stats = None
     for c in num:
@@ -91,12 +106,26 @@ def fit_ordinal(df: DataFrame, cat: Sequence[str], num: Sequence[str]) -> tuple[
     return maps, stats
 
 
+def sorted_codes(values: DataFrame) -> DataFrame:
+    """``value`` and its 1-based position in sort order; values are distinct and may be many.
+
+    Sorted in ranges whose ids a checkpoint pins; a range's rows are numbered on their own and shifted
+    by the sizes of the ranges before.
+    """
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(values.repartitionByRange(n, "value").withColumn("__p", F.spark_partition_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy("value"))
+    return ranged.withColumn("__k", own).join(F.broadcast(starts), "__p").select("value", (F.col("__start") + F.col("__k")).alias("position"))
+
+
 def apply_ordinal(df: DataFrame, maps: DataFrame, stats: DataFrame, cat: Sequence[str], num: Sequence[str]) -> DataFrame:
-    """Codes by broadcast join per categorical (map tables are one row per distinct value); numerics
-    filled with the median then standardised."""
+    """Codes by a join per categorical (map tables are one row per distinct value, no hint: Spark
+    broadcasts what it has measured to be small); numerics filled with the median then standardised."""
     out = df
     for c in cat:
-        m = F.broadcast(maps.filter(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}")))
+        m = maps.filter(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
         out = out.join(m, F.col(c).cast("string") == F.col(f"__v_{c}"), "left")
         out = out.withColumn(f"{c}_code", F.when(F.col(c).isNull(), 1).otherwise(F.coalesce(F.col(f"__c_{c}"), F.lit(0)))).drop(f"__v_{c}", f"__c_{c}")
     for c in num:
@@ -136,20 +165,21 @@ def make_regressor(spec: Mapping, features: str = "features", label: str = "targ
     return RandomForestRegressor(featuresCol=features, labelCol=label, seed=seed, maxBins=max_bins, **params)
 
 
-def tree_design(cat: Sequence[str], num: Sequence[str]) -> Pipeline:
+def tree_design(cat: Sequence[str], num: Sequence[str]) -> Design:
     """Trees take indexed categoricals (no one-hot, no scaling)."""
     return design_pipeline(cat, num, one_hot=False, scale=False)
 
 
 def fit_model(train: DataFrame, valid: DataFrame | None, cat, num, spec: Mapping, label: str = "target", seed: int = 42) -> PipelineModel:
-    """Design + regressor fitted on train; GBTs early-stop on ``valid`` (never on the test split)."""
-    data = train.withColumn("__is_valid", F.lit(False))
+    """Design and regressor, both fitted on train; GBTs early-stop on ``valid``, which the design
+    only transforms (medians and category indexes never see it)."""
     early = valid is not None and spec["kind"] == "gbt"
+    design = tree_design(cat, num).fit(train)
+    data = design.transform(train).select("features", label, F.lit(False).alias("__is_valid"))
     if early:
-        data = data.unionByName(valid.withColumn("__is_valid", F.lit(True)))
-    reg = make_regressor(spec, label=label, seed=seed, early_stop=early)
-    design = tree_design(cat, num)
-    return Pipeline(stages=design.getStages() + [reg]).fit(data)
+        data = data.unionByName(design.transform(valid).select("features", label, F.lit(True).alias("__is_valid")))
+    reg = make_regressor(spec, label=label, seed=seed, early_stop=early).fit(data)
+    return PipelineModel(stages=[*design.stages, reg])
 
 
 def train_tree_models(train: DataFrame, valid: DataFrame, cat, num, specs: Mapping[str, Mapping] = TREE_SPECS, label: str = "target"):

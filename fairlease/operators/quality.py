@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fairlease.functions.columns import IN_DOMAIN_TYPES, OOD_TYPES, nan_to_null, safe_ratio
 from fairlease.operators.quantiles import _null_safe_join, global_percentiles, group_percentiles
+from fairlease.session import materialize
 
 # Fixed rule thresholds (must equal the reference's).
 AREA_MIN_M2 = 5
@@ -232,20 +233,23 @@ def quality_report(raw: DataFrame, flagged: DataFrame, train: DataFrame, ood: Da
             F.lit(section).alias("section"), F.coalesce("property_type", F.lit("<null>")).alias("key"), "value"
         )
 
-    rows = raw.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows").alias("section"), F.lit("input_rows").alias("key"), "value")
-    for name, df in (("flagged_rows", flagged), ("preprocessed_train_rows", train), ("preprocessed_ood_rows", ood)):
-        rows = rows.unionByName(df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows").alias("section"), F.lit(name).alias("key"), "value"))
+    tables = (("input", raw), ("train", train), ("ood", ood))
+    # one scan a table: the row counts are the sums of the type counts
+    by_type = None
+    for name, df in tables:
+        part = df.groupBy(F.coalesce("property_type", F.lit("<null>")).alias("key")).agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("t"), "key", "value")
+        by_type = part if by_type is None else by_type.unionByName(part)
+    by_type = materialize(by_type)  # a row a type
+    row_names = F.create_map(*[F.lit(x) for x in ("input", "input_rows", "train", "preprocessed_train_rows", "ood", "preprocessed_ood_rows")])
+    names = raw.sparkSession.createDataFrame([(n,) for n, _ in tables], "t string")
+    rows = names.join(by_type, "t", "left").groupBy("t").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))
+    rows = rows.select(F.lit("rows").alias("section"), row_names[F.col("t")].alias("key"), "value")
     flag_cols = [c for c in FLAG_COLUMNS if c in flagged.columns]
-    flags = flagged.agg(*[F.count_if(F.col(c)).alias(c) for c in flag_cols])
-    flags = flags.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in flag_cols])).alias("kv")
-    ).select(F.lit("flag_counts").alias("section"), "kv.key", "kv.value")
-    return (
-        rows.unionByName(counts(raw, "property_type_counts_input"))
-        .unionByName(counts(train, "property_type_counts_train"))
-        .unionByName(counts(ood, "property_type_counts_ood"))
-        .unionByName(flags)
-    )
+    flags = flagged.agg(F.count(F.lit(1)).alias("flagged_rows"), *[F.count_if(F.col(c)).alias(c) for c in flag_cols])
+    entry = lambda section, c: F.struct(F.lit(section).alias("section"), F.lit(c).alias("key"), F.col(c).alias("value"))
+    flags = flags.select(F.explode(F.array(entry("rows", "flagged_rows"), *[entry("flag_counts", c) for c in flag_cols])).alias("kv")).select("kv.*")
+    types = by_type.select(F.concat(F.lit("property_type_counts_"), F.col("t")).alias("section"), "key", "value")
+    return rows.unionByName(types).unionByName(flags)
 
 
 # C8 ---------------------------------------------------------------------------
@@ -280,13 +284,26 @@ EXCLUDE_COLUMNS = (
     "row_key",
     "split",
 )
+NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
 CATEGORICAL_COLUMNS = ("gu_code", "gu_name", "ym", "property_type", "housing_type", "detail_type", "cluster_id")
 
 
 def select_features(df: DataFrame, target: str, exclude: Sequence[str] = EXCLUDE_COLUMNS):
-    """(features, categorical, numeric) from the schema; booleans and other types are dropped."""
+    """(features, categorical, numeric) from the schema; booleans count as numeric, other types are dropped."""
     usable = [c for c in df.columns if c not in exclude and c != target]
     types = dict(df.dtypes)
     cat = [c for c in usable if c in CATEGORICAL_COLUMNS or types[c] == "string"]
-    num = [c for c in usable if c not in cat and types[c] in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    num = [c for c in usable if c not in cat and types[c] in NUMERIC_TYPES or types[c].startswith("decimal")]
     return cat + num, cat, num
+
+
+COMBO_COLUMNS = ("gu_property", "gu_ym", "property_ym", "housing_type_ym", "detail_type_ym")
+
+
+def final_features(df: DataFrame, target: str = TARGET):
+    """(features, categorical, numeric) of the final model: the selected columns, then the combined keys."""
+    feats, cat, num = select_features(df, target)
+    combos = [c for c in COMBO_COLUMNS if c in df.columns]
+    feats = [c for c in feats if c not in combos] + combos
+    cat = [c for c in cat if c not in combos] + combos
+    return feats, cat, [c for c in feats if c not in cat]

@@ -192,7 +192,7 @@ def price_score(df: DataFrame, asking: str = "deposit_won") -> DataFrame:
 
 
 # K7 ---------------------------------------------------------------------------
-def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score", key: str = "row_key", mode: str = "auto") -> DataFrame:
+def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score", key: str = "row_key", mode: str = "checkpoint") -> DataFrame:
     """Percentiles and calibrated tail scores of k-means distance and isolation score against a
     reference sample; anomaly = 0.55 k-means tail + 0.45 isolation tail, raw = mean of percentiles.
     Each score is computed on a narrow (key, value) projection and joined back."""

@@ -1316,26 +1316,43 @@ def _unsup_matrix(spark, sf) -> DataFrame:
     return _shared("unsup_matrix", spark, sf, build)
 
 
-@register("design_matrix", None)
+_DESIGN_SQL = with_flagged(
+    """
+, u as (select row_key, coalesce(property_type, '__MISSING__') property_type, area_m2_clean a, room_count_clean r,
+    case when rent_deposit_median is not null then ln(1 + greatest(rent_deposit_median, 0)) end m from train_domain),
+med as (select median(a) a, median(r) r, median(m) m from u),
+f as (select row_key, property_type, coalesce(u.a, med.a) a, coalesce(u.r, med.r) r, coalesce(u.m, med.m) m from u, med),
+st as (select avg(a) aa, stddev_pop(a) sa, avg(r) ar, stddev_pop(r) sr, avg(m) am, stddev_pop(m) sm from f)
+select row_key, round((a - aa) / sa, 6) area_scaled, round((r - ar) / sr, 6) rooms_scaled, round((m - am) / sm, 6) median_scaled,
+  cast((select count(distinct property_type) from u) + 5 as int) n_features, 1.0::double n_hot
+from f, st
+"""
+)
+
+
+@register("design_matrix", _DESIGN_SQL)
 def design_matrix_query(spark, sf):
-    """H1 (rows-only): median fill + standardise + one-hot design vectors for the train-domain rows."""
+    """H1: exact median fill, standardised numerics and one-hot design vectors for the train-domain rows."""
     from pyspark.ml.functions import vector_to_array
 
-    return _unsup_matrix(spark, sf).select("row_key", F.size(vector_to_array("features")).alias("n_features"))
+    x = _unsup_matrix(spark, sf).select("row_key", vector_to_array("features").alias("v"))
+    scaled = {c: F.round(F.col("v")[i], 6) + 0.0 for i, c in enumerate(("area_scaled", "rooms_scaled", "median_scaled"))}
+    hot = F.aggregate(F.slice("v", 4, F.size("v")), F.lit(0.0), lambda a, b: a + b)
+    return x.select("row_key", *[e.alias(c) for c, e in scaled.items()], F.size("v").alias("n_features"), hot.alias("n_hot"))
 
 
 @register("kmeans_fit", None)
 def kmeans_fit_query(spark, sf):
-    """J1 (rows-only): best-of-3 k-means (k=6) on the design matrix; rows per cluster."""
-    km = anomaly.fit_kmeans(_unsup_matrix(spark, sf), 6, 3, 42)
+    """J1 (rows-only): best k-means (k=12, all restarts) on the design matrix; rows per cluster."""
+    km = anomaly.fit_kmeans(_unsup_matrix(spark, sf), 12)
     return km.transform(_unsup_matrix(spark, sf)).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("isolation_forest", None)
 def isolation_forest_query(spark, sf):
-    """J5 (rows-only): 100-tree isolation forest, contamination offset; one score per row."""
+    """J5 (rows-only): isolation forest, contamination offset; one score per row."""
     x = _unsup_matrix(spark, sf)
-    forest = anomaly.fit_isolation_forest(x, "features", "row_key", n_trees=100)
+    forest = anomaly.fit_isolation_forest(x, "features", "row_key")
     return forest.score_frame(x, "features").select("row_key", "isolation_score")
 
 
@@ -1359,7 +1376,7 @@ def idw_projection_query(spark, sf):
 
     x = _unsup_matrix(spark, sf)
     pc, _ = anomaly.pca_2d(x, "features")
-    km = anomaly.fit_kmeans(x, 6, 1, 42)
+    km = anomaly.fit_kmeans(x, 12)
     sample = sample_per_group(km.transform(pc), "cluster", 350).select("features", F.col("pca_x").alias("cluster_x"), F.col("pca_y").alias("cluster_y"))
     rows = sample.collect()  # bounded: ≤ 350 x k points
     import numpy as np
@@ -1379,31 +1396,29 @@ def tree_models_query(spark, sf):
     rows = _model_rows(spark, sf)
     fr = lambda d: valuation._model_frame(d)
     cat, num = list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM)
-    specs = {k: dict(v, **({"maxIter": 15} if v["kind"] == "gbt" else {"numTrees": 20})) for k, v in models.TREE_SPECS.items()}
-    fitted, _failed = models.train_tree_models(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num, specs)
+    fitted, _failed = models.train_tree_models(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num)
     preds = models.predict(fitted, fr(rows.filter("split = 'test'")))
     return stats.regression_metrics(preds, "target", [f"pred_{n}" for n in fitted])
 
 
 @register("tune_search", None)
 def tune_search_query(spark, sf):
-    """I3 (rows-only): seeded random search, 3 trials, validation RMSE."""
+    """I3 (rows-only): seeded random search, validation RMSE of every trial."""
     rows = _model_rows(spark, sf)
     fr = valuation._model_frame
     _best, trials = models.tune(
         fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
-        {"maxDepth": ("int", 3, 6), "stepSize": ("log", 0.03, 0.3)}, n_trials=3, base={"kind": "gbt", "maxIter": 10},
+        {"maxDepth": ("int", 3, 6), "stepSize": ("log", 0.03, 0.3)},
     )
     return trials
 
 
 @register("oof_predictions", None)
 def oof_predictions_query(spark, sf):
-    """I4 (rows-only): 3 contiguous month folds, one small GBT, out-of-fold predictions."""
+    """I4 (rows-only): 5 contiguous month folds, every tree model, out-of-fold predictions."""
     rows = _model_rows(spark, sf).filter("split = 'train'")
-    folds = splits.month_folds(rows, 3)
-    return models.oof_predictions(valuation._model_frame(rows), folds, list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
-                                  {"gbt": {"kind": "gbt", "maxIter": 10, "maxDepth": 4}})
+    folds = splits.month_folds(rows, 5)
+    return models.oof_predictions(valuation._model_frame(rows), folds, list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM), models.TREE_SPECS)
 
 
 @register(
@@ -1435,7 +1450,7 @@ def _artifacts(spark, sf):
     key = ("artifacts", id(spark), sf)
     hit = _SHARED.get(key)
     if hit is None or hit[0] is not spark:
-        hit = (spark, valuation.fit_artifacts(_model_rows(spark, sf), k=6, restarts=2, trees=60))
+        hit = (spark, valuation.fit_artifacts(_model_rows(spark, sf)))
         _SHARED[key] = hit
     return hit[1]
 
@@ -1543,11 +1558,31 @@ def write_report_query(spark, sf):
     return spark.read.schema(report.schema).json(path)
 
 
-@register("select_features", None)
+#: C8 by hand: what the final model may see of the preprocessed table, with the rows that have a value.
+_FEATURE_LIST = {
+    "categorical": "gu_code gu_name ym property_type housing_type detail_type gu_property gu_ym property_ym housing_type_ym detail_type_ym",
+    "numeric": "room_count area_m2 household_size rent_txn_count jeonse_txn_count rent_deposit_median rent_deposit_mean rent_deposit_per_m2_median"
+    " rent_deposit_per_m2_mean monthly_rent_median area_m2_median sale_txn_count sale_price_median sale_price_mean sale_price_per_m2_median"
+    " sale_price_per_m2_mean sale_area_m2_median is_ood_property_type is_in_domain_property_type is_exact_duplicate area_missing_or_zero area_too_small"
+    " area_review_large area_too_large room_missing room_too_large household_size_missing_or_zero sale_feature_missing sale_low_confidence"
+    " rent_feature_missing area_m2_clean room_count_clean household_size_clean room_count_imputed household_size_imputed",
+}
+_COMBO_SOURCES = {"gu_property": ("gu_name", "property_type"), "gu_ym": ("gu_name", "ym"), "property_ym": ("property_type", "ym"), "housing_type_ym": ("housing_type", "ym"), "detail_type_ym": ("detail_type", "ym")}
+_FEATURES_SQL = with_flagged(
+    " " + " union all ".join(
+        f"select '{f}' feature, '{kind}' kind, count({'*' if f in _COMBO_SOURCES else f}) non_null from flagged" for kind, names in _FEATURE_LIST.items() for f in names.split()
+    )
+)
+
+
+@register("select_features", _FEATURES_SQL)
 def select_features_query(spark, sf):
-    """C8 (rows-only): leakage-safe feature lists from the preprocessed schema."""
-    feats, cat, num = quality.select_features(flagged_query(spark, sf), quality.TARGET)
-    return spark.createDataFrame([(f, "categorical" if f in cat else "numeric") for f in feats], "feature string, kind string")
+    """Leakage-safe feature lists of the final model and how many rows have each."""
+    fl = add_combo(flagged_query(spark, sf))
+    feats, cat, _num = quality.final_features(fl)
+    counts = fl.agg(*[F.count(F.col(f)).alias(f) for f in feats])
+    entry = [F.struct(F.lit(f).alias("feature"), F.lit("categorical" if f in cat else "numeric").alias("kind"), F.col(f).alias("non_null")) for f in feats]
+    return counts.select(F.explode(F.array(*entry)).alias("e")).select("e.*")
 
 
 # ---------------------------------------------------------------- remaining model-side operators
@@ -1602,7 +1637,7 @@ def holdout_predictions_query(spark, sf):
     fr = valuation._model_frame
     return models.holdout_predictions(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")),
                                       list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
-                                      {"gbt": {"kind": "gbt", "maxIter": 10, "maxDepth": 4}}, context=["gu_name", "property_type", "ym"])
+                                      models.TREE_SPECS, context=["gu_name", "property_type", "ym"])
 
 
 @register("final_model_roundtrip", None)
@@ -1611,7 +1646,7 @@ def final_model_roundtrip_query(spark, sf):
     rows = _model_rows(spark, sf)
     fr = valuation._model_frame
     m = models.fit_model(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), list(valuation.MODEL_FEATURES_CAT),
-                         list(valuation.MODEL_FEATURES_NUM), {"kind": "gbt", "maxIter": 10, "maxDepth": 4})
+                         list(valuation.MODEL_FEATURES_NUM), valuation.FINAL_SPEC)
     path = io.shared_path(spark, "models", uuid.uuid4().hex)
     models.save_model(m, path, {"features": list(valuation.MODEL_FEATURES_CAT) + list(valuation.MODEL_FEATURES_NUM), "confidence_level": 0.95})
     loaded, meta = models.load_model(path)

@@ -23,7 +23,7 @@ CONTENT_COLUMNS = (
 
 
 def flagged_dataset(
-    listings: DataFrame, leases: DataFrame, sales: DataFrame, dup_cols=CONTENT_COLUMNS, fit_on=None, mode: str = "auto",
+    listings: DataFrame, leases: DataFrame, sales: DataFrame, dup_cols=CONTENT_COLUMNS, fit_on=None, mode: str = "checkpoint",
     modeling: DataFrame | None = None,
 ) -> DataFrame:
     """Modeling table -> flags -> clean columns, with stage boundaries where a table is re-read.

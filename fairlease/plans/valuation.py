@@ -43,7 +43,7 @@ def _model_frame(df: DataFrame, keep=("row_key", "target", "deposit_won", "split
     return models.categorical_frame(df, list(MODEL_FEATURES_CAT) + list(MODEL_FEATURES_NUM), MODEL_FEATURES_CAT, MODEL_FEATURES_NUM, keep=[*keep, *df.columns])
 
 
-def fit_artifacts(labelled: DataFrame, k: int = 6, restarts: int = 3, trees: int = 100, seed: int = 42, alpha: float = 1 - CONFIDENCE) -> Artifacts:
+def fit_artifacts(labelled: DataFrame, k: int = 12, restarts: int = 20, trees: int = anomaly.IFOREST_TREES, seed: int = 42, alpha: float = 1 - CONFIDENCE) -> Artifacts:
     """``labelled``: training rows with ``target`` and ``split`` (train / valid / test)."""
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "valid")
@@ -71,7 +71,7 @@ def fit_artifacts(labelled: DataFrame, k: int = 6, restarts: int = 3, trees: int
     return Artifacts(model, median_lk, interval_lk, design, centers, cmap, zstats, forest, ref, meta)
 
 
-def value_listings(listings: DataFrame, art: Artifacts, mode: str = "auto") -> DataFrame:
+def value_listings(listings: DataFrame, art: Artifacts, mode: str = "checkpoint") -> DataFrame:
     """Per listing: filled lease median and source, fair deposit with 95 % band, cluster and anomaly
     scores, price scores, scope and labels (K4-K9).  Every step is per-row against static
     artefacts, so the batch and the stream give identical rows.  ``mode`` sets the stage boundaries

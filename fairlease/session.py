@@ -2,13 +2,15 @@
 
 ``get_spark`` is for tests, the bench and local runs; on a cluster the
 caller's session is used as is.  ``checkpoint_dir`` reads the shared
-``spark.checkpoint.dir`` the cluster names, and only sets a private one
-when the session has none (tests).
+``spark.checkpoint.dir`` the cluster names.  Only a local session without one
+gets a private folder, which goes when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +37,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a private temp one only when unset (local tests)."""
+    """The shared checkpoint folder; a private one only for a local session that names none."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="fairlease-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -55,20 +60,15 @@ def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def materialize(df: DataFrame, mode: str = "auto") -> DataFrame:
+def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
     """Stage boundary for a table that several downstream operators re-read.
 
     ``checkpoint``: reliable checkpoint into the shared ``spark.checkpoint.dir``
     (lineage cut, survives executor loss); ``persist``: memory+disk cache, recomputed
-    from lineage if blocks are lost; ``auto``: checkpoint when the session names a
-    checkpoint folder, else persist (local runs and tests).
+    from lineage if blocks are lost; ``none``: no boundary.
     """
     from pyspark import StorageLevel
 
-    if mode == "auto":
-        spark = df.sparkSession
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        mode = "checkpoint" if named else "persist"
     if mode == "checkpoint":
         return cut_lineage(df)
     if mode == "persist":

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlease.session import materialize
+
 # ---------------------------------------------------------------------------
 # The public trade-data API catalogue (name, trade type, property type).
 # ---------------------------------------------------------------------------
@@ -122,6 +124,7 @@ def parse_trade_xml(df: DataFrame, payload_col: str = "payload", keep: Sequence[
         *keep, "payload", code.alias("result_code"), msg.alias("result_msg"), F.coalesce(F.col("x.body.totalCount"), F.lit(0)).alias("total_count"),
         F.col("x.body.items.item").alias("items"),
     )
+    parsed = materialize(parsed)  # parsed once for both results
     ok = F.col("result_code").isNull() | F.col("result_code").isin(*OK_CODES)
     errors = parsed.filter(~ok).select(*keep, "result_code", "result_msg", "payload")
     rows = parsed.filter(ok).select(*keep, "total_count", F.explode("items").alias("item"))
