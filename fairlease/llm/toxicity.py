@@ -109,28 +109,37 @@ def _state(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield np.frombuffer(at, np.uint32).astype(np.int64), np.frombuffer(z, np.float32).astype(float), np.frombuffer(n, np.float32).astype(float)
 
 
-def _round(s: Settings):
-    """FTRL steps of one shard's texts from the shared state."""
-
-    def run(texts: pa.Table, state: pa.Table) -> pa.Table:
-        model = Ftrl(s)
-        for at, z, n in _state(state):
-            model.z[at], model.n[at] = z, n
-        if not texts.num_rows:
-            return _state_rows(np.empty(0, np.int64), np.empty(0), np.empty(0))
-        texts = texts.sort_by("order").combine_chunks()
-        rows = []
-        for lo, hi, row, feature in features(texts["text"]):
-            keys = sorted_unique((row.astype(np.uint64) << np.uint64(32)) | feature)
-            cuts = np.searchsorted(keys >> np.uint64(32), np.arange(lo, hi + 1))
-            small = keys.astype(np.uint32)
-            rows += [small[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        labels = texts["label"].to_pylist()
-        for _ in range(s.epochs):
-            for row, y in zip(rows, labels, strict=True):
-                model.step(row.astype(np.int64), y)
-        used = np.flatnonzero(model.n)
-        return _state_rows(used, model.z[used], model.n[used])
+def _steps(texts: pa.Table, state: pa.Table, s: Settings) -> pa.Table:
+    """The state after FTRL steps over one shard's texts."""
+    model = Ftrl(s)
+    for at, z, n in _state(state):
+        model.z[at], model.n[at] = z, n
+    texts = texts.sort_by("order").combine_chunks()
+    rows = []
+    for lo, hi, row, feature in features(texts["text"]):
+        keys = sorted_unique((row.astype(np.uint64) << np.uint64(32)) | feature)
+        cuts = np.searchsorted(keys >> np.uint64(32), np.arange(lo, hi + 1))
+        small = keys.astype(np.uint32)
+        rows += [small[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    labels = texts["label"].to_pylist()
+    for _ in range(s.epochs):
+        for row, y in zip(rows, labels, strict=True):
+            model.step(row.astype(np.int64), y)
+    used = np.flatnonzero(model.n)
+    return _state_rows(used, model.z[used], model.n[used])
+
+
+def _round(state, s: Settings):
+    """One task takes whole shards, each from the state that all share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        texts = pa.Table.from_batches(held)
+        shards = texts["shard"].to_numpy()
+        for shard in sorted(set(shards.tolist())):
+            yield from _steps(texts.filter(pa.array(shards == shard)), pa.table(state.value), s).to_batches()
 
     return run
 
@@ -152,18 +161,6 @@ def _merge(parts: pa.Table) -> pa.Table:
     return _state_rows(at, z, n).filter(pa.array(np.arange(CHUNKS) == parts["chunk"][0].as_py()))
 
 
-def _weights(s: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, z, n in _state(pa.Table.from_batches([batch])):
-                model = Ftrl(s)
-                model.z[at], model.n[at] = z, n
-                w = model.weights(at)
-                yield pa.record_batch({"at": pa.array(at[w != 0].astype(np.int64)), "w": pa.array(w[w != 0])})
-
-    return run
-
-
 def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, intercept) from rows of ``labels`` (doc_id, label) joined to ``docs``.
 
@@ -175,12 +172,21 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray,
     picked = F.broadcast(known.where(keep))  # about max_rows rows of two numbers
     rows = docs.join(picked, "doc_id").select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(s.shards)).cast("int").alias("shard"), F.lower("text").alias("text"))
     kept = stage_table(rows, "toxic-rows").withColumn("order", F.xxhash64("doc_id", F.lit("order")))
-    state = kept.sparkSession.createDataFrame([], STATE)
-    each = F.explode(F.sequence(F.lit(0), F.lit(s.shards - 1))).alias("shard")
+    spark = kept.sparkSession
+    state = {"at": [], "z": [], "n": []}
+    dealt = kept.repartition(s.shards, "shard")
     for _ in range(s.rounds):
-        stepped = kept.groupBy("shard").cogroup(state.select("*", each).groupBy("shard")).applyInArrow(_round(s), STATE)
-        state = stage_table(stepped.groupBy("chunk").applyInArrow(_merge, STATE), "toxic-state")
-    found = sorted((r["at"], r["w"]) for r in state.mapInArrow(_weights(s), "at long, w double").collect())  # what L1 leaves
+        stepped = dealt.mapInArrow(_round(spark.sparkContext.broadcast(state), s), STATE)
+        # 12 bytes for each of at most 2 ** BITS coordinates
+        rows = stepped.groupBy("chunk").applyInArrow(_merge, STATE).collect()
+        state = {c: [bytes(r[c]) for r in rows] for c in ("at", "z", "n")}
+    model = Ftrl(s)
+    found = []
+    for at, z, n in _state(pa.table(state)):
+        model.z[at], model.n[at] = z, n
+        w = model.weights(at)
+        found += zip(at[w != 0].tolist(), w[w != 0].tolist(), strict=True)
+    found.sort()
     w = dict(found)
     intercept = float(w.pop(1 << BITS, 0.0))
     return np.array(list(w), np.uint32), np.array(list(w.values())), intercept
