@@ -7,7 +7,7 @@ against a reference sample is needed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from fairlease.functions.columns import RISK_BANDS_TRAINING, band, clip, nan_to_null, row_mean, row_std, safe_ratio
 from fairlease.operators.ensemble import prediction_suffix
 from fairlease.operators.quantiles import global_percentiles
-from fairlease.operators.ranks import pct_rank_avg, ref_percentile
+from fairlease.operators.ranks import average_ranks, ref_percentile, ref_percentiles, tail_scores
+from fairlease.session import materialize
 
 # Fixed values (risk index blends, score calibration, clip).
 INDEX_WEIGHTS = {"ratio": 0.85, "disagreement": 0.15}
@@ -27,24 +28,16 @@ UPPER_PRICE = (1.00, 0.20)  # asking / upper 95 % bound
 ANOMALY_WEIGHTS = {"kmeans": 0.55, "isolation": 0.45}
 
 
-def _with_ref_percentile(df: DataFrame, key: str, col: str, ref: DataFrame, ref_col: str, out: str, null_value: float = 1.0) -> DataFrame:
-    """``ref_percentile`` computed on a narrow (key, value) projection and joined back by key, so
-    chained percentiles do not re-run each other's plans."""
-    narrow = ref_percentile(df.select(key, col), col, ref.select(ref_col), ref_col, out, null_value).select(key, out)
-    return df.join(narrow, key, "left")
-
-
 # K1 ---------------------------------------------------------------------------
 def add_price_risk(df: DataFrame, preds: Sequence[str]) -> DataFrame:
     """Per prediction: ratio = expm1, batch percentile (average ranks), fair deposit, gap, gap ratio,
     index = 100 x percentile, label."""
-    out = df
+    preds = [p for p in preds if p in df.columns]
+    out = df.withColumns({f"predicted_ratio_{prediction_suffix(p)}": F.expm1(p) for p in preds}) if preds else df
+    if preds:  # all predictions ranked in one pass
+        out = average_ranks(out, {f"predicted_ratio_{prediction_suffix(p)}": f"predicted_ratio_percentile_{prediction_suffix(p)}" for p in preds}, pct=True, null_value=0.0)
     for p in preds:
-        if p not in out.columns:
-            continue
         s = prediction_suffix(p)
-        out = out.withColumn(f"predicted_ratio_{s}", F.expm1(p))
-        out = pct_rank_avg(out, f"predicted_ratio_{s}", f"predicted_ratio_percentile_{s}")
         if "rent_deposit_median" in out.columns:
             fair = F.col("rent_deposit_median") * F.col(f"predicted_ratio_{s}")
             out = out.withColumn(f"predicted_fair_deposit_won_{s}", fair)
@@ -61,17 +54,13 @@ def add_price_risk(df: DataFrame, preds: Sequence[str]) -> DataFrame:
 
 
 # K2 ---------------------------------------------------------------------------
+def _disagreement(df: DataFrame, preds: Sequence[str]) -> DataFrame:
+    return df.withColumn("model_disagreement_score", row_std(preds) if preds else F.lit(0.0))
+
+
 def model_disagreement(valid: DataFrame, test: DataFrame, preds: Sequence[str], key: str | None = None) -> DataFrame:
     """Row std (ddof=1) across base predictions (0 with none) and its percentile against the valid rows."""
-    if preds:
-        valid = valid.withColumn("model_disagreement_score", row_std(preds))
-        test = test.withColumn("model_disagreement_score", row_std(preds))
-    else:
-        valid = valid.withColumn("model_disagreement_score", F.lit(0.0))
-        test = test.withColumn("model_disagreement_score", F.lit(0.0))
-    if key is not None:
-        return _with_ref_percentile(test, key, "model_disagreement_score", valid, "model_disagreement_score", "model_disagreement_percentile")
-    return ref_percentile(test, "model_disagreement_score", valid, "model_disagreement_score", "model_disagreement_percentile")
+    return ref_percentile(_disagreement(test, preds), "model_disagreement_score", _disagreement(valid, preds), "model_disagreement_score", "model_disagreement_percentile")
 
 
 # J10 --------------------------------------------------------------------------
@@ -119,16 +108,16 @@ def unsupervised_risk(valid: DataFrame, test: DataFrame, cols: Sequence[str], cl
 def risk_index(valid: DataFrame, test: DataFrame, base: str, tree_preds: Sequence[str], unsup: str | None = "unsupervised_risk_score", key: str = "row_key") -> DataFrame:
     """Risk judgment index for ``base`` on the test rows: its ratio percentile vs valid blended with
     model disagreement (0.85 / 0.15) and, with an unsupervised score, 0.60 / 0.30 / 0.10."""
-    from fairlease.session import materialize
-
     s = prediction_suffix(base)
-    valid = materialize(valid)
-    test = materialize(test.withColumn(f"predicted_ratio_{s}", F.expm1(base)))
-    out = model_disagreement(valid, test, tree_preds, key)
+    measured = lambda df: materialize(_disagreement(df.withColumn(f"predicted_ratio_{s}", F.expm1(base)), tree_preds))
+    valid, test = measured(valid), measured(test)
+    # an empty valid split ranks everything at 0, as no value is above none
+    least = 1.0 if valid.limit(1).count() else 0.0
+    specs = [("model_disagreement_score", "model_disagreement_score", "model_disagreement_percentile", least)]
     if unsup:
-        out = _with_ref_percentile(out, key, unsup, valid, unsup, "unsupervised_risk_percentile")
-    vr = valid.withColumn("__ratio", F.expm1(base))
-    out = _with_ref_percentile(out, key, f"predicted_ratio_{s}", vr, "__ratio", f"predicted_ratio_percentile_{s}")
+        specs.append((unsup, unsup, "unsupervised_risk_percentile", least))
+    specs.append((f"predicted_ratio_{s}", f"predicted_ratio_{s}", f"predicted_ratio_percentile_{s}", least))
+    out = ref_percentiles(test, valid, specs)
     variants = {s: 100 * (INDEX_WEIGHTS["ratio"] * F.col(f"predicted_ratio_percentile_{s}") + INDEX_WEIGHTS["disagreement"] * F.col("model_disagreement_percentile"))}
     if unsup:
         variants[f"unsupervised_{s}"] = 100 * (
@@ -195,17 +184,11 @@ def price_score(df: DataFrame, asking: str = "deposit_won") -> DataFrame:
 def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score", key: str = "row_key", mode: str = "checkpoint") -> DataFrame:
     """Percentiles and calibrated tail scores of k-means distance and isolation score against a
     reference sample; anomaly = 0.55 k-means tail + 0.45 isolation tail, raw = mean of percentiles.
-    Each score is computed on a narrow (key, value) projection and joined back."""
-    from fairlease.operators.ranks import tail_score
-    from fairlease.session import materialize
-
+    Both scores are ranked in one pass, by value."""
     df = materialize(df, mode)
-    out = _with_ref_percentile(df, key, kmeans_col, ref, kmeans_col, "__kp", null_value=0.0)
-    out = _with_ref_percentile(out, key, iso_col, ref, iso_col, "__ip", null_value=0.0)
+    out = ref_percentiles(df, ref, [(kmeans_col, kmeans_col, "__kp", 0.0), (iso_col, iso_col, "__ip", 0.0)])
+    out = tail_scores(out, ref, [(kmeans_col, kmeans_col, "__kp", "kmeans_tail_score"), (iso_col, iso_col, "__ip", "isolation_tail_score")])
     out = out.withColumns({"kmeans_distance_percentile": 100 * F.col("__kp"), "isolation_score_percentile": 100 * F.col("__ip")}).drop("__kp", "__ip")
-    for col, name in ((kmeans_col, "kmeans_tail_score"), (iso_col, "isolation_tail_score")):
-        narrow = tail_score(df.select(key, col), col, ref.select(col), col, name).select(key, name)
-        out = out.join(narrow, key, "left")
     return out.withColumns(
         {
             "anomaly_raw_percentile": row_mean(["kmeans_distance_percentile", "isolation_score_percentile"]),
@@ -220,7 +203,3 @@ def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_dista
 def plot_coords(df: DataFrame, x: str = "area_m2_clean", y: str = "rent_deposit_median") -> DataFrame:
     """Plot position: area and the lease median in 100-million-won units."""
     return df.withColumns({"cluster_x": nan_to_null(x), "cluster_y": nan_to_null(y) / 100_000_000})
-
-
-def blend(cols: Mapping[str, float]):
-    return sum((F.col(c) * w for c, w in cols.items()), F.lit(0.0))
