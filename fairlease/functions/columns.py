@@ -229,3 +229,45 @@ def row_std(cols: Iterable[str | Column]) -> Column:
     mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n
     ss = F.aggregate(arr, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
     return F.when(n >= 2, F.sqrt(ss / (n - 1)))
+
+
+# B21 ----------------------------------------------------------------------------
+# Fixed values of a listing request: district codes and property-type labels.
+GU_CODES = {
+    "강남구": "11680", "강동구": "11740", "강북구": "11305", "강서구": "11500", "관악구": "11620", "광진구": "11215", "구로구": "11530",
+    "금천구": "11545", "노원구": "11350", "도봉구": "11320", "동대문구": "11230", "동작구": "11590", "마포구": "11440", "서대문구": "11410",
+    "서초구": "11650", "성동구": "11200", "성북구": "11290", "송파구": "11710", "양천구": "11470", "영등포구": "11560", "용산구": "11170",
+    "은평구": "11380", "종로구": "11110", "중구": "11140", "중랑구": "11260",
+}
+PROPERTY_LABELS = {"아파트": "apt", "오피스텔": "officetel", "연립/다세대": "rh", "단독/다가구": "detached", "도시형생활주택": "urban", "복합/기타": "other"}
+REQUEST_DEFAULTS = {"gu_name": "강남구", "property_label": "아파트", "ym": "2025-01", "area_m2_clean": 59.0, "room_count_clean": 3.0, "household_size_clean": 2.0}
+
+
+def request_number(df: DataFrame, name: str, default: float | None = None) -> Column:
+    """A number typed by a person: thousands separators and blanks dropped; absent or blank -> ``default``.
+    What is no number gives NULL."""
+    if name not in df.columns:
+        return F.lit(default).cast("double")
+    text = F.trim(F.regexp_replace(F.col(name).cast("string"), ",", ""))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(default).cast("double")).otherwise(F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double"))
+
+
+def normalize_listing_input(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Listing requests as typed (all text) to the columns that valuation takes: district name -> code ('' if unknown),
+    property label -> type (unknown labels stay), label as both housing types, numbers parsed, defaults filled in."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(REQUEST_DEFAULTS[name])) if name in df.columns else F.lit(REQUEST_DEFAULTS[name])
+    table = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    gu, label = text("gu_name"), text("property_label")
+    return df.select(
+        *keep,
+        gu.alias("gu_name"),
+        F.coalesce(F.try_element_at(table(GU_CODES), gu), F.lit("")).alias("gu_code"),
+        text("ym").alias("ym"),
+        F.coalesce(F.try_element_at(table(PROPERTY_LABELS), label), label).alias("property_type"),
+        label.alias("housing_type"),
+        label.alias("detail_type"),
+        request_number(df, "area_m2_clean", REQUEST_DEFAULTS["area_m2_clean"]).alias("area_m2_clean"),
+        request_number(df, "room_count_clean", REQUEST_DEFAULTS["room_count_clean"]).alias("room_count_clean"),
+        F.lit(REQUEST_DEFAULTS["household_size_clean"]).alias("household_size_clean"),
+        request_number(df, "deposit_won").alias("deposit_won"),
+    )

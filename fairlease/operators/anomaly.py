@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fairlease.functions.columns import log1p_clipped, nan_to_null
 from fairlease.operators.quantiles import _null_safe_join, global_percentiles, group_percentiles
+from fairlease.session import materialize
 
 # Fixed values (robust z and cluster rules).
 MAD_SCALE = 1.4826
@@ -276,14 +277,15 @@ def fit_isolation_forest(
 
 
 # J7 ---------------------------------------------------------------------------
-def reconstruction_error(df: DataFrame, vec: str, k: int = 3, out: str = "reconstruction_error"):
+def reconstruction_error(df: DataFrame, vec: str, k: int = 3, out: str = "reconstruction_error", fit_on: DataFrame | None = None):
     """Linear autoencoder: project standardised features on the top-k principal axes, reconstruct,
-    mean squared error per row.  Fit = ``ml.feature.PCA``; apply = array expressions."""
+    mean squared error per row.  Fit (on ``fit_on``, else ``df``) = ``ml.feature.PCA``; apply = array expressions."""
     from pyspark.ml.feature import PCA, StandardScaler
 
-    scaler = StandardScaler(inputCol=vec, outputCol="__z", withMean=True, withStd=True).fit(df)
+    known = df if fit_on is None else fit_on
+    scaler = StandardScaler(inputCol=vec, outputCol="__z", withMean=True, withStd=True).fit(known)
     z = scaler.transform(df)
-    pca = PCA(k=k, inputCol="__z", outputCol="__p").fit(z)
+    pca = PCA(k=k, inputCol="__z", outputCol="__p").fit(scaler.transform(known))
     # the axes are orthonormal: what the reconstruction leaves is |z|^2 - |projection|^2
     square = lambda v: F.aggregate(vector_to_array(F.col(v)), F.lit(0.0), lambda acc, x: acc + x * x)
     rows = pca.transform(z)
@@ -347,3 +349,44 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster_id", top: int = 3) ->
         t = t.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(col).alias("value"), "n"))).alias(name))
         out = _null_safe_join(out, t.select(cluster, F.transform(name, lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))).alias(name)), [cluster])
     return out
+
+
+# J11 ----------------------------------------------------------------------------
+METHODS = ("kmeans", "isolation_forest", "lof", "autoencoder")
+
+
+def unsupervised_features(
+    df: DataFrame, train: Column, methods: Sequence[str] = METHODS, cat: Sequence[str] = UNSUP_CAT, num: Sequence[str] = UNSUP_NUM,
+    key: str = "row_key", k: int = 12, contamination: float = CONTAMINATION, neighbours: int = 35, axes: int = 3, seed: int = 42,
+) -> DataFrame:
+    """``df`` with the score columns of the chosen methods; design and methods are fitted on the ``train`` rows alone.
+
+    kmeans: cluster_id, kmeans_distance, kmeans_robust_z; isolation_forest: isolation_score; lof: lof_score;
+    autoencoder: autoencoder_error.  ``key`` tells rows apart (checked).
+    """
+    from fairlease.operators import lof, models
+
+    unknown = set(methods) - set(METHODS)
+    if unknown:
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    if df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"{key} does not tell rows apart")
+    framed = models.categorical_frame(unsupervised_frame(df).withColumn("__train", train), [*cat, *num], cat, num, keep=[key, "__train"])
+    fit_rows = framed.filter("__train")
+    x = materialize(models.design_pipeline(cat, num).fit(fit_rows).transform(framed).select(key, "__train", "features"))
+    known = x.filter("__train")
+    out = df
+    if "kmeans" in methods:
+        model = fit_kmeans(known, k, seed=seed)
+        placed = centroid_distance(x, [c.tolist() for c in model.clusterCenters()], "features", None, "kmeans_distance")
+        scored, _ = robust_z(placed, "cluster", "kmeans_distance", fit_on=F.col("__train"))
+        out = out.join(scored.select(key, F.col("cluster").alias("cluster_id"), "kmeans_distance", "kmeans_robust_z"), key, "left")
+    if "isolation_forest" in methods:
+        forest = fit_isolation_forest(known, "features", key, seed=seed, contamination=contamination)
+        out = out.join(forest.score_frame(x.select(key, "features"), "features").select(key, "isolation_score"), key, "left")
+    if "lof" in methods:
+        out = out.join(lof.lof_scores(known, x, "features", key, k=neighbours, contamination=contamination).select(key, "lof_score"), key, "left")
+    if "autoencoder" in methods:
+        scored, _ = reconstruction_error(x, "features", axes, out="autoencoder_error", fit_on=known)
+        out = out.join(scored.select(key, "autoencoder_error"), key, "left")
+    return out

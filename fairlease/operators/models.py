@@ -47,8 +47,8 @@ class Design:
     filled with 0.  ``fit`` returns a :class:`PipelineModel`, which Spark ML can save.
     """
 
-    def __init__(self, cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features"):
-        self.cat, self.num, self.one_hot, self.scale, self.output = list(cat), list(num), one_hot, scale, output
+    def __init__(self, cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features", max_categories: int = 256):
+        self.cat, self.num, self.one_hot, self.scale, self.output, self.max_categories = list(cat), list(num), one_hot, scale, output, max_categories
 
     def numeric_stats(self, df: DataFrame) -> dict[str, tuple[float, float, float]]:
         """Column to (median, mean, deviation) of the filled values."""
@@ -78,11 +78,23 @@ class Design:
                 stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, dropLast=False, handleInvalid="keep").fit(indexer.transform(df)))
                 parts += oh
             else:
-                parts += idx
+                # more categories than a tree should split by: their frequency order as a number
+                many = [c for c, labels in zip(idx, indexer.labelsArray, strict=True) if len(labels) > self.max_categories]
+                if many:
+                    stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"`{c}` + 0D AS `{c}__ord`" for c in many) + " FROM __THIS__"))
+                parts += [f"{c}__ord" if c in many else c for c in idx]
         stages.append(VectorAssembler(inputCols=parts, outputCol=self.output, handleInvalid="keep"))
         return PipelineModel(stages=stages)
 
 
+SCRATCH = ("__imp", "__idx", "__oh", "__ord")
+
+
+def drop_scratch(df: DataFrame) -> DataFrame:
+    """Without the columns that a fitted design leaves beside its output."""
+    return df.drop(*[c for c in df.columns if c.endswith(SCRATCH) or c in ("features", "__num", "__is_valid")])
+
+
 def design_pipeline(cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features") -> Design:
     return Design(cat, num, one_hot, scale, output)
 
@@ -147,6 +159,26 @@ def encode_categoricals(train: DataFrame, cols: Sequence[str], label: str, smoot
     return PipelineModel(stages=[idx, te])
 
 
+def out_of_fold_encoding(train: DataFrame, cols: Sequence[str], label: str, folds: DataFrame, fold_on: str = "ym", smoothing: float = 20.0) -> DataFrame:
+    """``<c>__te`` for training rows: the smoothed label mean of the value over the *other* folds.
+
+    (sum of the value's labels outside the fold + smoothing x mean outside) / (count outside + smoothing);
+    a value that only its own fold has gets the mean outside.  No row's label enters its own code.
+    """
+    rows = train.join(folds, fold_on, "left")
+    whole = rows.groupBy("fold").agg(F.sum(label).alias("__fs"), F.count(label).alias("__fn"))
+    both = whole.agg(F.sum("__fs").alias("__as"), F.sum("__fn").alias("__an"))
+    prior = whole.crossJoin(F.broadcast(both)).select("fold", ((F.col("__as") - F.col("__fs")) / (F.col("__an") - F.col("__fn"))).alias("__prior"))
+    out = rows.join(F.broadcast(prior), "fold", "left")  # a row a fold
+    for c in cols:
+        per = rows.groupBy(F.col(c).alias("__v"), "fold").agg(F.sum(label).alias("__s"), F.count(label).alias("__n"))
+        total = per.groupBy("__v").agg(F.sum("__s").alias("__ts"), F.sum("__n").alias("__tn"))
+        own = per.join(total, "__v").select("__v", F.col("fold").alias("__f"), (F.col("__ts") - F.col("__s")).alias("__os"), (F.col("__tn") - F.col("__n")).alias("__on"))
+        out = out.join(own, (F.col(c) == F.col("__v")) & (F.col("fold") == F.col("__f")), "left")
+        out = out.withColumn(f"{c}__te", (F.coalesce("__os", F.lit(0.0)) + smoothing * F.col("__prior")) / (F.coalesce("__on", F.lit(0)) + smoothing)).drop("__v", "__f", "__os", "__on")
+    return out.drop("__prior")
+
+
 # I2 ---------------------------------------------------------------------------
 # Base learner specs (re-aimed from leaf-wise / depth-wise boosted trees and native-categorical trees).
 TREE_SPECS = {
@@ -197,8 +229,7 @@ def predict(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
     """Add ``pred_<name>`` for every model (each transform adds and drops its scratch columns)."""
     out = df
     for name, m in models.items():
-        out = m.transform(out).withColumnRenamed("prediction", f"pred_{name}")
-        out = out.drop(*[c for c in out.columns if c.endswith("__imp") or c.endswith("__idx") or c in ("features", "__num")])
+        out = drop_scratch(m.transform(out).withColumnRenamed("prediction", f"pred_{name}"))
     return out
 
 

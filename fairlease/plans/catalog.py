@@ -1616,12 +1616,28 @@ def categorical_frame_query(spark, sf):
     return out.withColumn("absent_cat", F.when(F.col("absent_cat") != "__MISSING__", F.col("absent_cat")))
 
 
-@register("target_encoding", None)
+@register(
+    "target_encoding",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + """
+, tr as (select row_key, ym, gu_name || '__' || ym gu_ym, property_type || '__' || ym property_ym, target from sp where split = 'train'),
+fo as (select ym, ntile(5) over (order by ym) - 1 fold from (select distinct ym from tr)),
+r as (select tr.*, fold from tr join fo using (ym)),
+f as (select fold, sum(target) s, count(target) n from r group by 1),
+pr as (select fold, ((select sum(s) from f) - s) / ((select sum(n) from f) - n) prior from f),
+ga as (select gu_ym v, fold, sum(target) s, count(target) n from r group by 1, 2), gt as (select v, sum(s) s, sum(n) n from ga group by 1),
+pa as (select property_ym v, fold, sum(target) s, count(target) n from r group by 1, 2), pt as (select v, sum(s) s, sum(n) n from pa group by 1)
+select r.row_key, r.fold, round((gt.s - ga.s + 20 * prior) / (gt.n - ga.n + 20), 9) gu_ym__te, round((pt.s - pa.s + 20 * prior) / (pt.n - pa.n + 20), 9) property_ym__te
+from r join pr using (fold) join ga on ga.v = r.gu_ym and ga.fold = r.fold join gt on gt.v = r.gu_ym
+  join pa on pa.v = r.property_ym and pa.fold = r.fold join pt on pt.v = r.property_ym
+"""
+    ),
+)
 def target_encoding_query(spark, sf):
-    """H4 (rows-only): continuous target encoding of high-cardinality combos, fitted on train only."""
-    rows = add_combo(_model_rows(spark, sf))
-    enc = models.encode_categoricals(rows.filter("split = 'train'"), ["gu_ym", "property_ym"], "target")
-    return enc.transform(rows).select("row_key", "split", "gu_ym__te", "property_ym__te")
+    """H4: out-of-fold target codes of two combined keys over the training rows' five month folds."""
+    rows = add_combo(_split(spark, sf, "train"))
+    out = models.out_of_fold_encoding(rows, ["gu_ym", "property_ym"], "target", splits.month_folds(rows, 5))
+    return out.select("row_key", "fold", *[F.round(c, 9).alias(c) for c in ("gu_ym__te", "property_ym__te")])
 
 
 def add_combo(df):
@@ -1663,3 +1679,110 @@ def lof_scores_query(spark, sf):
     train_keys = _model_rows(spark, sf).filter("split = 'train'").select("row_key")
     train = x.join(train_keys, "row_key", "left_semi")
     return lof.lof_scores(train, x, "features", "row_key", k=35, contamination=0.02).select("row_key", "lof_score")
+
+
+# ---------------------------------------------------------------- requests, stored artefacts, feature attachment
+@register(
+    "normalize_listing_input",
+    with_binding(
+        ", names(i, gu, code) as (values "
+        + ", ".join(f"({i}, '{g}', '{c}')" for i, (g, c) in enumerate(C.GU_CODES.items()))
+        + "), labels(t, label) as (values "
+        + ", ".join(f"('{t}', '{label}')" for label, t in C.PROPERTY_LABELS.items())
+        + """)
+select l.row_key, case when try_cast(l.gu_code as int) % 7 = 0 then '강남구' when try_cast(l.gu_code as int) % 7 = 1 then '모름구' else n.gu end gu_name,
+  case when try_cast(l.gu_code as int) % 7 = 0 then '11680' when try_cast(l.gu_code as int) % 7 = 1 then '' else n.code end gu_code,
+  l.ym, case when l.room_count is null then 'apt' else l.property_type end property_type,
+  case when l.room_count is null then '아파트' else b.label end housing_type, case when l.room_count is null then '아파트' else b.label end detail_type,
+  round(l.area_m2, 2) area_m2_clean, coalesce(l.room_count, 3.0) room_count_clean, 2.0::double household_size_clean,
+  case when l.household_size is not null then round(l.deposit_won, 0) end deposit_won
+from listings l join names n on n.i = try_cast(l.gu_code as int) join labels b on b.t = l.property_type
+"""
+    ),
+)
+def normalize_listing_input_query(spark, sf):
+    """Listing requests as people type them (names, labels, separators, blanks) to valuation columns."""
+    lst = _sources(spark, sf)[0]
+    i = F.col("gu_code").cast("int")
+    gu = F.when(i % 7 == 0, F.lit(None)).when(i % 7 == 1, F.lit("모름구")).otherwise(F.get(F.array(*[F.lit(g) for g in C.GU_CODES]), i))
+    label = F.create_map(*[F.lit(x) for label, t in C.PROPERTY_LABELS.items() for x in (t, label)])[F.col("property_type")]
+    typed = lst.select(
+        "row_key", "ym", gu.alias("gu_name"), F.when(F.col("room_count").isNotNull(), label).alias("property_label"),
+        F.concat(F.lit(" "), F.format_number("area_m2", 2)).alias("area_m2_clean"), F.coalesce(F.col("room_count").cast("string"), F.lit("  ")).alias("room_count_clean"),
+        F.when(F.col("household_size").isNotNull(), F.format_number("deposit_won", 0)).otherwise("").alias("deposit_won"),
+    )
+    return C.normalize_listing_input(typed, ("row_key",))
+
+
+@register("saved_valuation", None)
+def saved_valuation_query(spark, sf):
+    """I11 + K9: artefacts saved to the shared folder, loaded again, and every listing valued from the folder alone."""
+    path = valuation.save_artifacts(_artifacts(spark, sf), io.shared_path(spark, "artifacts", uuid.uuid4().hex))
+    return valuation.value_listings(flagged_query(spark, sf), valuation.load_artifacts(spark, path)).select(*valuation.VALUATION_COLUMNS)
+
+
+@register("unsupervised_features", None)
+def unsupervised_features_query(spark, sf):
+    """J11 (rows-only): the four methods' scores for every train-domain row, fitted on the training split."""
+    rows = splits.group_split(valuation.training_target(flagged_query(spark, sf)))[0]
+    out = anomaly.unsupervised_features(rows, F.col("split") == "train")
+    return out.select("row_key", "split", "cluster_id", "kmeans_distance", "kmeans_robust_z", "isolation_score", "lof_score", "autoencoder_error")
+
+
+@register(
+    "unsupervised_frame",
+    with_flagged("select row_key, property_type, area_m2_clean, room_count_clean, round(ln(1 + case when rent_deposit_median is not null then greatest(rent_deposit_median, 0) end), 9) rent_deposit_median_log from flagged"),
+)
+def unsupervised_frame_query(spark, sf):
+    """The unsupervised matrix's columns."""
+    out = anomaly.unsupervised_frame(flagged_query(spark, sf))
+    return out.select("row_key", *anomaly.UNSUP_CAT, "area_m2_clean", "room_count_clean", F.round("rent_deposit_median_log", 9).alias("rent_deposit_median_log"))
+
+
+@register("plot_coords", with_flagged("select row_key, area_m2_clean cluster_x, rent_deposit_median / 100000000.0 cluster_y from flagged"))
+def plot_coords_query(spark, sf):
+    """K8: plot position from area and lease median."""
+    return risk.plot_coords(flagged_query(spark, sf)).select("row_key", "cluster_x", "cluster_y")
+
+
+@register(
+    "join_index",
+    with_binding(", idx as (select gu_code, ym, avg(deposit_won) price_index from leases group by all) select l.row_key, round(i.price_index, 4) price_index from listings l left join idx i on i.gu_code = l.gu_code and i.ym = l.ym"),
+)
+def join_index_query(spark, sf):
+    """D3: a (region, month) index table joined onto the listings."""
+    lst, les, _ = _sources(spark, sf)
+    index = les.groupBy("gu_code", "ym").agg(F.avg("deposit_won").alias("price_index"))
+    return market.join_index(lst, index).select("row_key", F.round("price_index", 4).alias("price_index"))
+
+
+@register("read_table_legacy_charset", with_binding("select row_key, '서울 ' || gu_name address, ym from listings"))
+def read_table_legacy_charset(spark, sf):
+    """A1: a CSV in a legacy Korean charset, read with a declared schema."""
+    lst = _sources(spark, sf)[0].select("row_key", F.concat(F.lit("서울 "), F.col("gu_name")).alias("address"), "ym")
+    path = io.shared_path(spark, "legacy", uuid.uuid4().hex + ".csv")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    lst.write.option("header", True).option("encoding", "cp949").csv(path)
+    return io.read_table(spark, path, lst.schema, encoding="cp949")
+
+
+@register(
+    "anomaly_score",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + """
+, tr as (select pred_a v from sp where split = 'train'), tb as (select area_m2_clean v from sp where split = 'train'),
+q as (select quantile_cont(v, 0.85) an, quantile_cont(v, 0.999) ah, count(v) na from tr), qb as (select quantile_cont(v, 0.85) bn, quantile_cont(v, 0.999) bh, count(v) nb from tb),
+t as (select row_key, pred_a, area_m2_clean from sp where split = 'test'),
+p as (select t.*, (select count(*) from tr where tr.v <= t.pred_a) / na pa, (select count(*) from tb where tb.v <= t.area_m2_clean) / nb pb, an, ah, bn, bh from t, q, qb),
+s as (select *, case when ah <= an then 100 * pa else least(greatest((pred_a - an) / (ah - an) * 100, 0), 100) end sa,
+  case when bh <= bn then 100 * pb else least(greatest((area_m2_clean - bn) / (bh - bn) * 100, 0), 100) end sb from p)
+select row_key, round(100 * pa, 9) kmeans_distance_percentile, round(100 * pb, 9) isolation_score_percentile, round((100 * pa + 100 * pb) / 2, 9) anomaly_raw_percentile,
+  round(least(greatest(0.55 * sa + 0.45 * sb, 0), 100), 9) anomaly_percentile from s
+"""
+    ),
+)
+def anomaly_score_query(spark, sf):
+    """K7: percentiles and tail scores of two score columns (stand-ins from the tables) against the training rows."""
+    out = risk.anomaly_score(_split(spark, sf, "test"), _split(spark, sf, "train"), "pred_a", "area_m2_clean")
+    cols = ("kmeans_distance_percentile", "isolation_score_percentile", "anomaly_raw_percentile", "anomaly_percentile")
+    return out.select("row_key", *[F.round(c, 9).alias(c) for c in cols])

@@ -7,11 +7,11 @@ table size is checked), so no listing is handled row by row on the driver.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlease.functions.columns import GRADE_BANDS, RISK_BANDS_SCORING, add_combo_features, band, clip, model_scope
@@ -38,19 +38,21 @@ class Artifacts:
     metadata: dict = field(default_factory=dict)
 
 
-def _model_frame(df: DataFrame, keep=("row_key", "target", "deposit_won", "split")) -> DataFrame:
+def _model_frame(df: DataFrame, keep=("row_key", "target", "deposit_won", "split"), cat=MODEL_FEATURES_CAT, num=MODEL_FEATURES_NUM) -> DataFrame:
     df = add_combo_features(df)
-    return models.categorical_frame(df, list(MODEL_FEATURES_CAT) + list(MODEL_FEATURES_NUM), MODEL_FEATURES_CAT, MODEL_FEATURES_NUM, keep=[*keep, *df.columns])
+    return models.categorical_frame(df, [*cat, *num], cat, num, keep=[*keep, *df.columns])
 
 
-def fit_artifacts(labelled: DataFrame, k: int = 12, restarts: int = 20, trees: int = anomaly.IFOREST_TREES, seed: int = 42, alpha: float = 1 - CONFIDENCE) -> Artifacts:
-    """``labelled``: training rows with ``target`` and ``split`` (train / valid / test)."""
+def fit_artifacts(labelled: DataFrame, k: int = 12, restarts: int = 20, trees: int = anomaly.IFOREST_TREES, seed: int = 42, alpha: float = 1 - CONFIDENCE, spec: dict | None = None) -> Artifacts:
+    """``labelled``: training rows with ``target`` and ``split`` (train / valid / test).  ``spec`` is the
+    learner to fit, e.g. the one that ``best_run`` found; every selected feature goes into it."""
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "valid")
-    cat, num = list(MODEL_FEATURES_CAT), list(MODEL_FEATURES_NUM)
-    model = models.fit_model(_model_frame(train), _model_frame(valid), cat, num, FINAL_SPEC, "target", seed)
+    _features, cat, num = quality.final_features(add_combo_features(labelled.drop("target", "fold")))
+    framed = lambda df: _model_frame(df, cat=cat, num=num)
+    model = models.fit_model(framed(train), framed(valid), cat, num, spec or FINAL_SPEC, "target", seed)
     # conformal half-widths from validation residuals (I11 -> E4), lease-median lookup from all rows
-    vpred = model.transform(_model_frame(valid)).withColumn("abs_residual", F.abs(F.col("target") - F.col("prediction")))
+    vpred = model.transform(framed(valid)).withColumn("abs_residual", F.abs(F.col("target") - F.col("prediction")))
     interval_lk = materialize(lookup.build_interval_lookup(vpred, "abs_residual", alpha=alpha))
     median_lk = materialize(lookup.build_median_lookup(labelled, "rent_deposit_median"))
     # unsupervised: design -> k-means (restarts) -> merge small -> robust z -> isolation forest
@@ -79,8 +81,12 @@ def value_listings(listings: DataFrame, art: Artifacts, mode: str = "checkpoint"
     # artefact lookups were materialised at fit time: no further stage boundary per call / micro-batch
     df = lookup.hierarchical_lookup(listings, art.median_lookup, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True, mode="none")
     df = materialize(df, mode)
-    df = art.model.transform(_model_frame(df)).withColumnRenamed("prediction", "predicted_log_ratio")
-    df = df.drop(*[c for c in df.columns if c.endswith("__imp") or c.endswith("__idx") or c in ("features", "__num", "__is_valid")])
+    # the design gets its own view of the features; the listing keeps its columns as they came
+    given, cat, num = df.columns, art.metadata["cat_cols"], art.metadata["num_cols"]
+    framed = models.categorical_frame(add_combo_features(df).withColumn("__listing", F.struct(*given)), [*cat, *num], cat, num, keep=["__listing"])
+    scored = art.model.transform(framed)
+    absent = [c for c in num if c not in given]
+    df = scored.select("__listing.*", *absent, F.col("prediction").alias("predicted_log_ratio"))
     df = lookup.hierarchical_lookup(df, art.interval_lookup, "q", "interval_q", "interval_source", mode="none")
     df = risk.prediction_interval(df)
     # unsupervised scores
@@ -113,12 +119,31 @@ VALUATION_COLUMNS = (
 )
 
 
-def nearest_reference_projection(df: DataFrame, art: Artifacts, ref_sample: DataFrame, k: int = 12) -> DataFrame:
-    """Plot position by inverse-distance weighting of the k nearest plot-sample points."""
-    rows = ref_sample.select("features", "cluster_x", "cluster_y").collect()  # bounded plot sample (≤ 350 per cluster)
-    rx = np.array([r["features"].toArray() for r in rows]) if rows else np.zeros((0, 1))
-    rxy = np.array([[r["cluster_x"], r["cluster_y"]] for r in rows]) if rows else np.zeros((0, 2))
-    return anomaly.idw_project(df, "features", rx, rxy, k)
+TABLES = ("median_lookup", "interval_lookup", "cluster_map", "cluster_stats", "reference")
+
+
+def save_artifacts(art: Artifacts, path: str) -> str:
+    """Everything that scoring needs, as tables and Spark ML models under one folder."""
+    spark = art.median_lookup.sparkSession
+    art.model.write().overwrite().save(f"{path}/model")
+    art.unsup_design.write().overwrite().save(f"{path}/unsup_design")
+    for name in TABLES:
+        getattr(art, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame(art.iforest.nodes).write.mode("overwrite").parquet(f"{path}/iforest")
+    meta = art.metadata | {"centers": [list(map(float, c)) for c in art.centers], "iforest_psi": art.iforest.psi, "iforest_offset": art.iforest.offset}
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "metadata string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return path
+
+
+def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
+    meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    forest = anomaly.IsolationForestModel(spark.read.parquet(f"{path}/iforest").toPandas(), meta.pop("iforest_psi"), meta.pop("iforest_offset"))  # trees x nodes
+    centers = meta.pop("centers")
+    return Artifacts(
+        PipelineModel.load(f"{path}/model"), tables["median_lookup"], tables["interval_lookup"], PipelineModel.load(f"{path}/unsup_design"),
+        centers, tables["cluster_map"], tables["cluster_stats"], forest, tables["reference"], meta,
+    )
 
 
 def training_target(flagged: DataFrame) -> DataFrame:

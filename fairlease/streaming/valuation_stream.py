@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairlease.plans.valuation import VALUATION_COLUMNS, Artifacts, value_listings
+from fairlease.plans.valuation import VALUATION_COLUMNS, Artifacts, load_artifacts, value_listings
 
 
 def value_stream(
-    spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str, art: Artifacts, schema, fmt: str = "parquet",
+    spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str, art: Artifacts | str, schema, fmt: str = "parquet",
     available_now: bool = True, max_files_per_trigger: int | None = None, columns=VALUATION_COLUMNS,
 ):
+    """``art``: fitted artefacts, or the folder that :func:`save_artifacts` wrote."""
+    art = load_artifacts(spark, art) if isinstance(art, str) else art
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -15,12 +15,14 @@ SF = "/root/testdata/sf0.001"
 def test_stream_equals_batch(spark):
     rows = catalog._model_rows(spark, SF)
     art = valuation.fit_artifacts(rows, k=3, restarts=1, trees=20)
+    stored = valuation.save_artifacts(art, tempfile.mkdtemp(prefix="fairlease-art-") + "/a")
+    assert len(art.metadata["features"]) == 46
     listings = binding.listings(spark, SF)
     src = tempfile.mkdtemp(prefix="fairlease-stream-in-")
     listings.repartition(3).write.mode("overwrite").parquet(src)
     out = tempfile.mkdtemp(prefix="fairlease-stream-out-")
     ckpt = tempfile.mkdtemp(prefix="fairlease-stream-ckpt-")
-    q = value_stream(spark, src, out, ckpt, art, listings.schema, max_files_per_trigger=1)
+    q = value_stream(spark, src, out, ckpt, stored, listings.schema, max_files_per_trigger=1)
     q.awaitTermination(600)
     streamed = spark.read.parquet(out).drop("batch_id")
     batch = valuation.value_listings(spark.read.parquet(src), art).select(*valuation.VALUATION_COLUMNS)
