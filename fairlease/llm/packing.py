@@ -52,7 +52,7 @@ class Settings:
 class WordIds:
     """Token ids of words, tokenised once each: the tokenizer never joins text over ASCII white space."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,8 +66,8 @@ class WordIds:
         def make(at: np.ndarray) -> dict:
             words = [raw[a:b].decode() for a, b in zip(starts[at], ends[at], strict=True)]
             ids = []
-            for i in range(0, len(words), 4096):
-                ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+            for i in range(0, len(words), 2048):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 2048], add_special_tokens=False)]
             return {"ids": ids}
 
         slot, _, values, firsts = self.table.resolve(RollingHash(data).of(starts, ends), make)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch while a stage table is written: whole texts are large rows, and each
+#: batch is held in the executor and in its Python worker.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
@@ -28,7 +48,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     if not _FOLDERS:
         atexit.register(_remove_folders)
     _FOLDERS.append((spark, path))
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     # the shuffle files behind the table are of no more use; Spark drops them once their plan is collected
     gc.collect()
     spark._jvm.System.gc()

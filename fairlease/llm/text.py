@@ -12,7 +12,7 @@ import pyarrow as pa
 #: Bytes of text worked on at once (its arrays fit a core's cache); a longer single text makes a block of its own.
 BLOCK_BYTES = (1 << 18) - 1
 #: For lookups in large word tables, whose cost is by block.
-LARGE_BLOCK = (1 << 20) - 1
+LARGE_BLOCK = (1 << 19) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
