@@ -9,6 +9,10 @@ go, and so do those that the classifier calls toxic (score at least 0.7); of doc
 their shingles the one with the smallest doc_id stays, and one row of each doc_id; the repeat
 cutter keeps every document, with what is left of its text, and adjusts ``n_chars``; null text
 stays null up to the language stage, which has no language for it.  Extra columns travel along.
+
+The stages pass whole documents through Arrow, so each one lowers the session's
+``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``shared.BATCH_ROWS`` rows if it is larger: a
+batch is held in the executor and in its Python worker.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from fairlease.llm import jaccard, language, packing, suffix, toxicity
 from fairlease.llm.queries import tokenizer_file
-from fairlease.llm.shared import stage_table, table
+from fairlease.llm.shared import bound_batches, stage_table, table
 
 #: Below this likeness to the nearest profile a text is in none of the learned languages.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -26,6 +30,7 @@ TOXIC_SCORE = 0.7
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     s = language.Settings()
     profiles = language.learn_profiles(docs.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), s)
     scored = language.predict(docs.select("text", F.struct("*").alias("row")), profiles, ["row"], s)
@@ -33,6 +38,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(docs.select("doc_id", "text"), labels, toxicity.Settings())
     scored = toxicity.score(docs.select("text", F.struct("*").alias("row")), model, ["row"])
@@ -40,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     joined = jaccard.join_documents(docs.select("doc_id", "text"))
     kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
@@ -48,11 +55,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     rows = suffix.cleaned_rows(docs)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else rows
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 

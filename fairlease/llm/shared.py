@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 2000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows in the session's Arrow batches from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 @contextmanager
 def small_batches(spark: SparkSession):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
