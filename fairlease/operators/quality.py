@@ -63,10 +63,11 @@ def flag_duplicates(df: DataFrame, cols: Sequence[str], order: str, name: str =
 
     The first row per group comes from a partial aggregate, so a group of copies
     holding a third of the table is reduced map-side; the join back is skew-split by AQE.
+    A NULL order key comes last; never NULL.
     """
-    firsts = df.groupBy(*cols).agg(F.min(order).alias("__first"))
+    firsts = df.groupBy(*cols).agg(F.min(F.struct(F.col(order).isNull(), F.col(order))).alias("__first"))
     out = _null_safe_join(df, firsts, list(cols))
-    return out.withColumn(name, F.col(order) != F.col("__first")).drop("__first")
+    return out.withColumn(name, ~F.col(order).eqNullSafe(F.col(f"__first.{order}"))).drop("__first")
 
 
 # C1 ---------------------------------------------------------------------------

@@ -95,10 +95,6 @@ def month_folds(df: DataFrame, n_folds: int, ym: str = "ym") -> DataFrame:
     return months.select(ym, (F.ntile(n_folds).over(Window.orderBy(ym)) - 1).cast("bigint").alias("fold"))
 
 
-def with_folds(df: DataFrame, n_folds: int, ym: str = "ym") -> DataFrame:
-    return df.join(F.broadcast(month_folds(df, n_folds, ym)), ym, "left")
-
-
 # G9 ---------------------------------------------------------------------------
 def sample_per_group(df: DataFrame, key: str, n: int, seed: int = 42, order_key: str = "row_key") -> DataFrame:
     """Exactly min(n, group size) rows per group, the ones with the smallest ``md5(seed|order_key)``.
@@ -121,6 +117,7 @@ def sample_per_group(df: DataFrame, key: str, n: int, seed: int = 42, order_key:
 
 
 # G6 ---------------------------------------------------------------------------
+# The scoreboard's columns and its key.
 SCORE_COLUMNS = (
     "updated_at", "experiment", "run_name", "model", "split", "rmse", "mae", "r2", "target", "rows", "result_path", "notes",
 )
@@ -129,20 +126,22 @@ SCORE_KEY_COLUMNS = ("experiment", "run_name", "model", "split", "target")
 
 def upsert_scores(old: DataFrame | None, new: DataFrame, split_filter: str | None = "test") -> DataFrame:
     """Keyed upsert: new rows (only ``split_filter`` rows) replace old rows with the same key;
-    within a batch the later row wins.  Missing columns are back-filled with NULL."""
+    within a batch the row with the larger ``_seq`` wins, without that column the one with the later
+    ``updated_at`` (then the better score), never the physical order.  Missing columns are NULL."""
 
     def conform(df: DataFrame, batch: int) -> DataFrame:
         cols = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in SCORE_COLUMNS]
         if "run_name" not in df.columns:
             cols[SCORE_COLUMNS.index("run_name")] = F.lit("legacy").alias("run_name")
-        seq = F.col("_seq") if "_seq" in df.columns else F.monotonically_increasing_id()
+        seq = F.col("_seq").cast("long") if "_seq" in df.columns else F.lit(None).cast("long")
         return df.select(*cols, F.lit(batch).alias("_batch"), seq.alias("_seq"))
 
     if split_filter is not None:
         new = new.filter(F.col("split") == split_filter)
     frames = [conform(new, 1)] if old is None else [conform(old, 0), conform(new, 1)]
     allr = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
-    w = Window.partitionBy(*SCORE_KEY_COLUMNS).orderBy(F.col("_batch").desc(), F.col("_seq").desc())
+    others = [F.col(c).asc_nulls_last() for c in ("rmse", "mae", "rows", "result_path", "notes")]
+    w = Window.partitionBy(*SCORE_KEY_COLUMNS).orderBy(F.col("_batch").desc(), F.col("_seq").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), *others)
     kept = allr.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch", "_seq")
     return kept.orderBy(
         F.col("split").asc_nulls_last(), F.col("rmse").asc_nulls_last(), F.col("experiment").asc_nulls_last(),

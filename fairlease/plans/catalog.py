@@ -1786,3 +1786,27 @@ def anomaly_score_query(spark, sf):
     out = risk.anomaly_score(_split(spark, sf, "test"), _split(spark, sf, "train"), "pred_a", "area_m2_clean")
     cols = ("kmeans_distance_percentile", "isolation_score_percentile", "anomaly_raw_percentile", "anomaly_percentile")
     return out.select("row_key", *[F.round(c, 9).alias(c) for c in cols])
+
+
+_REPORT_MODELS = {**{p: p for p in _PRED_SQL}, "pred_ensemble_equal": "(pred_a + pred_b + pred_c) / 3", "pred_ensemble_weighted": "0.5 * pred_a + 0.3 * pred_b + 0.2 * pred_c"}
+
+
+@register(
+    "ensemble_report",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + ", t as (select * from sp where split = 'test'), "
+        + ", ".join(
+            f"m{i} as (select '{m}' model, target y, {e} p from t), e{i} as (select model, exp(y) - 1 y, exp(p) - 1 p from m{i})" for i, (m, e) in enumerate(_REPORT_MODELS.items())
+        )
+        + " "
+        + " union all ".join(
+            f"select model, '{scale}' scale, count(*) n, round(sqrt(avg((y - p) ^ 2)), 9) rmse, round(avg(abs(y - p)), 9) mae,"
+            f" round(1 - sum((y - p) ^ 2) / (var_pop(y) * count(y)), 9) r2 from {table}{i} group by model"
+            for i in range(len(_REPORT_MODELS)) for scale, table in (("log", "m"), ("ratio", "e"))
+        )
+    ),
+)
+def ensemble_report_query(spark, sf):
+    """Metrics of the base and ensemble predictions on the log and the ratio scale."""
+    t = ensemble.add_ensembles(_split(spark, sf, "test"), list(_PRED_SQL), {"pred_a": 0.5, "pred_b": 0.3, "pred_c": 0.2})
+    return _round_cols(ensemble.ensemble_report(t, list(_PRED_SQL)), ["rmse", "mae", "r2"], 9)
