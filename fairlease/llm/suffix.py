@@ -60,7 +60,7 @@ class Runs:
             return
         at = np.arange(n - GRAM + 1)
         h = self.hash.of(at, at + GRAM)
-        bits = np.uint64(max(20, n.bit_length()))
+        bits = np.uint64(31)  # a place in any text; the same for all blocks, so that equal windows choose alike
         low = (h >> bits << bits) | at.astype(np.uint64)  # the leftmost of equal grams is smallest
         reach = 1
         while 2 * reach <= span:
