@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlease.functions.columns import IN_DOMAIN_TYPES, OOD_TYPES, nan_to_null, safe_ratio
-from fairlease.operators.quantiles import _null_safe_join, global_percentiles, group_percentiles
+from fairlease.operators.quantiles import _null_safe_join, global_percentiles
 from fairlease.session import materialize
 
 # Fixed rule thresholds (must equal the reference's).
