@@ -30,13 +30,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlease.llm.shared import checkpointed, stage_table
-from fairlease.llm.text import RollingHash, blocks, mix, sorted_unique, word_spans
+from fairlease.llm.text import RollingHash, blocks, mix, release, sorted_unique, word_spans
 
 WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -52,7 +51,7 @@ class Settings:
     num: int = 75  # sets link when den * intersection >= num * union
     den: int = 100
     region_max: int = 2048  # points that one task takes of a region
-    rows_per_task: int = 500_000
+    rows_per_task: int = 250_000
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +105,17 @@ def rarity(texts: DataFrame, s: Settings) -> np.ndarray:
         parts = np.minimum(held, 65535).astype(np.uint16).reshape(CHUNKS, -1)
         yield pa.record_batch({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
+    def add(part: pa.Table) -> pa.Table:
         total = np.zeros((1 << bits) // CHUNKS, np.uint64)
         for c in part["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint16)
-        return pd.DataFrame({"chunk": [int(part["chunk"].iloc[0])], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
+        return pa.table({"chunk": part["chunk"][:1], "counts": pa.array([zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, counts binary"
     # one row a task and chunk, summed in two steps so that no task takes in those of all tasks
     salted = texts.select("text").mapInArrow(count, schema).withColumn("salt", F.spark_partition_id() % 64)
-    first = salted.groupBy("chunk", "salt").applyInPandas(add, schema)
-    chunks = {r["chunk"]: r["counts"] for r in first.groupBy("chunk").applyInPandas(add, schema).collect()}
+    first = salted.groupBy("chunk", "salt").applyInArrow(add, schema)
+    chunks = {r["chunk"]: r["counts"] for r in first.groupBy("chunk").applyInArrow(add, schema).collect()}
     return np.frombuffer(b"".join(zlib.decompress(chunks[k]) for k in sorted(chunks)), np.uint16) if chunks else np.zeros(1 << bits, np.uint16)
 
 
@@ -196,8 +195,13 @@ def meeting(texts: DataFrame, s: Settings) -> DataFrame:
             pivots.append(np.full(len(w), w[lead], np.int64))
             members.append(w)
         if pivots:
-            both = pd.DataFrame({"p": np.concatenate(pivots), "m": np.concatenate(members)}).drop_duplicates()
-            yield _message(MEMBER, both["p"].to_numpy(), both["m"].to_numpy(), np.zeros(len(both), np.int64), np.zeros(len(both), np.int64))
+            p, m = np.concatenate(pivots), np.concatenate(members)
+            order = np.lexsort((m, p))
+            p, m = p[order], m[order]
+            once = np.concatenate([[True], (p[1:] != p[:-1]) | (m[1:] != m[:-1])])
+            none = np.zeros(int(once.sum()), np.int64)
+            yield _message(MEMBER, p[once], m[once], none, none)
+        release()
 
     n_docs = texts.count()
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -317,6 +321,7 @@ def region_links(sets: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
                 a.append(name[at[i]])
                 b.append(name[at[j]])
         yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        release()
 
     def dealt(rows: DataFrame, n: int) -> DataFrame:
         return rows.select("region", "pivot", "name", "ringed", "shingles").repartition(max(least, -(-n // 2000)), "region").mapInArrow(link, schema)

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,36 +203,37 @@ def pack_blocks(items: DataFrame, n_blocks: int, s: Settings, level: int) -> Dat
     schema = "block long, island int, people array<binary>"
 
     def epoch(number: int):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 out = []
-                for block, island, sizes, people in part[["block", "island", "sizes", "people"]].itertuples(index=False):
-                    old = [] if people is None else [np.frombuffer(p, np.int32).astype(np.int64) for p in people]
-                    seed = (int(block) * s.epochs + number) * s.islands + int(island)
-                    out.append([p.astype(np.int32).tobytes() for p in evolve(np.asarray(sizes, np.int64), old, s, seed)])
-                yield pd.DataFrame({"block": part["block"], "island": part["island"], "people": out})
+                for row in batch.to_pylist():
+                    old = [np.frombuffer(p, np.int32).astype(np.int64) for p in row["people"] or []]
+                    seed = (row["block"] * s.epochs + number) * s.islands + row["island"]
+                    out.append([p.astype(np.int32).tobytes() for p in evolve(np.array(row["sizes"], np.int64), old, s, seed)])
+                yield pa.RecordBatch.from_arrays([batch["block"], batch["island"], pa.array(out, pa.list_(pa.binary()))], names=["block", "island", "people"])
 
         return run
 
     parallel = max(1, min(n_blocks * s.islands, 4 * items.sparkSession.sparkContext.defaultParallelism))
     for number in range(s.epochs):
-        evolved = checkpointed(state.repartition(parallel, "block", "island").mapInPandas(epoch(number), schema))
+        evolved = checkpointed(state.select("block", "island", "sizes", "people").repartition(parallel, "block", "island").mapInArrow(epoch(number), schema))
         if number + 1 < s.epochs:
             # the best of each island goes to the next one, in place of that one's worst
             elite = evolved.select("block", F.pmod(F.col("island") + 1, F.lit(s.islands)).alias("island"), F.slice("people", 1, 1).alias("elite"))
             mixed = evolved.join(elite, ["block", "island"]).select("block", "island", F.concat("elite", F.slice("people", 1, max(1, s.population - 1))).alias("people"))
             state = islands.join(mixed, ["block", "island"])
 
-    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for block, held, packings in part[["block", "held", "packings"]].itertuples(index=False):
-                sizes = np.array([h["length"] for h in held], np.int64)
-                choice = max((np.frombuffer(p, np.int32) for p in packings), key=lambda p: fitness(sizes, p, s.capacity))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = np.array([h["length"] for h in row["held"]], np.int64)
+                choice = max((np.frombuffer(p, np.int32) for p in row["packings"]), key=lambda p: fitness(sizes, p, s.capacity))
                 fill = fills(sizes, choice)[choice]
-                yield pd.DataFrame({"item": [h["item"] for h in held], "length": sizes, "bin": (int(block) << 24) + choice.astype(np.int64), "bin_fill": fill})
+                items = pa.array([h["item"] for h in row["held"]], pa.int64())
+                yield pa.record_batch({"item": items, "length": pa.array(sizes), "bin": pa.array((row["block"] << 24) + choice.astype(np.int64)), "bin_fill": pa.array(fill)})
 
     best = evolved.groupBy("block").agg(F.sort_array(F.collect_list(F.get("people", 0))).alias("packings"))
-    return packs.join(best, "block").mapInPandas(unpack, "item long, length long, bin long, bin_fill long")
+    return packs.join(best, "block").mapInArrow(unpack, "item long, length long, bin long, bin_fill long")
 
 
 def pack_pieces(pieces: DataFrame, s: Settings) -> DataFrame:

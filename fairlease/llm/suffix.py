@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlease.llm.shared import stage_table
-from fairlease.llm.text import RollingHash, blocks, mix, sorted_counts
+from fairlease.llm.text import RollingHash, blocks, mix, release, sorted_counts
 
 GRAM = 24
 #: Share of the documents from which a gram is hot.
 HOT_SHARE = 0.005
-ROWS_PER_TASK = 500_000
+ROWS_PER_TASK = 250_000
 
 #: Runs of one gram, of different text, that one task takes together.
 MIXED_MAX = 20_000
@@ -215,6 +215,7 @@ def _settle(length: int):
                     some = at[(names > 1) & ((names > MIXED_MAX) == wide)]
                     none = np.zeros(len(some), np.uint64)
                     yield _rows(MIXED_WIDE if wide else MIXED, a[some], none, none, doc[some], tie[some], start[some], more[some])
+        release()
 
     return run
 
@@ -254,6 +255,7 @@ def _compare(length: int):
             a, z = np.flatnonzero(opens), np.flatnonzero(shuts)
             own = at[owner[a]]
             yield _repeats(doc[own], tie[own], start[own] + within[a], z - a)
+        release()
 
     return run
 
