@@ -41,6 +41,8 @@ GRAM = 24
 HOT_SHARE = 0.005
 ROWS_PER_TASK = 250_000
 
+#: Windows of a text that are worked on at once.
+CHUNK = 1 << 22
 #: Runs of one gram, of different text, that one task takes together.
 MIXED_MAX = 20_000
 
@@ -86,6 +88,18 @@ class Runs:
         return mix(self.hash.of(self.first, self.last + self.length) + self.shift.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
+def parts(column: pa.Array, length: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row and place in its text of each part, bytes, offsets): blocks, with longer texts cut into parts
+    of ``chunk`` windows.  Each window is in one part; a run that a cut divides is two runs."""
+    for lo, hi, data, offsets in blocks(column):
+        if hi - lo > 1 or len(data) <= chunk:
+            yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), data, offsets
+            continue
+        for place in range(0, max(1, len(data) - length + 1), chunk):
+            part = data[place : place + chunk + length - 1]
+            yield np.array([lo]), np.array([place]), part, np.array([0, len(part)])
+
+
 def earliest(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """True for the rows at the first place, by (doc, start), among rows of equal (a, b)."""
     key = mix(a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F)))
@@ -146,7 +160,7 @@ def hot_grams(texts: DataFrame, length: int) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, runs = [], 0
-            for _, _, data, offsets in blocks(batch.column(0)):
+            for _, _, data, offsets in parts(batch.column(0), length, CHUNK):
                 found = Runs(data, offsets, length)
                 runs += len(found.gram)
                 if len(found.gram):
@@ -272,14 +286,14 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             doc, tie = _keys(batch)
             cold = []
-            for lo, _, data, offsets in blocks(batch.column(2)):
+            for rows, places, data, offsets in parts(batch.column(2), length, CHUNK):
                 found = Runs(data, offsets, length)
                 if not len(found.gram):
                     continue
                 is_hot = _in_sorted(found.gram, sent.value)
-                row, more = found.row + lo, found.last - found.first
+                row, more = rows[found.row], found.last - found.first
                 begin = np.zeros(len(doc), np.int64)
-                begin[lo : lo + len(offsets) - 1] = offsets[:-1]
+                begin[rows] = offsets[:-1] - places
                 if is_hot.any():
                     yield from _windows(found.hash, doc, tie, row[is_hot], begin, found.first[is_hot], more[is_hot], length)
                 c = ~is_hot
@@ -331,10 +345,10 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
 
 def covered(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, more: np.ndarray, length: int) -> np.ndarray:
     """True for the bytes of a block under the windows."""
-    change = np.zeros(len(data) + 1, np.int64)
-    np.add.at(change, offsets[row] + start, 1)
-    np.add.at(change, offsets[row] + start + more + length, -1)
-    return np.cumsum(change)[:-1] > 0
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, offsets[row] + start, np.int32(1))
+    np.add.at(change, offsets[row] + start + more + length, np.int32(-1))
+    return np.cumsum(change, dtype=np.int32)[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_rows: bool = False) -> DataFrame:

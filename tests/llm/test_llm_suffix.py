@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import doc_frame, edge_texts, empty_docs, sentence
 
@@ -71,6 +72,28 @@ def test_hot_grams_and_many_names(spark, monkeypatch):
     assert got(spark, rows, 100) == want  # windows one by one
 
 
+def test_parts_hold_each_window_once():
+    text = sentence(random.Random(3), 60_000)
+    assert len(text) > 300_000
+    seen = []
+    for rows, places, data, offsets in suffix.parts(pa.array(["short", text, None]), 100, 70_000):
+        for k, (row, place) in enumerate(zip(rows, places, strict=True)):
+            own = data[offsets[k] : offsets[k + 1]].tobytes()
+            seen += [(row, place + i) for i in range(len(own) - 99)]
+            assert own == ["short", text, ""][row].encode()[place : place + len(own)]
+    assert seen == [(1, i) for i in range(len(text) - 99)]
+
+
+def test_long_texts_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK", 50_000)
+    rng = random.Random(4)
+    passage = sentence(rng, 60)
+    long = " ".join(sentence(rng, 3000) + passage for _ in range(20))
+    assert len(long) > 300_000
+    rows = [(1, passage + " before"), (2, long), (3, "x" + long[49_000:120_000]), (4, None)]
+    assert got(spark, rows, 100) == brute(rows, 100)
+
+
 def test_rows_of_one_id_and_null_id(spark):
     text = sentence(random.Random(1), 60)
     rows = [(1, text), (1, text), (2, text), (2, "other " + text), (None, text)]
