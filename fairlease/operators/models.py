@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -214,6 +215,15 @@ def fit_model(train: DataFrame, valid: DataFrame | None, cat, num, spec: Mapping
     return PipelineModel(stages=[*design.stages, reg])
 
 
+PARALLEL_FITS = 4  # independent fits submitted at a time; Spark shares its cores among their jobs
+
+
+def _fit_all(fit: Callable, jobs: Sequence) -> list:
+    """``fit(job)`` of every job, in order."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(fit, jobs))
+
+
 def train_tree_models(train: DataFrame, valid: DataFrame, cat, num, specs: Mapping[str, Mapping] = TREE_SPECS, label: str = "target"):
     """Fit every spec; a failing model is reported and skipped.  Returns (models, failures)."""
     models, failed = {}, {}
@@ -260,12 +270,11 @@ def oof_predictions(train: DataFrame, folds: DataFrame, cat, num, specs: Mapping
     data = train.join(F.broadcast(folds), "ym", "left")
     n_folds = folds.agg(F.max("fold")).first()[0] + 1
     parts = []
-    for i in range(n_folds):
-        fit_rows, hold = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
-        for name, spec in specs.items():
-            spec = {k: v for k, v in spec.items()}
-            m = fit_model(fit_rows, None, cat, num, spec, label)
-            parts.append(m.transform(hold).select(key, "fold", F.lit(name).alias("model"), F.col("prediction").alias("oof")))
+    jobs = [(i, name) for i in range(n_folds) for name in specs]
+    fitted = _fit_all(lambda job: fit_model(data.filter(F.col("fold") != job[0]), None, cat, num, specs[job[1]], label), jobs)
+    for (i, name), m in zip(jobs, fitted, strict=True):
+        hold = data.filter(F.col("fold") == i)
+        parts.append(m.transform(hold).select(key, "fold", F.lit(name).alias("model"), F.col("prediction").alias("oof")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -275,7 +284,7 @@ def oof_predictions(train: DataFrame, folds: DataFrame, cat, num, specs: Mapping
 # I5 ---------------------------------------------------------------------------
 def holdout_predictions(train: DataFrame, holdout: DataFrame, cat, num, specs: Mapping[str, Mapping], context: Sequence[str] = (), key: str = "row_key", label: str = "target") -> DataFrame:
     """Fit once on train (early stopping off the holdout), predict the holdout with context columns."""
-    models = {name: fit_model(train, None, cat, num, spec, label) for name, spec in specs.items()}
+    models = dict(zip(specs, _fit_all(lambda spec: fit_model(train, None, cat, num, spec, label), list(specs.values())), strict=True))
     return predict(models, holdout).select(key, *[c for c in context if c in holdout.columns], label, *[f"pred_{n}" for n in models])
 
 
