@@ -250,8 +250,9 @@ class Joined:
 def link_region(points: list[np.ndarray], pivot: int, s: Settings, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what is linked among ``points`` (sorted distinct shingles).
 
-    The pivot comes first; then each point of ``left`` (all, if not given) is measured against the
-    points that the triangle inequality and the groups so far leave open.
+    The pivot comes first; then each point beyond ``eps`` of it, or each of ``left`` if that is
+    given, is measured against the points that the triangle inequality and the groups so far leave
+    open.  A point of ``left`` may be near the pivot and still have links to points far from it.
     """
     n = len(points)
     size = np.array([len(p) for p in points])
@@ -280,9 +281,7 @@ def link_region(points: list[np.ndarray], pivot: int, s: Settings, left: np.ndar
     everyone = np.arange(n)
     far = measure(pivot, everyone)
     eps = 1 - s.num / s.den
-    ring = np.flatnonzero(far > eps + 1e-9)
-    if left is not None:
-        ring = ring[left[ring]]
+    ring = np.flatnonzero(far > eps + 1e-9 if left is None else left)
     for i in ring[np.argsort(far[ring], kind="stable")]:
         # a link to i must be as far from the pivot as i, give or take eps, and of a size near its own
         open_ = (groups.group != groups.group[i]) & (np.abs(far - far[i]) <= eps + 1e-9) & (size * s.den >= s.num * size[i]) & (size[i] * s.den >= s.num * size)

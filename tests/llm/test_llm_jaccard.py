@@ -125,6 +125,26 @@ def test_link_region_against_all_pairs():
         assert same(mine) == same(want)
 
 
+def test_link_region_of_a_window_against_all_pairs():
+    s = jaccard.Settings()
+    rng = np.random.default_rng(5)
+    # windows of 60 at offsets 18, 16 and 8: the pivot is near the second, which alone is near the third
+    cases = [([np.arange(k, k + 60, dtype=np.uint64) for k in (18, 16, 8)], np.array([True, True, False]))]
+    for _ in range(20):
+        points = [np.arange(k, k + 60, dtype=np.uint64) for k in rng.integers(0, 120, 30)]
+        cases.append((points, rng.random(30) < 0.5))
+    for points, left in cases:
+        n = len(points)
+        mine = jaccard.Joined(n)
+        for i, j in jaccard.link_region(points, 0, s, left):
+            mine.join(i, np.array([j]))
+        for i in np.flatnonzero(left):
+            for j in range(n):
+                k = len(np.intersect1d(points[i], points[j]))
+                if 100 * k >= 75 * (len(points[i]) + len(points[j]) - k):
+                    assert mine.group[i] == mine.group[j]
+
+
 def test_could_link_keeps_every_linked_pair():
     rng = np.random.default_rng(4)
     s = jaccard.Settings()
