@@ -1390,12 +1390,17 @@ def _model_rows(spark, sf):
     return _shared("model_rows", spark, sf, lambda: splits.group_split(valuation.training_target(flagged_query(spark, sf)))[0])
 
 
+def _model_inputs(rows):
+    """(frame function, categorical, numeric): every feature of the final model, as in ``fit_artifacts``."""
+    cat, num = valuation.model_features(rows)
+    return lambda d: valuation._model_frame(d, cat=cat, num=num), cat, num
+
+
 @register("tree_models", None)
 def tree_models_query(spark, sf):
     """I2 (rows-only): two GBT configs (early-stopped on valid) and a forest; test-split metrics."""
     rows = _model_rows(spark, sf)
-    fr = lambda d: valuation._model_frame(d)
-    cat, num = list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM)
+    fr, cat, num = _model_inputs(rows)
     fitted, _failed = models.train_tree_models(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num)
     preds = models.predict(fitted, fr(rows.filter("split = 'test'")))
     return stats.regression_metrics(preds, "target", [f"pred_{n}" for n in fitted])
@@ -1405,9 +1410,9 @@ def tree_models_query(spark, sf):
 def tune_search_query(spark, sf):
     """I3 (rows-only): seeded random search, validation RMSE of every trial."""
     rows = _model_rows(spark, sf)
-    fr = valuation._model_frame
+    fr, cat, num = _model_inputs(rows)
     _best, trials = models.tune(
-        fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
+        fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num,
         {"maxDepth": ("int", 3, 6), "stepSize": ("log", 0.03, 0.3)},
     )
     return trials
@@ -1418,7 +1423,8 @@ def oof_predictions_query(spark, sf):
     """I4 (rows-only): 5 contiguous month folds, every tree model, out-of-fold predictions."""
     rows = _model_rows(spark, sf).filter("split = 'train'")
     folds = splits.month_folds(rows, 5)
-    return models.oof_predictions(valuation._model_frame(rows), folds, list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM), models.TREE_SPECS)
+    fr, cat, num = _model_inputs(rows)
+    return models.oof_predictions(fr(rows), folds, cat, num, models.TREE_SPECS)
 
 
 @register(
@@ -1650,21 +1656,18 @@ def add_combo(df):
 def holdout_predictions_query(spark, sf):
     """I5 (rows-only): fit once on train, predict the validation rows with context columns."""
     rows = _model_rows(spark, sf)
-    fr = valuation._model_frame
-    return models.holdout_predictions(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")),
-                                      list(valuation.MODEL_FEATURES_CAT), list(valuation.MODEL_FEATURES_NUM),
-                                      models.TREE_SPECS, context=["gu_name", "property_type", "ym"])
+    fr, cat, num = _model_inputs(rows)
+    return models.holdout_predictions(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num, models.TREE_SPECS, context=["gu_name", "property_type", "ym"])
 
 
 @register("final_model_roundtrip", None)
 def final_model_roundtrip_query(spark, sf):
     """I11 (rows-only): fit the final model, save model + metadata to the shared folder, load, score test."""
     rows = _model_rows(spark, sf)
-    fr = valuation._model_frame
-    m = models.fit_model(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), list(valuation.MODEL_FEATURES_CAT),
-                         list(valuation.MODEL_FEATURES_NUM), valuation.FINAL_SPEC)
+    fr, cat, num = _model_inputs(rows)
+    m = models.fit_model(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num, valuation.FINAL_SPEC)
     path = io.shared_path(spark, "models", uuid.uuid4().hex)
-    models.save_model(m, path, {"features": list(valuation.MODEL_FEATURES_CAT) + list(valuation.MODEL_FEATURES_NUM), "confidence_level": 0.95})
+    models.save_model(m, path, {"features": cat + num, "confidence_level": 0.95})
     loaded, meta = models.load_model(path)
     return loaded.transform(fr(rows.filter("split = 'test'"))).select("row_key", "target", F.col("prediction").alias("pred_final"))
 

@@ -19,8 +19,6 @@ from fairlease.operators import anomaly, lookup, models, quality, risk
 from fairlease.session import materialize
 
 FINAL_SPEC = {"kind": "gbt", "maxDepth": 6, "maxIter": 40, "stepSize": 0.1, "subsamplingRate": 0.8}
-MODEL_FEATURES_CAT = ("gu_name", "property_type", "ym", "housing_type", "detail_type", "gu_property", "property_ym")
-MODEL_FEATURES_NUM = ("area_m2_clean", "room_count_clean", "household_size_clean", "rent_deposit_median")
 CONFIDENCE = 0.95
 
 
@@ -38,7 +36,13 @@ class Artifacts:
     metadata: dict = field(default_factory=dict)
 
 
-def _model_frame(df: DataFrame, keep=("row_key", "target", "deposit_won", "split"), cat=MODEL_FEATURES_CAT, num=MODEL_FEATURES_NUM) -> DataFrame:
+def model_features(labelled: DataFrame) -> tuple[list[str], list[str]]:
+    """(categorical, numeric) features of every model fit: all that are selected, combined keys included."""
+    _features, cat, num = quality.final_features(add_combo_features(labelled.drop("target", "fold")))
+    return cat, num
+
+
+def _model_frame(df: DataFrame, cat, num, keep=("row_key", "target", "deposit_won", "split")) -> DataFrame:
     df = add_combo_features(df)
     return models.categorical_frame(df, [*cat, *num], cat, num, keep=[*keep, *df.columns])
 
@@ -48,7 +52,7 @@ def fit_artifacts(labelled: DataFrame, k: int = 12, restarts: int = 20, trees: i
     learner to fit, e.g. the one that ``best_run`` found; every selected feature goes into it."""
     train = labelled.filter(F.col("split") == "train")
     valid = labelled.filter(F.col("split") == "valid")
-    _features, cat, num = quality.final_features(add_combo_features(labelled.drop("target", "fold")))
+    cat, num = model_features(labelled)
     framed = lambda df: _model_frame(df, cat=cat, num=num)
     model = models.fit_model(framed(train), framed(valid), cat, num, spec or FINAL_SPEC, "target", seed)
     # conformal half-widths from validation residuals (I11 -> E4), lease-median lookup from all rows
