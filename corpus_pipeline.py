@@ -6,7 +6,8 @@ stage's rows into the shared checkpoint folder and reads them back for the next.
 
 Defined results: documents whose language is undecided, or too far from every learned profile,
 go, and so do those that the classifier calls toxic (score at least 0.7); of documents linked by
-their shingles the one with the smallest doc_id stays, and one row of each doc_id; the repeat
+their shingles one row stays, of the smallest doc_id (a null one comes last), and rows without a
+shingle all stay, whatever doc_id they share with others; the repeat
 cutter keeps every document, with what is left of its text, and adjusts ``n_chars``; null text
 stays null up to the language stage, which has no language for it.  Extra columns travel along.
 
@@ -47,11 +48,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    joined = jaccard.join_documents(docs.select("doc_id", "text"))
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return stay.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    kept = jaccard.first_of_components(docs.select("doc_id", "text")).select(F.col("name").alias("kept"), F.col("doc_id").alias("kept_id"))
+    rows = jaccard.named_rows(docs)
+    stay = rows.where("name <> 0").join(kept, (F.col("name") == F.col("kept")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    once = Window.partitionBy("name").orderBy(F.xxhash64("row.text"))
+    single = stay.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    return single.unionByName(rows.where("name = 0").select("row.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fairlease.llm.shared import checkpointed, stage_table
 from fairlease.llm.text import RollingHash, blocks, mix, release, sorted_unique, word_spans
@@ -392,8 +393,34 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def named_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Every row with its set's name: name (0 if without shingle), row (all columns)."""
+    fields = docs.select(F.struct("*").alias("row")).schema["row"]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [set_name(x) for x in sets_of(batch.column(0), s.width)]
+            yield pa.record_batch({"name": pa.array(names, pa.int64()), "row": batch.column(1)})
+
+    given = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
+    return given.mapInArrow(name, StructType([StructField("name", LongType()), fields]))
+
+
 def join_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    own, named = joined_sets(docs, s)
+    return own.join(named, "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_components(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(name, doc_id), one of each component of texts with shingles: the smallest doc_id (null last), then name."""
+    _, named = joined_sets(docs, s)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("lead").isNull(), "lead", "name")).alias("first"))
+    return first.select("first.name", F.col("first.lead").alias("doc_id"))
+
+
+def joined_sets(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, name, n_shingles), and of each distinct set (name, lead, component_id, component's name)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     met = meeting(texts, s)
     own = met.where(F.col("kind") == DOC).select("doc_id", "name", F.col("packed").alias("n_shingles"))
@@ -406,14 +433,22 @@ def join_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             found = [(w, x.tobytes()) for w, x in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), s.width), strict=True) if set_name(x) == w]
             yield pa.record_batch({"name": pa.array([f[0] for f in found], pa.int64()), "shingles": pa.array([f[1] for f in found], pa.binary())})
 
+    def spell_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(set_name(x), x.tobytes()) for x in sets_of(batch.column(0), s.width)]
+            yield pa.record_batch({"name": pa.array([f[0] for f in found], pa.int64()), "shingles": pa.array([f[1] for f in found], pa.binary())})
+
     spelled = texts.join(wanted, "doc_id").select("name", "text").mapInArrow(spell, "name long, shingles binary")
+    # a set of rows without an id has no id to be fetched by
+    without = texts.where("doc_id is null").select("text").mapInArrow(spell_all, "name long, shingles binary")
+    spelled = spelled.unionByName(without.join(wanted.where("doc_id is null").select("name"), "name", "left_semi"))
     sets = stage_table(spelled, "sets").dropDuplicates(["name"])
     links = region_links(sets, members, s)
     of = components(links)
     whole = of.join(points.withColumnRenamed("name", "node"), "node")
     low = whole.groupBy("component").agg(F.min("lead").alias("component_id"))
-    named = points.join(whole.join(low, "component").select(F.col("node").alias("name"), "component_id"), "name", "left").select("name", F.coalesce("component_id", "lead").alias("component_id"))
-    return own.join(named, "name", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = points.join(whole.join(low, "component").select(F.col("node").alias("name"), "component", "component_id"), "name", "left")
+    return own, named.select("name", "lead", F.coalesce("component_id", "lead").alias("component_id"), F.coalesce("component", "name").alias("component"))
 
 
 def set_name(x: np.ndarray) -> int:

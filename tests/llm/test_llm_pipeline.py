@@ -99,3 +99,12 @@ def test_entry_without_the_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     n, there = said.stdout.split()
     assert int(n) > 50 and there == "False"
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (None, z), (None, z + " end"), (None, "one two three"), (7, ""), (7, "")]
+    out = pipeline.keep_one_of_near_copies(spark, doc_frame(spark, rows), SF)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(t for i, t in got if i is None) in (sorted([z, "one two three"]), sorted([z + " end", "one two three"]))
+    assert sorted((i, t) for i, t in got if i is not None) == [(3, x), (5, y), (7, ""), (7, "")]
