@@ -1,4 +1,4 @@
-"""Exact Jaccard join of word-shingle sets in their metric space: pivots, windows, recursion.
+"""Exact Jaccard join of word-shingle sets in their metric space: pivots and windows.
 
 1 - Jaccard similarity is a metric, and two sets link at a distance of at most ``eps``.
 
