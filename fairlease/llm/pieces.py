@@ -10,9 +10,14 @@ No piece reaches over the start of a word (checked when the model is loaded; if
 would be one lattice), so a text's lattice falls into one part a word: words are searched once
 each, and the text's N best are the best sums of the words' lists.
 
+Scores are often whole numbers, so a text without spaces has exponentially many paths of equal
+score.  Of equal ones the search follows the path that reaches furthest, and it goes on from a
+position at most N times: the paths that pass it come best first, and no N + 1st can be among the
+N best.  Time and memory are bounded by N times the lattice.
+
 Defined results: null text counts as empty and has no pieces and one segmentation, the empty one;
-a character without a piece becomes its bytes' pieces; score ties keep the order in which the
-search meets them, which depends on the text alone; repeated rows are encoded alike; an empty
+a character without a piece becomes its bytes' pieces; score ties go to the path that the search
+completes first, which depends on the text alone; repeated rows are encoded alike; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -34,6 +39,8 @@ SPACE = "▁"
 #: Below the lowest usable piece: the score of a character that only bytes can spell.
 UNKNOWN_PENALTY = 10.0
 UNUSED_SCORE = -1e8
+#: Longer words' lists are not kept.
+LIST_LETTERS = 64
 
 
 @dataclass(frozen=True)
@@ -83,7 +90,7 @@ class Model:
         joined = set("".join(several))
         self.alone = np.zeros(256, bool)
         self.alone[[ord(c) for c in "\n\t\r" if c not in joined]] = True
-        self.table = WordTable(keep, {"score": np.float64, "gap": np.float64, "same": np.bool_}, "ids", np.uint32)
+        self.table = WordTable(keep, {"score": np.float64, "gap": np.float64}, "ids", np.uint32)
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def lattice(self, word: str) -> Lattice:
@@ -142,10 +149,14 @@ class Model:
         ends: list[list] = [[] for _ in range(len(word) + 1)]
         for i, j, edge_ids, score in whole.edges:
             ends[j].append((i, edge_ids, score))
-        # (-(best way to here + what follows), order of discovery, position, what follows, path of edges behind)
-        heap, met, out = [(-whole.best[len(word)], 0, len(word), 0.0, None)], 1, []
+        # (-(best way to here + what follows), position, order of discovery, what follows, path of edges behind)
+        heap, met, out = [(-whole.best[len(word)], len(word), 0, 0.0, None)], 1, []
+        passed = [0] * (len(word) + 1)
         while heap and len(out) < n:
-            _, _, j, after, path = heapq.heappop(heap)
+            _, j, _, after, path = heapq.heappop(heap)
+            if passed[j] == n:
+                continue
+            passed[j] += 1
             if j == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -154,9 +165,10 @@ class Model:
                 out.append((after, tuple(ids)))
                 continue
             for i, edge_ids, s in ends[j]:
-                heapq.heappush(heap, (-(whole.best[i] + s + after), met, i, s + after, (edge_ids, path)))
-                met += 1
-        if len(self.lists) < self.keep // 10:
+                if passed[i] < n:
+                    heapq.heappush(heap, (-(whole.best[i] + s + after), i, met, s + after, (edge_ids, path)))
+                    met += 1
+        if len(word) <= LIST_LETTERS and len(self.lists) < self.keep // 10:
             self.lists[(word, n)] = out
         return out
 
@@ -186,8 +198,8 @@ class Model:
         size = np.diff(offsets)
         return put, starts, ends, np.searchsorted(starts, offsets + np.concatenate([[0], np.cumsum(size > 0)]))
 
-    def encode_block(self, data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[list[tuple[float, np.ndarray]], bool]]:
-        """For each text of a block its ``n`` best segmentations (score, ids), best first, and whether the best decodes to it."""
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """For each text of a block its ``n`` best segmentations (score, ids), best first."""
         put, starts, ends, before = self.word_spans(data, offsets)
         raw = put.tobytes()
         word = lambda w: raw[starts[w] : ends[w]].decode().replace(" ", SPACE)
@@ -195,8 +207,7 @@ class Model:
         def make(at: np.ndarray) -> dict:
             words = [word(w) for w in at]
             found = [self.segment(w) for w in words]
-            same = [self.spelled(f.ids) == w.encode() for f, w in zip(found, words, strict=True)]
-            return {"ids": [f.ids for f in found], "score": [f.score for f in found], "gap": [f.gap for f in found], "same": same}
+            return {"ids": [f.ids for f in found], "score": [f.score for f in found], "gap": [f.gap for f in found]}
 
         slot, columns, values, firsts = self.table.resolve(RollingHash(put).of(starts, ends), make)
         ids, sizes = gather(slot, values, firsts)
@@ -214,8 +225,9 @@ class Model:
                 sums: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
                 for k in near:
                     own_list = self.n_best(word(a + k), n)
-                    top = own_list[0][0]
-                    grown = [(lost + top - score, changed if not rank else (*changed, (k, alt))) for lost, changed in sums for rank, (score, alt) in enumerate(own_list)]
+                    top, own_best = own_list[0][0], tuple(ids[cuts[a + k] : cuts[a + k + 1]].tolist())
+                    others = [(score, alt) for score, alt in own_list if alt != own_best][: n - 1]
+                    grown = sums + [(lost + top - score, (*changed, (k, alt))) for lost, changed in sums for score, alt in others]
                     sums = sorted(grown, key=lambda g: g[0])[:n]
                 for lost, changed in sums[1:]:
                     parts, done = [], cuts[a]
@@ -223,16 +235,16 @@ class Model:
                         parts += [ids[done : cuts[a + k]], np.array(alt, ids.dtype)]
                         done = cuts[a + k + 1]
                     out.append((total - lost, np.concatenate([*parts, ids[done : cuts[b]]])))
-            yield out, bool(columns["same"][own].all())
+            yield out
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations (score, ids) of a text, best first."""
         raw = text.encode()
-        found, _ = next(self.encode_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), n))
+        found = next(self.encode_block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), n))
         return [(score, ids.tolist()) for score, ids in found]
 
-    def spelled(self, ids) -> bytes:
-        return b"".join(self.bytes_of[i] for i in ids)
+    def spelled(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text again: bytes joined, space marks back to spaces, the leading one dropped."""
@@ -252,7 +264,7 @@ def model(path: str) -> Model:
 def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
     """Per document its best ids (count, checksum, score), whether they decode to the text, and the N best.
 
-    ``round_trip`` says that the ids spell the text with its spaces as marks.
+    ``round_trip`` compares the decoded ids with the text.
     """
     schema = "doc_id long, n_pieces int, ids_crc32 long, score double, round_trip boolean, nbest array<struct<score:double,n_pieces:int,ids_crc32:long>>"
     crc = lambda ids: zlib.crc32(np.asarray(ids, "<u4").tobytes())
@@ -262,8 +274,10 @@ def encode_documents(docs: DataFrame, path: str, n: int = 4) -> DataFrame:
         for batch in batches:
             rows = []
             for _, _, data, offsets in blocks(batch.column(1), LARGE_BLOCK):
-                for found, same in m.encode_block(data, offsets, n):
+                raw = data.tobytes()
+                for found, a, b in zip(m.encode_block(data, offsets, n), offsets[:-1], offsets[1:], strict=True):
                     nbest = [{"score": s, "n_pieces": len(i), "ids_crc32": crc(i)} for s, i in found]
+                    same = m.decode(found[0][1].tolist()) == raw[a:b].decode()
                     rows.append((nbest[0]["n_pieces"], nbest[0]["ids_crc32"], found[0][0], same, nbest))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -292,7 +306,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            ids = [found[0][1].astype(np.int32) for _, _, data, offsets in blocks(batch.column(1), LARGE_BLOCK) for found, _ in m.encode_block(data, offsets, 1)]
+            ids = [found[0][1].astype(np.int32) for _, _, data, offsets in blocks(batch.column(1), LARGE_BLOCK) for found in m.encode_block(data, offsets, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")

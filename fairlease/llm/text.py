@@ -123,10 +123,14 @@ class WordTable:
     """Values of words by their 64-bit hash, worked out once a word.
 
     ``columns`` holds an array per value; ``ragged`` ones (with their start offsets) hold any
-    number of entries a word.  At most ``keep`` words stay; once full, new words last for one
-    lookup.  Two of a table's words share a hash with odds of about ``keep ** 2 / 2 ** 65``.
+    number of entries a word.  At most ``keep`` words with ``KEPT_VALUES * keep`` entries stay; once
+    full, new words last for one lookup, and what a lookup of long words grew is given back.  Two
+    of a table's words share a hash with odds of about ``keep ** 2 / 2 ** 65``.
     """
 
+    #: Entries kept a word, on average.
+    KEPT_VALUES = 8
+
     def __init__(self, keep: int, columns: dict[str, type], ragged: str, ragged_type: type):
         self.keep, self.ragged, self.words = keep, ragged, 0
         self.keys, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -168,11 +172,13 @@ class WordTable:
             self.values = self._put(self.values, used, np.fromiter((x for w in own for x in w), self.values.dtype, int(sizes.sum())))
             self.starts = self._put(self.starts, self.words + 1, used + np.cumsum(sizes))
             self.columns = {c: self._put(v, self.words, np.asarray(made[c], v.dtype)) for c, v in self.columns.items()}
-            if self.words + len(new) <= self.keep:  # else the next lookup writes over them
+            if self.words + len(new) <= self.keep and used + int(sizes.sum()) <= self.KEPT_VALUES * self.keep:  # else the next lookup writes over them
                 self.words += len(new)
                 self.keys = np.insert(self.keys, at[new], distinct[new])
                 self.slots = np.insert(self.slots, at[new], slot[new])
         columns, values, starts = self.columns, self.values, self.starts
+        if len(values) > 2 * self.KEPT_VALUES * self.keep:
+            self.values = values[: int(starts[self.words])].copy()
         of = np.empty(len(h), np.int64)
         of[order] = slot[np.cumsum(first) - 1]
         return of, columns, values, starts

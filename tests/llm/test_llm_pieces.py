@@ -89,3 +89,43 @@ def test_full_table_keeps_results_right():
     whole = pieces.model(PATH)
     for text in itertools.chain(texts, texts):
         assert m.encode(text, 2) == whole.encode(text, 2)
+
+
+def distinct_paths(found, n, m, text):
+    assert len(found) == n and len({tuple(i) for _, i in found}) == n
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert all(m.decode(ids) == text for _, ids in found)
+
+
+def test_runs_without_spaces_end_soon():
+    """Equal letters, two letters, DNA, base64 and random letters of 100,000 characters, one word each."""
+    import time
+
+    m = pieces.model(PATH)
+    rng = random.Random(1)
+    draw = lambda of, k=100_000: "".join(rng.choices(of, k=k))
+    texts = ["a" * 100_000, "ab" * 50_000, draw("ACGT"), draw("ABCDEFGHabcdefgh0123456789+/"), draw("abcdefghijklmnopqrstuvwxyz")]
+    t = time.perf_counter()
+    for text in texts:
+        for n in (1, 4, 16):
+            distinct_paths(m.encode(text, n), n, m, text)
+    assert time.perf_counter() - t < 120
+
+
+def test_ties_by_brute_force():
+    """Whole-number scores: many segmentations share one score."""
+    m = pieces.Model.of({"▁": (0, -1.0), "a": (1, -2.0), "aa": (2, -4.0), "aaa": (3, -6.0), "ab": (4, -3.0), "b": (5, -1.0)}, {b: 1000 + b for b in range(256)})
+    for text in ("aaaaaa", "aabab", "a aaa aab", "aaaaaaaaaa"):
+        want = all_segmentations(m, text)
+        for n in (1, 4, 7, 16):
+            got = m.encode(text, n)
+            assert [s for s, _ in got] == [s for s, _ in want[:n]]
+            assert len({tuple(i) for _, i in got}) == len(got) and {tuple(i) for _, i in got} <= {ids for _, ids in want}
+
+
+def test_word_table_is_bounded_by_entries():
+    m = pieces.Model.of({"a": (1, -2.0), "▁": (0, -1.0)}, {b: 1000 + b for b in range(256)})
+    limit = 2 * m.table.KEPT_VALUES * m.keep
+    for k in range(20):
+        m.encode("é" * (30_000 + k))
+        assert len(m.table.values) <= limit
