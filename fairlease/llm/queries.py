@@ -86,8 +86,8 @@ QUERIES: dict[str, Query] = {
     "op13_secrets": op13_secrets,
 }
 
-#: Steps, damping and threshold as in ``url_trust.judge_pages``.
-_STEPS, _DAMPING = 10, 0.5
+#: Steps after which the SQL takes the ranks as converged: 2 ** -200 of the mass is left.
+_STEPS, _DAMPING = 200, 0.5
 
 
 def _rules_sql() -> str:
@@ -100,14 +100,8 @@ def _rules_sql() -> str:
 def _trust_sql() -> str:
     rest = "case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end"
     lower = f"translate(regexp_extract({{}}, '^([^/?#]*)', 1), '{url_trust.UPPER}', '{url_trust.LOWER}')"
-    steps = []
-    for i in range(1, _STEPS + 1):
-        steps.append(
-            f"r{i} as materialized (select kind, host, sum(rank) rank from (select e.kind, e.dst host, {_DAMPING} * sum(r.rank * e.share) rank from r{i - 1} r join edges e on e.kind = r.kind and e.src = r.host group by 1, 2"
-            f" union all select kind, host, seed * (1 - {_DAMPING}) from seeds) group by 1, 2)"
-        )
     return f"""
-with parts as (select page_id, html, coalesce({lower.format("rest")}, '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from (select *, {rest} rest from pages)),
+with recursive parts as (select page_id, html, coalesce({lower.format("rest")}, '') host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path from (select *, {rest} rest from pages)),
 judged as materialized (select *, {_rules_sql()} ruling from parts),
 hrefs as (select distinct page_id, host src, unnest(regexp_extract_all(coalesce(html, ''), '<a[[:space:]][^>]*?href[[:space:]]*=[[:space:]]*["'']?([^"''[:space:]>]+)', 1, 'i')) link from judged),
 targets as (select distinct page_id, src, case when regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') then {lower.format("substr(link, instr(link, '//') + 2)")} else src end dst from hrefs),
@@ -116,10 +110,13 @@ both_ways as (select 'trust' kind, src, dst, weight from links union all select
 edges as materialized (select kind, src, dst, weight / sum(weight) over (partition by kind, src) share from both_ways),
 counts as (select case when starts_with(ruling, 'allow') then 'trust' else 'distrust' end kind, host, count(*) pages from judged where ruling is not null group by 1, 2),
 seeds as materialized (select kind, host, pages / sum(pages) over (partition by kind) seed from counts),
-r0 as (select kind, host, seed rank from seeds),
-{", ".join(steps)},
-margin as (select host, sum(case when kind = 'distrust' then rank else -rank end) m from r{_STEPS} group by 1)
-select page_id, host, path, split_part(ruling, ':', 2) as rule, coalesce(split_part(ruling, ':', 1), case when m > 0 then 'block' else 'allow' end) verdict
+fronts(kind, host, step, rank) as (
+  select kind, host, 0, seed * (1 - {_DAMPING}) from seeds
+  union all select e.kind, e.dst, f.step + 1, {_DAMPING} * sum(f.rank * e.share) from fronts f join edges e on e.kind = f.kind and e.src = f.host where f.step < {_STEPS} group by 1, 2, 3
+),
+margin as (select host, sum(rank) filter (kind = 'trust') t, sum(rank) filter (kind = 'distrust') d from fronts group by host)
+select page_id, host, path, split_part(ruling, ':', 2) as rule,
+  coalesce(split_part(ruling, ':', 1), case when coalesce(d - t > {url_trust.EVEN} * (d + t), d is not null) then 'block' else 'allow' end) verdict
 from judged left join margin using (host)
 """
 
@@ -203,7 +200,8 @@ from forms f join chains c on c.word = f.word join forms e on e.word = c.held wh
 
 _PERIODIC_SQL = rf"""
 with recursive {_CRC_TABLE},
-split as materialized (select row_number() over () rid, doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[ 	-]+') if x <> ''] w from documents),
+split as materialized (select row_number() over () rid, doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+') if x <> ''] w from documents),
 sums as (select *, len(w) n, {_crc32_sql("coalesce(doc_id::varchar, '')")} h from split, tab),
 marks as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end a from sums),
 periods as (select *, 1 + (n - a) // (3 + (h // 10) % 8) p from marks),

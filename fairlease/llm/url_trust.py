@@ -4,11 +4,12 @@ A rule names a host (with all its subdomains) and a path prefix; the longest fit
 decides.  For the other pages the link graph decides: personalised PageRank starts at hosts with
 allowed pages and follows the links (trust), a second one starts at hosts with blocked pages and
 follows them backwards (distrust: who links to a bad host).  A host is blocked where its distrust
-exceeds its trust by the threshold.  Built-in functions only.
+exceeds its trust, or where distrust alone reaches it.  The steps have no fixed number: they go on
+until the mass still to come cannot change a verdict.  Built-in functions only.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and
-takes the verdict of the empty host; null or empty html has no links; a host without any mass is
-allowed; repeated page rows are judged alike; an empty table gives no rows; extra columns are
+takes the verdict of the empty host; null or empty html has no links; a host without any mass, and one whose
+trust and distrust differ by no more than rounding, is allowed; repeated page rows are judged alike; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from fairlease.llm.shared import checkpointed
 
+#: Share of a host's mass below which a difference is rounding.
+EVEN = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,36 +86,51 @@ def host_links(pages: DataFrame) -> DataFrame:
     return targets.where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float, iterations: int, cut_every: int = 5) -> DataFrame:
-    """Personalised PageRank of both kinds at once.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float, cut_every: int = 5) -> DataFrame:
+    """Personalised PageRank of both kinds at once, run until no later step can change a verdict.
 
     ``seeds``: (kind, host, seed), each kind summing to 1.  ``trust`` follows links, ``distrust``
     follows them backwards; rank a host passes on is shared by link weight, and what has nowhere
-    to go is lost.  ``iterations`` steps leave at most ``damping ** iterations`` of the mass
-    unplaced.  Returns (kind, host, rank).
+    to go is lost.  A step's ``front`` is the mass that has made one more link; ranks are the sum
+    of all fronts.  The steps end when no host is newly reached and the mass still to come, at
+    most the front's times damping / (1 - damping), is below the difference of every host that
+    both kinds reach, or below ``EVEN`` of its mass (then the kinds count as even).
+    Returns (host, trust, distrust), null for a kind that does not reach the host.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
     edges = checkpointed(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")))
-    ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for step in range(1, iterations + 1):
-        passed = (
-            edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
-            .groupBy("kind", "dst")
-            .agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
-            .withColumnRenamed("dst", "host")
-        )
-        restart = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-        ranks = passed.unionByName(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % cut_every == 0:
-            ranks = checkpointed(ranks)
-    return ranks
-
-
-def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float = 0.5, iterations: int = 10, threshold: float = 0.0) -> DataFrame:
-    """page_id, host, path, rule, verdict, and ``host_margin`` (distrust - trust where the method judged)."""
+    front = checkpointed(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
+    ranks, reached = front, -1
+    while True:
+        fronts = [ranks]
+        for _ in range(cut_every):
+            front = (
+                edges.join(front.withColumnRenamed("host", "src"), ["kind", "src"])
+                .groupBy("kind", "dst")
+                .agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+                .withColumnRenamed("dst", "host")
+            )
+            front = checkpointed(front)
+            fronts.append(front)
+        ranks = fronts[0]
+        for f in fronts[1:]:
+            ranks = ranks.unionByName(f)
+        ranks = checkpointed(ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        by_host = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank"))).alias(k) for k in ("trust", "distrust")])
+        to_come = front.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).collect()[0][0] * damping / (1 - damping)
+        gap, mass = F.abs(F.col("distrust") - F.col("trust")), F.col("distrust") + F.col("trust")
+        still_open = (gap <= to_come) & (F.lit(to_come) > mass * EVEN)
+        pairs, undecided = by_host.agg(F.sum(F.lit(0) + F.col("trust").isNotNull().cast("int") + F.col("distrust").isNotNull().cast("int")), F.sum(still_open.cast("int"))).collect()[0]
+        if pairs == reached and not undecided or not pairs:
+            return by_host
+        reached = pairs
+
+
+def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float = 0.5) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page."""
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = checkpointed(pages.select("page_id", host.alias("host"), path.alias("path")).select("*", name.alias("rule"), verdict.alias("ruled")))
@@ -123,12 +141,10 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float
     )
     totals = counts.groupBy("kind").agg(F.sum("pages").alias("total"))
     seeds = checkpointed(counts.join(totals, "kind").select("kind", "host", (F.col("pages") / F.col("total")).alias("seed")))
-    ranks = propagate(host_links(pages), seeds, damping, iterations)
-    margin = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(-F.col("rank"))).alias("host_margin"))
-    return judged.join(margin, "host", "left").select(
-        "page_id",
-        "host",
-        "path",
-        "rule",
-        F.coalesce("ruled", F.when(F.col("host_margin") > threshold, "block").otherwise("allow")).alias("verdict"),
+    margin = propagate(host_links(pages), seeds, damping)
+    # a host that distrust alone reaches is blocked, however far it is from the seed
+    more = F.coalesce(F.col("distrust") - F.col("trust") > EVEN * (F.col("distrust") + F.col("trust")), F.col("distrust").isNotNull())
+    blocked = margin.select("host", more.alias("blocked"))
+    return judged.join(blocked, "host", "left").select(
+        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict")
     )
