@@ -7,6 +7,10 @@ enough of the sample; leaves and queries then meet in Spark, and the candidates
 are ranked by the exact inner product in double precision.  One more coordinate,
 ``sqrt(max norm^2 - norm^2)``, turns largest inner product into nearest distance for routing.
 
+Leaves grow with the index: one of over a sixteenth of a task's rows is dealt by hash over several
+tasks, and a query goes to each of them.  Vectors keep their element type (float or double; others
+are read as double).
+
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ from
 the most common dimension take no part; of equal vectors the smallest ids come first (only as many
 as an answer can hold are indexed, which loses none); a repeated vec_id counts once with the first
@@ -37,6 +41,8 @@ class Settings:
     visit: float = 14.0
     visit_power: float = 0.7
     visit_least: int = 8_000
+    # of an index larger than the sample the visited share falls by this power of index / sample: work a query grows by the 0.85th power
+    visit_decay: float = 0.15
     part_rows: int = 131_072  # indexed rows (vector and tree) of one reranking task
 
 
@@ -140,7 +146,9 @@ def matrix(column) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the vectors that take part, one row a vec_id."""
+    """vec_id (long) and embedding (array of float or double) of the vectors that take part, one row a vec_id."""
+    kept = vectors.schema["embedding"].dataType.elementType.typeName() in ("float", "double")
+    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding" if kept else F.col("embedding").cast("array<double>"))
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     known = vectors.where("vec_id is not null").select("vec_id", "embedding").where(F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False)))
@@ -151,6 +159,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return known.where(F.size("embedding") == sizes[0]["dim"]).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
 
 
+def visited_rows(total: int, sampled: int, s: Settings) -> int:
+    """Sampled rows, over all trees, whose leaves a query visits in an index of ``total`` vectors."""
+    least = max(int(s.visit * sampled**s.visit_power), s.visit_least)
+    return int(least * (sampled / total) ** s.visit_decay) if total > sampled else least
+
+
 def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest found, ties to the smaller vec_id."""
     spark = vectors.sparkSession
@@ -175,7 +189,10 @@ def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     forest.directions = forest.directions.astype(np.float32)
     sent = spark.sparkContext.broadcast(forest)  # bounded by the sample
     parts = max(1, -(-total * s.trees // s.part_rows))
-    enough = max(int(s.visit * sampled.num_rows**s.visit_power), s.visit_least)
+    enough = visited_rows(total, sampled.num_rows, s)
+    # a leaf's rows are dealt into so many, by hash of the vector's smallest id; leaves are numbered accordingly
+    deals = max(1, -(-16 * s.leaf * total // (sampled.num_rows * s.part_rows)))
+    vector = rows.schema["embedding"].dataType.simpleString()
 
     def part_of(leaf: np.ndarray) -> np.ndarray:
         return (leaf * 0x9E3779B1 % (1 << 32)) * parts >> 32
@@ -186,7 +203,8 @@ def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
         for batch in batches:
             leaves = sent.value.leaves(lifted(matrix(batch.column(1)), sent.value.top_norm)) if batch.num_rows else np.empty((0, s.trees), np.int64)
             at = np.repeat(np.arange(batch.num_rows), leaves.shape[1])
-            leaf = leaves.ravel()
+            dealt = np.array([x[0] for x in batch.column(0).to_pylist()], np.int64) * 0x9E3779B1 % (1 << 32) * deals >> 32
+            leaf = leaves.ravel() * deals + dealt[at]
             yield pa.RecordBatch.from_arrays([pa.array(part_of(leaf).astype(np.int32)), pa.array(leaf), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["part", "leaf", "ids", "embedding"])
 
     def walk(batches):
@@ -196,7 +214,7 @@ def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
             part, row, leaves = [], [], []
             q = lifted_query(matrix(batch.column(1)), sent.value.top_norm) if batch.num_rows else []
             for i, x in enumerate(q):
-                found = np.array(sorted(sent.value.search(x, enough)), np.int64)
+                found = (np.array(sorted(sent.value.search(x, enough)), np.int64)[:, None] * deals + np.arange(deals)).ravel()
                 p = part_of(found)
                 for k in np.unique(p):
                     part.append(int(k))
@@ -264,10 +282,11 @@ def nearest(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
         flat = np.concatenate([np.array(ids[r], np.int64) for r in some_row[what]]) if len(what) else np.empty(0, np.int64)
         return pa.table({"query_id": np.asarray(right["query_id"])[np.repeat(who, many)], "vec_id": flat, "score": np.repeat(exact, many)})
 
-    placed = index.select("ids", "embedding").mapInArrow(route, "part int, leaf long, ids array<long>, embedding array<float>")
+    placed = index.select("ids", "embedding").mapInArrow(route, f"part int, leaf long, ids array<long>, embedding {vector}")
     queries = rows.where(F.col("vec_id") % s.query_every == 0).select("vec_id", "embedding")
-    spread = max(1, min(64, queries.count() // 64 + 1))
-    asked = queries.repartition(spread, "vec_id").mapInArrow(walk, "part int, query_id long, embedding array<float>, leaves array<long>")
+    n_queries = queries.count()
+    spread = max(min(64, n_queries // 64 + 1), n_queries // 1024)
+    asked = queries.repartition(spread, "vec_id").mapInArrow(walk, f"part int, query_id long, embedding {vector}, leaves array<long>")
     found = placed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(rerank, out_schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     once = found.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -63,6 +63,35 @@ def test_recall_of_a_real_search(spark):
     assert recall >= 0.9
 
 
+def test_dealt_leaves_and_a_larger_index_find_as_much(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)]
+    s = ann.Settings(visit=30.0, visit_least=0, sample=700, leaf=16, part_rows=256)  # leaves dealt over 5 tasks
+    want, mine = brute(rows), got(spark, rows, s)
+    assert len(mine) == len(want)
+    assert len({x[::2] for x in mine} & {x[::2] for x in want}) / len(want) >= 0.9
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, rng.normal(size=5).tolist()) for i in range(200)] + [(300, None), (301, [float("nan")] * 5), (302, [0.1] * 4)]
+    kept = {i: np.array(e) for i, e in data if e is not None and len(e) == 5 and np.isfinite(e).all()}
+    for kind, read in (("array<double>", float), ("array<float>", np.float32), ("array<decimal(20,6)>", lambda x: round(x, 6))):
+        df = spark.createDataFrame(data[:200] + data[-3:-2] + data[-1:], "vec_id int, embedding array<double>").select("vec_id", F.col("embedding").cast(kind))
+        out = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df).collect()}
+        held = {i: np.array([float(read(x)) for x in e]) for i, e in kept.items() if i < 200}
+        for q in range(0, 200, 20):
+            near = sorted(((-float(held[q] @ v), i) for i, v in held.items() if i != q))[:20]
+            assert [out[q, r + 1][0] for r in range(20)] == [i for _, i in near]
+            assert np.allclose([out[q, r + 1][1] for r in range(20)], [-x for x, _ in near], rtol=1e-14)
+
+
+def test_visited_share_falls_beyond_the_sample():
+    s = ann.Settings()
+    share = [ann.visited_rows(n, min(n, s.sample), s) / min(n, s.sample) for n in (65_536, 400_000, 10**9)]
+    assert share[0] > share[1] > share[2] and abs(share[2] / share[0] - (10**9 / 65_536) ** -0.15) < 1e-3
+
+
 def test_query_recall_on_the_table(spark):
     vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
     v = vectors.toPandas()
