@@ -1,7 +1,7 @@
 """Order MinHash fingerprints with built-in functions.
 
-A text's units are its words; texts without enough white space (mean word over
-``LONG_WORD`` code points) use code points.  Each run of ``k`` units is numbered by its occurrence
+A text's units are its words, but a word of over ``LONG_WORD`` code points gives its code points as
+units, so a passage has the same units wherever it stands.  Each run of ``k`` units is numbered by its occurrence
 among equal runs, so a run that comes twice counts as two elements.  Each numbered run gets a
 hash; the hash space is cut into ``buckets`` ranges, the ``picks`` smallest elements of each range
 are put back into text order, and the ordered tuple is hashed: one signature a range.  Moving,
@@ -11,12 +11,14 @@ with edit distance.
 Defined results: null text counts as empty; a text without units has no signatures (fingerprint
 ``''``) and is like another such text with 1, like any other with 0; a text with fewer than ``k``
 units is one run; equal texts have equal fingerprints; repeated rows are kept, ordered by
-doc_id and then by a hash of the text; the edited text of the last document uses the first; an
-empty table gives no rows; extra columns are ignored.
+doc_id (null first) and then by a hash of the text; the edited text of the last document uses the
+first; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ def with_signatures(df: DataFrame, text: str, out: str, k: int = 2, buckets: int
     u, h, s, n = "__units", "__hash", "__sorted", "__numbered"
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     df = df.withColumn(u, words)
-    df = df.withColumn(u, F.when(F.length(text) > LONG_WORD * F.size(u), F.split(F.col(text), "")).otherwise(F.col(u)))
+    spelled = F.flatten(F.transform(F.col(u), lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+    df = df.withColumn(u, F.when(F.exists(F.col(u), lambda w: F.length(w) > LONG_WORD), spelled).otherwise(F.col(u)))
     df = df.withColumn(h, F.transform(F.col(u), lambda w: F.xxhash64(w)))
     runs = F.greatest(F.size(h) - F.lit(k - 1), F.least(F.size(h), F.lit(1)))
     run_hash = lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(k)])
@@ -91,13 +94,15 @@ def likeness(a: Column, b: Column, buckets: int = 32) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same.cast("double") / used)
 
 
-def with_next(docs: DataFrame, carried: list[str], rows_per_range: int = 1000) -> DataFrame:
-    """doc_id, the columns ``carried`` and as ``next_*`` the next document's by ascending doc_id (after the last: the first).
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], derived: list[str], rows_per_range: int = 1000) -> DataFrame:
+    """doc_id, text, the columns that ``derive`` adds, and all but doc_id as ``next_*`` of the next document by ascending doc_id (after the last: the first).
 
     Documents are cut into ranges of doc_id: up to 512 quantile ranges, each cut evenly into finer
-    ones as the table grows.  A range is one window; the first document of the range after it
-    closes the gap, so no task sees all documents.
+    ones as the table grows; rows without a doc_id are dealt by their text's hash.  A range is one
+    window; the first document of the range after it closes the gap, so no task sees all documents.
+    ``derive`` is run once a document, and once more on the first of each range.
     """
+    carried = ["text", *derived]
     n = docs.count()
     coarse = int(max(1, min(512, n // rows_per_range)))
     fine = int(max(1, n // (coarse * rows_per_range)))
@@ -108,13 +113,19 @@ def with_next(docs: DataFrame, carried: list[str], rows_per_range: int = 1000) -
         low, high = F.get(lit, F.col("__coarse") - 1), F.get(lit, F.col("__coarse"))
         inside = F.floor((F.col("doc_id") - low) * F.lit(fine) / F.greatest(high - low, F.lit(1)))
         docs = docs.withColumn("__fine", F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1)), F.lit(0)))
-        docs = docs.withColumn("__coarse", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__coarse")))
     else:
         docs = docs.withColumns({"__coarse": F.lit(0), "__fine": F.lit(0).cast("long")})
-    docs = docs.select("doc_id", "__coarse", "__fine", F.xxhash64(*carried).alias("__tie"), F.struct(*carried).alias("__own"))
-    ordered = Window.partitionBy("__coarse", "__fine").orderBy(F.col("doc_id").asc_nulls_first(), F.col("__tie").asc())
-    inside = docs.withColumns({"__next": F.lead("__own").over(ordered), "__row": F.row_number().over(ordered)})
-    firsts = inside.where("__row = 1").select("__coarse", "__fine", "__own")
+    docs = docs.withColumn("__tie", F.xxhash64("text"))
+    # rows without a doc_id come first, by their text's hash: its top bits deal them, its order is the ranges' order
+    spread = F.least(F.floor((F.shiftright("__tie", 32) + (1 << 31)) * n / F.lit(rows_per_range * (1 << 32))), F.lit(n // rows_per_range))
+    docs = docs.withColumns({"__coarse": F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__coarse")), "__fine": F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("__fine"))})
+    ranges = ["__coarse", "__fine"]
+    heads_of = docs.groupBy(*ranges).agg(F.min(F.struct("doc_id", "__tie")).alias("__head")).select(*ranges, F.col("__head.doc_id").alias("__id"), F.col("__head.__tie").alias("__tie"))
+    match = [docs[c] == heads_of[c] for c in (*ranges, "__tie")] + [docs["doc_id"].eqNullSafe(heads_of["__id"])]
+    first_rows = docs.join(heads_of, match, "left_semi").dropDuplicates([*ranges])
+    firsts = derive(first_rows).select(*ranges, F.struct(*carried).alias("__own"))
+    ordered = Window.partitionBy(*ranges).orderBy(F.col("doc_id").asc_nulls_first(), F.col("__tie").asc())
+    inside = derive(docs).select("doc_id", *ranges, "__tie", F.struct(*carried).alias("__own")).withColumn("__next", F.lead("__own").over(ordered))
     # what follows a range: the first document of the finer range after it, else of the coarse range after it (at most 513), else of all
     finer = Window.partitionBy("__coarse").orderBy("__fine")
     heads = firsts.withColumns({"__after": F.lead("__own").over(finer), "__row": F.row_number().over(finer)})
@@ -136,7 +147,7 @@ def edited(text: Column, next_text: Column) -> Column:
 def fingerprint_documents(docs: DataFrame, k: int = 2, buckets: int = 32, picks: int = 2) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and their likenesses."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(with_signatures(docs, "text", "sig", k, buckets, picks), ["text", "sig"])
+    rows = with_next(docs, lambda d: with_signatures(d, "text", "sig", k, buckets, picks), ["sig"])
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
     rows = with_signatures(rows, "edited", "edited_sig", k, buckets, picks)
     return rows.select(

@@ -15,9 +15,7 @@ def h_long(x, seed=42):
 
 
 def brute_signatures(text, k=2, bits=5, picks=2):
-    units = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
-    if len(text) > omh.LONG_WORD * len(units):
-        units = list(text)
+    units = [u for w in re.split(r"[\x20\x09-\x0D]+", text) if w for u in (w if len(w) > omh.LONG_WORD else [w])]
     hashes = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
     runs = max(len(units) - k + 1, min(len(units), 1))
     seen, numbered = {}, []
@@ -67,13 +65,13 @@ def test_fingerprints_by_brute_force(spark):
 def test_ranges_of_many_documents(spark):
     rows = [(i * i * 1000 if i % 2 else i, f"text number {i} " * 3) for i in range(400)]
     order = sorted(rows)
-    got = {r["doc_id"]: r["next_text"] for r in omh.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], rows_per_range=7).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in omh.with_next(spark.createDataFrame(rows, "doc_id long, text string"), lambda d: d, [], rows_per_range=7).collect()}
     assert got == {i: order[(n + 1) % 400][1] for n, (i, _) in enumerate(order)}
 
 
 def test_finer_ranges(spark):
     rows = [(i, f"t{i}") for i in range(3000)]
-    got = {r["doc_id"]: r["next_text"] for r in omh.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], rows_per_range=1).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in omh.with_next(spark.createDataFrame(rows, "doc_id long, text string"), lambda d: d, [], rows_per_range=1).collect()}
     assert got == {i: f"t{(i + 1) % 3000}" for i in range(3000)}
 
 
@@ -86,6 +84,21 @@ def test_repeats_nulls_empty_and_order(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_rows_without_an_id_are_dealt(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(i, f"t{i}") for i in range(40)]
+    got = omh.with_next(spark.createDataFrame(rows, "doc_id long, text string"), lambda d: d, [], rows_per_range=10).collect()
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - ((h >> 63) << 64)
+    order = [t for _, t in sorted((signed(t), t) for i, t in rows if i is None)] + [f"t{i}" for i in range(40)]
+    assert {r["text"]: r["next_text"] for r in got} == {t: order[(n + 1) % 340] for n, t in enumerate(order)}
+
+
+def test_a_passage_has_the_same_units_beside_long_words():
+    passage = " ".join(f"w{i}" for i in range(300))
+    long = "".join(chr(0x4E00 + i % 997) for i in range(100))
+    a, b = brute_signatures(passage + " " + long), brute_signatures(passage + " short words only " * 30)
+    assert likeness(a, b) > 0.1
+
+
 def test_order_matters(spark):
     text = " ".join(f"w{i}" for i in range(400))
     swapped = " ".join([f"w{i}" for i in range(200, 400)] + [f"w{i}" for i in range(200)])
