@@ -58,7 +58,7 @@ def shard_layout(docs: DataFrame, weights: Sequence[float], grown_weight: float
         "*",
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), grown).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("slot")), F.lit(buckets)).alias("bucket"),
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
