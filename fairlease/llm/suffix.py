@@ -104,9 +104,13 @@ def earliest(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -
     """True for the rows at the first place, by (doc, start), among rows of equal (a, b)."""
     key = mix(a ^ (b * np.uint64(0xC2B2AE3D27D4EB4F)))
     order = np.argsort(key)
-    k = key[order]
-    group = np.cumsum(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])) - 1
-    several = np.bincount(group, minlength=1)[group] > 1 if len(k) else np.empty(0, bool)
+    new = key[order][1:] != key[order][:-1]
+    same = np.flatnonzero(~new)
+    if ((a[order[same]] != a[order[same + 1]]) | (b[order[same]] != b[order[same + 1]])).any():  # two pairs of one key
+        order = np.lexsort((b, a))
+        new = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    group = np.cumsum(np.concatenate([np.ones(min(1, len(key)), bool), new])) - 1
+    several = np.bincount(group, minlength=1)[group] > 1 if len(key) else np.empty(0, bool)
     out = np.ones(len(key), bool)
     rows, group = order[several], group[several]
     if len(rows):
