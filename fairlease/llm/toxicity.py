@@ -164,17 +164,20 @@ def _merge(parts: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, intercept) from rows of ``labels`` (doc_id, label) joined to ``docs``.
 
-    Beyond ``max_rows`` labelled documents a hash of doc_id picks about that many.
+    Beyond ``max_rows`` labelled documents a hash of doc_id picks about that many; of rows that
+    share a doc_id the smallest text is learnt from.
     """
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     total = known.count()
     keep = F.lit(True) if total <= s.max_rows else F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) < int((1 << 30) * s.max_rows / total)
     picked = F.broadcast(known.where(keep))  # about max_rows rows of two numbers
-    rows = docs.join(picked, "doc_id").select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(s.shards)).cast("int").alias("shard"), F.lower("text").alias("text"))
+    # one text a doc_id, whatever repeats: the bound of the labels is one of the rows
+    texts = docs.join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(s.shards)).cast("int").alias("shard"), F.lower("text").alias("text"))
     kept = stage_table(rows, "toxic-rows").withColumn("order", F.xxhash64("doc_id", F.lit("order")))
     spark = kept.sparkSession
     state = {"at": [], "z": [], "n": []}
-    dealt = kept.repartition(s.shards, "shard")
+    dealt = kept.repartitionByRange(s.shards, "shard")  # a task a shard
     for _ in range(s.rounds):
         stepped = dealt.mapInArrow(_round(spark.sparkContext.broadcast(state), s), STATE)
         # 12 bytes for each of at most 2 ** BITS coordinates
