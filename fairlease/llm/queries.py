@@ -176,7 +176,7 @@ def _crc32_sql(text: str) -> str:
 
 _SPELLING_SQL = f"""
 with recursive {_CRC_TABLE},
-runs as (select coalesce(doc_id::varchar, '') || ':' id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{spelling.UPPER}', '{spelling.LOWER}') run from documents),
+runs as (select coalesce(doc_id::varchar, '') || ':' id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{url_trust.UPPER}', '{url_trust.LOWER}') run from documents),
 counted as materialized (select id, run, count(*) k from runs where length(run) >= 7 group by 1, 2),
 hashed as (select run, k, {_crc32_sql("id || run")} h from counted, tab),
 cut as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, k from hashed),

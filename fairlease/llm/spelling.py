@@ -24,20 +24,23 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_lowercase
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlease.llm.shared import stage_table
+from fairlease.llm.shared import BATCH_ROWS, stage_table
 from fairlease.llm.text import byte_codes, mix
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All letters a word can hold, by code point; each fits a Latin-1 byte.
-ALPHABET = np.frombuffer((LOWER + "".join(map(chr, range(0xC0, 0x100)))).encode("latin-1"), np.uint8)
+ALPHABET = np.frombuffer((ascii_lowercase + "".join(map(chr, range(0xC0, 0x100)))).encode("latin-1"), np.uint8)
 BITS_PER_WORD = 24
 PASS_BYTES = 32 << 20
 #: Words of this length and longer share a filter shard; longer ones than this go by name into the join.
@@ -169,14 +172,30 @@ def _edit_keys(words: np.ndarray, rows: np.ndarray, places: np.ndarray, letters:
 
 
 def count_words(docs: DataFrame, least_length: int, least_count: int, delete_every: int) -> DataFrame:
-    """(word, n): lower-cased letter runs, one letter deleted where ``delete_every`` divides the run's checksum."""
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit("([A-Za-zÀ-ÿ]+)"), F.lit(1))).alias("run"))
-    low = runs.where(F.length("run") >= least_length).select("id", F.translate("run", UPPER, LOWER).alias("run"))
-    h = F.crc32(F.concat(F.col("id"), F.lit(":"), F.col("run")).cast("binary"))
-    cut = low.select("run", h.alias("h")).withColumn("at", (F.col("h") % F.length("run")).cast("int"))
-    shorter = F.concat(F.expr("substr(run, 1, at)"), F.expr("substr(run, at + 2)"))
-    words = cut.select(F.when(F.col("h") % delete_every == 0, shorter).otherwise(F.col("run")).alias("word")).where(F.length("word") >= least_length)
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
+    """(word, n): lower-cased letter runs, one letter deleted where ``delete_every`` divides the run's checksum.
+
+    Tasks count the words of each Arrow batch, Spark adds the counts.
+    """
+    pattern = re.compile(f"[a-zÀ-ÿ]{{{least_length},}}")  # the runs that are long enough, each of them whole
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                n: Counter[str] = Counter()
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    begun = crc32(f"{doc_id or ''}:".encode())
+                    for run in pattern.findall((text.as_py() or "").encode().lower().decode()):  # bytes lower A-Z alone
+                        h = crc32(run.encode(), begun)
+                        if h % delete_every:
+                            n[run] += 1
+                        elif len(run) > least_length:
+                            cut = h % len(run)
+                            n[run[:cut] + run[cut + 1 :]] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(counted, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
 def vocabulary(counts: DataFrame) -> tuple[DataFrame, DataFrame]:

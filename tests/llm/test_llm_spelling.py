@@ -2,13 +2,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 from llm_cases import doc_frame, edge_texts, empty_docs
 
 from fairlease.llm import spelling
 
-LOW = str.maketrans(spelling.UPPER, spelling.LOWER)
+LOW = str.maketrans(ascii_uppercase, ascii_lowercase)
 
 
 def brute_words(rows, least_length=7, least_count=2, every=31):
