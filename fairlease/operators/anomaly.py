@@ -207,35 +207,35 @@ class IsolationForestModel:
         return feat, thr, left, right, leaf_len
 
     def score_frame(self, df: DataFrame, vec: str, out: str = "isolation_score", raw: bool = False) -> DataFrame:
-        """Anomaly score s = 2^(-E[h(x)]/c(ψ)); with a fitted offset, ``s + offset`` (= -decision_function)."""
-        feat, thr, left, right, leaf_len = self._arrays()
+        """Anomaly score s = 2^(-E[h(x)]/c(ψ)); with a fitted offset, ``s + offset`` (= -decision_function).
+
+        Only the vector column goes to Python, as Arrow batches; the rows' other columns stay where they are.
+        """
         cpsi = float(_c_factor(np.array([self.psi]))[0])
         offset = 0.0 if (raw or self.offset is None) else float(self.offset)
-        bc = df.sparkSession.sparkContext.broadcast((feat, thr, left, right, leaf_len, cpsi, offset))
-        schema = df.select("*", F.lit(0.0).alias(out)).schema
-
-        def run(batches):
-            feat_, thr_, left_, right_, leaf_, c_, off_ = bc.value
-            n_trees = feat_.shape[0]
-            for pdf in batches:
-                x = np.stack(pdf[vec].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
-                total = np.zeros(len(x))
-                rows = np.arange(len(x))
-                for t in range(n_trees):
-                    node = np.zeros(len(x), dtype=np.int64)
-                    while True:
-                        f = feat_[t, node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        go_left = x[rows[inner], f[inner]] < thr_[t, node[inner]]
-                        node[inner] = np.where(go_left, left_[t, node[inner]], right_[t, node[inner]])
-                    total += leaf_[t, node]
-                s = np.power(2.0, -(total / max(n_trees, 1)) / c_)
-                pdf[out] = s + off_
-                yield pdf
-
-        return df.withColumn(vec, vector_to_array(F.col(vec)) if dict(df.dtypes).get(vec) == "vector" else F.col(vec)).mapInPandas(run, schema=_with_array(schema, vec))
+        bc = df.sparkSession.sparkContext.broadcast((*self._arrays(), cpsi, offset))
+
+        @F.pandas_udf("double")
+        def score(vectors: pd.Series) -> pd.Series:
+            feat, thr, left, right, leaf, c, off = bc.value
+            n_trees = feat.shape[0]
+            x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, 1))
+            total = np.zeros(len(x))
+            rows = np.arange(len(x))
+            for t in range(n_trees):
+                node = np.zeros(len(x), dtype=np.int64)
+                while True:
+                    f = feat[t, node]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    go_left = x[rows[inner], f[inner]] < thr[t, node[inner]]
+                    node[inner] = np.where(go_left, left[t, node[inner]], right[t, node[inner]])
+                total += leaf[t, node]
+            return pd.Series(np.power(2.0, -(total / max(n_trees, 1)) / c) + off)
+
+        arr = vector_to_array(F.col(vec)) if dict(df.dtypes).get(vec) == "vector" else F.col(vec)
+        return df.withColumn(out, score(arr))
 
 
 def _with_array(schema, vec):

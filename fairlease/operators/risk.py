@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from fairlease.functions.columns import RISK_BANDS_TRAINING, band, clip, nan_to_null, row_mean, row_std, safe_ratio
 from fairlease.operators.ensemble import prediction_suffix
 from fairlease.operators.quantiles import global_percentiles
-from fairlease.operators.ranks import average_ranks, ref_percentile, ref_percentiles, tail_scores
+from fairlease.operators.rank_index import RankIndex, build_rank_index
+from fairlease.operators.ranks import average_ranks, ref_percentile, ref_percentiles
 from fairlease.session import materialize
 
 # Fixed values (risk index blends, score calibration, clip).
@@ -181,13 +182,14 @@ def price_score(df: DataFrame, asking: str = "deposit_won") -> DataFrame:
 
 
 # K7 ---------------------------------------------------------------------------
-def anomaly_score(df: DataFrame, ref: DataFrame, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score", key: str = "row_key", mode: str = "checkpoint") -> DataFrame:
+def anomaly_score(df: DataFrame, ref: DataFrame | RankIndex, kmeans_col: str = "kmeans_distance", iso_col: str = "isolation_score") -> DataFrame:
     """Percentiles and calibrated tail scores of k-means distance and isolation score against a
     reference sample; anomaly = 0.55 k-means tail + 0.45 isolation tail, raw = mean of percentiles.
-    Both scores are ranked in one pass, by value."""
-    df = materialize(df, mode)
-    out = ref_percentiles(df, ref, [(kmeans_col, kmeans_col, "__kp", 0.0), (iso_col, iso_col, "__ip", 0.0)])
-    out = tail_scores(out, ref, [(kmeans_col, kmeans_col, "__kp", "kmeans_tail_score"), (iso_col, iso_col, "__ip", "isolation_tail_score")])
+
+    ``ref``: the reference rows, or the index of their ranks that a scorer keeps."""
+    index = ref if isinstance(ref, RankIndex) else build_rank_index(ref, [kmeans_col, iso_col])
+    out = index.percentiles(df, [(kmeans_col, kmeans_col, "__kp", 0.0), (iso_col, iso_col, "__ip", 0.0)])
+    out = index.tail_scores(out, [(kmeans_col, kmeans_col, "__kp", "kmeans_tail_score"), (iso_col, iso_col, "__ip", "isolation_tail_score")])
     out = out.withColumns({"kmeans_distance_percentile": 100 * F.col("__kp"), "isolation_score_percentile": 100 * F.col("__ip")}).drop("__kp", "__ip")
     return out.withColumns(
         {

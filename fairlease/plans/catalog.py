@@ -301,47 +301,64 @@ def median_lookup_query(spark, sf):
     return lk.select("level", "group_cols", F.array_join("key", "|").alias("key"), "median", "cnt")
 
 
+_UNSEEN = "none of these"
+#: Which of (gu_name, property_type, ym) a variant of a listing asks with a value that no level knows:
+#: each variant is answered by another level; 0 keeps the listing's own median, 7 asks an empty lookup.
+_UNSEEN_KEYS = ((), (), ("ym",), ("gu_name",), ("gu_name", "ym"), ("property_type", "ym"), ("gu_name", "property_type", "ym"), ())
+
+
+def _level_sql(n: int, cols: tuple[str, ...]) -> str:
+    keys = ", ".join(f"coalesce({c}, '__MISSING__') k_{c}" for c in cols)
+    by = ", ".join(f"k_{c}" for c in cols)
+    return f"m{n} as materialized (select {by}, median(rent_deposit_median) v from (select {keys}, rent_deposit_median from flagged where rent_deposit_median is not null) group by {by})"
+
+
+#: ``filled`` needs a table ``asked`` with the keys as ``k_*`` and the median that the row brings.
+_MEDIAN_LEVELS_SQL = (
+    ", ".join(_level_sql(n, cols) for n, cols in enumerate(lookup.MEDIAN_LEVELS))
+    + ", mg as materialized (select median(rent_deposit_median) v from flagged where rent_deposit_median is not null)"
+)
+_MEDIAN_JOINS_SQL = " ".join(f"left join m{n} on " + " and ".join(f"m{n}.k_{c} = a.k_{c}" for c in cols) for n, cols in enumerate(lookup.MEDIAN_LEVELS))
+_MEDIAN_VALUE_SQL = "coalesce(a.rent_deposit_median, m0.v, m1.v, m2.v, m3.v, m4.v, mg.v)"
+_MEDIAN_SOURCE_SQL = (
+    "case when a.rent_deposit_median is not null then '사용자 입력' when m0.v is not null then '지역+주택구분+계약월' when m1.v is not null then '지역+주택구분'"
+    " when m2.v is not null then '주택구분+계약월' when m3.v is not null then '주택구분' when m4.v is not null then '지역' when mg.v is not null then '전체 중위값' else '없음' end"
+)
+
 _HIER_SQL = with_flagged(
-    """
-, lk as (
-  select 0 level, concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__'), coalesce(ym,'__MISSING__')) key,
-         median(rent_deposit_median) v from flagged where rent_deposit_median is not null group by gu_name, property_type, ym
-  union all select 1, concat_ws('|', coalesce(gu_name,'__MISSING__'), coalesce(property_type,'__MISSING__')), median(rent_deposit_median)
-         from flagged where rent_deposit_median is not null group by gu_name, property_type
-  union all select 2, concat_ws('|', coalesce(property_type,'__MISSING__'), coalesce(ym,'__MISSING__')), median(rent_deposit_median)
-         from flagged where rent_deposit_median is not null group by property_type, ym
-  union all select 3, coalesce(property_type,'__MISSING__'), median(rent_deposit_median)
-         from flagged where rent_deposit_median is not null group by property_type
-  union all select 4, coalesce(gu_name,'__MISSING__'), median(rent_deposit_median)
-         from flagged where rent_deposit_median is not null group by gu_name
-),
-g as (select median(rent_deposit_median) v from flagged where rent_deposit_median is not null)
-select f.row_key,
-  coalesce(f.rent_deposit_median, l0.v, l1.v, l2.v, l3.v, l4.v, g.v) rent_deposit_median,
-  case when f.rent_deposit_median is not null then '사용자 입력' when l0.v is not null then '지역+주택구분+계약월'
-       when l1.v is not null then '지역+주택구분' when l2.v is not null then '주택구분+계약월'
-       when l3.v is not null then '주택구분' when l4.v is not null then '지역'
-       when g.v is not null then '전체 중위값' else '없음' end rent_deposit_median_source
-from flagged f cross join g
-left join lk l0 on l0.level = 0 and l0.key = concat_ws('|', coalesce(f.gu_name,'__MISSING__'), coalesce(f.property_type,'__MISSING__'), coalesce(f.ym,'__MISSING__'))
-left join lk l1 on l1.level = 1 and l1.key = concat_ws('|', coalesce(f.gu_name,'__MISSING__'), coalesce(f.property_type,'__MISSING__'))
-left join lk l2 on l2.level = 2 and l2.key = concat_ws('|', coalesce(f.property_type,'__MISSING__'), coalesce(f.ym,'__MISSING__'))
-left join lk l3 on l3.level = 3 and l3.key = coalesce(f.property_type,'__MISSING__')
-left join lk l4 on l4.level = 4 and l4.key = coalesce(f.gu_name,'__MISSING__')
+    f"""
+, {_MEDIAN_LEVELS_SQL},
+asked as materialized ("""
+    + " union all ".join(
+        f"select row_key || '#{k}' row_key, "
+        + ", ".join(f"'{_UNSEEN}' k_{c}" if c in unseen else f"coalesce({c}, '__MISSING__') k_{c}" for c in ("gu_name", "property_type", "ym"))
+        + (", rent_deposit_median" if k == 0 else ", null::double rent_deposit_median")
+        + " from flagged"
+        for k, unseen in enumerate(_UNSEEN_KEYS[:-1])
+    )
+    + f""")
+select a.row_key, {_MEDIAN_VALUE_SQL} rent_deposit_median, {_MEDIAN_SOURCE_SQL} rent_deposit_median_source
+from asked a cross join mg {_MEDIAN_JOINS_SQL}
+union all select row_key || '#7', null, '없음' from flagged
 """
 )
 
 
 @register("hierarchical_fill_median", _HIER_SQL)
 def hierarchical_fill_median(spark, sf):
-    """Rows without a lease market get the first matching level's median and its source."""
+    """Rows without a lease market get the first matching level's median and its source; every listing asks
+    once for each level."""
     fl = flagged_query(spark, sf)
-    lk = lookup.build_median_lookup(fl, "rent_deposit_median")
-    out = lookup.hierarchical_lookup(
-        fl.select("row_key", "gu_name", "property_type", "ym", "rent_deposit_median"),
-        lk, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True,
+    fill = lambda asked, lk: lookup.hierarchical_lookup(asked, lk, "median", "rent_deposit_median", "rent_deposit_median_source", keep_existing=True)
+    variant = lambda k, unseen: F.struct(
+        F.concat("row_key", F.lit(f"#{k}")).alias("row_key"),
+        *[(F.lit(_UNSEEN) if c in unseen else F.col(c)).alias(c) for c in ("gu_name", "property_type", "ym")],
+        (F.col("rent_deposit_median") if k == 0 else F.lit(None).cast("double")).alias("rent_deposit_median"),
     )
-    return out.select("row_key", "rent_deposit_median", "rent_deposit_median_source")
+    rows = lambda ks: fl.select(F.explode(F.array(*[variant(k, _UNSEEN_KEYS[k]) for k in ks])).alias("v")).select("v.*")
+    known = fill(rows(range(7)), lookup.build_median_lookup(fl, "rent_deposit_median"))
+    nothing = fill(rows([7]), lookup.build_median_lookup(fl.where(F.lit(False)), "rent_deposit_median"))
+    return known.unionByName(nothing).select("row_key", "rent_deposit_median", "rent_deposit_median_source")
 
 
 _DESCRIBE_COLS = ["lh_vs_rent_median_ratio_winsor", "deposit_per_m2_clean_winsor"]
@@ -1206,7 +1223,7 @@ def interval_price_score(spark, sf):
 
 # ---------------------------------------------------------------- phase 4-6: encoders, learners, anomaly, valuation
 from fairlease.operators import anomaly, models  # noqa: E402
-from fairlease.plans import valuation  # noqa: E402
+from fairlease.plans import frozen, valuation  # noqa: E402
 
 _EMB_DIM = 64
 
@@ -1724,6 +1741,63 @@ def saved_valuation_query(spark, sf):
     return valuation.value_listings(flagged_query(spark, sf), valuation.load_artifacts(spark, path)).select(*valuation.VALUATION_COLUMNS)
 
 
+_FROZEN_SQL = with_flagged(
+    _PREDS_CTE + _SPLIT_CTE
+    + frozen.valuation_sql(_MEDIAN_LEVELS_SQL, _MEDIAN_JOINS_SQL, _MEDIAN_VALUE_SQL, _MEDIAN_SOURCE_SQL, C.GRADE_BANDS, C.RISK_BANDS_SCORING)
+)
+_VALUED_DIGITS = {
+    "predicted_log_ratio": 9, "interval_q": 9, "predicted_fair_deposit_won": 0, "fair_deposit_lower_95_won": 0, "fair_deposit_upper_95_won": 0,
+    "kmeans_distance": 9, "isolation_score": 9, "anomaly_percentile": 6, "overprice_score": 6,
+}
+
+
+def _valued(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(c, _VALUED_DIGITS[c]) + 0.0).alias(c) if c in _VALUED_DIGITS else F.col(c) for c in valuation.VALUATION_COLUMNS])
+
+
+def _frozen_root(spark, sf) -> str:
+    """A root folder with one published version of the frozen artefacts."""
+    root = io.shared_path(spark, "published", uuid.uuid4().hex)
+    valuation.publish_artifacts(frozen.frozen_artifacts(flagged_query(spark, sf), _model_rows(spark, sf)), root)
+    return root
+
+
+@register("frozen_valuation", _FROZEN_SQL)
+def frozen_valuation_query(spark, sf):
+    """Every listing valued with published artefacts whose fitted numbers are given, so that SQL can follow."""
+    return _valued(valuation.value_listings(flagged_query(spark, sf), valuation.load_newest(spark, _frozen_root(spark, sf))))
+
+
+#: Listings whose line is cut off on the way into the stream.
+_CUT_LINES = "length(row_key) % 7 = 0"
+
+
+@register(
+    "valuation_stream",
+    f"select *, false dead_letter from ({_FROZEN_SQL}) where not ({_CUT_LINES}) union all select row_key, "
+    + ", ".join(f"null {c}" for c in ("rent_deposit_median", "rent_deposit_median_source", "predicted_log_ratio", "interval_q", "interval_source", "predicted_fair_deposit_won", "fair_deposit_lower_95_won", "fair_deposit_upper_95_won", "cluster_id", "kmeans_distance", "isolation_score", "anomaly_percentile", "overprice_score", "model_scope_status", "risk_label", "price_risk_grade", "anomaly_grade"))
+    + f", true from ({with_binding('select row_key from listings')}) where {_CUT_LINES}",
+)
+def valuation_stream_query(spark, sf):
+    """Every listing as a line of JSON, valued by the stream in micro-batches; cut lines end as dead letters."""
+    from fairlease.streaming.valuation_stream import value_stream
+
+    fl = flagged_query(spark, sf)
+    fl = fl.select("row_key", *[c for c in fl.columns if c != "row_key"])
+    line = F.to_json(F.struct("*"))
+    cut = F.expr(_CUT_LINES)
+    base = io.shared_path(spark, "stream", uuid.uuid4().hex)
+    lines = fl.withColumn("line", line).select(F.when(cut, F.expr("substr(line, 1, length(line) div 2)")).otherwise(F.col("line")).alias("value"))
+    lines.repartition(3).write.text(f"{base}/in")
+    query = value_stream(
+        spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", _frozen_root(spark, sf), fl.schema, fmt="text", max_files_per_trigger=1, dead_letters=f"{base}/dead",
+    )
+    query.awaitTermination()
+    out = _valued(spark.read.parquet(f"{base}/out")).withColumn("dead_letter", F.lit(False))
+    dead = spark.read.parquet(f"{base}/dead").select(F.regexp_extract("line", '"row_key":"([^"]*)"', 1).alias("row_key"), F.lit(True).alias("dead_letter"))
+    return out.unionByName(dead, allowMissingColumns=True)
+
+
 @register("unsupervised_features", None)
 def unsupervised_features_query(spark, sf):
     """J11 (rows-only): the four methods' scores for every train-domain row, fitted on the training split."""
