@@ -1,6 +1,6 @@
 """Unsupervised / anomaly operators.
 
-* k-means: ``pyspark.ml.clustering.KMeans`` with several seeded restarts, best cost kept.
+* k-means: all seeded restarts in one pass an iteration over weighted distinct points, best cost kept.
 * distances, robust z, merges: array expressions against the k centroids (a
   bounded, broadcast-sized set: k <= a few dozen vectors).
 * isolation forest (Liu, Ting & Zhou 2008): trees are grown on bounded
@@ -18,7 +18,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,15 +48,144 @@ UNSUP_NUM = ("area_m2_clean", "room_count_clean", "rent_deposit_median_log")
 
 
 # J1 ---------------------------------------------------------------------------
-def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, seed: int = 42, features: str = "features", max_iter: int = 50):
-    """Best of ``restarts`` seeded k-means fits (lowest training cost)."""
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, featuresCol=features, maxIter=max_iter, predictionCol="cluster").fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0]
+class KMeansFit:
+    """Centres of the best restart; ``transform`` adds the index of the nearest one."""
+
+    def __init__(self, centers: np.ndarray, cost: float, costs: list[float], features: str, out: str = "cluster"):
+        self.centers, self.cost, self.costs, self.features, self.out = centers, cost, costs, features, out
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802  as Spark's model names it
+        return list(self.centers)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        held = {c: F.col(c) for c in df.columns if c not in (self.out, "__distance")}
+        return centroid_distance(df, self.centers.tolist(), self.features, None, "__distance").select(*held.values(), F.col("cluster").alias(self.out))
+
+
+def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers in [0, 1) from 64-bit ids and salts, the same in every run."""
+    x = ids.astype(np.uint64)
+    for k in salt:
+        x = (x ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` to ``centers`` (restart, cluster, axis), clipped at 0."""
+    flat = centers.reshape(-1, centers.shape[-1])
+    d = (x * x).sum(1)[:, None] - 2 * x @ flat.T + (flat * flat).sum(1)[None, :]
+    return np.maximum(d, 0).reshape(len(x), *centers.shape[:2])
+
+
+def _over_points(points: DataFrame, make, schema: str, width: int) -> DataFrame:
+    """``make(id, x, w)`` of the points (id, x, w), as many at a time as keep ``width`` distances each within 16 MB."""
+
+    def run(batches):
+        step = max(1, (1 << 21) // width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1)
+                yield from make(np.asarray(part.column(0)), x, np.asarray(part.column(2), float))
+
+    return points.mapInArrow(run, schema)
+
+
+def _sums(points: DataFrame, centers: np.ndarray) -> np.ndarray:
+    """(restart, cluster, axis + 2): per nearest centre the weighted sum of its points, their weight and cost; one job."""
+    import pyarrow as pa
+
+    restarts, k, dim = centers.shape
+
+    def make(_, x, w):
+        d = _squares(x, centers)
+        near = d.argmin(2)
+        rows = np.zeros((restarts, k, dim + 2))
+        for r in range(restarts):
+            who = near[:, r]
+            for axis in range(dim):
+                rows[r, :, axis] = np.bincount(who, w * x[:, axis], k)
+            rows[r, :, dim] = np.bincount(who, w, k)
+            rows[r, :, dim + 1] = np.bincount(who, w * d[np.arange(len(x)), r, who], k)
+        slot = np.arange(restarts * k)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(list(rows.reshape(restarts * k, -1)), pa.list_(pa.float64()))], names=["slot", "sums"])
+
+    partial = _over_points(points, make, "slot int, sums array<double>", restarts * k)
+    out = np.zeros((restarts * k, dim + 2))
+    for r in partial.groupBy("slot").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim + 2)]).collect():  # restarts x k rows
+        out[r["slot"]] = [r[f"s{i}"] for i in range(dim + 2)]
+    return out.reshape(restarts, k, dim + 2)
+
+
+def _seed_centers(points: DataFrame, k: int, restarts: int, seed: int, rounds: int = 2) -> np.ndarray:
+    """k-means|| for all restarts at once: a job for the cost and one for the draw a round, one for the candidates'
+    weights, then k-means++ over the few dozen weighted candidates of each restart on the driver."""
+    import pyarrow as pa
+
+    first = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(restarts).select("x").collect()  # at most ``restarts`` rows
+    candidates = [[np.array(first[r % len(first)]["x"], float)] for r in range(restarts)]
+
+    def padded() -> np.ndarray:
+        most = max(map(len, candidates))
+        return np.array([c + [c[0]] * (most - len(c)) for c in candidates])
+
+    for turn in range(rounds):
+        held = padded()
+        cost = _sums(points, held)[:, :, -1].sum(1)
+
+        def draw(ids, x, w, held=held, cost=cost, turn=turn):
+            d = _squares(x, held).min(2)
+            for r in range(restarts):
+                if cost[r] > 0:
+                    hit = np.flatnonzero(_uniform(ids, seed, r, turn) < 2.0 * k * w * d[:, r] / cost[r])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), r), pa.int32()), pa.array(list(x[hit]), pa.list_(pa.float64()))], names=["restart", "x"])
+
+        for row in _over_points(points, draw, "restart int, x array<double>", held.shape[0] * held.shape[1]).orderBy("restart", "x").collect():  # about 2 k a restart and round
+            candidates[row["restart"]].append(np.array(row["x"], float))
+    weights = _sums(points, padded())[:, :, -2]
+    out = []
+    for r in range(restarts):
+        x, w = np.array(candidates[r]), weights[r][: len(candidates[r])]
+        rng = np.random.default_rng([seed, r])
+        chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+        while len(chosen) < k:
+            d = _squares(x, x[None, chosen])[:, 0].min(1) * w
+            chosen.append(int(rng.choice(len(x), p=d / d.sum())) if d.sum() > 0 else chosen[0])
+        out.append(x[chosen])
+    return np.array(out)
+
+
+def fit_kmeans(df: DataFrame, k: int, restarts: int = 20, seed: int = 42, features: str = "features", max_iter: int = 50, tol: float = 1e-4) -> KMeansFit:
+    """Best of ``restarts`` seeded k-means fits (lowest training cost), all of them in one pass an iteration.
+
+    Equal vectors become one weighted point, stored once.  An iteration is one job: tasks add up their
+    points for every (restart, cluster), Spark adds the partial sums, and the driver sees restarts x k
+    rows.  A restart stops when no centre has moved by more than ``tol``.  NULL vectors take no part;
+    with fewer distinct vectors than ``k`` some centres coincide.
+    """
+    arr = vector_to_array(F.col(features)) if dict(df.dtypes).get(features) == "vector" else F.col(features).cast("array<double>")
+    points = df.select(arr.alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    points = materialize(points.select(F.xxhash64("x").alias("id"), "x", "w"))
+    if points.isEmpty():
+        raise ValueError("k-means needs at least one row")
+    centers = _seed_centers(points, k, restarts, seed)
+    live, costs = np.arange(restarts), np.full(restarts, np.inf)
+    for _ in range(max_iter):
+        sums = _sums(points, centers[live])
+        costs[live] = sums[:, :, -1].sum(1)
+        n = sums[:, :, -2:-1]
+        moved = np.where(n > 0, sums[:, :, :-2] / np.maximum(n, 1), centers[live])
+        far = np.sqrt(np.square(moved - centers[live]).sum(2)).max(1) > tol
+        centers[live] = moved
+        live = live[far]
+        if not len(live):
+            break
+    costs = _sums(points, centers)[:, :, -1].sum(1)
+    best = int(costs.argmin())
+    return KMeansFit(centers[best], float(costs[best]), costs.tolist(), features)
 
 
 def centroid_array(centers) -> Column:

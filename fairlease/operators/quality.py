@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlease.functions.columns import IN_DOMAIN_TYPES, OOD_TYPES, nan_to_null, safe_ratio
-from fairlease.operators.quantiles import _null_safe_join, global_percentiles
+from fairlease.operators.quantiles import HOT_GROUP_ROWS, _null_safe_join, global_percentiles, weighted_percentiles
 from fairlease.session import materialize
 
 # Fixed rule thresholds (must equal the reference's).
@@ -110,20 +110,20 @@ def mask(col: str | Column, invalid: Column) -> Column:
 
 
 # C4 ---------------------------------------------------------------------------
-def _weighted_stat(vc: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
-    """Per-group statistic over a weighted (keys, __v, __w) table, NULL values skipped."""
+def _weighted_stat(vc: DataFrame, keys: Sequence[str], method: str, rows: int, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Per-group statistic over a weighted (keys, __v, __w) table of ``rows`` rows, NULL values skipped."""
     keys = list(keys)
     vals = vc.filter(F.col("__v").isNotNull())
     if method == "mode":  # most frequent, smallest value on ties
         c = vals.groupBy(*keys, "__v").agg(F.sum("__w").alias("__n"))
         return c.groupBy(*keys).agg(F.max_by(F.col("__v"), F.struct(F.col("__n"), -F.col("__v"))).alias("__stat"))
     if method == "median":  # exact weighted median (same interpolation as the unweighted one)
-        return vals.groupBy(*keys).agg(F.percentile(F.col("__v"), 0.5, F.col("__w")).alias("__stat"))
+        return weighted_percentiles(vals, keys, "__v", "__w", [("__stat", 0.5)], hot_rows, rows)
     raise ValueError(f"unknown fill method: {method}")
 
 
 def impute_cascade(
-    df: DataFrame, col: str, groups: Sequence[Sequence[str]], method: str, out: str | None = None
+    df: DataFrame, col: str, groups: Sequence[Sequence[str]], method: str, out: str | None = None, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
     """Fill NULLs level by level; each level's statistic sees the values filled by earlier levels,
     then a global statistic of the filled column fills the rest.
@@ -131,16 +131,18 @@ def impute_cascade(
     The cascade runs on a weighted table ``(group columns, value, count)`` built
     by one partial aggregate: its size is bounded by distinct (groups, value)
     combinations, not rows, so a hot group costs nothing extra and the levels
-    never re-read the fact table.  One null-safe join maps the filled values back.
+    never re-read the fact table.  A group of over ``hot_rows`` distinct values has its median found
+    by value ranges.  One null-safe join maps the filled values back.
     """
     out = out or f"{col}_imputed"
     all_keys = list(dict.fromkeys(k for g in groups for k in g))
     vc = df.groupBy(*all_keys, nan_to_null(col).alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
-    vc = vc.withColumn("__orig_null", F.col("__v").isNull())
+    vc = materialize(vc.withColumn("__orig_null", F.col("__v").isNull()))
+    rows = vc.count()
     for keys in list(groups) + [()]:
         keys = list(keys)
-        stat = _weighted_stat(vc, keys, method)
-        vc = _null_safe_join(vc, stat, keys) if keys else vc.crossJoin(F.broadcast(stat))
+        stat = _weighted_stat(vc, keys, method, rows, hot_rows)
+        vc = _null_safe_join(vc, stat, keys) if keys else vc.join(F.broadcast(stat), how="left")
         vc = vc.withColumn("__v", F.coalesce(F.col("__v"), F.col("__stat"))).drop("__stat")
     fills = vc.filter("__orig_null").select(*all_keys, F.col("__v").alias("__fill"))
     joined = _null_safe_join(df, fills, all_keys)

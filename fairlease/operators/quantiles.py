@@ -13,6 +13,11 @@ Two strategies share one output contract (``keys`` + one column per spec):
   interpolation identical to ``percentile``.
 * ``"approx"`` — ``percentile_approx`` (bounded sketch) for callers that accept
   rank error.
+
+:func:`weighted_percentiles` does the same for (keys, value, weight) tables: a group of many distinct
+values is cut into value ranges, and prefix sums of weights tell which range holds a rank.
+
+Spark broadcasts the small sides by their measured size in bytes; no hint is given by row count.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ from fairlease.functions.columns import nan_to_null
 
 Spec = tuple[str, str, float]  # (output column, value column, probability)
 
-BROADCAST_ROWS = 2_000_000  # size check before broadcasting a derived key table
 HOT_GROUP_ROWS = 1_000_000  # groups above this go to the sorted (split) path
 
 
@@ -65,10 +69,8 @@ def group_percentiles(
         # ``group_sizes`` (keys + _gn) lets a caller that already counted rows per group skip this pass
         sizes = group_sizes if group_sizes is not None else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
         hot = sizes.filter(F.col("_gn") > hot_rows).select(*keys)
-        n_hot = hot.count()
-        if n_hot == 0:
+        if hot.isEmpty():
             return group_percentiles(df, keys, specs, "hash")
-        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
         cold_part = _null_safe_join(df, hot, keys, "left_anti")
         hot_part = _null_safe_join(df, hot, keys, "left_semi")
         return group_percentiles(cold_part, keys, specs, "hash").unionByName(
@@ -128,9 +130,7 @@ def _sorted_percentiles(df: DataFrame, keys: list[str], specs: Sequence[Spec]) -
     ).filter((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_cnt")))
     tgt = tgt.select(*gk, "_spec", "_pos", "_rank", (F.col("_first") + F.col("_rank") - F.col("_off")).alias("_id"))
     vals = ordered.select("_id", "_v")
-    n_tgt = tgt.count()  # bounded by 2 x groups x specs: the size check for the broadcast
-    tgt_side = F.broadcast(tgt) if n_tgt <= BROADCAST_ROWS else tgt
-    hit = vals.join(tgt_side, "_id")
+    hit = vals.join(tgt, "_id")
     gk_spec = keys + ["_spec"]
     per = hit.groupBy(*gk_spec).agg(
         F.first("_pos").alias("_pos"),
@@ -152,6 +152,65 @@ def _sorted_percentiles(df: DataFrame, keys: list[str], specs: Sequence[Spec]) -
     return _null_safe_join(groups, wide, keys)
 
 
+# Weighted values ----------------------------------------------------------------
+def _between(lo_rank, hi_rank, pos, lo, hi):
+    """Linear interpolation at ``pos`` between the values of its two ranks."""
+    return F.when(lo_rank == hi_rank, lo).otherwise((hi_rank - pos) * lo + (pos - lo_rank) * hi)
+
+
+def weighted_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, specs: Sequence[tuple[str, float]], hot_rows: int = HOT_GROUP_ROWS, rows: int | None = None
+) -> DataFrame:
+    """Exact percentiles (output, probability) of ``value`` per group, each value counted ``weight`` times (a positive
+    whole number): the numbers that ``percentile(value, p, weight)`` gives.  NULL values are skipped; a group of them
+    alone has no row.
+
+    Groups of over ``hot_rows`` rows are split by value over tasks.  ``rows``: the table's row count, if the caller
+    knows it (up to ``hot_rows`` no group can be over).
+    """
+    keys = list(keys)
+    known = df.where(nan_to_null(value).isNotNull())
+    aggregate = lambda d: d.groupBy(*keys).agg(*[F.percentile(F.col(value), float(p), F.col(weight)).alias(o) for o, p in specs])
+    some = lambda d: d if keys else d.where(F.col(specs[0][0]).isNotNull())  # noqa: E731  a table without rows has no group
+    if (known.count() if rows is None else rows) <= hot_rows:
+        return some(aggregate(known))
+    if not keys:
+        return _split_percentiles(known.withColumn("_all", F.lit(0)), ["_all"], value, weight, specs).drop("_all")
+    hot = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn")).where(F.col("_gn") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return aggregate(known)
+    cold = aggregate(_null_safe_join(known, hot, keys, "left_anti"))
+    return cold.unionByName(_split_percentiles(_null_safe_join(known, hot, keys, "left_semi"), keys, value, weight, specs))
+
+
+def _split_percentiles(df: DataFrame, keys: list[str], value: str, weight: str, specs: Sequence[tuple[str, float]]) -> DataFrame:
+    """Value ranges of each group; which range holds a rank is read from their weights, and only those ranges are summed up."""
+    from fairlease.session import cut_lineage
+
+    spark = df.sparkSession
+    values = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.sum(weight).cast("long").alias("_w"))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # range bounds are sampled anew whenever the plan runs: pin the ranges before they are read twice
+    ranged = cut_lineage(values.repartitionByRange(parts, *order, F.col("_v")).withColumn("_part", F.spark_partition_id()))
+    ranges = ranged.groupBy(*keys, "_part").agg(F.sum("_w").alias("_held"))  # a row a group and range
+    group = Window.partitionBy(*keys)
+    ranges = ranges.withColumns(
+        {"_before": F.coalesce(F.sum("_held").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_held").over(group)}
+    )
+    asked = F.array(*[F.struct(F.lit(i).alias("_spec"), ((F.col("_n") - 1) * F.lit(float(p))).alias("_pos")) for i, (_, p) in enumerate(specs)])
+    wanted = ranges.select("*", F.explode(asked).alias("_q")).select("*", "_q.*").drop("_q")
+    wanted = wanted.select(*keys, "_part", "_before", "_spec", "_pos", F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.floor("_pos").alias("_rank")), F.struct(F.lit(1).alias("_end"), F.ceil("_pos").alias("_rank")))).alias("_r"), "_held")
+    wanted = wanted.select(*keys, "_part", "_before", "_spec", "_pos", "_r.*", "_held").where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_held")))
+    # prefix sums inside the ranges that hold a rank: a window never leaves one range
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = _null_safe_join(ranged, wanted.select(*keys, "_part").distinct(), [*keys, "_part"], "left_semi").withColumn("_upto", F.sum("_w").over(inside))
+    hit = _null_safe_join(wanted, held, [*keys, "_part"], "inner").where((F.col("_rank") >= F.col("_before") + F.col("_upto") - F.col("_w")) & (F.col("_rank") < F.col("_before") + F.col("_upto")))
+    per = hit.groupBy(*keys, "_spec").agg(F.first("_pos").alias("_pos"), *[F.max(F.when(F.col("_end") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("_rank", "_v")])
+    q = _between(F.col("_rank0"), F.col("_rank1"), F.col("_pos"), F.col("_v0"), F.col("_v1"))
+    return per.withColumn("_q", q).groupBy(*keys).agg(*[F.max(F.when(F.col("_spec") == i, F.col("_q"))).alias(o) for i, (o, _) in enumerate(specs)])
+
+
 def global_percentiles(df: DataFrame, specs: Sequence[Spec], strategy: str = "auto", hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """One-row table of whole-table percentiles (no keys)."""
     if strategy == "auto":
