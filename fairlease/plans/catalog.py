@@ -1833,13 +1833,44 @@ def join_index_query(spark, sf):
     return market.join_index(lst, index).select("row_key", F.round("price_index", 4).alias("price_index"))
 
 
+def _write_cp949(df: DataFrame, path: str, *by: str) -> None:
+    """Test files in a legacy charset, which Spark writes under a setting of its own."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = df.sparkSession.conf.get(name)
+    df.sparkSession.conf.set(name, "true")
+    try:
+        df.write.partitionBy(*by).option("header", True).option("encoding", "cp949").csv(path)
+    finally:
+        df.sparkSession.conf.set(name, before)
+
+
+@register(
+    "csv_mixed_charsets",
+    with_binding(
+        "select row_key, '서울 ' || gu_name address, case when property_type in ('apt', 'officetel') then null else round(area_m2, 4) end area,"
+        " case when property_type in ('apt', 'officetel') then ym end ym from leases"
+    ),
+)
+def csv_mixed_charsets(spark, sf):
+    """A2: hundreds of small files, two headers and two charsets by turns, read in one scan and aligned by name."""
+    les = _sources(spark, sf)[1].select("*", F.concat(F.lit("서울 "), F.col("gu_name")).alias("address"), F.concat("gu_code", F.lit("-"), F.substring("ym", 1, 4)).alias("file"))
+    base = io.shared_path(spark, "index", uuid.uuid4().hex)
+    apt_like = F.coalesce(F.col("property_type").isin("apt", "officetel"), F.lit(False))
+    legacy = F.substring("ym", 4, 1).cast("int") % 2 == 1
+    for name, rows, cols in (("a", apt_like, ("row_key", "address", "ym")), ("b", ~apt_like, ("area", "row_key", "address"))):
+        part = les.where(rows).withColumn("area", F.round("area_m2", 4))
+        part.where(~legacy).select("file", *cols).write.partitionBy("file").option("header", True).csv(f"{base}/{name}-utf8")
+        _write_cp949(part.where(legacy).select("file", *cols), f"{base}/{name}-cp949", "file")
+    out = io.read_csv_files(spark, f"{base}/*/file=*/*.csv")
+    return out.select("row_key", "address", F.col("area").cast("double").alias("area"), "ym")
+
+
 @register("read_table_legacy_charset", with_binding("select row_key, '서울 ' || gu_name address, ym from listings"))
 def read_table_legacy_charset(spark, sf):
     """A1: a CSV in a legacy Korean charset, read with a declared schema."""
     lst = _sources(spark, sf)[0].select("row_key", F.concat(F.lit("서울 "), F.col("gu_name")).alias("address"), "ym")
     path = io.shared_path(spark, "legacy", uuid.uuid4().hex + ".csv")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    lst.write.option("header", True).option("encoding", "cp949").csv(path)
+    _write_cp949(lst, path)
     return io.read_table(spark, path, lst.schema, encoding="cp949")
 
 

@@ -8,9 +8,14 @@ instead of aborting the job.
 
 from __future__ import annotations
 
+import csv
+import io as _io
+import itertools
 import os
 from collections.abc import Sequence
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +46,15 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 # A1 ---------------------------------------------------------------------------
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """CSV scan with a declared schema; a UTF-8 BOM is dropped by the reader, legacy Korean
-    charsets need ``spark.sql.legacy.javaCharsets`` (set here only when such a charset is asked for)."""
-    if encoding.lower() in LEGACY_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.schema(schema).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
+    """CSV scan with a declared schema; a UTF-8 BOM is dropped by the reader.  Legacy Korean charsets
+    are decoded by this library, a file a task at a time, so no session setting changes."""
+    if encoding.lower() not in LEGACY_CHARSETS:
+        return spark.read.schema(schema).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").csv(path)
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    inside = path if _list_files(spark, path) else f"{path.rstrip('/')}/part-*"
+    rows = _csv_rows(spark, inside, (encoding,), header).where(F.col("values").isNotNull())
+    # as the scan does: by position, and NULL where a value is not of its type
+    return rows.select(*[F.get("values", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def _list_files(spark: SparkSession, pattern: str, files_only: bool = True) -> list[str]:
@@ -60,20 +69,79 @@ def _list_files(spark: SparkSession, pattern: str, files_only: bool = True) -> l
 
 
 # A2 ---------------------------------------------------------------------------
-def read_raw_trades(spark: SparkSession, directory: str, trade_type: str) -> DataFrame:
-    """All ``{trade_type}_*.csv`` files read as strings, aligned by column name (headers differ by API).
+#: Tried in this order on every file.
+CHARSETS = ("utf-8-sig", "cp949")
+
+
+def _csv_rows(spark: SparkSession, pattern: str, charsets: Sequence[str], header: bool = True) -> DataFrame:
+    """(path, columns, values): a row a record, and one with NULL values for each file's header.
+
+    One scan of whole files for any number of them: Spark packs small files into tasks.  A file is
+    decoded by the first charset that takes all of it; one that none takes is an error naming it.
+    Short records are filled with NULL, long ones cut; an empty field is NULL.
+    """
 
-    One reader per file family keeps header handling per file; a single multi-file
-    CSV read would align columns by position.
+    def parse(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = content.as_py()
+                for charset in charsets:
+                    try:
+                        text = raw.decode(charset)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    raise ValueError(f"{path}: in none of the charsets {', '.join(charsets)}")
+                csv.field_size_limit(1 << 30)
+                records = filter(None, csv.reader(_io.StringIO(text, newline=""), doublequote=True, escapechar="\\"))
+                names = next(records, []) if header else []
+                width = len(names)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string())), pa.array([None], pa.list_(pa.string()))], names=["path", "columns", "values"])
+                while True:
+                    part = list(itertools.islice(records, CSV_RECORDS))
+                    if not part:
+                        break
+                    values = [[x or None for x in (r[:width] + [None] * (width - len(r)) if header else r)] for r in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([names] * len(part), pa.list_(pa.string())), pa.array(values, pa.list_(pa.string()))], names=["path", "columns", "values"])
+
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return files.mapInArrow(parse, "path string, columns array<string>, values array<string>")
+
+
+#: Records of a file that are turned into one Arrow batch.
+CSV_RECORDS = 10_000
+
+
+def read_csv_files(spark: SparkSession, pattern: str, charsets: Sequence[str] = CHARSETS) -> DataFrame:
+    """All CSV files that ``pattern`` matches (or that lie in matching folders) as strings, aligned by column name.
+
+    Headers and charsets may differ from file to file; a column that a file lacks is NULL there, of two
+    equal names in a header the first counts.  The files are read once, whatever their number: the parsed
+    records are a stage boundary, from which the few distinct headers are taken.  No file: no columns.
     """
-    files = _list_files(spark, f"{directory.rstrip('/')}/{trade_type}_*.csv", files_only=False)
-    frames = [spark.read.option("header", True).option("inferSchema", False).csv(f) for f in files]
-    if not frames:
+    if not _list_files(spark, pattern, files_only=False):
         return spark.createDataFrame([], T.StructType([]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    rows = materialize(_csv_rows(spark, pattern, charsets))
+    headers = [r["columns"] for r in rows.groupBy("columns").agg(F.min("path").alias("first")).orderBy("first").collect()]  # a row a family
+    names = list(dict.fromkeys(c for h in headers for c in h))
+    records = rows.where(F.col("values").isNotNull())
+
+    def pick(name: str):
+        held = [(h, h.index(name)) for h in headers if name in h]
+        if len(held) == len(headers) and len({i for _, i in held}) == 1:
+            return F.get("values", F.lit(held[0][1]))
+        out = F.lit(None).cast("string")
+        for h, i in held:
+            out = F.when(F.col("columns") == F.array(*[F.lit(c) for c in h]), F.get("values", F.lit(i))).otherwise(out)
+        return out
+
+    return records.select(*[pick(c).alias(c) for c in names]) if names else spark.createDataFrame([], T.StructType([]))
+
+
+def read_raw_trades(spark: SparkSession, directory: str, trade_type: str) -> DataFrame:
+    """All ``{trade_type}_*.csv`` files read as strings, aligned by column name (headers differ by API)."""
+    return read_csv_files(spark, f"{directory.rstrip('/')}/{trade_type}_*.csv", ("utf-8-sig",))
 
 
 # A3 ---------------------------------------------------------------------------
