@@ -422,14 +422,20 @@ def reconstruction_error(df: DataFrame, vec: str, k: int = 3, out: str = "recons
 
 
 # J8 ---------------------------------------------------------------------------
-def pca_2d(df: DataFrame, vec: str):
+def pca_2d(df: DataFrame, vec: str, fit_on: DataFrame | None = None):
+    """Position on the first two principal axes of the standardised vectors, fitted on ``fit_on`` (else ``df``)."""
     from pyspark.ml.feature import PCA, StandardScaler
 
-    scaler = StandardScaler(inputCol=vec, outputCol="__z", withMean=True, withStd=True).fit(df)
-    pca = PCA(k=2, inputCol="__z", outputCol="__xy").fit(scaler.transform(df))
+    known = df if fit_on is None else fit_on
+    scaler = StandardScaler(inputCol=vec, outputCol="__z", withMean=True, withStd=True).fit(known)
+    pca = PCA(k=2, inputCol="__z", outputCol="__xy").fit(scaler.transform(known))
+    return project_2d(df, (scaler, pca)), (scaler, pca)
+
+
+def project_2d(df: DataFrame, fitted, x: str = "pca_x", y: str = "pca_y") -> DataFrame:
+    scaler, pca = fitted
     xy = vector_to_array(F.col("__xy"))
-    out = pca.transform(scaler.transform(df)).withColumns({"pca_x": xy[0], "pca_y": xy[1]}).drop("__z", "__xy")
-    return out, (scaler, pca)
+    return pca.transform(scaler.transform(df)).withColumns({x: xy[0], y: xy[1]}).drop("__z", "__xy")
 
 
 # J9 ---------------------------------------------------------------------------

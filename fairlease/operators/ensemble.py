@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlease.functions.columns import nan_to_null
+from fairlease.session import materialize
 
 RIDGE_ALPHAS = tuple(np.logspace(-4, 4, 25).tolist())
 PRED_PREFIX = "pred_"
@@ -43,36 +44,51 @@ def select_predictions(df: DataFrame, names: Sequence[str], key: str = "row_key"
     return df.select(key, target, *[F.col(by_suffix[n]).alias(f"{PRED_PREFIX}{n}") for n in names])
 
 
+def run_name(names: Sequence[str]) -> str:
+    """The run that combines these predictions: their canonical names joined by two underscores."""
+    return "__".join(prediction_suffix(n) for n in names)
+
+
 # D8 ---------------------------------------------------------------------------
 def align_predictions(frames: Mapping[str, DataFrame], key: str = "row_key", target: str = "target", atol: float = 1e-9) -> DataFrame:
-    """Join prediction sets on ``key``; every set must cover the same keys with the same target.
+    """Prediction sets side by side on ``key``; every set must cover the same keys, each once, with the same target
+    (NULL where the others have NULL).
 
-    Duplicate prediction names get the source name as suffix.  The checks are
-    two aggregates (key anti-join count, max |target difference|), not a collect.
+    Duplicate prediction names get the source name as suffix.  All sets meet in one aggregate over
+    their stacked rows, whose result is a stage boundary; one more aggregate over it makes all checks.
     """
-    names = list(frames)
-    base = frames[names[0]]
-    base_preds = prediction_columns(base)
-    seen = {prediction_suffix(c) for c in base_preds}
-    out = base.select(key, target, *base_preds)
-    for name in names[1:]:
-        other = frames[name]
+    names, seen, stacked, preds = list(frames), set(), [], []
+    for i, name in enumerate(names):
         cols = []
-        for c in prediction_columns(other):
+        for c in prediction_columns(frames[name]):
             s = prediction_suffix(c)
             new = f"{PRED_PREFIX}{s}" if s not in seen else f"{PRED_PREFIX}{s}_{name}"
+            if not i:
+                new = c  # the first set keeps its names
             seen.add(prediction_suffix(new))
             cols.append(F.col(c).alias(new))
-        o = other.select(F.col(key), F.col(target).alias("__t2"), *cols)
-        n_missing = out.join(o, key, "left_anti").count() + o.join(out, key, "left_anti").count()
-        if n_missing:
-            raise ValueError(f"prediction set {name!r} does not cover the same rows ({n_missing} keys differ)")
-        out = out.join(o, key, "inner")
-        worst = out.agg(F.max(F.abs(F.col(target) - F.col("__t2")))).first()[0]
-        if worst is not None and worst > atol:
-            raise ValueError(f"prediction set {name!r} has a different target (max diff {worst})")
-        out = out.drop("__t2")
-    return out
+            preds.append(new)
+        stacked.append(frames[name].select(F.col(key), F.col(target).alias("__t"), F.lit(i).alias("__set"), *cols))
+    rows = stacked[0]
+    for more in stacked[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    own = lambda i, e: F.when(F.col("__set") == i, e)
+    per_set = [x for i in range(len(names)) for x in (F.count(own(i, F.lit(1))).alias(f"__n{i}"), F.max(own(i, nan_to_null("__t"))).alias(f"__t{i}"))]
+    joined = materialize(rows.groupBy(key).agg(*per_set, F.max(own(0, F.col("__t"))).alias(target), *[F.max(p).alias(p) for p in preds]))
+    checks = []
+    for i in range(len(names)):
+        differ = ~F.coalesce(F.abs(F.col(f"__t{i}") - F.col("__t0")) <= atol, F.col(f"__t{i}").isNull() & F.col("__t0").isNull())
+        checks += [F.count_if(F.col(f"__n{i}") != F.greatest(F.lit(1), "__n0")).alias(f"rows{i}"), F.count_if(F.col(f"__n{i}") > 1).alias(f"twice{i}"), F.count_if(differ).alias(f"differ{i}")]
+    found = joined.agg(*checks).first()
+    for i, name in enumerate(names):
+        if found[f"twice{i}"]:
+            raise ValueError(f"prediction set {name!r} has {found[f'twice{i}']} keys more than once")
+    for i, name in enumerate(names):
+        if found[f"rows{i}"]:
+            raise ValueError(f"prediction set {name!r} does not cover the same rows ({found[f'rows{i}']} keys differ)")
+        if found[f"differ{i}"]:
+            raise ValueError(f"prediction set {name!r} has a different target in {found[f'differ{i}']} rows")
+    return joined.select(key, target, *preds)
 
 
 # I8 ---------------------------------------------------------------------------

@@ -11,6 +11,7 @@ import json
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fairlease.functions.columns import MISSING, nan_to_null
 from fairlease.operators.quantiles import global_percentiles
-from fairlease.session import cut_lineage
+from fairlease.session import cut_lineage, materialize
 
 
 # H2 ---------------------------------------------------------------------------
@@ -243,6 +244,14 @@ def predict(models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
     return out
 
 
+MEAN_ENSEMBLE = "pred_ensemble_mean"
+
+
+def add_mean_ensemble(df: DataFrame, preds: Sequence[str]) -> DataFrame:
+    """The plain mean of the trees' predictions, if there are at least two."""
+    return df.withColumn(MEAN_ENSEMBLE, sum((F.col(p) for p in preds), F.lit(0.0)) / len(preds)) if len(preds) >= 2 else df
+
+
 # I3 ---------------------------------------------------------------------------
 def tune(train: DataFrame, valid: DataFrame, cat, num, space: Mapping[str, tuple], n_trials: int = 10, seed: int = 42, base: Mapping | None = None, label: str = "target"):
     """Seeded random search (log-uniform for ``("log", lo, hi)``, uniform ints for ``("int", lo, hi)``)
@@ -264,21 +273,66 @@ def tune(train: DataFrame, valid: DataFrame, cat, num, space: Mapping[str, tuple
 
 
 # I4 ---------------------------------------------------------------------------
-def oof_predictions(train: DataFrame, folds: DataFrame, cat, num, specs: Mapping[str, Mapping], key: str = "row_key", label: str = "target") -> DataFrame:
-    """Out-of-fold predictions: for each month fold, fit on the other folds and predict the fold.
-    Output long: (key, fold, model, oof)."""
-    data = train.join(F.broadcast(folds), "ym", "left")
+@dataclass
+class OutOfFold:
+    """``predictions``: (key, fold, model, target, oof) of the fits that worked.  ``outcomes``: a row a (fold, model) with its
+    error (NULL where it worked)."""
+
+    predictions: DataFrame
+    outcomes: DataFrame
+    key: str
+    label: str
+
+    def complete_models(self) -> DataFrame:
+        """(model): those that have a prediction for every training row, i.e. whose every fold worked."""
+        failed = self.outcomes.where("error is not null").select("model").distinct()
+        return self.outcomes.select("model").distinct().join(failed, "model", "left_anti")
+
+    def complete(self) -> DataFrame:
+        """The predictions of the complete models alone; no such model is an error."""
+        kept = self.predictions.join(F.broadcast(self.complete_models()), "model", "left_semi")
+        if kept.isEmpty():
+            raise RuntimeError("no model has out-of-fold predictions for every row")
+        return kept
+
+    def fold_metrics(self) -> DataFrame:
+        """(fold, model, n, rmse, mae, r2, error): a row a fold and model, with the metrics of the fits that worked."""
+        e, y = F.col(self.label) - F.col("oof"), F.col(self.label)
+        sums = self.predictions.groupBy("fold", "model").agg(
+            F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2")
+        )
+        return self.outcomes.join(sums, ["fold", "model"], "left").select("fold", "model", "n", "rmse", "mae", "r2", "error")
+
+
+def out_of_fold(train: DataFrame, folds: DataFrame, cat, num, specs: Mapping[str, Mapping], key: str = "row_key", label: str = "target", fold_on: str = "ym") -> OutOfFold:
+    """For each fold, fit every spec on the other folds and predict the fold.  A fit that fails costs its own
+    (fold, model) and is recorded; predictions are stored as they come, so a late failure loses nothing."""
+    data = materialize(train.join(F.broadcast(folds), fold_on, "left"))
     n_folds = folds.agg(F.max("fold")).first()[0] + 1
-    parts = []
+
+    def fit(job: tuple[int, str]):
+        fold, name = job
+        try:
+            m = fit_model(data.filter(F.col("fold") != fold), None, cat, num, specs[name], label)
+            hold = m.transform(data.filter(F.col("fold") == fold))
+            return materialize(hold.select(key, "fold", F.lit(name).alias("model"), label, F.col("prediction").alias("oof"))), None
+        except Exception as exc:  # noqa: BLE001  reported in the outcomes, not fatal
+            return None, str(exc)[:500]
+
     jobs = [(i, name) for i in range(n_folds) for name in specs]
-    fitted = _fit_all(lambda job: fit_model(data.filter(F.col("fold") != job[0]), None, cat, num, specs[job[1]], label), jobs)
-    for (i, name), m in zip(jobs, fitted, strict=True):
-        hold = data.filter(F.col("fold") == i)
-        parts.append(m.transform(hold).select(key, "fold", F.lit(name).alias("model"), F.col("prediction").alias("oof")))
-    out = parts[0]
-    for p in parts[1:]:
+    done = _fit_all(fit, jobs)
+    parts = [p for p, _ in done if p is not None]
+    spark = train.sparkSession
+    outcomes = spark.createDataFrame([(i, name, error) for (i, name), (_, error) in zip(jobs, done, strict=True)], "fold long, model string, error string")
+    out = data.select(key, "fold", F.lit("").alias("model"), label, F.lit(0.0).alias("oof")).where(F.lit(False))
+    for p in parts:
         out = out.unionByName(p)
-    return out
+    return OutOfFold(out, outcomes, key, label)
+
+
+def oof_predictions(train: DataFrame, folds: DataFrame, cat, num, specs: Mapping[str, Mapping], key: str = "row_key", label: str = "target") -> DataFrame:
+    """(key, fold, model, oof) of the models that have a prediction for every row."""
+    return out_of_fold(train, folds, cat, num, specs, key, label).complete().select(key, "fold", "model", "oof")
 
 
 # I5 ---------------------------------------------------------------------------

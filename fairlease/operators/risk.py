@@ -7,16 +7,18 @@ against a reference sample is needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlease.functions.columns import RISK_BANDS_TRAINING, band, clip, nan_to_null, row_mean, row_std, safe_ratio
+from fairlease.functions.columns import RISK_BANDS_TRAINING, band, clip, log1p_clipped, nan_to_null, row_mean, row_std, safe_ratio
+from fairlease.operators import anomaly
 from fairlease.operators.ensemble import prediction_suffix
 from fairlease.operators.quantiles import global_percentiles
 from fairlease.operators.rank_index import RankIndex, build_rank_index
-from fairlease.operators.ranks import average_ranks, ref_percentile, ref_percentiles
+from fairlease.operators.ranks import average_ranks, ref_percentile, ref_percentiles, topk_capture
+from fairlease.operators.stats import regression_metrics
 from fairlease.session import materialize
 
 # Fixed values (risk index blends, score calibration, clip).
@@ -106,30 +108,22 @@ def unsupervised_risk(valid: DataFrame, test: DataFrame, cols: Sequence[str], cl
 
 
 # K3 ---------------------------------------------------------------------------
-def risk_index(valid: DataFrame, test: DataFrame, base: str, tree_preds: Sequence[str], unsup: str | None = "unsupervised_risk_score", key: str = "row_key") -> DataFrame:
-    """Risk judgment index for ``base`` on the test rows: its ratio percentile vs valid blended with
-    model disagreement (0.85 / 0.15) and, with an unsupervised score, 0.60 / 0.30 / 0.10."""
-    s = prediction_suffix(base)
-    measured = lambda df: materialize(_disagreement(df.withColumn(f"predicted_ratio_{s}", F.expm1(base)), tree_preds))
+def risk_index(valid: DataFrame, test: DataFrame, base: str | Sequence[str], tree_preds: Sequence[str], unsup: str | None = "unsupervised_risk_score") -> DataFrame:
+    """Risk judgment index on the test rows for each prediction of ``base``: its ratio percentile vs valid blended with
+    model disagreement (0.85 / 0.15) and, with an unsupervised score, 0.60 / 0.30 / 0.10.  All bases are ranked in one pass."""
+    bases = [base] if isinstance(base, str) else list(base)
+    ratios = {f"predicted_ratio_{prediction_suffix(b)}": F.expm1(b) for b in bases}
+    measured = lambda df: materialize(_disagreement(df.withColumns(ratios), tree_preds))
     valid, test = measured(valid), measured(test)
     # an empty valid split ranks everything at 0, as no value is above none
     least = 1.0 if valid.limit(1).count() else 0.0
     specs = [("model_disagreement_score", "model_disagreement_score", "model_disagreement_percentile", least)]
     if unsup:
         specs.append((unsup, unsup, "unsupervised_risk_percentile", least))
-    specs.append((f"predicted_ratio_{s}", f"predicted_ratio_{s}", f"predicted_ratio_percentile_{s}", least))
+    specs += [(r, r, r.replace("predicted_ratio_", "predicted_ratio_percentile_", 1), least) for r in ratios]
     out = ref_percentiles(test, valid, specs)
-    variants = {s: 100 * (INDEX_WEIGHTS["ratio"] * F.col(f"predicted_ratio_percentile_{s}") + INDEX_WEIGHTS["disagreement"] * F.col("model_disagreement_percentile"))}
-    if unsup:
-        variants[f"unsupervised_{s}"] = 100 * (
-            INDEX_WEIGHTS_UNSUP["ratio"] * F.col(f"predicted_ratio_percentile_{s}")
-            + INDEX_WEIGHTS_UNSUP["unsupervised"] * F.col("unsupervised_risk_percentile")
-            + INDEX_WEIGHTS_UNSUP["disagreement"] * F.col("model_disagreement_percentile")
-        )
-    for name, idx in variants.items():
-        out = out.withColumn(f"risk_judgment_index_{name}", idx).withColumn(
-            f"risk_label_{name}", band(f"risk_judgment_index_{name}", RISK_BANDS_TRAINING)
-        )
+    for name, s, idx in _variants(bases, bool(unsup)):
+        out = out.withColumn(f"risk_judgment_index_{name}", idx).withColumn(f"risk_label_{name}", band(f"risk_judgment_index_{name}", RISK_BANDS_TRAINING))
         if "rent_deposit_median" in out.columns:
             out = out.withColumn(f"predicted_fair_deposit_won_{name}", F.col("rent_deposit_median") * F.col(f"predicted_ratio_{s}"))
             if "deposit_won" in out.columns:
@@ -142,6 +136,45 @@ def risk_index(valid: DataFrame, test: DataFrame, base: str, tree_preds: Sequenc
     return out
 
 
+def _variants(bases: Sequence[str], unsup: bool) -> list[tuple]:
+    """(variant, base suffix, index) of every base, without and with the unsupervised score."""
+    out = []
+    for s in map(prediction_suffix, bases):
+        ratio, apart = F.col(f"predicted_ratio_percentile_{s}"), F.col("model_disagreement_percentile")
+        out.append((s, s, 100 * (INDEX_WEIGHTS["ratio"] * ratio + INDEX_WEIGHTS["disagreement"] * apart)))
+        if unsup:
+            w = INDEX_WEIGHTS_UNSUP
+            out.append((f"unsupervised_{s}", s, 100 * (w["ratio"] * ratio + w["unsupervised"] * F.col("unsupervised_risk_percentile") + w["disagreement"] * apart)))
+    return out
+
+
+#: The top shares whose capture is reported.
+CAPTURE_SHARES = (0.10, 0.20)
+
+
+def risk_report(indexed: DataFrame, base: str | Sequence[str], target: str = "target", unsup: bool = True, key: str = "row_key") -> DataFrame:
+    """One row a variant of :func:`risk_index`'s output: the base's prediction metrics, and how the index follows the target
+    (Pearson, Spearman, share of the top tenth and fifth of targets among the top tenth and fifth of indices).
+
+    All variants are ranked together: one shuffle of their values, one of (variant, key) rows."""
+    bases = [base] if isinstance(base, str) else list(base)
+    variants = [(name, b, f"risk_judgment_index_{name}") for b in bases for name in ([prediction_suffix(b), f"unsupervised_{prediction_suffix(b)}"] if unsup else [prediction_suffix(b)])]
+    cols = [target, *[c for _, _, c in variants]]
+    rows = materialize(indexed.select(key, *cols, *[b for b in bases if b not in cols]))
+    base_metrics = regression_metrics(rows, target, bases).withColumnRenamed("model", "base")
+    ranked = average_ranks(rows.select(*cols), {c: f"rank_{i}" for i, c in enumerate(cols)})
+    agreed = ranked.agg(*[x for i, (_, _, c) in enumerate(variants, 1) for x in (F.corr(target, c).alias(f"p{i}"), F.corr("rank_0", f"rank_{i}").alias(f"s{i}"))])
+    entry = [F.struct(F.lit(name).alias("variant"), F.lit(b).alias("base"), F.col(f"p{i}").alias("risk_pearson"), F.col(f"s{i}").alias("risk_spearman")) for i, (name, b, _) in enumerate(variants, 1)]
+    agreed = agreed.select(F.explode(F.array(*entry)).alias("e")).select("e.*")
+    held = None
+    for name, _, c in variants:
+        own = topk_capture(rows, target, c, key, CAPTURE_SHARES).select(F.lit(name).alias("variant"), *[F.col(f"top_{round(100 * f)}pct_capture").alias(f"top{round(100 * f)}_capture_rate") for f in CAPTURE_SHARES])
+        held = own if held is None else held.unionByName(own)
+    return agreed.join(F.broadcast(base_metrics), "base").join(F.broadcast(held), "variant").select(
+        "variant", "base", "n", "rmse", "mae", "r2", "risk_pearson", "risk_spearman", *[f"top{round(100 * f)}_capture_rate" for f in CAPTURE_SHARES]
+    )
+
+
 # K5 ---------------------------------------------------------------------------
 def prediction_interval(df: DataFrame, pred: str = "predicted_log_ratio", q: str = "interval_q") -> DataFrame:
     """expm1(pred ± q) ratio bounds and fair-deposit bounds in won."""
@@ -202,6 +235,16 @@ def anomaly_score(df: DataFrame, ref: DataFrame | RankIndex, kmeans_col: str = "
 
 
 # K8 ---------------------------------------------------------------------------
-def plot_coords(df: DataFrame, x: str = "area_m2_clean", y: str = "rent_deposit_median") -> DataFrame:
-    """Plot position: area and the lease median in 100-million-won units."""
-    return df.withColumns({"cluster_x": nan_to_null(x), "cluster_y": nan_to_null(y) / 100_000_000})
+def plot_coords(df: DataFrame, layout: Mapping | None = None, vec: str = "features", x: str = "area_m2_clean", y: str = "rent_deposit_median") -> DataFrame:
+    """Plot position of every row, by what the artefacts' ``layout`` holds, in this order:
+
+    ``axes``: area, and the lease median in 100-million-won units (also without a layout); ``points`` (feature vectors,
+    positions): inverse-distance mean of the nearest plot points; ``pca``: a fitted (scaler, PCA) pair over ``vec``;
+    nothing of these: area, and the log of the lease median."""
+    if layout is None or layout.get("axes"):
+        return df.withColumns({"cluster_x": nan_to_null(x), "cluster_y": nan_to_null(y) / 100_000_000})
+    if "points" in layout:
+        return anomaly.idw_project(df, vec, *layout["points"])
+    if "pca" in layout:
+        return anomaly.project_2d(df, layout["pca"], "cluster_x", "cluster_y")
+    return df.withColumns({"cluster_x": nan_to_null(x), "cluster_y": log1p_clipped(nan_to_null(y))})

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlease.functions.columns import norm_key, year_of_month
+from fairlease.functions.columns import nan_to_null, norm_key, year_of_month
 from fairlease.operators.quantiles import _null_safe_join
 
 DEFAULT_GROUP_COLS = ("gu_code", "ym", "property_type")
@@ -116,6 +116,44 @@ def sample_per_group(df: DataFrame, key: str, n: int, seed: int = 42, order_key:
     return pool.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_h", "_gn")
 
 
+def sample_global(df: DataFrame, n: int, seed: int = 42, order_key: str = "row_key") -> DataFrame:
+    """Exactly min(n, rows) rows: those with the smallest ``md5(seed|order_key)``.
+
+    Rows are pre-filtered by a hash threshold for about n + 10·sqrt(n) + 10 survivors, of which the n
+    smallest are taken; should the filter have kept fewer than n (odds under 1e-20), all rows are ranked.
+    """
+    tagged = df.withColumn("_h", _hash_order(seed, [order_key]))
+    rows = df.count()
+    kept = tagged.filter(_hash_unit("_h", 1) < (n + 10.0 * n**0.5 + 10.0) / max(rows, 1))
+    if rows <= n or kept.count() < n:
+        kept = tagged
+    return kept.orderBy("_h").limit(n).drop("_h")  # TakeOrdered: at most n rows a task
+
+
+def _hash_unit(h, first: int):
+    """A number in (0, 1) from 12 hex digits of a hash, from the ``first`` one (1-based)."""
+    return (F.conv(F.substring(h, first, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+
+
+def normal_jitter(cols: Sequence[str], salt: str, scale: float, seed: int = 42):
+    """A normal deviate of standard deviation ``scale`` for each row, fixed by ``md5(seed|salt|cols)`` (Box-Muller)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[norm_key(c) for c in cols]))
+    return F.lit(scale) * F.sqrt(-2.0 * F.log(_hash_unit(h, 1))) * F.cos(F.lit(2.0) * F.pi() * _hash_unit(h, 13))
+
+
+#: Plot points a cluster, and the standard deviation of their jitter (m2; 100 million won).
+PLOT_POINTS, AREA_JITTER, MEDIAN_JITTER = 350, 0.35, 0.025
+
+
+def plot_points(df: DataFrame, cluster: str, area: str = "area_m2_clean", median: str = "rent_deposit_median", key: str = "row_key", n: int = PLOT_POINTS, seed: int = 42) -> DataFrame:
+    """Jittered plot position (x, y) of up to ``n`` rows of each cluster; rows without a position are left out after sampling."""
+    s = sample_per_group(df.select(key, cluster, area, median), cluster, n, seed, key)
+    x = nan_to_null(area) + normal_jitter([key], "area", AREA_JITTER, seed)
+    y = F.greatest(F.lit(0.0), nan_to_null(median) / 100_000_000 + normal_jitter([key], "median", MEDIAN_JITTER, seed))
+    known = nan_to_null(area).isNotNull() & nan_to_null(median).isNotNull()
+    return s.where(known).select(key, x.alias("x"), y.alias("y"), F.col(cluster).cast("string").alias("cluster_id"))
+
+
 # G6 ---------------------------------------------------------------------------
 # The scoreboard's columns and its key.
 SCORE_COLUMNS = (

@@ -649,6 +649,34 @@ def sample_per_group_query(spark, sf):
     return splits.sample_per_group(flagged_query(spark, sf), "property_type", 350, 42).select("row_key", "property_type")
 
 
+@register(
+    "sample_global",
+    with_flagged("select row_key from (select row_key, row_number() over (order by md5(concat_ws('|', '42', coalesce(row_key, '__MISSING__')))) rn from flagged) where rn <= 15000"),
+)
+def sample_global_query(spark, sf):
+    """15,000 rows of the whole table, the same in every run."""
+    return splits.sample_global(flagged_query(spark, sf), 15_000).select("row_key")
+
+
+def _deviate_sql(salt: str, scale: float) -> str:
+    unit = lambda at: f"((('0x' || substr(md5('42|{salt}|' || row_key), {at}, 12))::bigint + 0.5) / 281474976710656.0)"
+    return f"{scale} * sqrt(-2.0 * ln({unit(1)})) * cos(2.0 * pi() * {unit(13)})"
+
+
+@register(
+    "plot_points",
+    with_flagged(
+        f"select row_key, round(area_m2_clean + {_deviate_sql('area', splits.AREA_JITTER)}, 9) x,"
+        f" round(greatest(0.0, rent_deposit_median / 100000000.0 + {_deviate_sql('median', splits.MEDIAN_JITTER)}), 9) y, property_type cluster_id"
+        " from (select *, row_number() over (partition by property_type order by md5(concat_ws('|', '42', coalesce(row_key, '__MISSING__')))) rn from flagged)"
+        " where rn <= 350 and area_m2_clean is not null and rent_deposit_median is not null"
+    ),
+)
+def plot_points_query(spark, sf):
+    """Up to 350 plot points a cluster (the property type stands in), with the seeded jitter of their position."""
+    return _round_cols(splits.plot_points(flagged_query(spark, sf), "property_type"), ["x", "y"], 9)
+
+
 @register(
     "union_distinct",
     with_binding("select distinct gu_code, ym, property_type from (select gu_code, ym, property_type from leases"
@@ -1134,6 +1162,43 @@ def risk_index_query(spark, sf):
     )
 
 
+def _risk_report_sql() -> str:
+    bases = ("a", "b")
+    ratio = ", ".join(f"(select count(*) from v{b} where v{b}.r <= exp(t.pred_{b}) - 1) / (select count(*) from v{b}) p{b}" for b in bases)
+    index = {f"{u}{b}": (f"100 * (0.60 * p{b} + 0.30 * up + 0.10 * dp)" if u else f"100 * (0.85 * p{b} + 0.15 * dp)") for b in bases for u in ("", "unsupervised_")}
+    arms = []
+    for name, formula in index.items():
+        b = name[-1]
+        arms.append(
+            f"select '{name}' variant, 'pred_{b}' base, row_key, target y, pred_{b} p, {formula} i from k"
+        )
+    rank = lambda c: f"rank() over (partition by variant order by {c}) + (count(*) over (partition by variant, {c}) - 1) / 2.0"
+    top = lambda c: f"row_number() over (partition by variant order by {c} desc, row_key)"
+    return f"""
+, {", ".join(f"v{b} as (select exp(pred_{b}) - 1 r from sp where split = 'valid')" for b in bases)},
+k as materialized (select t.row_key, t.target, t.pred_a, t.pred_b, {ratio},
+        (select count(*) from vd where vd.d <= td.d) / (select count(*) from vd) dp,
+        (select count(*) from rv where rv.u <= rt.u) / (select count(*) from rv) up
+      from sp t join td on t.row_key = td.row_key join rt on t.row_key = rt.row_key),
+long as materialized ({" union all ".join(arms)}),
+ranked as (select *, {rank("y")} ry, {rank("i")} ri, {top("y")} ty, {top("i")} ti, count(*) over (partition by variant) m from long)
+select variant, base, count(*) n, round(sqrt(avg((y - p) ^ 2)), 9) rmse, round(avg(abs(y - p)), 9) mae, round(1 - sum((y - p) ^ 2) / (var_pop(y) * count(y)), 9) r2,
+  round(corr(y, i), 9) risk_pearson, round(corr(ry, ri), 9) risk_spearman,
+  round(count(*) filter (ty <= ceil(m * 0.1) and ti <= ceil(m * 0.1)) / ceil(any_value(m) * 0.1), 9) top10_capture_rate,
+  round(count(*) filter (ty <= ceil(m * 0.2) and ti <= ceil(m * 0.2)) / ceil(any_value(m) * 0.2), 9) top20_capture_rate
+from ranked group by variant, base
+"""
+
+
+@register("risk_report", with_flagged(_PREDS_CTE + _SPLIT_CTE + _DISAGREE_CTE + _UNSUP_CTE + _risk_report_sql()))
+def risk_report_query(spark, sf):
+    """K3: two bases, each without and with the unsupervised score; prediction metrics and how the index follows the target."""
+    v, t = risk.unsupervised_risk(_split(spark, sf, "valid"), _split(spark, sf, "test"), ["area_m2_clean", "pred_c"])
+    bases = ["pred_a", "pred_b"]
+    out = risk.risk_report(risk.risk_index(v, t, bases, ["pred_a", "pred_b", "pred_c"]), bases)
+    return _round_cols(out, [c for c in out.columns if c not in ("variant", "base", "n")], 9)
+
+
 @register(
     "ensemble_equal",
     with_flagged(
@@ -1358,31 +1423,45 @@ def design_matrix_query(spark, sf):
     return x.select("row_key", *[e.alias(c) for c, e in scaled.items()], F.size("v").alias("n_features"), hot.alias("n_hot"))
 
 
+def _unsup_train(spark, sf) -> DataFrame:
+    """The design matrix's training-split rows: what the unsupervised methods are fitted on."""
+    return _unsup_matrix(spark, sf).join(_model_rows(spark, sf).filter("split = 'train'").select("row_key"), "row_key", "left_semi")
+
+
+def _clusters(spark, sf):
+    key = ("kmeans", id(spark), sf)
+    hit = _SHARED.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, anomaly.fit_kmeans(_unsup_train(spark, sf), 12))
+        _SHARED[key] = hit
+    return hit[1]
+
+
 @register("kmeans_fit", None)
 def kmeans_fit_query(spark, sf):
-    """J1 (rows-only): best k-means (k=12, all restarts) on the design matrix; rows per cluster."""
-    km = anomaly.fit_kmeans(_unsup_matrix(spark, sf), 12)
+    """J1 (rows-only): best k-means (k=12, all restarts) of the training split; rows per cluster of the whole matrix."""
+    km = _clusters(spark, sf)
     return km.transform(_unsup_matrix(spark, sf)).groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @register("isolation_forest", None)
 def isolation_forest_query(spark, sf):
-    """J5 (rows-only): isolation forest, contamination offset; one score per row."""
+    """J5 (rows-only): isolation forest of the training split, contamination offset; one score per row."""
     x = _unsup_matrix(spark, sf)
-    forest = anomaly.fit_isolation_forest(x, "features", "row_key")
+    forest = anomaly.fit_isolation_forest(_unsup_train(spark, sf), "features", "row_key")
     return forest.score_frame(x, "features").select("row_key", "isolation_score")
 
 
 @register("reconstruction_error", None)
 def reconstruction_error_query(spark, sf):
-    """J7 (rows-only): PCA(k=3) reconstruction error of the standardised design rows."""
-    out, _ = anomaly.reconstruction_error(_unsup_matrix(spark, sf), "features", 3)
+    """J7 (rows-only): PCA(k=3) reconstruction error of the standardised design rows, axes of the training split."""
+    out, _ = anomaly.reconstruction_error(_unsup_matrix(spark, sf), "features", 3, fit_on=_unsup_train(spark, sf))
     return out.select("row_key", "reconstruction_error")
 
 
 @register("pca_2d", None)
 def pca_2d_query(spark, sf):
-    out, _ = anomaly.pca_2d(_unsup_matrix(spark, sf), "features")
+    out, _ = anomaly.pca_2d(_unsup_matrix(spark, sf), "features", _unsup_train(spark, sf))
     return out.select("row_key", "pca_x", "pca_y")
 
 
@@ -1392,15 +1471,15 @@ def idw_projection_query(spark, sf):
     from fairlease.operators.splits import sample_per_group
 
     x = _unsup_matrix(spark, sf)
-    pc, _ = anomaly.pca_2d(x, "features")
-    km = anomaly.fit_kmeans(x, 12)
+    pc, _ = anomaly.pca_2d(_unsup_train(spark, sf), "features")
+    km = _clusters(spark, sf)
     sample = sample_per_group(km.transform(pc), "cluster", 350).select("features", F.col("pca_x").alias("cluster_x"), F.col("pca_y").alias("cluster_y"))
     rows = sample.collect()  # bounded: ≤ 350 x k points
     import numpy as np
 
     rx = np.array([r["features"].toArray() for r in rows])
     rxy = np.array([[r["cluster_x"], r["cluster_y"]] for r in rows])
-    return anomaly.idw_project(x, "features", rx, rxy, 12).select("row_key", "cluster_x", "cluster_y")
+    return risk.plot_coords(x, {"points": (rx, rxy)}).select("row_key", "cluster_x", "cluster_y")
 
 
 def _model_rows(spark, sf):
@@ -1415,12 +1494,13 @@ def _model_inputs(rows):
 
 @register("tree_models", None)
 def tree_models_query(spark, sf):
-    """I2 (rows-only): two GBT configs (early-stopped on valid) and a forest; test-split metrics."""
+    """I2 (rows-only): two GBT configs (early-stopped on valid), a forest and their mean; test-split metrics."""
     rows = _model_rows(spark, sf)
     fr, cat, num = _model_inputs(rows)
     fitted, _failed = models.train_tree_models(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num)
-    preds = models.predict(fitted, fr(rows.filter("split = 'test'")))
-    return stats.regression_metrics(preds, "target", [f"pred_{n}" for n in fitted])
+    names = [f"pred_{n}" for n in fitted]
+    preds = models.add_mean_ensemble(models.predict(fitted, fr(rows.filter("split = 'test'"))), names)
+    return stats.regression_metrics(preds, "target", [*names, models.MEAN_ENSEMBLE] if len(names) > 1 else names)
 
 
 @register("tune_search", None)
@@ -1435,13 +1515,27 @@ def tune_search_query(spark, sf):
     return trials
 
 
+def _out_of_fold(spark, sf) -> models.OutOfFold:
+    key = ("out_of_fold", id(spark), sf)
+    hit = _SHARED.get(key)
+    if hit is None or hit[0] is not spark:
+        rows = _model_rows(spark, sf).filter("split = 'train'")
+        fr, cat, num = _model_inputs(rows)
+        hit = (spark, models.out_of_fold(fr(rows), splits.month_folds(rows, 5), cat, num, models.TREE_SPECS))
+        _SHARED[key] = hit
+    return hit[1]
+
+
 @register("oof_predictions", None)
 def oof_predictions_query(spark, sf):
-    """I4 (rows-only): 5 contiguous month folds, every tree model, out-of-fold predictions."""
-    rows = _model_rows(spark, sf).filter("split = 'train'")
-    folds = splits.month_folds(rows, 5)
-    fr, cat, num = _model_inputs(rows)
-    return models.oof_predictions(fr(rows), folds, cat, num, models.TREE_SPECS)
+    """I4 (rows-only): 5 contiguous month folds, every tree model, out-of-fold predictions of the complete models."""
+    return _out_of_fold(spark, sf).complete().select("row_key", "fold", "model", "oof")
+
+
+@register("fold_metrics", None)
+def fold_metrics_query(spark, sf):
+    """I4 (rows-only): metrics, or the error, of every (fold, model)."""
+    return _out_of_fold(spark, sf).fold_metrics()
 
 
 @register(
@@ -1689,6 +1783,25 @@ def final_model_roundtrip_query(spark, sf):
     return loaded.transform(fr(rows.filter("split = 'test'"))).select("row_key", "target", F.col("prediction").alias("pred_final"))
 
 
+@register("best_run_published", None)
+def best_run_published_query(spark, sf):
+    """I11 (rows-only): two forests scored on the test split, the better one of the scoreboard fitted with everything
+    that scoring needs, published, and the newest complete version used to value the test split."""
+    rows = _model_rows(spark, sf)
+    fr, cat, num = _model_inputs(rows)
+    specs = {"shallow": {"kind": "rf", "maxDepth": 4, "numTrees": 20}, "deep": {"kind": "rf", "maxDepth": 8, "numTrees": 20}}
+    fitted, _ = models.train_tree_models(fr(rows.filter("split = 'train'")), fr(rows.filter("split = 'valid'")), cat, num, specs)
+    test = fr(rows.filter("split = 'test'"))
+    m = stats.regression_metrics(models.predict(fitted, test), "target", [f"pred_{n}" for n in fitted])
+    new = m.select(F.lit("forests").alias("experiment"), F.expr("substr(model, 6)").alias("model"), F.lit("test").alias("split"), "rmse", "mae", "r2", F.lit("target").alias("target"), F.col("n").alias("rows"))
+    scores = splits.upsert_scores(None, new)
+    root = io.shared_path(spark, "published", uuid.uuid4().hex)
+    valuation.fit_best(rows, scores, valuation.spec_registry(spark, specs), root, "forests")
+    art = valuation.load_newest(spark, root)
+    out = valuation.value_listings(rows.filter("split = 'test'").drop("target", "split"), art)
+    return out.select(F.lit(art.metadata["model"]).alias("model"), "row_key", "predicted_log_ratio", "risk_label", "anomaly_grade")
+
+
 @register("lof_scores", None)
 def lof_scores_query(spark, sf):
     """J6 (exact kNN, rows-only): LOF novelty scores (35 neighbours) of every train-domain row against
@@ -1696,9 +1809,7 @@ def lof_scores_query(spark, sf):
     from fairlease.operators import lof
 
     x = _unsup_matrix(spark, sf)
-    train_keys = _model_rows(spark, sf).filter("split = 'train'").select("row_key")
-    train = x.join(train_keys, "row_key", "left_semi")
-    return lof.lof_scores(train, x, "features", "row_key", k=35, contamination=0.02).select("row_key", "lof_score")
+    return lof.lof_scores(_unsup_train(spark, sf), x, "features", "row_key", k=35, contamination=0.02).select("row_key", "lof_score")
 
 
 # ---------------------------------------------------------------- requests, stored artefacts, feature attachment
