@@ -89,12 +89,12 @@ class Design:
         return PipelineModel(stages=stages)
 
 
-SCRATCH = ("__imp", "__idx", "__oh", "__ord")
+SCRATCH = ("__imp", "__idx", "__oh", "__ord", "__te")
 
 
 def drop_scratch(df: DataFrame) -> DataFrame:
     """Without the columns that a fitted design leaves beside its output."""
-    return df.drop(*[c for c in df.columns if c.endswith(SCRATCH) or c in ("features", "__num", "__is_valid")])
+    return df.drop(*[c for c in df.columns if c.endswith(SCRATCH) or c in ("features", "__num", "__numeric", "__is_valid")])
 
 
 def design_pipeline(cat: Sequence[str], num: Sequence[str], one_hot: bool = True, scale: bool = True, output: str = "features") -> Design:
@@ -181,17 +181,67 @@ def out_of_fold_encoding(train: DataFrame, cols: Sequence[str], label: str, fold
     return out.drop("__prior")
 
 
+ROWS_PER_BUCKET = 200_000  # of the permutation, in one window
+
+
+def ordered_target_statistics(train: DataFrame, cols: Sequence[str], label: str, key: str = "row_key", prior_weight: float = 1.0, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``<c>__te`` for training rows: the smoothed label mean over the rows of the same category that come *before* the row
+    in a seeded permutation, (sum + weight x mean of all labels) / (count + weight).
+
+    The permutation is the order of ``md5(seed|key)``.  It is cut into buckets by the hash itself; a window
+    runs over one category inside one bucket, and the sums of the buckets before come from a table of a row a
+    category and bucket, so a category of any size is spread over tasks.  No row's label enters its own code
+    but through the overall mean; ``key`` tells rows apart.
+    """
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("mean")).first()
+    buckets = max(1, -(-stats["n"] // rows_per_bucket))
+    unit = F.conv(F.substring("__order", 1, 8), 16, 10).cast("double") / float(16**8)
+    mean = float(stats["mean"] or 0.0)
+    # all columns in one long table: a window, a join and an aggregate for any number of them
+    entry = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    rows = train.select(F.col(key).alias("__key"), F.col(label).cast("double").alias("y"), h.alias("__order"), F.explode(entry).alias("e"))
+    rows = rows.select("__key", "y", "__order", F.floor(unit * buckets).cast("int").alias("b"), "e.c", F.col("e.v").isNull().alias("blank"), F.coalesce("e.v", F.lit("")).alias("v"))
+    rows = materialize(rows)
+    value = ["c", "blank", "v"]
+    ahead = Window.partitionBy(*value).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*value, "b").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    before = before.select(*value, "b", *[F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(f"{x}0") for x in ("s", "n")])
+    inside = Window.partitionBy(*value, "b").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"s1": F.coalesce(F.sum("y").over(inside), F.lit(0.0)), "n1": F.count("y").over(inside)}).join(before, [*value, "b"])
+    code = (F.col("s0") + F.col("s1") + F.lit(prior_weight * mean)) / (F.col("n0") + F.col("n1") + prior_weight)
+    codes = rows.groupBy("__key").agg(*[F.max(F.when(F.col("c") == i, code)).alias(f"{c}__te") for i, c in enumerate(cols)])
+    return train.join(codes, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
+class OrderedDesign:
+    """Median-filled numerics, and categoricals as target statistics: ordered ones for the training rows, those of all
+    training rows for any other (a value never seen gets the mean).  ``fit`` returns the design for other rows
+    and the training rows' own vectors."""
+
+    def __init__(self, cat: Sequence[str], num: Sequence[str], label: str, key: str = "row_key", prior_weight: float = 1.0, seed: int = 42):
+        self.cat, self.num, self.label, self.key, self.prior_weight, self.seed = list(cat), list(num), label, key, prior_weight, seed
+
+    def fit(self, train: DataFrame) -> tuple[PipelineModel, DataFrame]:
+        numeric = Design([], self.num, one_hot=False, scale=False, output="__numeric").fit(train).stages if self.num else []
+        encoder = encode_categoricals(train, self.cat, self.label, self.prior_weight).stages if self.cat else []
+        codes = [f"{c}__te" for c in self.cat]
+        join = VectorAssembler(inputCols=(["__numeric"] if self.num else []) + codes, outputCol="features", handleInvalid="keep")
+        own = ordered_target_statistics(train, self.cat, self.label, self.key, self.prior_weight, self.seed) if self.cat else train
+        return PipelineModel(stages=[*numeric, *encoder, join]), PipelineModel(stages=[*numeric, join]).transform(own)
+
+
 # I2 ---------------------------------------------------------------------------
 # Base learner specs (re-aimed from leaf-wise / depth-wise boosted trees and native-categorical trees).
 TREE_SPECS = {
     "gbt_deep": {"kind": "gbt", "maxDepth": 6, "maxIter": 60, "stepSize": 0.1, "subsamplingRate": 0.8},
-    "gbt_wide": {"kind": "gbt", "maxDepth": 7, "maxIter": 40, "stepSize": 0.1, "subsamplingRate": 0.8},
+    "gbt_wide": {"kind": "gbt", "maxDepth": 7, "maxIter": 40, "stepSize": 0.1, "subsamplingRate": 0.8, "categories": "ordered"},
     "forest": {"kind": "rf", "maxDepth": 10, "numTrees": 60, "subsamplingRate": 0.8},
 }
 
 
 def make_regressor(spec: Mapping, features: str = "features", label: str = "target", seed: int = 42, max_bins: int = 512, early_stop: bool = True):
-    params = {k: v for k, v in spec.items() if k != "kind"}
+    params = {k: v for k, v in spec.items() if k not in ("kind", "categories")}
     if spec["kind"] == "gbt":
         if early_stop:
             params["validationIndicatorCol"] = "__is_valid"
@@ -206,10 +256,15 @@ def tree_design(cat: Sequence[str], num: Sequence[str]) -> Design:
 
 def fit_model(train: DataFrame, valid: DataFrame | None, cat, num, spec: Mapping, label: str = "target", seed: int = 42) -> PipelineModel:
     """Design and regressor, both fitted on train; GBTs early-stop on ``valid``, which the design
-    only transforms (medians and category indexes never see it)."""
+    only transforms (medians, category indexes and target statistics never see it).  A spec with
+    ``categories="ordered"`` takes categoricals as ordered target statistics, else as indexes."""
     early = valid is not None and spec["kind"] == "gbt"
-    design = tree_design(cat, num).fit(train)
-    data = design.transform(train).select("features", label, F.lit(False).alias("__is_valid"))
+    if spec.get("categories") == "ordered":
+        design, rows = OrderedDesign(cat, num, label, seed=seed).fit(train)
+    else:
+        design = tree_design(cat, num).fit(train)
+        rows = design.transform(train)
+    data = rows.select("features", label, F.lit(False).alias("__is_valid"))
     if early:
         data = data.unionByName(design.transform(valid).select("features", label, F.lit(True).alias("__is_valid")))
     reg = make_regressor(spec, label=label, seed=seed, early_stop=early).fit(data)

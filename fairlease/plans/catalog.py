@@ -1515,6 +1515,26 @@ def tune_search_query(spark, sf):
     return trials
 
 
+@register(
+    "ordered_target_statistics",
+    with_flagged(
+        _PREDS_CTE + _SPLIT_CTE + """
+, tr as materialized (select row_key, gu_name, property_type, target, md5('42|' || row_key) o from sp where split = 'train'),
+m as (select avg(target) a from tr)
+select row_key, round((coalesce(sum(target) over g, 0) + a) / (count(target) over g + 1), 9) gu_name__te,
+  round((coalesce(sum(target) over t, 0) + a) / (count(target) over t + 1), 9) property_type__te
+from tr, m window g as (partition by gu_name order by o rows between unbounded preceding and 1 preceding),
+  t as (partition by property_type order by o rows between unbounded preceding and 1 preceding)
+"""
+    ),
+)
+def ordered_target_statistics_query(spark, sf):
+    """H4: ordered target statistics of the training split, over buckets of the permutation."""
+    tr = _split(spark, sf, "train")
+    out = models.ordered_target_statistics(tr, ["gu_name", "property_type"], "target", rows_per_bucket=500)
+    return _round_cols(out.select("row_key", "gu_name__te", "property_type__te"), ["gu_name__te", "property_type__te"], 9)
+
+
 def _out_of_fold(spark, sf) -> models.OutOfFold:
     key = ("out_of_fold", id(spark), sf)
     hit = _SHARED.get(key)
