@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairlease.llm.shared import checkpointed
+from fairlease.llm.shared import checkpointed, stage_table
 
 #: Share of a host's mass below which a difference is rounding.
 EVEN = 1e-9
@@ -91,10 +91,11 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float, cut_every: int
 
     ``seeds``: (kind, host, seed), each kind summing to 1.  ``trust`` follows links, ``distrust``
     follows them backwards; rank a host passes on is shared by link weight, and what has nowhere
-    to go is lost.  A step's ``front`` is the mass that has made one more link; ranks are the sum
-    of all fronts.  The steps end when no host is newly reached and the mass still to come, at
-    most the front's times damping / (1 - damping), is below the difference of every host that
-    both kinds reach, or below ``EVEN`` of its mass (then the kinds count as even).
+    to go is lost.  After ``n`` steps the ranks are those of all walks of up to ``n`` links, so both kinds
+    together can still grow by ``2 * damping ** (n + 1)``; ``links`` is a host's distance from the
+    seeds.  The steps end when the last one has reached no new host and the mass still to come is
+    below the difference of every host that both kinds reach, or below ``EVEN`` of its mass (then
+    the kinds count as even).  Every ``cut_every`` steps are one stage table.
     Returns (host, trust, distrust), null for a kind that does not reach the host.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
@@ -102,31 +103,26 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float, cut_every: int
     )
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
     edges = checkpointed(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")))
-    front = checkpointed(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
-    ranks, reached = front, -1
+    start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0).alias("links"))
+    ranks, steps = start, 0
     while True:
-        fronts = [ranks]
         for _ in range(cut_every):
-            front = (
-                edges.join(front.withColumnRenamed("host", "src"), ["kind", "src"])
+            steps += 1
+            passed = (
+                edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
                 .groupBy("kind", "dst")
-                .agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+                .agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"), (F.min("links") + 1).alias("links"))
                 .withColumnRenamed("dst", "host")
             )
-            front = checkpointed(front)
-            fronts.append(front)
-        ranks = fronts[0]
-        for f in fronts[1:]:
-            ranks = ranks.unionByName(f)
-        ranks = checkpointed(ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
-        by_host = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank"))).alias(k) for k in ("trust", "distrust")])
-        to_come = front.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).collect()[0][0] * damping / (1 - damping)
+            ranks = passed.unionByName(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.min("links").alias("links"))
+        ranks = stage_table(ranks, "url-ranks")
+        by_host = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank"))).alias(k) for k in ("trust", "distrust")], F.max("links").alias("links"))
+        to_come = 2 * damping ** (steps + 1)
         gap, mass = F.abs(F.col("distrust") - F.col("trust")), F.col("distrust") + F.col("trust")
         still_open = (gap <= to_come) & (F.lit(to_come) > mass * EVEN)
-        pairs, undecided = by_host.agg(F.sum(F.lit(0) + F.col("trust").isNotNull().cast("int") + F.col("distrust").isNotNull().cast("int")), F.sum(still_open.cast("int"))).collect()[0]
-        if pairs == reached and not undecided or not pairs:
-            return by_host
-        reached = pairs
+        furthest, undecided = by_host.agg(F.max("links"), F.count_if(still_open)).collect()[0]
+        if furthest is None or furthest < steps and not undecided:
+            return by_host.select("host", "trust", "distrust")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float = 0.5) -> DataFrame:
