@@ -62,7 +62,7 @@ class Word:
 class Model:
     """Pieces of a model file with cached word segmentations (at most ``keep`` words)."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
