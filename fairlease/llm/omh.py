@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairlease.llm.shared import stage_table
+
 LONG_WORD = 24
 #: Low bits of a packed long that hold a position; a text has fewer units than 2 ** 27.
 POS_BITS = 27
@@ -120,7 +122,9 @@ def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], derived
     spread = F.least(F.floor((F.shiftright("__tie", 32) + (1 << 31)) * n / F.lit(rows_per_range * (1 << 32))), F.lit(n // rows_per_range))
     docs = docs.withColumns({"__coarse": F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__coarse")), "__fine": F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("__fine"))})
     ranges = ["__coarse", "__fine"]
-    heads_of = docs.groupBy(*ranges).agg(F.min(F.struct("doc_id", "__tie")).alias("__head")).select(*ranges, F.col("__head.doc_id").alias("__id"), F.col("__head.__tie").alias("__tie"))
+    # a stage table, so that its size is known: the texts are not shuffled to meet a small one
+    heads_of = docs.groupBy(*ranges).agg(F.min(F.struct("doc_id", "__tie")).alias("__head"))
+    heads_of = stage_table(heads_of.select(*ranges, F.col("__head.doc_id").alias("__id"), F.col("__head.__tie").alias("__tie")), "fingerprint-ranges")
     match = [docs[c] == heads_of[c] for c in (*ranges, "__tie")] + [docs["doc_id"].eqNullSafe(heads_of["__id"])]
     first_rows = docs.join(heads_of, match, "left_semi").dropDuplicates([*ranges])
     firsts = derive(first_rows).select(*ranges, F.struct(*carried).alias("__own"))
