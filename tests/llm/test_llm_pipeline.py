@@ -18,6 +18,7 @@ def test_order_and_registration():
     assert [n for n, _ in pipeline.STAGES] == ["language", "toxicity", "near copies", "repeated passages", "packing"]
     assert sorted(queries.QUERIES, key=lambda q: int(q[2:].split("_")[0])) == [
         "op1_toxicity", "op2_language_id", "op3_url_filters", "op4_packing", "op5_jaccard_join", "op6_suffix_dedup", "op7_sharding", "op8_nearest", "op9_fingerprints", "op10_sentencepiece",
+        "op11_spelling", "op12_periodic_runs", "op13_secrets",
     ]
     import __spark_entry__ as entry
 
