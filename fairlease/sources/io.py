@@ -8,6 +8,7 @@ instead of aborting the job.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io as _io
 import itertools
@@ -84,17 +85,13 @@ def _csv_rows(spark: SparkSession, pattern: str, charsets: Sequence[str], header
     def parse(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                for charset in charsets:
-                    try:
-                        text = raw.decode(charset)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
+                raw = content.as_buffer()  # not copied, and decoded a piece at a time
+                charset = next((c for c in charsets if _decodes(raw, c)), None)
+                if charset is None:
                     raise ValueError(f"{path}: in none of the charsets {', '.join(charsets)}")
                 csv.field_size_limit(1 << 30)
-                records = filter(None, csv.reader(_io.StringIO(text, newline=""), doublequote=True, escapechar="\\"))
+                text = _io.TextIOWrapper(pa.BufferReader(raw), charset, newline="")
+                records = filter(None, csv.reader(text, doublequote=True, escapechar="\\"))
                 names = next(records, []) if header else []
                 width = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string())), pa.array([None], pa.list_(pa.string()))], names=["path", "columns", "values"])
@@ -111,6 +108,26 @@ def _csv_rows(spark: SparkSession, pattern: str, charsets: Sequence[str], header
 
 #: Records of a file that are turned into one Arrow batch.
 CSV_RECORDS = 10_000
+#: Records of a CSV file that is written here: a reader's task takes in whole files.
+CSV_FILE_ROWS = 200_000
+#: Bytes of a file that are decoded at once to tell its charset.
+DECODED_BYTES = 1 << 20
+
+
+def _decodes(raw: pa.Buffer, charset: str) -> bool:
+    """Whether ``charset`` takes all of a file."""
+    view = memoryview(raw)
+    try:
+        if len(view) <= DECODED_BYTES:
+            bytes(view).decode(charset)
+            return True
+        decoder = codecs.getincrementaldecoder(charset)()
+        for at in range(0, len(view), DECODED_BYTES):
+            decoder.decode(view[at : at + DECODED_BYTES])
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def read_csv_files(spark: SparkSession, pattern: str, charsets: Sequence[str] = CHARSETS) -> DataFrame:
@@ -188,15 +205,16 @@ def parse_trade_xml(df: DataFrame, payload_col: str = "payload", keep: Sequence[
     told = F.coalesce(said("resultCode"), said("returnReasonCode"))
     code = F.when(blank, F.lit(EMPTY)).when(broken, F.lit(MALFORMED)).otherwise(F.coalesce(told, F.when(~body, F.lit(EMPTY))))
     msg = F.when(blank | broken, F.substring("payload", 1, 200)).otherwise(F.coalesce(said("resultMsg"), said("returnAuthMsg")))
+    good = code.isNull() | code.isin(*OK_CODES)
     parsed = parsed.select(
-        *keep, "payload", code.alias("result_code"), msg.alias("result_msg"), F.coalesce(F.col("x.body.totalCount"), F.lit(0)).alias("total_count"),
-        F.col("x.body.items.item").alias("items"),
+        *keep, F.when(~good, F.col("payload")).alias("payload"), code.alias("result_code"), msg.alias("result_msg"), F.coalesce(F.col("x.body.totalCount"), F.lit(0)).alias("total_count"),
+        # trimmed here: behind the boundary an item is a plain column, which a pushed filter may read many times
+        F.transform("x.body.items.item", lambda item: F.transform_values(item, lambda k, v: F.trim(v))).alias("items"),
     )
-    parsed = materialize(parsed)  # parsed once for both results
+    parsed = materialize(parsed)  # parsed once for both results; of good pages the items alone
     ok = F.col("result_code").isNull() | F.col("result_code").isin(*OK_CODES)
     errors = parsed.filter(~ok).select(*keep, "result_code", "result_msg", "payload")
     rows = parsed.filter(ok).select(*keep, "total_count", F.explode("items").alias("item"))
-    rows = rows.select(*keep, "total_count", F.transform_values("item", lambda k, v: F.trim(v)).alias("item"))
     return rows, errors
 
 
@@ -268,7 +286,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.option("header", True).option("maxRecordsPerFile", CSV_FILE_ROWS)
     w.format(fmt).save(path)
     return path
 
