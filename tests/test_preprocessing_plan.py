@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fairlease import session
-from fairlease.operators import quality
+from fairlease.operators import market, quality
 from fairlease.operators.quantiles import group_percentiles
 from fairlease.plans import preprocess
 
@@ -64,3 +64,45 @@ def test_percentiles_of_a_column_share_a_value_map(spark):
     assert [tuple(r) for r in out.orderBy("g").collect()] == [(0, 25.0, 50.0, 50.0, 75.0, None), (1, 25.5, 50.0, 50.0, 74.5, None)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("percentile(") == 2
+
+
+def _facts(spark):
+    """Listings (every content comes several times, some keys too), leases and sales of a few cells."""
+    keys = ["gu_code", "gu_name", "ym", "property_type"]
+    ds = _modeling(spark)
+    listings = ds.select("row_key", *preprocess.CONTENT_COLUMNS)
+    cells = ds.select(*keys).distinct().crossJoin(spark.range(5).toDF("n"))
+    leases = cells.select(*keys, F.when(F.col("n") > 1, "jeonse").otherwise("monthly").alias("rent_type"), *[(F.col("n") * i + 3).cast("double").alias(c) for i, c in enumerate(("deposit_won", "deposit_per_m2", "monthly_rent_won", "area_m2"), 1)])
+    sales = cells.where("property_type <> 'rh'").select(*keys, *[(F.col("n") * i + 5).cast("double").alias(c) for i, c in enumerate(("sale_price_won", "sale_price_per_m2", "area_m2"), 1)])
+    return listings, leases, sales
+
+
+def test_rows_are_stored_once_with_their_flag_of_duplicates(spark, monkeypatch):
+    listings, leases, sales = _facts(spark)
+    ds = market.modeling_dataset(listings, leases, sales)
+    want = quality.add_clean_columns(quality.add_quality_flags(ds, list(preprocess.CONTENT_COLUMNS)))
+    stored = []
+    keep = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: stored.append(df.columns) or keep(df))
+    got = preprocess.flagged_dataset(listings, leases, sales)
+    assert got.dtypes == want.dtypes
+    assert [c for c in stored if "row_key" in c] == [[*listings.columns, "is_exact_duplicate"]]
+    assert _rows(got) == _rows(want)
+    # reading the result again finds no statistic anew
+    before = len(stored)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(stored) == before and "percentile" not in plan and "Aggregate" not in plan
+
+
+def test_rows_without_copies_are_not_joined_by_their_columns(spark):
+    ds = _modeling(spark)
+    out = quality.flag_duplicates(ds, ["property_type", "area_m2", "room_count"], "row_key")
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert len(joins) == 1 and joins[0].count("coalesce(") == 0  # null-safe keys would be dealt and sorted as coalesce() and isnull()
+    single = ds.dropDuplicates(["property_type", "area_m2", "room_count"]).withColumn("row_key", F.lit(None).cast("string"))
+    assert {r[0] for r in quality.flag_duplicates(single, ["property_type", "area_m2", "room_count"], "row_key").select("is_exact_duplicate").collect()} == {False}
+
+
+def test_columns_decide_among_equal_hashes(spark, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    test_duplicates_by_brute_force(spark)

@@ -2,6 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from fairlease.operators import quantiles
 from fairlease.operators.quantiles import global_percentiles, group_percentiles
 
 
@@ -56,3 +59,31 @@ def test_market_auto_with_hot_cells_equals_hash(spark):
     plain = market.lease_market_features(les, strategy="hash").select(*cols)
     assert mixed.count() == plain.count()
     assert mixed.exceptAll(plain).count() == 0 and plain.exceptAll(mixed).count() == 0
+
+
+def _values(spark):
+    v = F.col("id")
+    return spark.range(5000).select(
+        F.when(v % 11 != 0, F.sqrt(v * 37 % 4999)).alias("a"), F.when(v % 3 == 0, 1.0).when(v % 3 == 1, float("nan")).otherwise(v % 7 - 0.5).alias("ties"),
+        F.when(v > 4000, float("inf")).when(v < 50, float("-inf")).otherwise(v.cast("double")).alias("ends"), F.lit(None).cast("double").alias("none"),
+    )
+
+
+_ASKED = [(f"{c}{i}", c, p) for c in ("a", "ties", "ends", "none") for i, p in enumerate((0.0, 0.01, 0.3333, 0.5, 0.99, 1.0))]
+
+
+def test_narrowed_percentiles_are_exact(spark, monkeypatch):
+    df = _values(spark).repartition(7)
+    want = global_percentiles(df, _ASKED, "hash").first()
+    monkeypatch.setattr(quantiles, "_sorted_percentiles", None)  # no row is sorted for them
+    assert global_percentiles(df, _ASKED, hot_rows=100).first() == want
+    monkeypatch.setattr(quantiles, "NARROWED", 100)  # a rougher sketch keeps wider ranges
+    assert global_percentiles(df, _ASKED, hot_rows=100).first() == want
+
+
+def test_a_percentile_outside_its_range_is_sorted_for(spark, monkeypatch):
+    df = _values(spark).select("a", "ties")
+    asked = [s for s in _ASKED if s[1] in df.columns]
+    want = global_percentiles(df, asked, "hash").first()
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda c, *_: F.array(*[F.min(c)] * 20))
+    assert global_percentiles(df, asked, "narrowed").first() == want
