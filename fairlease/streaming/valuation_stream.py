@@ -7,8 +7,8 @@ or watermark is needed and stream output equals batch output on the same rows.
 
 *Lines.*  With ``fmt="text"`` each line is a listing as JSON.  Lines that do not parse, or that lack
 ``key``, go as they are to ``dead_letters``, one folder a micro-batch beside the output; without
-that folder such a line fails the batch.  A line is parsed once: the batch is kept until both sinks are
-written.
+that folder such a line fails the batch.  A line is parsed once: the batch's columns and its broken lines are
+kept until both sinks are written.
 
 *Artefacts.*  ``art`` may be fitted artefacts, a folder of them, or the root under which versions are
 published (:func:`fairlease.plans.valuation.publish_artifacts`).  Under a root each micro-batch takes the
@@ -79,7 +79,8 @@ def value_stream(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if not lines:
             return sink(valued(batch), output_dir, batch_id)
-        parsed = parse_lines(batch, schema, key).persist(StorageLevel.MEMORY_AND_DISK)
+        # a good line is worth no place beside its columns
+        parsed = parse_lines(batch, schema, key).withColumn("line", F.when(F.col(BROKEN), F.col("line"))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if dead_letters:
                 sink(parsed.where(BROKEN).select("line"), dead_letters, batch_id)

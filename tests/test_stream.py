@@ -101,3 +101,20 @@ def test_the_best_registered_run_is_fitted_and_published(spark):
     valuation.fit_best(rows, scores, registry, root, k=3, restarts=1, trees=10)
     art = valuation.load_newest(spark, root)
     assert art.metadata["model"] == "shallow" and art.model.stages[-1].getNumTrees == 5
+
+
+def test_the_streams_lines_are_compressed_and_many_files_make_a_batch(spark, monkeypatch):
+    from fairlease.streaming import valuation_stream
+
+    seen, stream = {}, valuation_stream.value_stream
+
+    def record(spark, src, *args, **kwargs):
+        files = spark.read.text(src).inputFiles()
+        seen.update(files=files, per_batch=kwargs["max_files_per_trigger"], lines=spark.read.text(src).count())
+        return stream(spark, src, *args, **kwargs)
+
+    monkeypatch.setattr(valuation_stream, "value_stream", record)
+    out = catalog.REGISTRY["valuation_stream"][0](spark, SF)
+    n = catalog._sources(spark, SF)[0].count()
+    assert out.count() == n == seen["lines"] and out.select("row_key").distinct().count() == n
+    assert all(f.endswith(".gz") for f in seen["files"]) and len(seen["files"]) >= 24 and 8 <= seen["per_batch"] < len(seen["files"])
