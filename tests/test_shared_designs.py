@@ -20,3 +20,10 @@ def test_fits_on_the_same_rows_share_a_design(spark, monkeypatch):
     fitted, failed = models.train_tree_models(df.where("x % 3 <> 0"), valid, ["c"], ["x"], specs)
     assert len(made) == 2 and list(fitted) == ["a", "b"] and not failed
     assert models.prepare(train, valid, ["c"], ["x"], specs["a"]).data.rdd.getNumPartitions() == 1
+
+
+def test_a_tree_design_asks_for_medians_alone(spark):
+    df = spark.createDataFrame([(float(i), None if i % 2 else float(i)) for i in range(9)], "x double, y double")
+    assert models.tree_design([], ["x", "y"]).numeric_stats(df) == {"x": (4.0, 0.0, 1.0), "y": (4.0, 0.0, 1.0)}
+    fitted = models.tree_design([], ["x", "y"]).fit(df).transform(df)
+    assert [r["features"].tolist() for r in fitted.where("x < 2").orderBy("x").collect()] == [[0.0, 0.0], [1.0, 4.0]]
